@@ -32,6 +32,18 @@ def arrow_rows(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A folder below spark.checkpoint.dir; only where that is unset (tests), below one of our own."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    return f"{base or tempfile.mkdtemp(prefix='tarn-')}/{name}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write df to the folder in spark.checkpoint.dir; only where that is unset (tests), to a folder of our own."""
     sc = df.sparkSession.sparkContext

@@ -175,11 +175,15 @@ def _exact(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"])
 
 
+def _sizes(a: str, b: str, percent: int) -> Column:
+    return 100 * F.least(f"{a}.n", f"{b}.n") >= percent * F.greatest(f"{a}.n", f"{b}.n")
+
+
 def _bound(a: str, b: str, percent: int) -> Column:
     """Whether two sets can link by their sizes and the bits that differ: |x & y| <= (|x| + |y| - differing bits) / 2."""
     differ = reduce(add, (F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in BITMAP))
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * (na + nb - differ) >= 2 * percent * (na + nb))
+    return _sizes(a, b, percent) & ((100 + percent) * (na + nb - differ) >= 2 * percent * (na + nb))
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> dict[str, DataFrame]:
@@ -228,11 +232,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     labels = C.components(first)
     placed = shared.select("token", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     apart = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    tiles = placed.join(apart, "token").join(signed, "rep").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int"))
+    tiles = placed.join(apart, "token").join(signed.select("rep", "n"), "rep").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int"))
     tiles = C.checkpointed(tiles)
     left = tiles.withColumn("tile", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).alias("x")
     right = tiles.withColumn("tile", F.col("band")).alias("y")
-    cond = (F.col("x.token") == F.col("y.token")) & (F.col("x.tile") == F.col("y.tile")) & (F.col("x.component") < F.col("y.component")) & _bound("x", "y", percent)
+    cond = (F.col("x.token") == F.col("y.token")) & (F.col("x.tile") == F.col("y.tile")) & (F.col("x.component") < F.col("y.component")) & _sizes("x", "y", percent)
     second = linked(left.join(right, cond).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
     links = first.union(second).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     whole = C.components(links) if second.limit(1).count() else labels

@@ -38,3 +38,23 @@ def jaccard(docs, k=5, percent=75):
                 a, b = sorted((find(i), find(j)))
                 top[b] = a
     return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+def substring(docs, window=50):
+    """{id: (n_words, n_removed, sha256)} for [(id, text)]."""
+    import hashlib
+
+    words = {i: WORD.findall(t or "") for i, t in docs}
+    first = {}
+    for i in sorted(words):
+        for j in range(len(words[i]) - window + 1):
+            first.setdefault(tuple(words[i][j : j + window]), i)
+    out = {}
+    for i, w in words.items():
+        gone = set()
+        for j in range(len(w) - window + 1):
+            if first[tuple(w[j : j + window])] < i:
+                gone |= set(range(j, j + window))
+        kept = [x for j, x in enumerate(w) if j not in gone]
+        out[i] = (len(w), len(gone), hashlib.sha256(" ".join(kept).encode()).hexdigest())
+    return out
