@@ -28,9 +28,9 @@ LONGS = BITS // 64
 #: Shingles counted in a worker before those seen too rarely are forgotten.
 BUCKET = 1_000_000
 #: Documents with a shingle from which it goes to the end of the order, and how many such shingles there may be (2 MB).
-FREQUENT, MOST_FREQUENT = 48, 1 << 18
+FREQUENT, MOST_FREQUENT = 16, 1 << 18
 
-BITMAP = [f"b{i}" for i in range(LONGS)]
+SUMMARY = "kind int, id long, n long, sig1 long, sig2 long, bits array<long>"
 
 
 def shingle_sets(words: C.Words, k: int) -> list[np.ndarray]:
@@ -95,14 +95,14 @@ def _summaries(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.zeros(rows, np.int32)), batch.column("id")[at:to], pa.array(np.array([len(s) for s in sets], np.int64))]
                 + [C.as_long(np.array([x[i] for x in sig], np.uint64)) for i in (0, 1)]
-                + [pa.array(np.ascontiguousarray(bits[:, i])) for i in range(LONGS)],
-                names=["kind", "id", "n", "sig1", "sig2", *BITMAP],
+                + [pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * LONGS), pa.array(bits.ravel()))],
+                names=["kind", "id", "n", "sig1", "sig2", "bits"],
             )
     fold(0)
     some = counts[1] > 1
     keys, n = counts[0][some], counts[1][some]
     none = np.zeros(len(keys), np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int32)), C.as_long(keys), pa.array(n)] + [pa.array(none)] * (2 + LONGS), names=["kind", "id", "n", "sig1", "sig2", *BITMAP])
+    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int32)), C.as_long(keys), pa.array(n), pa.array(none), pa.array(none), pa.nulls(len(keys), pa.list_(pa.int64()))], names=["kind", "id", "n", "sig1", "sig2", "bits"])
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], k: int, percent: int, frequent) -> Iterator[pa.RecordBatch]:
@@ -181,7 +181,7 @@ def _sizes(a: str, b: str, percent: int) -> Column:
 
 def _bound(a: str, b: str, percent: int) -> Column:
     """Whether two sets can link by their sizes and the bits that differ: |x & y| <= (|x| + |y| - differing bits) / 2."""
-    differ = reduce(add, (F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in BITMAP))
+    differ = reduce(add, (F.bit_count(F.col(f"{a}.bits")[i].bitwiseXOR(F.col(f"{b}.bits")[i])) for i in range(LONGS)))
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
     return _sizes(a, b, percent) & ((100 + percent) * (na + nb - differ) >= 2 * percent * (na + nb))
 
@@ -199,14 +199,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     C.arrow_rows(docs.sparkSession)
     spark = docs.sparkSession
     docs = C.inputs(docs, id=id_col, text=text_col)
-    schema = "kind int, id long, n long, sig1 long, sig2 long, " + ", ".join(f"{b} long" for b in BITMAP)
-    read = C.checkpointed(docs.mapInArrow(lambda it: _summaries(it, k), schema))
+    read = C.checkpointed(docs.mapInArrow(lambda it: _summaries(it, k), SUMMARY))
     counts = read.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
     top = np.sort(np.array([r[0] for r in counts.orderBy(F.desc("n"), "id").limit(MOST_FREQUENT).select("id").toLocalIterator()], np.int64).view(np.uint64))
     frequent = spark.sparkContext.broadcast(top)
 
     meta = read.where("kind = 0").drop("kind")
-    classes = meta.where("n > 0").groupBy("sig1", "sig2").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ["n", *BITMAP]))
+    classes = meta.where("n > 0").groupBy("sig1", "sig2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     classes = C.checkpointed(classes)
     rep_of = meta.where("n > 0").select("id", "sig1", "sig2").join(classes.select("rep", "sig1", "sig2"), ["sig1", "sig2"]).select("id", "rep").distinct()
 
@@ -216,7 +215,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rep_of = C.checkpointed(rep_of)
     shared = C.checkpointed(shared.join(rep_of, "id").join(rep_of.select(F.col("id").alias("lead"), F.col("rep").alias("lead_rep")), "lead").select("token", "rep", "lead_rep").distinct())
 
-    signed = classes.select("rep", "n", *BITMAP)
+    signed = classes.select("rep", "n", "bits")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) of representatives, those that link, by bits first and then exactly."""

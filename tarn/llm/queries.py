@@ -1,8 +1,10 @@
 """The queries of this package, each over its whole table, and the SQL of those that SQL can express."""
 
 from tarn.llm.jaccard import op3_ngram_jaccard_join
+from tarn.llm.substring import op1_substring_dedup
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
 }
 
