@@ -1,6 +1,6 @@
 """N-gram Jaccard join: which documents share at least a given part of their word shingles.
 
-Method. Every document becomes a set of 64-bit shingle hashes with a 1024-bit parity bitmap. Sets are put into tiles of
+Method. Every document becomes a set of 64-bit shingle hashes with a parity bitmap of about as many bits. Sets are put into tiles of
 (size band, shingle): a set is in the tiles of the first |x| - ceil(t|x|) + 1 shingles of a global order, as two sets
 with Jaccard t share one of those. Within a tile the bits that differ between two bitmaps bound the overlap from above
 (each differing bit stands for a shingle that one set lacks), and what passes is decided by intersecting sorted arrays.
@@ -13,18 +13,16 @@ first member only; after that, only pairs from different components are made, so
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm import common as C
 
-BITS = 1024
-LONGS = BITS // 64
+#: Bits of the smallest bitmap; larger sets have the next power of two.
+LEAST_BITS = 512
 #: Shingles counted in a worker before those seen too rarely are forgotten.
 BUCKET = 1_000_000
 #: Documents with a shingle from which it goes to the end of the order, and how many such shingles there may be (2 MB).
@@ -56,9 +54,18 @@ def shingle_sets(words: C.Words, k: int) -> list[np.ndarray]:
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """Parity of the shingles that fall on each of BITS bits, as longs."""
-    bits = (np.bincount((s >> np.uint64(13)).astype(np.int64) & (BITS - 1), minlength=BITS) & 1).astype(np.uint8)
-    return np.packbits(bits).view(np.int64)
+    """Parity of the shingles that fall on each of the bits, as 64-bit words."""
+    bits = max(LEAST_BITS, 1 << max(len(s) - 1, 0).bit_length())
+    return np.packbits((np.bincount((s >> np.uint64(13)).astype(np.int64) & (bits - 1), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+
+
+def differing(a: np.ndarray, b: np.ndarray) -> int:
+    """Bits in which two bitmaps differ, the longer folded: at most the number of shingles that only one set has."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count((a ^ b).view(np.uint64)).sum())
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -91,11 +98,12 @@ def _summaries(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordB
                 fold(1)
             rows = len(sets)
             sig = [(int(np.bitwise_xor.reduce(C.mix(s ^ np.uint64(77))) if len(s) else 0), int(np.add.reduce(C.mix(s))) if len(s) else 0) for s in sets]
-            bits = np.array([bitmap(s) for s in sets]).reshape(rows, LONGS)
+            bits = [bitmap(s) for s in sets]
+            ends = np.cumsum([0, *map(len, bits)])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.zeros(rows, np.int32)), batch.column("id")[at:to], pa.array(np.array([len(s) for s in sets], np.int64))]
                 + [C.as_long(np.array([x[i] for x in sig], np.uint64)) for i in (0, 1)]
-                + [pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * LONGS), pa.array(bits.ravel()))],
+                + [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(bits)))],
                 names=["kind", "id", "n", "sig1", "sig2", "bits"],
             )
     fold(0)
@@ -175,15 +183,13 @@ def _exact(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"])
 
 
-def _sizes(a: str, b: str, percent: int) -> Column:
-    return 100 * F.least(f"{a}.n", f"{b}.n") >= percent * F.greatest(f"{a}.n", f"{b}.n")
-
-
-def _bound(a: str, b: str, percent: int) -> Column:
-    """Whether two sets can link by their sizes and the bits that differ: |x & y| <= (|x| + |y| - differing bits) / 2."""
-    differ = reduce(add, (F.bit_count(F.col(f"{a}.bits")[i].bitwiseXOR(F.col(f"{b}.bits")[i])) for i in range(LONGS)))
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return _sizes(a, b, percent) & ((100 + percent) * (na + nb - differ) >= 2 * percent * (na + nb))
+def _bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The pairs that can link by the bits that differ: |x & y| <= (|x| + |y| - differing bits) / 2."""
+    for batch in batches:
+        x, y = batch.column("xbits"), batch.column("ybits")
+        n = (batch.column("xn").to_numpy() + batch.column("yn").to_numpy()).tolist()
+        keep = pa.array([(100 + percent) * (n[i] - differing(x[i].values.to_numpy(), y[i].values.to_numpy())) >= 2 * percent * n[i] for i in range(len(batch))], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> dict[str, DataFrame]:
@@ -219,8 +225,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) of representatives, those that link, by bits first and then exactly."""
-        sa, sb = signed.withColumnRenamed("rep", "a").alias("x"), signed.withColumnRenamed("rep", "b").alias("y")
-        near = C.checkpointed(pairs.join(sa, "a").join(sb, "b").where(_bound("x", "y", percent)).select("a", "b"))
+        x, y = (signed.select(F.col("rep").alias(c), F.col("n").alias(f"{s}n"), F.col("bits").alias(f"{s}bits")) for c, s in (("a", "x"), ("b", "y")))
+        sized = pairs.join(x, "a").join(y, "b").where(100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn"))
+        near = C.checkpointed(sized.mapInArrow(lambda it: _bounded(it, percent), "a long, b long"))
         ids = C.checkpointed(near.select(F.col("a").alias("id")).union(near.select("b")).distinct())
         sets = C.join_ids(docs, ids, "id").dropDuplicates(["id"]).mapInArrow(lambda it: _sets(it, k), "id long, s binary")
         sets = C.checkpointed(sets)
@@ -235,7 +242,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     tiles = C.checkpointed(tiles)
     left = tiles.withColumn("tile", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).alias("x")
     right = tiles.withColumn("tile", F.col("band")).alias("y")
-    cond = (F.col("x.token") == F.col("y.token")) & (F.col("x.tile") == F.col("y.tile")) & (F.col("x.component") < F.col("y.component")) & _sizes("x", "y", percent)
+    cond = (F.col("x.token") == F.col("y.token")) & (F.col("x.tile") == F.col("y.tile")) & (F.col("x.component") < F.col("y.component")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
     second = linked(left.join(right, cond).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
     links = first.union(second).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     whole = C.components(links) if second.limit(1).count() else labels

@@ -2,10 +2,12 @@
 
 from tarn.llm.jaccard import op3_ngram_jaccard_join
 from tarn.llm.substring import op1_substring_dedup
+from tarn.llm.tokens import op5_token_ids
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op5_token_ids": op5_token_ids,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -65,3 +65,12 @@ def test_shared_rows_of_sorted_batches():
         got = [tuple(x.values()) for b in J._shared(iter(batches)) for x in b.to_pylist()]
         want = [(t, i, min(y for x, y in rows if x == t)) for t, i in rows if sum(x == t for x, _ in rows) > 1]
         assert sorted(got) == sorted(want)
+
+
+def test_differing_bits_bound_the_difference():
+    r = np.random.default_rng(3)
+    for n, m in [(40, 50), (500, 620), (700, 500), (5000, 6000), (1025, 1024)]:
+        both = r.integers(0, 2**64, min(n, m) // 2, dtype=np.uint64)
+        a, b = (np.unique(np.concatenate([both, r.integers(0, 2**64, k - len(both), dtype=np.uint64)])) for k in (n, m))
+        only = len(np.setxor1d(a, b))
+        assert 0.4 * min(only, 200) < J.differing(J.bitmap(a), J.bitmap(b)) <= only
