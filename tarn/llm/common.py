@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
-import zlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +45,23 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder: smaller than a checkpoint where rows are many. See dropped()."""
+    path = shared_folder(df.sparkSession, f"table-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete the tables of stored() that nothing will read again, and let Spark drop shuffle files of finished steps."""
+    for t in tables:
+        for path in {f.rpartition("/")[0] for f in t.inputFiles()}:
+            delete(t.sparkSession, path)
+    gc.collect()
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write df to the folder in spark.checkpoint.dir; only where that is unset (tests), to a folder of our own."""
     sc = df.sparkSession.sparkContext

@@ -144,7 +144,7 @@ class FingerprintIndex:
         self._made += 1
         first = F.min(F.struct("id", "s", "e"))
         rows = rows.groupBy("anchor", "span").agg(first.alias("f"), F.max("last").alias("last")).select("anchor", "span", "f.id", "last", "f.s", "f.e")
-        rows.repartition("anchor").sortWithinPartitions("anchor", "span").write.parquet(path)
+        rows.sortWithinPartitions("anchor", "span").write.parquet(path)
         return path
 
     def compact(self) -> None:
@@ -164,12 +164,13 @@ class FingerprintIndex:
         batch: texts are looked up there for verification. Returns (id, n_words, n_removed, kept_sha256[, kept_text]).
         """
         window = self.window
-        spans = C.checkpointed(batch.mapInArrow(lambda it: _spans(it, window), SPAN))
+        spans = C.stored(batch.mapInArrow(lambda it: _spans(it, window), SPAN))
         new = self._write(spans.withColumn("last", F.col("id")))
         rows = self._read(new)
         for path in self.runs:
             rows = rows.unionByName(self._read(path))
         self.runs.append(new)
+        rows = rows.repartition("anchor")
         first = F.min(F.struct("id", "s", "e"))
         known = rows.groupBy("anchor", "span").agg(first.alias("f"), F.max("last").alias("last")).select("anchor", "span", "f.id", "last", "f.s", "f.e")
         known = C.checkpointed(known.join(rows.groupBy("anchor").agg(F.min("span").alias("low"), F.max("span").alias("high")), "anchor").withColumn("several", F.col("low") != F.col("high")).where("several or id < last").drop("low", "high"))
@@ -188,6 +189,8 @@ class FingerprintIndex:
         cuts = C.checkpointed(whole.union(single).groupBy("id").agg(F.collect_list(F.struct("s", "e")).alias("cuts")))
         if len(self.runs) > self.fan:
             self.compact()
+        del rows, known, texts, windows, earliest, holes, hit, whole, single
+        C.dropped(spans)
         schema = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
         touched = C.join_ids(batch, cuts.select("id"), "id", "left_semi").join(cuts, "id").select("id", "text", "cuts")
         rest = C.join_ids(batch, cuts.select("id"), "id", "left_anti").withColumn("cuts", F.lit(None).cast("array<struct<s:int,e:int>>"))
