@@ -1,6 +1,7 @@
 """The queries of this package, each over its whole table, and the SQL of those that SQL can express."""
 
 from tarn.llm.jaccard import op3_ngram_jaccard_join
+from tarn.llm.mixing import op10_source_mixing
 from tarn.llm.substring import op1_substring_dedup
 from tarn.llm.tokens import op5_token_ids
 
@@ -8,6 +9,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op5_token_ids": op5_token_ids,
+    "op10_source_mixing": op10_source_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}

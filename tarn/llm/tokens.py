@@ -30,7 +30,7 @@ from tarn.llm import common as C
 
 END_ID = 1
 #: Words, and parts of words, whose ids a Python worker remembers.
-CACHE_WORDS, CACHE_PARTS = 300_000, 600_000
+CACHE_WORDS, CACHE_PARTS = 500_000, 900_000
 BLOCK_IDS = 1 << 16
 INDEX_WORDS = 1024
 #: Fixed values of the format: how many values a selector packs, and of how many bits.
@@ -51,16 +51,27 @@ _PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?
 
 
 class Encoder:
-    """Ids of texts by a tokenizer that drops white space and case, so that each part between white space stands by itself."""
+    """Ids of texts by a tokenizer that drops white space and case, so that each part between white space stands by itself.
+
+    The ids of words seen are kept as bytes and joined. Words of Latin letters go straight to the tokenizer's model, with
+    letters spelled as its byte-level alphabet spells them, if that gives the ids of encode() on a set of probes.
+    """
 
     _loaded: dict[str | None, Encoder] = {}
 
     def __init__(self, path: str | None):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path or default_tokenizer())
-        self.known: dict[bytes, list[int]] = {}
-        self.parts: dict[str, list[int]] = {}
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.end = np.array([END_ID], self.kind).tobytes()
+        bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = [chr(c) for c in (*range(97, 123), *range(0xDF, 0x100)) if c != 0xF7]
+        self.spelling = str.maketrans({c: bytes_of.pre_tokenize_str(c)[0][0] for c in letters})
+        probes = ["".join(letters[(7 * i + j * j) % len(letters)] for j in range(1 + i % 9)) for i in range(300)] + letters
+        self.direct = all([t.id for t in self.tokenizer.model.tokenize(p.translate(self.spelling))] == self.tokenizer.encode(p, add_special_tokens=False).ids for p in probes)
 
     @classmethod
     def get(cls, path: str | None) -> Encoder:
@@ -70,30 +81,38 @@ class Encoder:
         return cls._loaded[path]
 
     def _learn(self, words: list[bytes]) -> None:
-        split = []
-        for w in words:
-            m = _PLAIN.fullmatch(w)
-            split.append((m[1].decode().lower(), m[2].decode()) if m else (w.decode(), ""))
-        parts = self.parts
+        known, parts, kind, rest = self.known, self.parts, self.kind, []
         if len(parts) > CACHE_PARTS:
             parts.clear()
-        new = list({p for both in split for p in both if p not in parts})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                parts[p] = e.ids
-        for w, (letters, marks) in zip(words, split, strict=True):
-            self.known[w] = parts[letters] + parts[marks] if marks else parts[letters]
-
-    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
-        """For every text its ids and the end id; null counts as empty."""
-        split = [(t or "").encode().split() for t in texts]
+        model, spelling = self.tokenizer.model.tokenize, self.spelling
+        for w in words:
+            m = _PLAIN.fullmatch(w) if self.direct else None
+            if not m:
+                rest.append(w)
+                continue
+            letters = m[1].decode().lower()
+            ids = parts.get(letters)
+            if ids is None:
+                ids = parts[letters] = np.array([t.id for t in model(letters.translate(spelling))], kind).tobytes()
+            if m[2]:
+                marks = m[2].decode()
+                if marks not in parts:
+                    parts[marks] = np.array(self.tokenizer.encode(marks, add_special_tokens=False).ids, kind).tobytes()
+                ids += parts[marks]
+            known[w] = ids
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+                known[w] = np.array(e.ids, kind).tobytes()
+
+    def ids(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        """For every text (UTF-8) its ids and the end id; null counts as empty."""
+        split = [(t or b"").split() for t in texts]
         known = self.known
         if len(known) > CACHE_WORDS:
             known.clear()
         self._learn(list({w for words in split for w in words if w not in known}))
-        end = [END_ID]
-        return [np.fromiter(chain(chain.from_iterable(map(known.__getitem__, words)), end), np.uint32) for words in split]
+        return [np.frombuffer(b"".join(map(known.__getitem__, words)) + self.end, self.kind).astype(np.uint32) for words in split]
 
 
 def encoded(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[tuple[list[int], list[np.ndarray]]]:
@@ -102,7 +121,7 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[tup
     for batch in batches:
         for at in range(0, len(batch), 100):
             part = batch.slice(at, 100)
-            yield part.column("id").to_pylist(), encoder.ids(part.column("text").to_pylist())
+            yield part.column("id").to_pylist(), encoder.ids(part.column("text").cast(pa.binary()).to_pylist())
 
 
 # --- Simple-8b -------------------------------------------------------------------------------
