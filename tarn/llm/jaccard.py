@@ -23,12 +23,16 @@ from tarn.llm import common as C
 
 #: Bits of the smallest bitmap; larger sets have the next power of two.
 LEAST_BITS = 512
+#: Bits to which bitmaps are folded in tiles.
+SHORT_BITS = 2048
+#: Members up to which a tile stays whole.
+TILE = 256
 #: Shingles counted in a worker before those seen too rarely are forgotten.
 BUCKET = 1_000_000
 #: Documents with a shingle from which it goes to the end of the order, and how many such shingles there may be (2 MB).
 FREQUENT, MOST_FREQUENT = 16, 1 << 18
 
-SUMMARY = "kind int, id long, n long, sig1 long, sig2 long, bits array<long>"
+SUMMARY = "kind int, id long, n long, sig1 long, sig2 long, bits array<long>, short array<long>"
 
 
 def shingle_sets(words: C.Words, k: int) -> list[np.ndarray]:
@@ -59,12 +63,17 @@ def bitmap(s: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount((s >> np.uint64(13)).astype(np.int64) & (bits - 1), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
 
+def folded(bits: np.ndarray, most: int) -> np.ndarray:
+    """A bitmap of at most `most` bits: halves are laid over each other, which keeps the parity."""
+    while 64 * len(bits) > most:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
 def differing(a: np.ndarray, b: np.ndarray) -> int:
     """Bits in which two bitmaps differ, the longer folded: at most the number of shingles that only one set has."""
-    while len(a) > len(b):
-        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
-    while len(b) > len(a):
-        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    least = 64 * min(len(a), len(b))
+    a, b = folded(a, least), folded(b, least)
     return int(np.bitwise_count((a ^ b).view(np.uint64)).sum())
 
 
@@ -73,6 +82,10 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]).astype(np.int32)), pa.array(np.concatenate(arrays)))
+
+
 def _summaries(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Rows (kind 0: id, size, set hash, bitmap) for documents; rows (kind 1: shingle, count) for frequent shingles."""
     counts: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -99,18 +112,17 @@ def _summaries(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordB
             rows = len(sets)
             sig = [(int(np.bitwise_xor.reduce(C.mix(s ^ np.uint64(77))) if len(s) else 0), int(np.add.reduce(C.mix(s))) if len(s) else 0) for s in sets]
             bits = [bitmap(s) for s in sets]
-            ends = np.cumsum([0, *map(len, bits)])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.zeros(rows, np.int32)), batch.column("id")[at:to], pa.array(np.array([len(s) for s in sets], np.int64))]
                 + [C.as_long(np.array([x[i] for x in sig], np.uint64)) for i in (0, 1)]
-                + [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(bits)))],
-                names=["kind", "id", "n", "sig1", "sig2", "bits"],
+                + [_lists(bits), _lists([folded(b, SHORT_BITS) for b in bits])],
+                names=["kind", "id", "n", "sig1", "sig2", "bits", "short"],
             )
     fold(0)
     some = counts[1] > 1
     keys, n = counts[0][some], counts[1][some]
     none = np.zeros(len(keys), np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int32)), C.as_long(keys), pa.array(n), pa.array(none), pa.array(none), pa.nulls(len(keys), pa.list_(pa.int64()))], names=["kind", "id", "n", "sig1", "sig2", "bits"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int32)), C.as_long(keys), pa.array(n), pa.array(none), pa.array(none), *[pa.nulls(len(keys), pa.list_(pa.int64()))] * 2], names=["kind", "id", "n", "sig1", "sig2", "bits", "short"])
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], k: int, percent: int, frequent) -> Iterator[pa.RecordBatch]:
@@ -192,6 +204,62 @@ def _bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
 
+def _tile_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of different components within a tile that can link by their sizes and the bits that differ.
+
+    Rows come sorted by (token, low, high, n): in a tile, a set's partners in size follow it. Rows of a tile that spans
+    batches are carried over; a tile has 2 * TILE rows or so.
+    """
+    seen: set[tuple[int, int]] = set()
+    carry: pa.Table | None = None
+
+    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        token, low, high, n, rep, component, own = (table.column(c).to_numpy() for c in ("token", "low", "high", "n", "rep", "component", "own"))
+        bits = table.column("bits").combine_chunks()
+        width = np.diff(bits.offsets.to_numpy())
+        words, first = bits.values.to_numpy().view(np.uint64), bits.offsets.to_numpy()[:-1]
+        rows, step = np.arange(len(n)), 0
+        while len(rows):
+            step += 1
+            rows = rows[rows + step < len(n)]
+            other = rows + step
+            same = (token[rows] == token[other]) & (low[rows] == low[other]) & (high[rows] == high[other]) & (percent * n[other] <= 100 * n[rows])
+            rows = rows[same]
+            other = rows + step
+            use = (component[rows] != component[other]) & ((low[rows] == high[rows]) | (own[rows] != own[other]))
+            x, y = rows[use], other[use]
+            keep = np.zeros(len(x), bool)
+            equal = width[x] == width[y]
+            for w in np.unique(width[x[equal]]):
+                at = np.flatnonzero(equal & (width[x] == w))
+                span = np.arange(w)
+                d = np.bitwise_count(words[first[x[at]][:, None] + span] ^ words[first[y[at]][:, None] + span]).sum(1, dtype=np.int64)
+                both = n[x[at]] + n[y[at]]
+                keep[at] = (100 + percent) * (both - d) >= 2 * percent * both
+            for i in np.flatnonzero(~equal):
+                d = differing(*(words[first[j] : first[j] + width[j]].view(np.int64) for j in (x[i], y[i])))
+                keep[i] = (100 + percent) * (n[x[i]] + n[y[i]] - d) >= 2 * percent * (n[x[i]] + n[y[i]])
+            found = list(dict.fromkeys(zip(np.minimum(rep[x[keep]], rep[y[keep]]).tolist(), np.maximum(rep[x[keep]], rep[y[keep]]).tolist(), strict=True)))
+            found = [f for f in found if f not in seen]
+            if len(seen) > 1_000_000:
+                seen.clear()
+            seen.update(found)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([carry, table]) if carry is not None else table
+        key = [table.column(c).to_numpy() for c in ("token", "low", "high")]
+        last = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in key]))
+        cut = int(last[-1]) + 1 if len(last) else 0
+        if cut:
+            yield from pairs(table.slice(0, cut).combine_chunks())
+        carry = table.slice(cut)
+    if carry is not None and len(carry):
+        yield from pairs(carry.combine_chunks())
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> dict[str, DataFrame]:
     """Join documents with 100 * |x & y| >= percent * |x | y| over sets of k-word shingles.
 
@@ -211,7 +279,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     frequent = spark.sparkContext.broadcast(top)
 
     meta = read.where("kind = 0").drop("kind")
-    classes = meta.where("n > 0").groupBy("sig1", "sig2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    classes = meta.where("n > 0").groupBy("sig1", "sig2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("short").alias("short"))
     classes = C.checkpointed(classes)
     rep_of = meta.where("n > 0").select("id", "sig1", "sig2").join(classes.select("rep", "sig1", "sig2"), ["sig1", "sig2"]).select("id", "rep").distinct()
 
@@ -221,7 +289,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rep_of = C.checkpointed(rep_of)
     shared = C.checkpointed(shared.join(rep_of, "id").join(rep_of.select(F.col("id").alias("lead"), F.col("rep").alias("lead_rep")), "lead").select("token", "rep", "lead_rep").distinct())
 
-    signed = classes.select("rep", "n", "bits")
+    signed = classes.select("rep", "n", "bits", "short")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) of representatives, those that link, by bits first and then exactly."""
@@ -237,13 +305,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first = linked(shared.where("rep <> lead_rep").groupBy(F.col("rep").alias("b")).agg(F.min("lead_rep").alias("a")))
     labels = C.components(first)
     placed = shared.select("token", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    apart = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    tiles = placed.join(apart, "token").join(signed.select("rep", "n"), "rep").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int"))
-    tiles = C.checkpointed(tiles)
-    left = tiles.withColumn("tile", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).alias("x")
-    right = tiles.withColumn("tile", F.col("band")).alias("y")
-    cond = (F.col("x.token") == F.col("y.token")) & (F.col("x.tile") == F.col("y.tile")) & (F.col("x.component") < F.col("y.component")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-    second = linked(left.join(right, cond).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
+    apart = placed.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size")).where("least <> most")
+    blocks = F.ceil(F.col("size") / TILE).cast("int")  # a tile of many members becomes tiles of pairs of blocks
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    tiles = placed.join(apart.select("token", blocks.alias("blocks")), "token").withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = tiles.select("token", "rep", "component", "own", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high")).join(signed.select("rep", "n", F.col("short").alias("bits")), "rep")
+    tiles = tiles.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high", "n", "rep")
+    second = linked(tiles.mapInArrow(lambda it: _tile_pairs(it, percent), "a long, b long").distinct())
     links = first.union(second).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     whole = C.components(links) if second.limit(1).count() else labels
     named = classes.select("sig1", "sig2", "rep").join(whole.withColumnRenamed("node", "rep"), "rep", "left").select("sig1", "sig2", F.coalesce("component", "rep").alias("component_id"))

@@ -28,8 +28,9 @@ def texts(seed, n=160):
     return out
 
 
-@pytest.mark.parametrize("frequent", [3, 48])
-def test_same_components_as_all_pairs(spark, monkeypatch, frequent):
+@pytest.mark.parametrize(("frequent", "tile"), [(3, 4), (48, 256), (1000, 5)])
+def test_same_components_as_all_pairs(spark, monkeypatch, frequent, tile):
+    monkeypatch.setattr(J, "TILE", tile)
     monkeypatch.setattr(J, "FREQUENT", frequent)
     monkeypatch.setattr(J, "BUCKET", 2000)
     docs = list(enumerate(texts(frequent))) + [(900, None), (901, ""), (902, " \t\n"), (903, "x"), (904, "X")]
