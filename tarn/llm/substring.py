@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarn.llm import common as C
@@ -75,24 +75,21 @@ def _spans(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Record
 
 
 def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """One row for every window of the spans asked for: (anchor, span, id, start after the span's first, window hash)."""
+    """For every span asked for, the hashes of its windows in order: (anchor, span, id, hashes)."""
     for batch in batches:
         asked = batch.column("asked")
         for at, to, words in C.word_chunks(batch.column("text")):
             values = C.mix(words.hashes(1))
-            cols: list[list[np.ndarray]] = [[], [], [], [], []]
             for i in range(at, to):
-                base, id_ = words.bounds[i - at], batch.column("id")[i].as_py()
                 list_ = asked[i].values
                 anchors, spans, ss, es = (list_.field(c).to_numpy(zero_copy_only=False) for c in ("anchor", "span", "s", "e"))
                 n = (es - ss + 1).astype(np.int64)
-                rel = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                starts = base + np.repeat(ss.astype(np.int64), n) + rel
-                for col, x in zip(cols, (np.repeat(anchors, n), np.repeat(spans, n), np.full(len(rel), id_), rel, starts), strict=True):
-                    col.append(x)
-            a, sp, ids, rel, starts = (np.concatenate(c) for c in cols)
-            w = C.ranges_hash(values, starts, starts + window, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(sp), pa.array(ids.astype(np.int64)), pa.array(rel.astype(np.int32)), C.as_long(w)], names=["anchor", "span", "id", "rel", "w"])
+                ends = np.cumsum(n)
+                starts = words.bounds[i - at] + np.repeat(ss.astype(np.int64), n) + np.arange(ends[-1]) - np.repeat(ends - n, n)
+                first, last = int(starts.min()), int(starts.max()) + window
+                w = C.ranges_hash(values[first:last], starts - first, starts - first + window, 1)
+                hashes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), C.as_long(w))
+                yield pa.RecordBatch.from_arrays([pa.array(anchors), pa.array(spans), pa.array(np.full(len(n), batch.column("id")[i].as_py())), hashes], names=["anchor", "span", "id", "hashes"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], window: int, with_text: bool) -> Iterator[pa.RecordBatch]:
@@ -176,20 +173,21 @@ class FingerprintIndex:
         known = C.checkpointed(known.join(rows.groupBy("anchor").agg(F.min("span").alias("low"), F.max("span").alias("high")), "anchor").withColumn("several", F.col("low") != F.col("high")).where("several or id < last").drop("low", "high"))
 
         asked = C.checkpointed(known.where("several").groupBy("id").agg(F.collect_list(F.struct("anchor", "span", "s", "e")).alias("asked")))
-        texts = C.join_ids(seen, asked.select("id"), "id", "left_semi").dropDuplicates(["id"])
-        schema = "anchor long, span long, id long, rel int, w long"
-        windows = C.checkpointed(texts.join(asked, "id").mapInArrow(lambda it: _windows(it, window), schema))
-        earliest = windows.groupBy("anchor", "w").agg(F.min("id").alias("earliest"), F.max("id").alias("latest")).where("earliest < latest")
-        holes = windows.join(earliest, ["anchor", "w"]).where("earliest < id").groupBy("anchor", "span").agg(F.collect_list("rel").alias("holes"))
+        texts = C.join_ids(seen, asked.select("id"), "id", "left_semi").join(asked, "id")
+        windows = texts.mapInArrow(lambda it: _windows(it, window), "anchor long, span long, id long, hashes array<long>")
+        # all that follows needs the rows of an anchor together: one shuffle
+        single = windows.repartition("anchor").select("anchor", "span", "id", F.posexplode("hashes").alias("rel", "w"))
+        earliest = F.min("id").over(Window.partitionBy("anchor", "w"))
+        holes = C.checkpointed(single.withColumn("earliest", earliest).where("earliest < id").groupBy("anchor", "span").agg(F.collect_set("rel").alias("holes")))
         known = known.join(holes, ["anchor", "span"], "left").where("holes is not null or id < last").select("anchor", "span", F.col("id").alias("first"), "holes")
 
         hit = spans.join(known, ["anchor", "span"])
         whole = hit.where("id > first").select("id", "s", "e")
-        single = hit.where("id = first and holes is not null").select("id", F.explode("holes").alias("rel"), "s").select("id", (F.col("s") + F.col("rel")).alias("s"), (F.col("s") + F.col("rel")).alias("e"))
-        cuts = C.checkpointed(whole.union(single).groupBy("id").agg(F.collect_list(F.struct("s", "e")).alias("cuts")))
+        part = hit.where("id = first and holes is not null").select("id", F.explode("holes").alias("rel"), "s").select("id", (F.col("s") + F.col("rel")).alias("s"), (F.col("s") + F.col("rel")).alias("e"))
+        cuts = C.checkpointed(whole.union(part).groupBy("id").agg(F.collect_list(F.struct("s", "e")).alias("cuts")))
         if len(self.runs) > self.fan:
             self.compact()
-        del rows, known, texts, windows, earliest, holes, hit, whole, single
+        del rows, known, texts, windows, single, holes, hit, whole, part
         C.dropped(spans)
         schema = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
         touched = C.join_ids(batch, cuts.select("id"), "id", "left_semi").join(cuts, "id").select("id", "text", "cuts")
