@@ -2,6 +2,7 @@
 
 from tarn.llm.jaccard import op3_ngram_jaccard_join
 from tarn.llm.mixing import op10_source_mixing
+from tarn.llm.packing import op7_best_fit_packing
 from tarn.llm.substring import op1_substring_dedup
 from tarn.llm.tokens import op5_token_ids
 
@@ -9,6 +10,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op5_token_ids": op5_token_ids,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op10_source_mixing": op10_source_mixing,
 }
 
