@@ -21,7 +21,7 @@ BLOCK = 64
 SHARD_SLOTS = 4096
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Documents in a chunk of a source's stream, and shards in a chunk of the draws.
-CHUNK_DOCS, CHUNK_SHARDS = 50_000, 10_000
+CHUNK_DOCS, CHUNK_SHARDS = 2_000, 10_000
 ROUNDS = 10
 
 
