@@ -17,8 +17,8 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from tarn.llm import common as C
 
 END_ID = 1
-#: Words, and parts of words, whose ids a Python worker remembers.
-CACHE_WORDS, CACHE_PARTS = 500_000, 900_000
+#: Words, or parts of words, whose ids a Python worker remembers.
+CACHE = 1_200_000
 BLOCK_IDS = 1 << 16
 INDEX_WORDS = 1024
 #: Fixed values of the format: how many values a selector packs, and of how many bits.
@@ -46,15 +46,30 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: A word of Latin letters and marks after it: its letters and its marks are tokenized apart, letters without regard to case.
-_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?|()%$&*#]*)")
+#: In a text of ASCII and Latin letters without apostrophes, what the tokenizer encodes each by itself: runs of letters,
+#: digits, runs of other marks.
+_PARTS = re.compile(rb"(?:[a-z]|\xc3[\x80-\xbf])+|[0-9]|[^\s0-9a-z\x80-\xff]+")
+_LATIN = bytes([*range(0x80), *range(0x80, 0xC0), 0xC3])
+_NOT_PLAIN = (b"'", b"<|", b"\xc3\x97", b"\xc3\xb7")
+
+
+class Known(dict):
+    """The ids of words, as bytes; what is missing is asked from learn."""
+
+    def __init__(self, learn: Callable[[bytes], bytes]):
+        self.learn = learn
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self[word] = self.learn(word)
+        return ids
 
 
 class Encoder:
     """Ids of texts by a tokenizer that drops white space and case, so that each part between white space stands by itself.
 
-    The ids of words seen are kept as bytes and joined. Words of Latin letters go straight to the tokenizer's model, with
-    letters spelled as its byte-level alphabet spells them, if that gives the ids of encode() on a set of probes.
+    The ids of words seen are kept as bytes and joined. Texts of Latin letters are cut as the tokenizer cuts them, and their
+    runs of letters go straight to its model, spelled in its byte-level alphabet, if that gives the ids of encode() on a
+    set of probes; other texts are cut at white space only.
     """
 
     _loaded: dict[str | None, Encoder] = {}
@@ -64,14 +79,17 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path or default_tokenizer())
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.code = "H" if self.kind.itemsize == 2 else "I"
+        self.words, self.parts = Known(self._whole), Known(self._part)
         self.end = np.array([END_ID], self.kind).tobytes()
         bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         letters = [chr(c) for c in (*range(97, 123), *range(0xDF, 0x100)) if c != 0xF7]
         self.spelling = str.maketrans({c: bytes_of.pre_tokenize_str(c)[0][0] for c in letters})
-        probes = ["".join(letters[(7 * i + j * j) % len(letters)] for j in range(1 + i % 9)) for i in range(300)] + letters
-        self.direct = all([t.id for t in self.tokenizer.model.tokenize(p.translate(self.spelling))] == self.tokenizer.encode(p, add_special_tokens=False).ids for p in probes)
+        probes = ["".join(letters[(7 * i + j * j) % len(letters)] for j in range(1 + i % 9)) for i in range(300)]
+        probes += [*letters, " ".join(probes), "".join(f"{p}{m}{i}{m}{p.upper()} " for i, p in enumerate(probes) for m in ".,-|(%_")]
+        self.direct = True  # for the probes
+        self.direct = all(np.frombuffer(self._split(p.encode()), self.kind).tolist() == self.tokenizer.encode(p, add_special_tokens=False).ids for p in probes)
+        self.parts.clear()
 
     @classmethod
     def get(cls, path: str | None) -> Encoder:
@@ -80,39 +98,26 @@ class Encoder:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
-    def _learn(self, words: list[bytes]) -> None:
-        known, parts, kind, rest = self.known, self.parts, self.kind, []
-        if len(parts) > CACHE_PARTS:
-            parts.clear()
-        model, spelling = self.tokenizer.model.tokenize, self.spelling
-        for w in words:
-            m = _PLAIN.fullmatch(w) if self.direct else None
-            if not m:
-                rest.append(w)
-                continue
-            letters = m[1].decode().lower()
-            ids = parts.get(letters)
-            if ids is None:
-                ids = parts[letters] = np.array([t.id for t in model(letters.translate(spelling))], kind).tobytes()
-            if m[2]:
-                marks = m[2].decode()
-                if marks not in parts:
-                    parts[marks] = np.array(self.tokenizer.encode(marks, add_special_tokens=False).ids, kind).tobytes()
-                ids += parts[marks]
-            known[w] = ids
-        for at in range(0, len(rest), 4096):
-            part = rest[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, kind).tobytes()
+    def _whole(self, word: bytes) -> bytes:
+        return array(self.code, self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+
+    def _part(self, part: bytes) -> bytes:
+        if not (part.isalpha() or part[0] == 0xC3 or part[-1] >= 0x80):
+            return self._whole(part)
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(part.decode().translate(self.spelling))]).tobytes()
+
+    def _split(self, text: bytes) -> bytes:
+        """The ids of a text as bytes."""
+        if self.direct and not text.translate(None, _LATIN) and not any(x in text for x in _NOT_PLAIN):
+            return b"".join(map(self.parts.__getitem__, _PARTS.findall(text.decode().lower().encode())))
+        return b"".join(map(self.words.__getitem__, text.split()))
 
     def ids(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """For every text (UTF-8) its ids and the end id; null counts as empty."""
-        split = [(t or b"").split() for t in texts]
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        self._learn(list({w for words in split for w in words if w not in known}))
-        return [np.frombuffer(b"".join(map(known.__getitem__, words)) + self.end, self.kind).astype(np.uint32) for words in split]
+        for known in (self.words, self.parts):
+            if len(known) > CACHE:
+                known.clear()
+        return [np.frombuffer(self._split(t or b"") + self.end, self.kind).astype(np.uint32) for t in texts]
 
 
 def encoded(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[tuple[list[int], list[np.ndarray]]]:
