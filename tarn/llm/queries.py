@@ -3,15 +3,21 @@
 from tarn.llm.jaccard import op3_ngram_jaccard_join
 from tarn.llm.mixing import op10_source_mixing
 from tarn.llm.packing import op7_best_fit_packing
+from tarn.llm.quality import OP6_SQL, op6_host_quality
 from tarn.llm.substring import op1_substring_dedup
 from tarn.llm.tokens import op5_token_ids
+from tarn.llm.toxicity import op9_toxicity
+from tarn.llm.winnowing import op4_winnowing
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_winnowing": op4_winnowing,
     "op5_token_ids": op5_token_ids,
+    "op6_host_quality": op6_host_quality,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op9_toxicity": op9_toxicity,
     "op10_source_mixing": op10_source_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_host_quality": OP6_SQL}
