@@ -3,6 +3,7 @@
 from tarn.llm.jaccard import op3_ngram_jaccard_join
 from tarn.llm.mixing import op10_source_mixing
 from tarn.llm.packing import op7_best_fit_packing
+from tarn.llm.pages import op2_main_text
 from tarn.llm.quality import OP6_SQL, op6_host_quality
 from tarn.llm.substring import op1_substring_dedup
 from tarn.llm.tokens import op5_token_ids
@@ -11,6 +12,7 @@ from tarn.llm.winnowing import op4_winnowing
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_main_text": op2_main_text,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_winnowing": op4_winnowing,
     "op5_token_ids": op5_token_ids,

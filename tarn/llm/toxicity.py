@@ -28,10 +28,10 @@ STARTS = range(3, 9)
 #: Training rows that label model and classifier are fitted to, features that vote, texts a voting feature occurs in.
 SAMPLE, VOTERS, LEAST_TEXTS = 20_000, 400, 4
 #: Log odds (toxic to clean rate) beyond which a feature may vote for toxic, and for clean.
-TOXIC_LEAN, CLEAN_LEAN = 3.0, -1.0
+TOXIC_LEAN, CLEAN_LEAN = 2.0, -1.0
 #: Score from which a text counts as toxic.
 TOXIC = 0.7
-ROUNDS, STEPS, RIDGE = 25, 400, 1e-3
+ROUNDS, STEPS, RIDGE, LABEL_ACCURACY = 25, 1000, 3e-5, 0.999
 
 _WORD = re.compile(r"\w+")
 
@@ -102,14 +102,16 @@ def patterns(present: np.ndarray, side: np.ndarray) -> np.ndarray:
     return np.stack([np.where(up >= 2, 1, 0), np.where(up >= 4, 1, 0), np.where(up == 0, -1, 0), np.where((up == 0) & (down > 0), -1, 0), np.where(up > down, 1, np.where(down > up, -1, 0))], 1)
 
 
-def posteriors(votes: np.ndarray, start: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of votes (rows x voters; 1, -1, 0) and a first guess of each row: (posterior of toxic, accuracies, voter weights).
+def posteriors(votes: np.ndarray, labels: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of votes (rows x voters; 1, -1, 0) and training labels: (posterior of toxic, accuracies, voter weights).
 
+    The label is a voter too, of the fixed accuracy LABEL_ACCURACY, and where the rounds start.
     Given the class, a voter votes for it, against it or abstains with a rate of its own. Correlation of two voters is
     that of their votes after the class means are taken away; a voter's weight is one over the sum of its squared
     correlations, so that a group that always votes together counts about once.
     """
-    p = start.astype(float)
+    p = np.where(labels > 0, LABEL_ACCURACY, 1 - LABEL_ACCURACY)
+    label = np.log(p / (1 - p))
     kinds = [(votes == k).astype(np.float32) for k in (-1, 0, 1)]
     weight = np.ones(votes.shape[1])
     accuracy = weight
@@ -125,7 +127,7 @@ def posteriors(votes: np.ndarray, start: np.ndarray, rounds: int = ROUNDS) -> tu
         rest = (rest / (np.sqrt((rest**2).mean(0)) + 1e-9)).astype(np.float32)
         weight = 1 / np.maximum(((rest.T @ rest / len(rest)) ** 2).sum(0), 1)
         ratio = np.log(rates[:, 1]) - np.log(rates[:, 0])
-        logit = np.log(mass[1] / mass[0]) + sum(k @ (ratio[i] * weight) for i, k in enumerate(kinds))
+        logit = label + np.log(mass[1] / mass[0]) + sum(k @ (ratio[i] * weight) for i, k in enumerate(kinds))
         new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         if np.abs(new - p).max() < 1e-4:
             return new, accuracy, weight
@@ -177,7 +179,7 @@ def fit(rows: DataFrame) -> Model:
         present[i, found] = 1
     toxic = np.array([r[0] for r in sample], float)
     votes = np.hstack([present * side, patterns(present, side)]).astype(np.int8)
-    posterior, accuracy, weight = posteriors(votes, 0.05 + 0.9 * toxic)
+    posterior, accuracy, weight = posteriors(votes, toxic)
     w = logistic(present, posterior)
     return Model(names, w[:-1], float(w[-1]), accuracy, weight)
 
