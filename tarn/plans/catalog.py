@@ -1,13 +1,6 @@
 """All queries of the library by name, with their SQL twins."""
 
-from pyspark.sql import functions as F
+from tarn.plans import text_queries  # noqa: F401
+from tarn.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
 
-FLAGSHIP = "documents_by_source"
-
-
-def documents_by_source(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("n_chars"))
-
-
-QUERIES = {"documents_by_source": documents_by_source}
-ORACLE_SQL = {"documents_by_source": "SELECT source, count(*) AS n_docs, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents GROUP BY source"}
+FLAGSHIP = "length_stats"
