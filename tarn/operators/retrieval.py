@@ -86,6 +86,8 @@ def ranking_metrics(ranked: DataFrame, gold: DataFrame, questions: DataFrame, k:
 
 def knn_vote(neighbours: DataFrame) -> DataFrame:
     """(q, valid_score, invalid_score, predicted) from neighbours (q, valid, score): means by class, ties to INVALID."""
-    means = neighbours.groupBy("q").agg(F.round(F.avg(F.when(F.col("valid"), F.col("score"))), 4).alias("valid_score"), F.round(F.avg(F.when(~F.col("valid"), F.col("score"))), 4).alias("invalid_score"))
+    points = F.round(F.col("score") * 10000).cast("long")  # scores have four digits: whole numbers have exact sums
+    mean = lambda of: F.floor(F.sum(F.when(of, points)) / F.sum(F.when(of, F.lit(1)))) / 10000
+    means = neighbours.groupBy("q").agg(mean(F.col("valid")).alias("valid_score"), mean(~F.col("valid")).alias("invalid_score"))
     wins = F.col("valid_score").isNotNull() & (F.col("invalid_score").isNull() | (F.col("valid_score") > F.col("invalid_score")))
     return means.withColumn("predicted", F.when(wins, F.lit("VALID")).otherwise(F.lit("INVALID")))
