@@ -1,11 +1,11 @@
 """The queries of this package, each over its whole table, and the SQL of those that SQL can express."""
 
-from tarn.llm.jaccard import op3_ngram_jaccard_join
+from tarn.llm.jaccard import OP3_SQL, op3_ngram_jaccard_join
 from tarn.llm.mixing import op10_source_mixing
 from tarn.llm.packing import op7_best_fit_packing
 from tarn.llm.pages import op2_main_text
 from tarn.llm.quality import OP6_SQL, op6_host_quality
-from tarn.llm.substring import op1_substring_dedup
+from tarn.llm.substring import OP1_SQL, op1_substring_dedup
 from tarn.llm.tokens import op5_token_ids
 from tarn.llm.toxicity import op9_toxicity
 from tarn.llm.winnowing import op4_winnowing
@@ -22,4 +22,4 @@ QUERIES = {
     "op10_source_mixing": op10_source_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_host_quality": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op3_ngram_jaccard_join": OP3_SQL, "op6_host_quality": OP6_SQL}
