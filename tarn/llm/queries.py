@@ -1,6 +1,7 @@
 """The queries of this package, each over its whole table, and the SQL of those that SQL can express."""
 
 from tarn.llm.jaccard import OP3_SQL, op3_ngram_jaccard_join
+from tarn.llm.licenses import OP8_SQL, op8_license_scan
 from tarn.llm.mixing import op10_source_mixing
 from tarn.llm.packing import op7_best_fit_packing
 from tarn.llm.pages import op2_main_text
@@ -18,8 +19,9 @@ QUERIES = {
     "op5_token_ids": op5_token_ids,
     "op6_host_quality": op6_host_quality,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_license_scan": op8_license_scan,
     "op9_toxicity": op9_toxicity,
     "op10_source_mixing": op10_source_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op3_ngram_jaccard_join": OP3_SQL, "op6_host_quality": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op3_ngram_jaccard_join": OP3_SQL, "op6_host_quality": OP6_SQL, "op8_license_scan": OP8_SQL}
