@@ -174,7 +174,7 @@ def fit(rows: DataFrame) -> Model:
     if not names:
         return Model([], np.zeros(0), float(np.log(prior / (1 - prior))), np.zeros(0), np.zeros(0))
     chosen = C.checkpointed(rows.select("id").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).distinct())
-    sample = C.join_ids(rows, chosen, "id").mapInArrow(lambda it: _found(it, names), "toxic int, found array<int>").collect()
+    sample = C.join_ids(rows, chosen, "id").dropDuplicates(["id"]).mapInArrow(lambda it: _found(it, names), "toxic int, found array<int>").collect()
     present = np.zeros((len(sample), len(names)), np.float32)
     for i, (_, found) in enumerate(sample):
         present[i, found] = 1
