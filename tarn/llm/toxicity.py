@@ -117,17 +117,18 @@ def posteriors(votes: np.ndarray, labels: np.ndarray, rounds: int = ROUNDS) -> t
     accuracy = weight
     for _ in range(rounds):
         mass = np.array([(1 - p).sum(), p.sum()]) + 1e-9
-        rates = np.stack([np.stack([(1 - p) @ k, p @ k]) + np.float64(0.5) for k in kinds])  # kind, class, voter
+        classes = np.stack([1 - p, p]).astype(np.float32)  # in the votes' own type, which are copied otherwise
+        rates = np.stack([(classes @ k).astype(np.float64) + 0.5 for k in kinds])  # kind, class, voter
         rates /= rates.sum(0)
-        agree = (1 - p) @ kinds[0] + p @ kinds[2]
+        agree = (classes[0] @ kinds[0] + classes[1] @ kinds[2]).astype(np.float64)
         cast = (kinds[0] + kinds[2]).sum(0)
         accuracy = (agree + 1) / (cast + 2)
         means = rates[2] - rates[0]
-        rest = votes - ((1 - p)[:, None] * means[0] + p[:, None] * means[1])
-        rest = (rest / (np.sqrt((rest**2).mean(0)) + 1e-9)).astype(np.float32)
+        rest = votes - classes.T @ means.astype(np.float32)
+        rest /= np.sqrt((rest**2).mean(0)) + np.float32(1e-9)
         weight = 1 / np.maximum(((rest.T @ rest / len(rest)) ** 2).sum(0), 1)
         ratio = np.log(rates[:, 1]) - np.log(rates[:, 0])
-        logit = label + np.log(mass[1] / mass[0]) + sum(k @ (ratio[i] * weight) for i, k in enumerate(kinds))
+        logit = label + np.log(mass[1] / mass[0]) + sum(k @ (ratio[i] * weight).astype(np.float32) for i, k in enumerate(kinds)).astype(np.float64)
         new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         if np.abs(new - p).max() < 1e-4:
             return new, accuracy, weight
@@ -144,7 +145,8 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = STEPS, ridge: float = RI
     penalty[-1] = 0
     for i in range(steps):
         at = w + (i / (i + 3)) * (w - before)
-        grad = x.T @ (1 / (1 + np.exp(-np.clip(x @ at, -30, 30))) - y) / len(x) + penalty * at
+        miss = 1 / (1 + np.exp(-np.clip(x @ at.astype(np.float32), -30, 30))) - y
+        grad = (miss.astype(np.float32) @ x).astype(np.float64) / len(x) + penalty * at
         before, w = w, at - grad / scale
     return w
 
