@@ -154,6 +154,11 @@ class FingerprintIndex:
             for path in old:
                 C.delete(self.spark, path)
 
+    def delete(self) -> None:
+        """Remove the runs; what add() returned does not need them."""
+        C.delete(self.spark, self.path)
+        self.runs = []
+
     def add(self, batch: DataFrame, seen: DataFrame, with_text: bool = False) -> DataFrame:
         """Dedupe a batch (id, text) against all earlier batches and itself, and index it.
 
@@ -215,6 +220,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         upto = docs if high is None else docs.where(F.col("id") <= high)
         part = index.add(upto if low is None else upto.where(F.col("id") > low), upto, with_text)
         out = part if out is None else out.unionByName(part)
+    index.delete()
     return out
 
 
