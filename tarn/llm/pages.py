@@ -31,10 +31,15 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em f
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote td th tr caption figcaption summary".split())
 _DROPPED = frozenset("head nav header footer aside form button select option dialog menu iframe object canvas svg map audio video".split())
+#: A class or id, with at most one word before what it says: left-sidebar, but not has-sidebar or content-with-sidebar.
 _ODD_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banners?|breadcrumbs?|comments?|commentlist|consent|cookies?|disclaimer|disqus|footer|form|gdpr|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pagination|paywall|popup|promos?|related|replies|respond|search|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|toolbar|widgets?)(?:$|[\s_-])",
+    r"(?!(?:has|with|without|no|show|hide)[_-])(?:[a-z0-9]+[_-]+)?"
+    r"(?:ads?|advert\w*|banners?|breadcrumbs?|comments?|commentlist|consent|cookies?|disclaimer|disqus|footer|form|gdpr|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pagination|paywall|popup|promos?|related|replies|respond|search|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|toolbar|widgets?)"
+    r"(?:[_-].*|\d*)",
     re.I,
 )
+#: Elements that hold the page or its article, whatever their names say.
+_KEPT = frozenset("html body main article".split())
 _ODD_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(script|style|noscript|template|textarea|title)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][a-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)",
@@ -83,7 +88,7 @@ class Page:
                 stack.pop()
             _, inside, dropped = stack[-1]
             marks = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(m[4])} if m[4] else {}
-            dropped = dropped or tag in _DROPPED or marks.get("role", "").lower() in _ODD_ROLE or any(_ODD_NAME.search(marks.get(k, "")) for k in ("class", "id"))
+            dropped = dropped or tag in _DROPPED or marks.get("role", "").lower() in _ODD_ROLE or (tag not in _KEPT and any(_ODD_NAME.fullmatch(n) for k in ("class", "id") for n in marks.get(k, "").split()))
             if tag not in _BLOCK and not dropped:
                 name = ".".join([tag, *sorted(_DIGITS.sub("0", c) for c in marks.get("class", "").split())])
                 self.paths.append(f"{self.paths[inside]}>{name}")

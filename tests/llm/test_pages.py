@@ -26,6 +26,14 @@ def test_odd_pages():
     assert text(long) == "deep"
 
 
+def test_names():
+    for name in ("has-sidebar", "content-with-sidebar", "formal", "navy", "advice", "reader"):
+        assert text(f"<div class='{name}'><p>x</p></div>") == "x", name
+    for name in ("sidebar", "left-sidebar", "site-header wide", "ad", "ad-slot", "comments2", "cookie_notice", "big promo"):
+        assert text(f"<div class='{name}'><p>x</p></div>") == "", name
+    assert text("<body class='sidebar'><article id=comments><p>x</p></article>") == "x"
+
+
 def test_hosts_agree_on_a_path(spark):
     body = lambda n, side: f'<body><div class="story s{n}"><p>{"word " * 40}{n}</p></div><div class="extra"><p>{"more " * side}</p></div></body>'
     rows = [(i, f"http://a.com/{i}", body(i, 5), "x") for i in range(9)] + [(9, "http://A.com/9", body(9, 300), "x"), (10, "http://b.com/", body(10, 300), "x"), (11, None, None, "x"), (12, "", "", "x"), (12, "", "", "x")]
