@@ -125,7 +125,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents (doc_id, text, lang, source, n_chars) as the mix takes them: one row for each pass that takes words of
     a document, its text the words taken, in order, joined by one space; a document taken whole keeps its text."""
-    keyed = C.checkpointed(docs.select("doc_id", "text", "lang", "source", "n_chars"))
+    keyed = docs.select("doc_id", "text", "lang", "source")
     parts = mix(keyed, **options)["parts"].groupBy("id", "row", "pass").agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias("parts"), F.sum("n").alias("n"))
     best = parts.groupBy("id", "pass").agg(F.first("parts").alias("parts"), F.first("n").alias("n"))
     words = C.words_of(F.col("text"))
