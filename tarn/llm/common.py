@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +91,17 @@ def crc32_mod3(id_: Column) -> Column:
     return F.crc32(id_.cast("string")) % 3
 
 
+#: What a Python worker remembers from task to task, by operator, and how to let go of it.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def serving(owner: str) -> None:
+    """A Python worker serves one stage after another: let go of what others than this owner remember."""
+    for name, clear in CACHES.items():
+        if name != owner:
+            clear()
+
+
 # --- words as arrays -------------------------------------------------------------------------
 
 _SPACE = np.zeros(256, bool)
@@ -100,6 +111,7 @@ _LOWER[65:91] += 32
 _RANDOM = np.random.default_rng(20240613).integers(1, 2**63, (2, 256), dtype=np.uint64)
 _BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _powers: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+CACHES["words"] = _powers.clear
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -153,6 +165,7 @@ class Words:
 
 def word_chunks(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, int, Words]]:
     """(first, after last, Words) of runs of texts of about CHUNK_BYTES; a longer text stands alone."""
+    serving("words")
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = pc.fill_null(texts.cast(pa.large_string()), "")

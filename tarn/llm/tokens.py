@@ -120,8 +120,12 @@ class Encoder:
         return [np.frombuffer(self._split(t or b"") + self.end, self.kind).astype(np.uint32) for t in texts]
 
 
+C.CACHES["tokens"] = Encoder._loaded.clear
+
+
 def encoded(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[tuple[list[int], list[np.ndarray]]]:
     """(ids of documents, their token ids), some documents at a time so that memory stays bounded."""
+    C.serving("tokens")
     encoder = Encoder.get(path)
     for batch in batches:
         for at in range(0, len(batch), 100):

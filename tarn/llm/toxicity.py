@@ -49,6 +49,7 @@ def features(text: str | None) -> set[str]:
 
 
 def _training_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    C.serving("toxicity")
     for batch in batches:
         toxic = batch.column("toxic").to_pylist()
         counts: dict[str, list[int]] = {}
@@ -65,6 +66,7 @@ class Scorer:
     MOST_WORDS = 300_000
 
     def __init__(self, names: list[str]):
+        C.serving("toxicity")
         self.place = {n: i for i, n in enumerate(names)}
         self.seen: dict[str, tuple[int, ...]] = {}
 
