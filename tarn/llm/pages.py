@@ -1,20 +1,23 @@
 """Main text of web pages by paths that the pages of a host agree on.
 
 Method. Each page is cut into containers (elements that hold blocks) with the blocks of text in them; navigation, forms,
-adverts and the like are known by tag or by a word in class, id or role, and carry no text. From the body down, a page's
-main container is the deepest one that still holds most of the text outside links. It votes, with its text as weight, for
-its path of tags and classes, digits generalised; votes are summed by host in Spark. Every page is then read again and
-its text taken from the containers on its host's winning path, or from its own main container where it has none.
-
-A host in a third of all rows is one row by path after partial sums; winners are joined back by host, broadcast while
-they are few. A page is parsed in one pass whatever its length.
+adverts and the like are known by tag or by a word in class, id or role, and carry no text. A path of tags and classes,
+digits generalised, that says the same on most different pages of a host is boilerplate. From the page down, a page's
+main container is the deepest one with nothing outside it but link text, boilerplate and a little text without heading,
+list, table or sentence (REST): a lead, a title or a list beside the body keeps both. It votes, with its text as weight,
+for its path; votes are summed by host in Spark. Every page is then read again and its text taken from the containers on
+its host's winning path, or from its own main container where it has none.
+
+A host in a third of all rows is one row by path after partial sums; boilerplate and winners are joined back by host,
+broadcast while they are few. A page is parsed three times, each in one pass whatever its length.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,8 +27,10 @@ from tarn.llm import common as C
 
 #: Winning paths that may be broadcast (some 100 bytes each).
 BROADCAST_HOSTS = 100_000
-#: Part of a container's text that a child must hold to be descended to.
-MOST = 0.6
+#: Different pages of a host that must say the same under a path, and more than half of those with it, to make it boilerplate.
+REPEATED = 3
+#: Text in containers beside the main one, without heading, list, table or sentence, is no article up to one in so many characters.
+REST = 8
 
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,6 +51,8 @@ _TAG = re.compile(
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_PLAIN = frozenset("page html body div section p".split())
+_STOP = re.compile("[.!?:;\u2026\u3002\uff01\uff1f\u061f\u0964]")
 _DIGITS = re.compile(r"\d+")
 _HOST = "^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
@@ -56,6 +63,8 @@ class Page:
     def __init__(self, source: str | None):
         self.paths, self.parents = ["page"], [-1]
         self.blocks: list[tuple[int, str, int]] = []
+        #: Containers with a block that isn't plain: a heading, a list or table cell, or text with the end of a sentence.
+        self.telling: set[int] = set()
         self._texts: list[str] = []
         self._links = self._link = 0
         # open elements: tag, container, whether its text is dropped
@@ -75,7 +84,7 @@ class Page:
                 elif tag == "a":
                     self._link = 0 if m[2] else 1
                 continue
-            self._flush(stack[-1][1])
+            self._flush(*stack[-1])
             if m[2]:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i][0] == tag:
@@ -98,34 +107,51 @@ class Page:
                 stack.append((tag, inside, dropped))
         if at < len(source) and not stack[-1][2]:
             self._add(source[at:])
-        self._flush(stack[-1][1])
+        self._flush(*stack[-1])
 
     def _add(self, raw: str) -> None:
         self._texts.append(raw)
         if self._link:
             self._links += len(raw)
 
-    def _flush(self, container: int) -> None:
+    def _flush(self, tag: str, container: int, _dropped: bool) -> None:
         if self._texts:
             text = " ".join(html.unescape("".join(self._texts)).split())
             if text:
-                self.blocks.append((container, text, self._links))
+                if tag not in _PLAIN or _STOP.search(text):
+                    self.telling.add(container)
+                # a title may link to its own page
+                self.blocks.append((container, text, 0 if tag == "h1" else self._links))
             self._texts.clear()
         self._links = self._link = 0
 
-    def main(self) -> tuple[int, int]:
-        """(the main container, how much text it holds outside links)."""
-        n = len(self.paths)
+    def said(self) -> dict[str, str]:
+        """The blocks outside links by the path of their container."""
+        texts: dict[str, list[str]] = {}
+        for c, text, links in self.blocks:
+            if len(text) > 2 * links:
+                texts.setdefault(self.paths[c], []).append(text)
+        return {p: "\n".join(t) for p, t in texts.items()}
+
+    def main(self, repeated: Iterable[str] = ()) -> tuple[int, int]:
+        """(the main container, how much text it holds outside links and boilerplate, the repeated paths)."""
+        n, repeated = len(self.paths), frozenset(repeated)
+        telling = [c in self.telling for c in range(n)]
         weight, children = [0] * n, [[] for _ in range(n)]
         for c, text, links in self.blocks:
-            weight[c] += max(len(text) - 2 * links, 0)
+            if self.paths[c] not in repeated:
+                weight[c] += max(len(text) - 2 * links, 0)
         for c in range(n - 1, 0, -1):
             weight[self.parents[c]] += weight[c]
+            telling[self.parents[c]] |= telling[c]
             children[self.parents[c]].append(c)
         at = 0
-        while children[at]:
-            best = max(children[at], key=lambda c: (weight[c], -c))
-            if not weight[best] or weight[best] < MOST * weight[at]:
+        while weight[at]:
+            best = max(children[at], key=lambda c: (weight[c], -c), default=at)
+            beside = [c for c in children[at] if c != best and weight[c]]
+            outside = weight[at] - weight[best]
+            crumbs = sum(weight[c] for c in beside) == outside and REST * outside <= weight[at] and not any(telling[c] for c in beside)
+            if best == at or not weight[best] or (outside and not crumbs):
                 break
             at = best
         return at, weight[at]
@@ -139,12 +165,30 @@ class Page:
         return "\n".join(t for c, t, _ in self.blocks if inside[c])
 
 
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def _said(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hosts, paths, texts, pages = [], [], [], []
+        for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            said = Page(source).said()
+            page = _hash("\n".join(said.values()))
+            for path, text in said.items():
+                hosts.append(host)
+                paths.append(path)
+                texts.append(_hash(text))
+                pages.append(page)
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(texts, pa.int64()), pa.array(pages, pa.int64())], names=["host", "path", "said", "page"])
+
+
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         paths, weights = [], []
-        for source in batch.column("html").to_pylist():
+        for source, repeated in zip(batch.column("html").to_pylist(), batch.column("repeated").to_pylist(), strict=True):
             page = Page(source)
-            at, weight = page.main()
+            at, weight = page.main(repeated or ())
             paths.append(page.paths[at])
             weights.append(weight)
         yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(paths), pa.array(weights, pa.int64())], names=["host", "path", "weight"])
@@ -156,6 +200,11 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
+def _by_host(rows: DataFrame, hosts: DataFrame) -> DataFrame:
+    few = hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
+    return rows.join(F.broadcast(hosts) if few else hosts, "host", "left")
+
+
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every page: blocks of the main text, one a line, white space as one space.
 
@@ -166,10 +215,13 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     C.arrow_rows(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST, 1))
     rows = C.inputs(pages, id=id_col, url=url_col, html=html_col).withColumn("host", host)
-    votes = rows.select("host", "html").mapInArrow(_votes, "host string, path string, weight long").groupBy("host", "path").agg(F.sum("weight").alias("weight"))
+    # copies of a page are one page; pages without a host have no other to compare with
+    said = rows.where("host != ''").select("host", "html").mapInArrow(_said, "host string, path string, said long, page long").distinct()
+    same = said.groupBy("host", "path", "said").count().groupBy("host", "path").agg(F.max("count").alias("top"), F.sum("count").alias("n"))
+    repeated = C.checkpointed(same.where((F.col("top") >= REPEATED) & (2 * F.col("top") > F.col("n"))).groupBy("host").agg(F.collect_list("path").alias("repeated")))
+    votes = _by_host(rows.select("host", "html"), repeated).mapInArrow(_votes, "host string, path string, weight long").groupBy("host", "path").agg(F.sum("weight").alias("weight"))
     best = C.checkpointed(votes.where("weight > 0").groupBy("host").agg(F.min(F.struct((-F.col("weight")).alias("w"), "path")).alias("b")).select("host", "b.path"))
-    few = best.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    joined = rows.join(F.broadcast(best) if few else best, "host", "left")
+    joined = _by_host(rows, best)
     return joined.select("id", "url", "html", "path").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
 
 

@@ -44,3 +44,28 @@ def test_hosts_agree_on_a_path(spark):
     assert got[11] == "" and got[12] == ""
     assert P.main_text(df).count() == len(rows)
     assert P.main_text(df.limit(0)).collect() == []
+
+
+def test_nothing_beside_the_body_is_lost():
+    body, lead = "body " * 70, "lead " * 30
+    for html, want in [
+        (f"<article><div class=lead>{lead}</div><div class=body>{body}</div></article>", [lead, body]),
+        (f"<article><h1>A title</h1><div class=content><p>{body}</div></article>", ["A title", body]),
+        (f"<article><h1><a href=/x>A title</a></h1><div class=content><p>{body}</div></article>", ["A title", body]),
+        (f"<article><p>Intro</p><ul><li>{body}<li>{lead}</ul></article>", ["Intro", body, lead]),
+        (f"<article><p>Intro</p><table><tr><td>{body}<td>{lead}</table><p>After</article>", ["Intro", body, lead, "After"]),
+        (f"<main><section><p>{lead}</section><section><p>{body}</section></main>", [lead, body]),
+    ]:
+        assert text(f"<body><nav>menu</nav><div class=menu>menu</div><div><a href=/>all links</a></div>{html}<footer>end</footer></body>") == "\n".join(t.strip() for t in want)
+
+
+def test_hosts_keep_what_differs_and_lose_what_repeats(spark):
+    page = lambda i: f"<body><div class=about><p>About this site.</p></div><article><div class=lead>{f'lead{i} ' * 30}</div><div class=body>{f'body{i} ' * 70}</div></article></body>"
+    copies = [(i, f"http://c.com/{i}", page(0)) for i in range(20, 26)]
+    rows = [(i, f"http://a.com/{i}", page(i)) for i in range(6)] + [(10, "http://b.com/", page(10)), (11, None, page(11)), *copies]
+    got = {r["page_id"]: r["text"] for r in P.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = lambda i: f"{f'lead{i} ' * 30}".strip() + "\n" + f"{f'body{i} ' * 70}".strip()
+    for i in range(6):
+        assert got[i] == want(i)
+    for i, of in [(10, 10), (11, 11), *((c[0], 0) for c in copies)]:
+        assert got[i] == "About this site.\n" + want(of)
