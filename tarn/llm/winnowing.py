@@ -3,7 +3,10 @@
 Method. Every run of GRAM words has a hash; of every WINDOW consecutive hashes the least is chosen, the rightmost of
 equal ones, and kept with its place. A run of GRAM + WINDOW - 1 equal words in two texts gives both a common
 fingerprint. The least of all windows comes from the least of pairs, fours and so on, each by one pass over the array
-before: about log2(WINDOW) comparisons a word. All of it is DataFrame functions; hashes are of words, because characters
+before: about log2(WINDOW) comparisons a word. Texts of fewer than FEW words keep the hashes of all their runs of words;
+those that have fewer than one window's words, as texts without white space, have those of their runs of characters as
+well, of which only the chosen are kept when there are LONG characters or more. An edited text is fingerprinted in the
+way its original is, so that the two compare. All of it is DataFrame functions; hashes are of words, because characters
 would take the same steps six times over and SQL has no constant-time access to the characters of a string.
 """
 
@@ -15,6 +18,9 @@ from pyspark.sql import functions as F
 from tarn.llm import common as C
 
 GRAM, WINDOW = 5, 24
+#: Words from which a text is winnowed, and below which it has runs of characters; characters of a run, and from which those are winnowed.
+FEW, SPARSE, CHARS, LONG = 112, GRAM + WINDOW - 1, 3, 4096
+WORDS, ALL_WORDS, ALL, CHARACTERS = 0, 1, 2, 3
 #: Bits of a chosen value that hold the place, counted down so that the least value is the rightmost.
 PLACE_BITS = 23
 PLACES = (1 << PLACE_BITS) - 1
@@ -24,25 +30,39 @@ def _least_with(step: int):
     return lambda v, i: F.least(v, F.get("_m", i + step))
 
 
-def with_fingerprint(df: DataFrame, text: Column, out: str, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+def manner(words: Column, text: Column) -> Column:
+    """How a text is fingerprinted."""
+    n = F.size(words)
+    return F.when(n >= FEW, WORDS).when(n >= SPARSE, ALL_WORDS).when(F.length(text) < LONG, ALL).otherwise(CHARACTERS)
+
+
+def with_fingerprint(df: DataFrame, text: Column, out: str, gram: int = GRAM, window: int = WINDOW, like: Column | None = None) -> DataFrame:
     """df with out: the chosen values of the text in order of place, hash * 2**PLACE_BITS + PLACES - place.
 
-    A text of fewer words than a run has one hash of all its words, without words none; with fewer hashes than a window
-    holds, the window is as long as they are.
+    A text is fingerprinted in the manner of like, its own by default. A text of fewer words or characters than a run has
+    one hash of all of them, without words none; with fewer hashes than a window holds, all are kept. Places of runs of
+    characters are those of their first character, the words of the text joined by one space.
     """
-    df = df.withColumn("_w", C.words_of(text))
+    like = F.coalesce(text if like is None else like, F.lit(""))
+    df = df.withColumn("_w", C.words_of(text)).withColumn("_how", manner(C.words_of(like), like))
+    df = df.withColumn("_c", F.when(F.col("_how") >= ALL, F.filter(F.split(F.array_join("_w", " "), ""), lambda c: c != "")))
     value = lambda h, i: F.shiftleft(F.shiftrightunsigned(h, 24), PLACE_BITS) + F.lit(PLACES) - i % PLACES
-    grams = F.transform(F.sequence(F.lit(0), F.size("_w") - gram), lambda i: value(F.xxhash64(*(F.get("_w", i + j) for j in range(gram))), i))
-    few = F.when(F.size("_w") > 0, F.array(value(F.xxhash64("_w"), F.lit(0)))).otherwise(F.array().cast("array<long>"))
-    df = df.withColumn("_m", F.when(F.size("_w") >= gram, grams).otherwise(few))
-    df = df.withColumn("_short", F.when(F.size("_m") < window, F.array_compact(F.array(F.array_min("_m")))))
+
+    def runs(units: str, k: int) -> Column:
+        grams = F.transform(F.sequence(F.lit(0), F.size(units) - k), lambda i: value(F.xxhash64(*(F.get(units, i + j) for j in range(k))), i))
+        few = F.when(F.size(units) > 0, F.array(value(F.xxhash64(units), F.lit(0)))).otherwise(F.array().cast("array<long>"))
+        return F.when(F.size(units) >= k, grams).otherwise(few)
+
+    both = F.array_sort(F.concat(runs("_w", gram), runs("_c", CHARS)), lambda a, b: (b.bitwiseAND(F.lit(PLACES)) - a.bitwiseAND(F.lit(PLACES))).cast("int"))
+    df = df.withColumn("_m", F.when(F.col("_how") == CHARACTERS, runs("_c", CHARS)).when(F.col("_how") == ALL, both).otherwise(runs("_w", gram)))
+    df = df.withColumn("_short", F.when(F.col("_how").isin(ALL_WORDS, ALL) | (F.size("_m") < window), F.col("_m")))
     reach = 1
     while reach < window:
         step = min(reach, window - reach)
         least = F.transform(F.slice("_m", 1, F.greatest(F.size("_m") - step, F.lit(0))), _least_with(step))
         df = df.withColumn("_m", F.when(F.col("_short").isNull(), least).otherwise(F.col("_m")))
         reach += step
-    return df.withColumn(out, F.coalesce("_short", F.array_distinct("_m"))).drop("_w", "_m", "_short")
+    return df.withColumn(out, F.coalesce("_short", F.array_distinct("_m"))).drop("_w", "_c", "_how", "_m", "_short")
 
 
 def hashes(values: Column) -> Column:
@@ -94,7 +114,7 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     heads = heads.select("of", F.expr("substring(text, 1, cut)").alias("head")).groupBy(F.col("of").alias("id")).agg(F.first("head").alias("head"))
     n, cut = F.length("text"), F.floor(F.length("text") / 4)
     edited = docs.join(heads, "id").select("id", "text", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), (n - cut).cast("int")), "head").alias("edited"))
-    marked = with_fingerprint(with_fingerprint(edited, F.col("text"), "own"), F.col("edited"), "changed")
+    marked = with_fingerprint(with_fingerprint(edited, F.col("text"), "own"), F.col("edited"), "changed", like=F.col("text"))
     kept = C.stored(marked.select("id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "own", "changed"))
     after = kept.groupBy(F.col("id").alias("next_id")).agg(F.first("own").alias("following"))
     after = links.select("id", "next_id").join(after, "next_id").select("id", "following")

@@ -51,3 +51,17 @@ def test_empty_single_and_repeated(spark):
     one = W.edit_likeness(spark.createDataFrame([(5, "a b c d")], schema)).collect()
     assert one[0]["edited_sha256"] == hashlib.sha256(b"a b c a").hexdigest() and one[0]["near_next"] == 1.0
     assert len(W.edit_likeness(spark.createDataFrame([(5, "a b c d"), (5, "a b c d"), (6, "x y")], schema)).collect()) == 3
+
+
+def test_short_texts_and_texts_without_white_space_keep_their_likeness(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=7))
+    docs = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([1, 2, 3, 4, 5, 8, 14, 20, 27, 28, 29, 37, 60, 111, 112, 113])]
+    docs += [(100 + i, "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(n))) for i, n in enumerate([6, 40, 600, 5000])] + [(200, "abcd"), (201, "wxyz")]
+    rows = {x["id"]: x for x in W.edit_likeness(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    for i, t in docs:
+        assert rows[i]["near_edited"] > (0.3 if len(t) > 10 else 0), (i, t[:50], rows[i]["near_edited"])
+        assert rows[i]["near_next"] < 0.1, (i, rows[i]["near_next"])
+    one = W.fingerprints(spark.createDataFrame([(1, "ab  cd"), (2, "b cd ef")], "doc_id long, text string")).collect()
+    assert [[W.PLACES - (v & W.PLACES) for v in x["values"]] for x in one] == [[0, 0, 1, 2], [0, 0, 1, 2, 3, 4]]
+    assert len(set(one[0]["hashes"]) & set(one[1]["hashes"])) == 2
