@@ -33,22 +33,15 @@ PIECE = "id long, row long, piece int, start long, length long, ids_crc32 long"
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str | None, capacity: int) -> Iterator[pa.RecordBatch]:
     """A row for each piece: documents longer than the capacity are cut at multiples of it."""
-
-    def rows() -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column("row").to_pylist()
-            at = 0
-            for ids, arrays in encoded(iter([batch]), path):
-                out = []
-                for id_, row, tokens in zip(ids, keys[at : at + len(ids)], arrays, strict=True):
-                    for n, start in enumerate(range(0, len(tokens), capacity)):
-                        part = tokens[start : start + capacity]
-                        out.append((id_, row, n, start, len(part), zlib.crc32(part.astype("<u4").tobytes())))
-                at += len(ids)
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["id", "row", "piece", "start", "length", "ids_crc32"])
-
-    return rows()
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+    for keys, arrays in encoded(batches, path, "key"):
+        out = []
+        for key, tokens in zip(keys, arrays, strict=True):
+            ids = tokens.astype("<u4")
+            for n, start in enumerate(range(0, len(ids), capacity)):
+                part = ids[start : start + capacity]
+                out.append((key["id"], key["row"], n, start, len(part), zlib.crc32(part.tobytes())))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["id", "row", "piece", "start", "length", "ids_crc32"])
 
 
 def best_fit(lengths: list[int], order: list[int], bin_of: np.ndarray, room: list[int], capacity: int) -> None:
@@ -175,7 +168,8 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     """
     C.arrow_rows(docs.sparkSession)
     rows = C.inputs(docs, id=id_col, text=text_col).withColumn("row", F.monotonically_increasing_id())
-    return pack(rows.mapInArrow(lambda it: _pieces(it, tokenizer, capacity), PIECE), capacity).drop("row")
+    keyed = rows.select(F.struct("id", "row").alias("key"), "text")
+    return pack(keyed.mapInArrow(lambda it: _pieces(it, tokenizer, capacity), PIECE), capacity).drop("row")
 
 
 def op7_best_fit_packing(spark, sf_dir: str) -> DataFrame:
