@@ -1,14 +1,16 @@
 """Toxicity by weak supervision: many voters, a label model of their accuracies and correlations, a linear classifier.
 
-Method. Features are the words of a text and the starts of words (START letters). Over all labelled training rows Spark
-counts in how many toxic and clean texts each occurs; those that lean most towards either side become voters, each
-voting its side where it occurs and abstaining elsewhere, next to pattern voters that count them. A latent-class model
-of the votes is fitted by expectation maximisation from the voters' training accuracies: each voter's accuracy and how
-far pairs of voters agree beyond what their classes explain; voters that agree so are weighed down in the posterior.
-A logistic regression on the same features learns the posterior labels of a bounded sample of training rows, and scores
-every text.
-
-Only the votes of at most SAMPLE training rows and the VOTERS strongest features reach the driver.
+Method. Voters are lexicons and patterns. Some are written down: insults by language, counted, and patterns such as an
+insult after "you are". The others are families of words, all words with a common start (or one word), that lean to toxic
+or clean texts by a confidence bound on their log odds over all labelled training rows; a family inside another that leans
+as much is left out. A voter says its side where it occurs and abstains elsewhere. The given label is one more voter.
+A latent-class model of the votes is fitted by expectation maximisation: how often each voter speaks in either class,
+how accurate the label itself is, and how far pairs of voters agree beyond what the classes explain; voters that agree so
+are weighed down. A logistic regression on the votes learns the posterior labels of a bounded sample of training rows and
+scores every text, by its votes alone.
+
+The votes of at most SAMPLE training rows reach the driver, and a name for each voter. No number of voters is set: how
+many families there are is decided by the bound.
 """
 
 from __future__ import annotations
@@ -25,14 +27,34 @@ from tarn.llm import common as C
 
 #: Lengths of word starts that are features, besides whole words.
 STARTS = range(3, 9)
-#: Training rows that label model and classifier are fitted to, features that vote, texts a voting feature occurs in.
-SAMPLE, VOTERS, LEAST_TEXTS = 20_000, 400, 4
-#: Log odds (toxic to clean rate) beyond which a feature may vote for toxic, and for clean.
-TOXIC_LEAN, CLEAN_LEAN = 2.0, -1.0
+#: Training rows that label model and classifier are fitted to.
+SAMPLE = 20_000
+#: A family of words votes if its log odds between the classes, less Z standard errors, exceed LEAN.
+Z, LEAN = 2.0, 0.7
 #: Score from which a text counts as toxic.
 TOXIC = 0.7
-ROUNDS, STEPS, RIDGE, LABEL_ACCURACY = 25, 1000, 3e-5, 0.999
-
+#: Rounds of the label model, steps and ridge of the classifier.
+ROUNDS, STEPS, RIDGE = 30, 1000, 3e-5
+#: What the label model believes of the given labels before it sees any: their accuracy, and as how many rows that counts.
+LABEL_PRIOR, LABEL_ROWS = 0.95, 20.0
+#: Features that a Python worker counts before it hands them on.
+COUNTED = 200_000
+
+#: Words of abuse by language, in lower case.
+LEXICONS = {
+    "en": "ass asshole bastard bitch clown coward creep crap damn disgusting dumb dumbass fool freak garbage idiot imbecile jerk liar loser moron parasite pathetic pig scum shit stupid trash ugly vermin worthless".split(),
+    "de": "abschaum arsch arschloch blöd depp dreck dumm dummkopf ekelhaft erbärmlich feigling hurensohn idiot lügner missgeburt mistkerl schlampe schwein scheiße trottel versager vollidiot wertlos widerlich".split(),
+    "fr": "abruti bouffon connard con crétin débile dégoûtant idiot imbécile lâche menteur merde minable nul ordure pathétique pourriture raclure salaud salope stupide vermine".split(),
+    "es": "asqueroso basura bastardo cabrón cerdo cobarde escoria estúpido gilipollas idiota imbécil inútil maldito mentiroso mierda patético payaso perdedor puta tonto".split(),
+}
+_ABUSE = "|".join(sorted({w for words in LEXICONS.values() for w in words}))
+#: Patterns over the text in lower case.
+PATTERNS = {
+    "you are": re.compile(rf"\b(?:you(?:'re| are)|du bist|ihr seid|tu es|vous êtes|eres|sois)\s(?:\w+\s){{0,3}}(?:{_ABUSE})\b"),
+    "such": re.compile(rf"\b(?:such an?|what an?|so ein|quel|qué)\s(?:\w+\s)?(?:{_ABUSE})\b"),
+    "masked": re.compile(r"\b(?:f[*@#$]{1,3}k|s[*@#$]{1,2}t|b[*@#$]{1,3}h|a[*@#$]{2}(?:hole)?)"),
+    "shut up": re.compile(r"\b(?:shut up|go to hell|drop dead|kill yourself|halt die fresse|ta gueule|cállate)\b"),
+}
 _WORD = re.compile(r"\w+")
 
 
@@ -49,166 +71,232 @@ def features(text: str | None) -> set[str]:
 
 
 def _training_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, clean, toxic): texts with each feature by class, summed up over a task as far as memory goes."""
     C.serving("toxicity")
+    counts: dict[str, list[int]] = {}
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())], names=["feature", "clean", "toxic"])
+
     for batch in batches:
-        toxic = batch.column("toxic").to_pylist()
-        counts: dict[str, list[int]] = {}
-        for t, text in zip(toxic, batch.column("text").to_pylist(), strict=True):
+        for t, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
             for f in features(text):
                 counts.setdefault(f, [0, 0])[1 if t else 0] += 1
-        if counts:
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())], names=["feature", "clean", "toxic"])
+            if len(counts) > COUNTED:
+                yield out()
+                counts.clear()
+    if counts:
+        yield out()
 
 
-class Scorer:
-    """Weights of features, looked up word by word; the words seen are remembered with what they bring."""
+class Voters:
+    """The voters by number: families of words first, then lexicons (a word, two words or more, no word at all), then patterns."""
 
     MOST_WORDS = 300_000
 
-    def __init__(self, names: list[str]):
-        C.serving("toxicity")
-        self.place = {n: i for i, n in enumerate(names)}
-        self.seen: dict[str, tuple[int, ...]] = {}
-
-    def _of(self, w: str) -> tuple[int, ...]:
-        if len(self.seen) > self.MOST_WORDS:
-            self.seen.clear()
-        place = self.place
+    def __init__(self, families: list[str]):
+        self.families = families
+        self.names = [*families, *(f"{n} {k}" for k in LEXICONS for n in ("one of", "two of")), "none of any", *PATTERNS]
+        self._place = {n: i for i, n in enumerate(families)}
+        self._lexicon: dict[str, list[int]] = {}
+        for at, words in enumerate(LEXICONS.values()):
+            for w in words:
+                self._lexicon.setdefault(w, []).append(at)
+        self._seen: dict[str, tuple[tuple[int, ...], list[int]]] = {}
+
+    def _of(self, w: str) -> tuple[tuple[int, ...], list[int]]:
+        """The families and the lexicons of a word; those of words seen are remembered."""
+        if len(self._seen) > self.MOST_WORDS:
+            self._seen.clear()
+        place = self._place
         found = [place["=" + w]] if "=" + w in place else []
         found += [place["^" + w[:k]] for k in STARTS if len(w) >= k and "^" + w[:k] in place]
-        self.seen[w] = out = tuple(found)
+        self._seen[w] = out = (tuple(found), self._lexicon.get(w, []))
         return out
 
-    def found(self, text: str | None) -> list[int]:
-        """The places of the features that a text has, in order."""
+    def votes(self, text: str | None) -> list[int]:
+        """The voters that say something of a text, in order."""
+        low = (text or "").lower()
         out: set[int] = set()
-        seen = self.seen
-        for w in set(_WORD.findall((text or "").lower())):
-            at = seen.get(w)
-            out.update(self._of(w) if at is None else at)
+        hits = [0] * len(LEXICONS)
+        seen = self._seen
+        for w in set(_WORD.findall(low)):
+            known = seen.get(w) or self._of(w)
+            if known[0]:
+                out.update(known[0])
+            for k in known[1]:
+                hits[k] += 1
+        base = len(self.families)
+        out.update(base + 2 * k + j for k, n in enumerate(hits) for j in (0, 1) if n > j)
+        base += 2 * len(hits)
+        if any(hits):
+            # the patterns need a word of abuse, but for the last two, which are few letters
+            out.update(base + 1 + i for i, p in enumerate(PATTERNS.values()) if p.search(low))
+        else:
+            out.add(base)
+            out.update(base + 1 + i for i, (k, p) in enumerate(PATTERNS.items()) if k in ("masked", "shut up") and p.search(low))
         return sorted(out)
 
 
-def _found(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
-    scorer = Scorer(names)
+def _found(batches: Iterator[pa.RecordBatch], families: list[str]) -> Iterator[pa.RecordBatch]:
+    C.serving("toxicity")
+    voters = Voters(families)
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([scorer.found(t) for t in batch.column("text").to_pylist()], pa.list_(pa.int32()))], names=["toxic", "found"])
+        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([voters.votes(t) for t in batch.column("text").to_pylist()], pa.list_(pa.int32()))], names=["toxic", "found"])
 
 
 # --- label model -----------------------------------------------------------------------------
 
 
-def patterns(present: np.ndarray, side: np.ndarray) -> np.ndarray:
-    """Votes of the pattern voters, 1, -1 or 0: how many features of either side there are, alone and against each other."""
-    up, down = present[:, side > 0].sum(1), present[:, side < 0].sum(1)
-    return np.stack([np.where(up >= 2, 1, 0), np.where(up >= 4, 1, 0), np.where(up == 0, -1, 0), np.where((up == 0) & (down > 0), -1, 0), np.where(up > down, 1, np.where(down > up, -1, 0))], 1)
+class Votes:
+    """Which voters speak in which row, by row and voter of each vote."""
 
+    def __init__(self, found: list[list[int]], n_voters: int):
+        self.shape = len(found), n_voters
+        self.row = np.repeat(np.arange(len(found)), [len(f) for f in found])
+        self.voter = np.array([v for f in found for v in f], np.int64)
+
+    def by_row(self, weight: np.ndarray) -> np.ndarray:
+        """For each row the sum of its voters' weights."""
+        return np.bincount(self.row, weight[self.voter], self.shape[0])
+
+    def by_voter(self, weight: np.ndarray) -> np.ndarray:
+        """For each voter the sum of its rows' weights."""
+        return np.bincount(self.voter, weight[self.row], self.shape[1])
+
+    def together(self) -> np.ndarray:
+        """In how many rows each pair of voters speaks, 2000 rows at a time."""
+        out = np.zeros((self.shape[1],) * 2, np.float32)
+        for at in range(0, self.shape[0], 2000):
+            some = slice(*np.searchsorted(self.row, [at, at + 2000]))
+            x = np.zeros((min(2000, self.shape[0] - at), self.shape[1]), np.float32)
+            x[self.row[some] - at, self.voter[some]] = 1
+            out += x.T @ x
+        return out
 
-def posteriors(votes: np.ndarray, labels: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of votes (rows x voters; 1, -1, 0) and training labels: (posterior of toxic, accuracies, voter weights).
 
-    The label is a voter too, of the fixed accuracy LABEL_ACCURACY, and where the rounds start.
-    Given the class, a voter votes for it, against it or abstains with a rate of its own. Correlation of two voters is
-    that of their votes after the class means are taken away; a voter's weight is one over the sum of its squared
-    correlations, so that a group that always votes together counts about once.
+def _logistic(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def posteriors(votes: Votes, labels: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[float, float]]:
+    """(posterior of toxic, the share of each voter's votes that go to toxic rows, voter weights, accuracy of the labels
+    by class) from the votes and the given labels (0 or 1).
+
+    The label is a voter with an error rate of its own in either class; the rounds start from what LABEL_PRIOR makes of
+    the labels alone. Given the class, a voter speaks with a rate of its own. The correlation of two voters is that of
+    their votes after the class means are taken away; a voter's weight is one over the sum of its squared correlations,
+    so that a group that always speaks together counts about once.
     """
-    p = np.where(labels > 0, LABEL_ACCURACY, 1 - LABEL_ACCURACY)
-    label = np.log(p / (1 - p))
-    kinds = [(votes == k).astype(np.float32) for k in (-1, 0, 1)]
+    n = votes.shape[0]
+    together = votes.together()
+    spoken = np.maximum(np.diag(together).astype(np.float64), 1e-9)
+    right = (LABEL_PRIOR, LABEL_PRIOR)  # of clean, of toxic
+    p = np.where(labels > 0, LABEL_PRIOR, 1 - LABEL_PRIOR)
     weight = np.ones(votes.shape[1])
-    accuracy = weight
     for _ in range(rounds):
         mass = np.array([(1 - p).sum(), p.sum()]) + 1e-9
-        classes = np.stack([1 - p, p]).astype(np.float32)  # in the votes' own type, which are copied otherwise
-        rates = np.stack([(classes @ k).astype(np.float64) + 0.5 for k in kinds])  # kind, class, voter
-        rates /= rates.sum(0)
-        agree = (classes[0] @ kinds[0] + classes[1] @ kinds[2]).astype(np.float64)
-        cast = (kinds[0] + kinds[2]).sum(0)
-        accuracy = (agree + 1) / (cast + 2)
-        means = rates[2] - rates[0]
-        rest = votes - classes.T @ means.astype(np.float32)
-        rest /= np.sqrt((rest**2).mean(0)) + np.float32(1e-9)
-        weight = 1 / np.maximum(((rest.T @ rest / len(rest)) ** 2).sum(0), 1)
-        ratio = np.log(rates[:, 1]) - np.log(rates[:, 0])
-        logit = label + np.log(mass[1] / mass[0]) + sum(k @ (ratio[i] * weight).astype(np.float32) for i, k in enumerate(kinds)).astype(np.float64)
-        new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        if np.abs(new - p).max() < 1e-4:
-            return new, accuracy, weight
+        sums = np.stack([votes.by_voter(1 - p), votes.by_voter(p)])
+        rates = (sums + 0.5) / (mass[:, None] + 1)
+        hit = np.array([((1 - p) * (labels == 0)).sum(), (p * (labels > 0)).sum()])
+        right = tuple(((hit + LABEL_PRIOR * LABEL_ROWS) / (mass + LABEL_ROWS)).tolist())
+        # X'X less the class means: E = X - PR, E'E = X'X - S'R - R'S + R'(P'P)R
+        both = np.array([[((1 - p) ** 2).sum(), ((1 - p) * p).sum()], [((1 - p) * p).sum(), (p**2).sum()]])
+        cross = sums.T @ rates
+        cov = (together - cross - cross.T + rates.T @ both @ rates) / n
+        sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
+        weight = 1 / np.maximum(((cov / sd / sd[:, None]) ** 2).sum(0), 1)
+        said, silent = np.log(rates[1] / rates[0]), np.log((1 - rates[1]) / (1 - rates[0]))
+        by_label = np.where(labels > 0, np.log(right[1] / (1 - right[0])), np.log((1 - right[1]) / right[0]))
+        new = _logistic(np.log(mass[1] / mass[0]) + by_label + (weight * silent).sum() + votes.by_row(weight * (said - silent)))
+        done = np.abs(new - p).max() < 1e-4
         p = new
-    return p, accuracy, weight
-
-
-def logistic(x: np.ndarray, y: np.ndarray, steps: int = STEPS, ridge: float = RIDGE) -> np.ndarray:
-    """Weights, the last for the bias, of a logistic regression of y (0 to 1) on x, by accelerated gradient steps."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float32)
-    w = before = np.zeros(x.shape[1], np.float64)
-    scale = np.linalg.norm(x.T @ x / len(x), 2) / 4 + ridge
-    penalty = np.full(x.shape[1], ridge)
-    penalty[-1] = 0
+        if done:
+            break
+    return p, votes.by_voter(p) / spoken, weight, right
+
+
+def logistic(votes: Votes, y: np.ndarray, steps: int = STEPS, ridge: float = RIDGE) -> np.ndarray:
+    """Weights, the last for the bias, of a logistic regression of y (0 to 1) on the votes, by accelerated gradient steps."""
+    n, k = votes.shape
+    at = np.ones(k + 1)
+    norm = 1.0
+    for _ in range(30):  # the largest eigenvalue of X'X / n
+        z = votes.by_row(at[:-1]) + at[-1]
+        at = np.append(votes.by_voter(z), z.sum()) / n
+        norm = max(float(np.linalg.norm(at)), 1e-9)
+        at /= norm
+    scale = norm * 1.05 / 4 + ridge
+    w = before = np.zeros(k + 1)
+    penalty = np.append(np.full(k, ridge), 0.0)
     for i in range(steps):
         at = w + (i / (i + 3)) * (w - before)
-        miss = 1 / (1 + np.exp(-np.clip(x @ at.astype(np.float32), -30, 30))) - y
-        grad = (miss.astype(np.float32) @ x).astype(np.float64) / len(x) + penalty * at
+        miss = _logistic(votes.by_row(at[:-1]) + at[-1]) - y
+        grad = np.append(votes.by_voter(miss), miss.sum()) / n + penalty * at
         before, w = w, at - grad / scale
     return w
 
 
 class Model:
-    """Names and weights of the features, the bias, and what the label model found of its voters."""
+    """The families that vote, the weights of all voters, the bias, and what the label model found."""
+
+    def __init__(self, families: list[str], weights: np.ndarray, bias: float, accuracy: np.ndarray, voter_weight: np.ndarray, label_accuracy: tuple[float, float]):
+        self.families, self.weights, self.bias = families, weights, bias
+        self.accuracy, self.voter_weight, self.label_accuracy = accuracy, voter_weight, label_accuracy
 
-    def __init__(self, names: list[str], weights: np.ndarray, bias: float, accuracy: np.ndarray, voter_weight: np.ndarray):
-        self.names, self.weights, self.bias = names, weights, bias
-        self.accuracy, self.voter_weight = accuracy, voter_weight
+
+def leaning(rows: DataFrame, n_clean: int, n_toxic: int) -> DataFrame:
+    """(feature) of the families of words that lean to either class; see Z and LEAN."""
+    counts = rows.mapInArrow(_training_features, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (n_clean + 1.0))
+    error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
+    some = C.checkpointed(counts.select("feature", F.signum(odds).alias("side"), (F.abs(odds) - Z * error).alias("bound")).where(F.col("bound") > LEAN))
+    # the starts of a family's words, and the start itself of a single word
+    starts = F.transform(F.sequence(F.lit(min(STARTS)), F.lit(max(STARTS))), lambda k: F.when((k < F.length("feature") - 1) | ((k == F.length("feature") - 1) & F.col("feature").startswith("=")), F.concat(F.lit("^"), F.expr("substring(feature, 2)").substr(F.lit(1), k))))
+    inner = some.select("feature", "side", "bound", F.explode(F.filter(starts, lambda x: x.isNotNull())).alias("outer"))
+    outer = some.select(F.col("feature").alias("outer"), F.col("side").alias("outer_side"), F.col("bound").alias("outer_bound"))
+    covered = inner.join(outer, "outer").where("side = outer_side and outer_bound >= bound").select("feature").distinct()
+    return some.select("feature").join(covered, "feature", "left_anti")
 
 
 def fit(rows: DataFrame) -> Model:
     """Fit to labelled rows (id, text, toxic). Without rows of both kinds every score is the rate of toxic rows."""
-    counts = C.checkpointed(rows.mapInArrow(_training_features, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(F.col("clean") + F.col("toxic") >= LEAST_TEXTS))
     n_clean, n_toxic = (rows.where(F.col("toxic") == k).count() for k in (0, 1))
     prior = (n_toxic + 0.5) / (n_clean + n_toxic + 1)
     if not n_clean or not n_toxic:
-        return Model([], np.zeros(0), float(np.log(prior / (1 - prior))), np.zeros(0), np.zeros(0))
-    lean = F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (n_clean + 1.0))
-    leaning = counts.withColumn("lean", lean)
-    share = (F.col("toxic") / n_toxic - F.col("clean") / n_clean) * F.least(F.abs("lean"), F.lit(6.0))
-    up = leaning.where(F.col("lean") > TOXIC_LEAN).orderBy(F.desc(share), "feature").limit(VOTERS * 3 // 4).select("feature", "lean").collect()
-    down = leaning.where(F.col("lean") < CLEAN_LEAN).orderBy(share, "feature").limit(VOTERS // 4).select("feature", "lean").collect()
-    names = [r[0] for r in [*up, *down]]
-    side = np.array([1.0] * len(up) + [-1.0] * len(down))
-    if not names:
-        return Model([], np.zeros(0), float(np.log(prior / (1 - prior))), np.zeros(0), np.zeros(0))
+        nothing = np.zeros(len(Voters([]).names))
+        return Model([], nothing, float(np.log(prior / (1 - prior))), nothing, nothing, (1.0, 1.0))
+    families = sorted(r[0] for r in leaning(rows, n_clean, n_toxic).collect())
     chosen = C.checkpointed(rows.select("id").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).distinct())
-    sample = C.join_ids(rows, chosen, "id").dropDuplicates(["id"]).mapInArrow(lambda it: _found(it, names), "toxic int, found array<int>").collect()
-    present = np.zeros((len(sample), len(names)), np.float32)
-    for i, (_, found) in enumerate(sample):
-        present[i, found] = 1
-    toxic = np.array([r[0] for r in sample], float)
-    votes = np.hstack([present * side, patterns(present, side)]).astype(np.int8)
-    posterior, accuracy, weight = posteriors(votes, toxic)
-    w = logistic(present, posterior)
-    return Model(names, w[:-1], float(w[-1]), accuracy, weight)
+    sample = C.join_ids(rows, chosen, "id").dropDuplicates(["id"]).mapInArrow(lambda it: _found(it, families), "toxic int, found array<int>").collect()
+    votes = Votes([r[1] for r in sample], len(Voters(families).names))
+    posterior, accuracy, weight, right = posteriors(votes, np.array([r[0] for r in sample]))
+    w = logistic(votes, posterior)
+    return Model(families, w[:-1], float(w[-1]), accuracy, weight, right)
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+    C.serving("toxicity")
     m = model.value
-    scorer = Scorer(m.names)
+    voters = Voters(m.families)
     for batch in batches:
-        z = [m.bias + float(m.weights[scorer.found(t)].sum()) for t in batch.column("text").to_pylist()]
-        s = 1 / (1 + np.exp(-np.clip(np.array(z), -30, 30)))
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in batch.schema.names if c != "text"] + [pa.array(s, pa.float64())], names=[c for c in batch.schema.names if c != "text"] + ["score"])
+        z = [m.bias + float(m.weights[voters.votes(t)].sum()) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(_logistic(np.array(z)), pa.float64())], names=["id", "score"])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, score, predicted) of every row, learnt from the labels (doc_id, toxic) of rows not held out.
 
-    A row is held out if crc32 of its id as text, modulo 3, is 1. Nothing but its text goes into a score; null and empty
-    texts get the score of a text without features. Labels that are null, or of unknown ids, are left out. Repeated rows
-    each have a row. An empty table gives an empty result.
+    A row is held out if crc32 of its id as text, modulo 3, is 1; with a null id it is not held out (null), and learnt from
+    never. Nothing but its text goes into a score; null and empty texts get the score of a text in which only the voter for
+    "no word of abuse" speaks. Labels that are null or of unknown ids are left out; of labels of an id that contradict each
+    other the toxic one counts. Repeated rows each have a row. Without labels of both kinds all scores are equal. An empty
+    table gives an empty result. Other columns of either table aren't read, whatever their names.
     """
     C.arrow_rows(docs.sparkSession)
     docs = C.inputs(docs, id=id_col, text=text_col)
     known = labels.select(labels["doc_id"].cast("long").alias("id"), labels["toxic"].cast("int").alias("toxic")).where("toxic is not null and id is not null").where(C.crc32_mod3(F.col("id")) != 1).groupBy("id").agg(F.max("toxic").alias("toxic"))
-    rows = C.stored(C.join_ids(docs, C.checkpointed(known), "id").select("id", "text", "toxic"))
+    rows = C.stored(C.join_ids(docs, C.checkpointed(known), "id").select("id", "text", "toxic").repartition("id"))
     model = docs.sparkSession.sparkContext.broadcast(fit(rows))
     C.dropped(rows)
     scored = docs.mapInArrow(lambda it: _scored(it, model), "id long, score double")

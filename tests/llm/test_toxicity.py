@@ -45,15 +45,52 @@ def test_without_labels_and_rows(spark):
     assert X.toxicity(docs.limit(0), none).collect() == []
 
 
-def test_label_model_finds_accuracies_and_weighs_copies_down():
-    r = np.random.default_rng(0)
-    y = r.random(4000) < 0.3
-    acc = np.array([0.9, 0.75, 0.65, 0.8])
-    votes = np.where(r.random((4000, 4)) < acc, np.where(y, 1, -1)[:, None], np.where(y, -1, 1)[:, None])
-    votes[r.random((4000, 4)) < 0.3] = 0
-    votes = np.hstack([votes, votes[:, :1], votes[:, :1]]).astype(np.int8)
-    noisy = np.where(r.random(4000) < 0.02, ~y, y)
-    p, accuracy, weight = X.posteriors(votes, noisy.astype(float))
-    assert np.abs(accuracy[:4] - acc).max() < 0.04
+def simulated(seed=0, n=4000, wrong=0.15):
+    """Truth, labels with a part turned over, and votes: some voters for each class, one of them three times."""
+    r = np.random.default_rng(seed)
+    y = r.random(n) < 0.3
+    speak = {0: (0.6, 0.03), 1: (0.45, 0.05), 2: (0.3, 0.1), 3: (0.05, 0.5), 4: (0.5, 0.06), 5: (0.2, 0.2)}  # in toxic, in clean rows
+    cols = [r.random(n) < np.where(y, a, b) for a, b in speak.values()]
+    cols += [cols[0], cols[0]]
+    votes = X.Votes([np.flatnonzero(row).tolist() for row in np.stack(cols, 1)], len(cols))
+    return y, np.where(r.random(n) < wrong, ~y, y), votes
+
+
+def test_label_model_beats_noisy_labels():
+    y, noisy, votes = simulated()
+    p, accuracy, weight, right = X.posteriors(votes, noisy.astype(int))
+    raw = (noisy == y).mean()
+    assert raw < 0.87 and ((p > 0.5) == y).mean() > raw + 0.05
+    # the accuracy of the labels is found too, far from where the rounds start
+    assert abs(right[0] - 0.85) < 0.04 and abs(right[1] - 0.85) < 0.05
+    assert abs(accuracy[0] - y[votes.row[votes.voter == 0]].mean()) < 0.08
     assert weight[0] < 0.5 < weight[1]
-    assert ((p > 0.5) == y).mean() > 0.97
+
+
+def test_classifier_on_posteriors_beats_one_on_noisy_labels():
+    y, noisy, votes = simulated(wrong=0.35)
+    test_y, _, test_votes = simulated(seed=9)
+    p = X.posteriors(votes, noisy.astype(int))[0]
+
+    def loss(target):
+        w = X.logistic(votes, target)
+        z = np.clip(1 / (1 + np.exp(-(test_votes.by_row(w[:-1]) + w[-1]))), 1e-6, 1 - 1e-6)
+        return -np.mean(np.where(test_y, np.log(z), np.log(1 - z)))
+
+    assert loss(p) < loss(noisy.astype(float))
+
+
+def test_voters():
+    v = X.Voters(["=bad", "^zor"])
+    name = lambda t: [v.names[i] for i in v.votes(t)]
+    assert name("BAD zorro, bade") == ["=bad", "^zor", "none of any"]
+    assert name("You are such a stupid idiot!") == ["one of en", "two of en", "one of de", "one of fr", "you are", "such"]
+    assert name(None) == name("") == ["none of any"]
+    assert name("shut up") == ["none of any", "shut up"]
+
+
+def test_families_inside_others_are_left_out(spark):
+    texts = [("zorga bla", 1), ("zorgb blu", 1), ("zorgc", 1), ("zorgc zorgd", 1)] * 5 + [("bla", 0), ("blu blo", 0)] * 40
+    rows = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(texts)], "id long, text string, toxic int")
+    got = {r[0] for r in X.leaning(rows, 80, 20).collect()}
+    assert "^zor" in got and not any(f.startswith(("^zorg", "=zorg")) for f in got)
