@@ -34,5 +34,31 @@ def test_counts_and_hosts(spark):
         assert r["kept"] == (not r["base_failed"] and source[r["id"]] != "bad")
 
 
+def hosts(spark, rates, size=200):
+    """A table of hosts, each with a part of documents that fail by a rule."""
+    good = " ".join(f"w{i}" for i in range(80))
+    bad = {"base": "too short", "symbols": good + " #" * 20, "lines": good + "\nq" * 6}
+    rows = [(len(rates) * i + h, bad[rule] if i < rate * size else f"{good} {h} {i}", f"host{h}") for h, (rule, rate) in enumerate(rates) for i in range(size)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string")
+
+
+def test_a_host_that_stands_out_goes_and_those_like_others_stay(spark):
+    def kept(rates):
+        df = hosts(spark, rates)
+        rows = Q.quality(df).join(df.withColumnRenamed("doc_id", "id"), "id").collect()
+        return {r["source"]: r["host_failed_by"] for r in rows}, rows
+
+    by, rows = kept([("base", 0.05 + 0.01 * (i % 5)) for i in range(30)] + [("base", 0.6), ("symbols", 0.7), ("lines", 0.55)])
+    assert {h: b for h, b in by.items() if b} == {"host30": "base", "host31": "symbols", "host32": "lines"}
+    assert all(r["kept"] == (not r["base_failed"] and not r["host_failed_by"]) for r in rows)
+    # a third of each host's documents fail: no host stands out, and none goes
+    assert not any(kept([("base", 0.35)] * 20)[0].values())
+
+
+def test_a_small_host_is_shrunk_to_the_mean(spark):
+    df = hosts(spark, [("base", 0.1)] * 20).union(hosts(spark, [("base", 1.0)], 2).selectExpr("doc_id + 90000", "text", "'tiny'"))
+    assert not any(r["host_failed_by"] for r in Q.quality(df).collect())
+
+
 def test_empty_table(spark):
     assert Q.quality(spark.createDataFrame([], "doc_id long, text string, source string")).collect() == []
