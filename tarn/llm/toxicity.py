@@ -2,8 +2,8 @@
 
 Method. Voters are lexicons and patterns. Some are written down: insults by language, counted, and patterns such as an
 insult after "you are". The others are families of words, all words with a common start (or one word), that lean to toxic
-or clean texts by a confidence bound on their log odds over all labelled training rows; a family inside another that leans
-as much is left out. A voter says its side where it occurs and abstains elsewhere. The given label is one more voter.
+or clean texts over all labelled training rows, and further than chance would make any of so many families lean; a family
+inside another that leans as much is left out. A voter says its side where it occurs and abstains elsewhere. The given label is one more voter.
 A latent-class model of the votes is fitted by expectation maximisation: how often each voter speaks in either class,
 how accurate the label itself is, and how far pairs of voters agree beyond what the classes explain; voters that agree so
 are weighed down. A logistic regression on the votes learns the posterior labels of a bounded sample of training rows and
@@ -15,6 +15,7 @@ many families there are is decided by the bound.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -29,8 +30,9 @@ from tarn.llm import common as C
 STARTS = range(3, 9)
 #: Training rows that label model and classifier are fitted to.
 SAMPLE = 20_000
-#: A family of words votes if its log odds between the classes, less Z standard errors, exceed LEAN.
-Z, LEAN = 2.0, 0.7
+#: A family of words votes if its log odds between the classes exceed LEAN and are so far from chance that, of all families
+#: there are, FALSE at most would be as far if none told anything (by the Chernoff bound of its texts' classes).
+LEAN, FALSE = 0.7, 10.0
 #: Score from which a text counts as toxic.
 TOXIC = 0.7
 #: Rounds of the label model, steps and ridge of the classifier.
@@ -200,12 +202,13 @@ def posteriors(votes: Votes, labels: np.ndarray, rounds: int = ROUNDS) -> tuple[
         rates = (sums + 0.5) / (mass[:, None] + 1)
         hit = np.array([((1 - p) * (labels == 0)).sum(), (p * (labels > 0)).sum()])
         right = tuple(((hit + LABEL_PRIOR * LABEL_ROWS) / (mass + LABEL_ROWS)).tolist())
-        # X'X less the class means: E = X - PR, E'E = X'X - S'R - R'S + R'(P'P)R
+        # X'X less the class means: E = X - PR, E'E = X'X - S'R - R'S + R'(P'P)R, some columns at a time
         both = np.array([[((1 - p) ** 2).sum(), ((1 - p) * p).sum()], [((1 - p) * p).sum(), (p**2).sum()]])
-        cross = sums.T @ rates
-        cov = (together - cross - cross.T + rates.T @ both @ rates) / n
-        sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-        weight = 1 / np.maximum(((cov / sd / sd[:, None]) ** 2).sum(0), 1)
+        sd = np.sqrt(np.maximum(spoken - 2 * (sums * rates).sum(0) + ((both @ rates) * rates).sum(0), 1e-9 * n))
+        for k in range(0, len(weight), 500):
+            some = slice(k, k + 500)
+            rest = together[:, some] - sums.T @ rates[:, some] - rates.T @ (sums[:, some] - both @ rates[:, some])
+            weight[some] = 1 / np.maximum(((rest / sd[:, None] / sd[some]) ** 2).sum(0), 1)
         said, silent = np.log(rates[1] / rates[0]), np.log((1 - rates[1]) / (1 - rates[0]))
         by_label = np.where(labels > 0, np.log(right[1] / (1 - right[0])), np.log((1 - right[1]) / right[0]))
         new = _logistic(np.log(mass[1] / mass[0]) + by_label + (weight * silent).sum() + votes.by_row(weight * (said - silent)))
@@ -246,16 +249,21 @@ class Model:
 
 
 def leaning(rows: DataFrame, n_clean: int, n_toxic: int) -> DataFrame:
-    """(feature) of the families of words that lean to either class; see Z and LEAN."""
+    """(feature) of the families of words that lean to either class; see LEAN and FALSE."""
     counts = rows.mapInArrow(_training_features, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = C.stored(counts.where(F.col("clean") + F.col("toxic") > 1))
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (n_clean + 1.0))
-    error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    some = C.checkpointed(counts.select("feature", F.signum(odds).alias("side"), (F.abs(odds) - Z * error).alias("bound")).where(F.col("bound") > LEAN))
+    both, rate = F.col("clean") + F.col("toxic"), n_toxic / (n_clean + n_toxic)
+    part = lambda n, r: F.when(n > 0, n * F.log(n / (both * r))).otherwise(0.0)
+    bound = part(F.col("toxic"), rate) + part(F.col("clean"), 1 - rate)
+    least = math.log(max(counts.count(), 1) / FALSE)
+    some = C.checkpointed(counts.select("feature", F.signum(odds).alias("side"), F.abs(odds).alias("lean"), bound.alias("bound")).where((F.col("bound") > least) & (F.col("lean") > LEAN)))
+    C.dropped(counts)
     # the starts of a family's words, and the start itself of a single word
     starts = F.transform(F.sequence(F.lit(min(STARTS)), F.lit(max(STARTS))), lambda k: F.when((k < F.length("feature") - 1) | ((k == F.length("feature") - 1) & F.col("feature").startswith("=")), F.concat(F.lit("^"), F.expr("substring(feature, 2)").substr(F.lit(1), k))))
-    inner = some.select("feature", "side", "bound", F.explode(F.filter(starts, lambda x: x.isNotNull())).alias("outer"))
-    outer = some.select(F.col("feature").alias("outer"), F.col("side").alias("outer_side"), F.col("bound").alias("outer_bound"))
-    covered = inner.join(outer, "outer").where("side = outer_side and outer_bound >= bound").select("feature").distinct()
+    inner = some.select("feature", "side", "lean", F.explode(F.filter(starts, lambda x: x.isNotNull())).alias("outer"))
+    outer = some.select(F.col("feature").alias("outer"), F.col("side").alias("outer_side"), F.col("lean").alias("outer_lean"))
+    covered = inner.join(outer, "outer").where("side = outer_side and outer_lean >= 0.9 * lean").select("feature").distinct()
     return some.select("feature").join(covered, "feature", "left_anti")
 
 
