@@ -12,7 +12,8 @@ def test_blocks_and_what_is_dropped():
     <div id="comments"><p>reader</p></div><aside>side</aside><div class="cookie-notice">notice</div><p>L<i>a</i>st</main>
     <footer>&copy;</footer></body></html>"""
     assert text(html) == "Title & more\nOne bold two <3>\nThree four\nLast"
-    assert P.Page(html).main()[0] == P.Page(html).paths.index("page>html>body>main.post-0")
+    page = P.Page(html)
+    assert page.path(page.main()[0]) == "page>html>body>main.post-0"
 
 
 def test_odd_pages():
@@ -27,9 +28,9 @@ def test_odd_pages():
 
 
 def test_names():
-    for name in ("has-sidebar", "content-with-sidebar", "formal", "navy", "advice", "reader"):
+    for name in ("has-sidebar", "content-with-sidebar", "formal", "navy", "advice", "reader", "search-results", "widget-body", "notice-of-motion", "header-of-the-day"):
         assert text(f"<div class='{name}'><p>x</p></div>") == "x", name
-    for name in ("sidebar", "left-sidebar", "site-header wide", "ad", "ad-slot", "comments2", "cookie_notice", "big promo"):
+    for name in ("sidebar", "left-sidebar", "site-header wide", "ad", "ad-slot", "comments2", "cookie_notice", "big promo", "newsletter-signup", "cookie-consent-banner", "related-posts", "search-form"):
         assert text(f"<div class='{name}'><p>x</p></div>") == "", name
     assert text("<body class='sidebar'><article id=comments><p>x</p></article>") == "x"
 
@@ -69,3 +70,77 @@ def test_hosts_keep_what_differs_and_lose_what_repeats(spark):
         assert got[i] == want(i)
     for i, of in [(10, 10), (11, 11), *((c[0], 0) for c in copies)]:
         assert got[i] == "About this site.\n" + want(of)
+
+
+PROSE = "A sentence that is long enough to be told from a label, as it has a verb and an end."
+
+
+def test_zones_are_judged_by_what_they_hold():
+    whole = f"<form id=aspnetForm><input type=hidden><div class=menu>menu</div><div class=page><h1>Title</h1><p>{PROSE}</p><div class=search>Find</div></div></form>"
+    assert text(f"<body><nav>menu</nav>{whole}<footer>end</footer></body>") == f"Title\n{PROSE}"
+    assert text(f"<div class=header><form><div class=widget><p>{PROSE}</p></div><p>label</p></form><p>top</p></div>").splitlines()[-1] != ""
+    # beside an article they go, however much they hold
+    for zone in ("form", "header", "div class=widget", "div id=notice", "div class=comments"):
+        assert text(f"<article><p>{PROSE}</p></article><{zone}><p>{PROSE * 20}</p></{zone.split()[0]}>") == PROSE
+    # reader comments are no page
+    assert text(f"<div class=comments><p>{PROSE}</p></div>") == ""
+
+
+def test_an_article_keeps_its_own_header():
+    assert text(f"<header><h1>Site</h1></header><article><header><h1>Title</h1><p>by me</p><p>{PROSE}</p></header><p>Body. {PROSE}</p></article>") == f"Title\n{PROSE}\nBody. {PROSE}"
+    assert text(f"<article><p>{PROSE}</p></article><header><h1>Site</h1></header>") == PROSE
+
+
+def test_quotes_that_are_never_closed():
+    assert text('<p class="x>hello</p>') == "hello"
+    assert text("<div id='a><p>one</p><p>two</p></div>") == "one\ntwo"
+    assert text('<p title="a>b">c</p><p title=\'"\'>d') == "c\nd"
+
+
+def test_deep_and_long_pages_take_memory_in_proportion():
+    import time
+    import tracemalloc
+
+    deep = '<div class="a">' * 100_000 + "deep"
+    for html, want in ((deep, "deep"), ("<p>x" * 100_000, "\n".join("x" * 100_000)), ("<form>" * 50_000 + PROSE, PROSE), ('<p "' * 20_000, "")):
+        began = time.time()
+        tracemalloc.start()
+        assert text(html) == want
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 100e6 and time.time() - began < 60
+
+
+def tree(r, depth=0):
+    """(html, the lines that should stay) of a random page part without plain text between elements."""
+    out, want = [], []
+    for _ in range(r.randint(1, 4)):
+        kind = r.randrange(7) if depth < 4 else r.randrange(3)
+        word = f"w{r.randrange(10**6)} &lt;{r.randrange(9)}&gt; é. " * 9
+        plain = word.replace("&lt;", "<").replace("&gt;", ">").strip()
+        if kind < 2:
+            tag = r.choice(["p", "h2", "li", "blockquote", "pre", "td"])
+            out.append(f"<{tag}>{word}</{tag}>")
+            want.append(plain)
+        elif kind == 2:
+            out.append(r.choice([f"<nav>{word}</nav>", f"<script>{word}</script>", f"<!-- {word} -->", f"<div class='ad'>{word}</div>", f"<aside><p>{word}</p></aside>", f"<form>{word}</form>"]))
+        else:
+            tag = r.choice(["div", "section", "div class=story", "table", "ul"])
+            inner = tree(r, depth + 1)
+            out.append(f"<{tag}>{inner[0]}</{tag.split()[0]}>")
+            want += inner[1]
+    return "".join(out), want
+
+
+def test_random_pages_against_brute_force(spark):
+    import random
+
+    r = random.Random(5)
+    rows, want = [], {}
+    for i in range(300):
+        html, lines = tree(r)
+        first = f"Body {i}. {PROSE}"
+        want[i] = "\n".join([first, *lines])
+        rows.append((i, f"http://h{i % 7}.com/{i}", f"<html><body><header>site</header><article><p>{first}</p>{html}</article><footer>f</footer></body></html>"))
+    got = {x["page_id"]: x["text"] for x in P.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert got == want
