@@ -3,12 +3,15 @@
 Method. A log-structured index of fingerprints. Each window of 50 words is represented by the least hash of its 8-word
 grams (the rightmost of equal ones), so equal windows always have the same representative, and neighbouring windows
 mostly share it: the windows of one representative form a span, and only spans are indexed. A batch's spans become one
-immutable run, sorted by representative. The batch is merge-joined with all runs: a span found word for word in an
-earlier document goes whole; where one representative has several different spans, their single windows are hashed
-again from the texts and compared (verification). Runs are compacted once there are more than `fan`.
+immutable run, bucketed and sorted by representative. The batch's run is merge-joined with all runs, bucket by bucket, so
+that only rows of the index whose representative the batch has are moved. A span whose fingerprint an earlier document has
+goes whole, once a digest of its words equals that of the earlier document's words (verification, of the two texts); where
+one representative has several different spans, digests of the words of their single windows are compared. Runs are
+compacted once there are more than `fan`.
 
 Skew. A span counts once per run however many documents hold it, so a passage in a third of all rows is one row; of
-each distinct span only the first holder is looked at window by window.
+each distinct span only the first holder is looked at window by window. What is known of spans with many holders is
+broadcast to them: there are few of those, as the holders are counted.
 """
 
 from __future__ import annotations
@@ -19,17 +22,39 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm import common as C
 
 GRAM = 8
-#: Low bits of an order key that hold the position, for rightmost ties.
+#: Low bits of an order key that hold the position, for rightmost ties, and how many windows are ordered at once.
 _POSITION = np.uint64((1 << 24) - 1)
+STRETCH = 1 << 22
+#: Spans with at least so many holders in a batch have many; with more than a batch's spans by MOST_HOT, so that they are few.
+HOLDERS, MOST_HOT = 1000, 200_000
+#: Bytes of a digest of words.
+DIGEST = 16
 
 SPAN = "anchor long, span long, id long, s int, e int"
-RUN = "anchor long, span long, id long, last long, s int, e int"
+RUN = "anchor long, span long, id long, last long, n long, s int, e int"
+KNOWN = "anchor long, span long, id long, last long, n long, words binary, windows array<binary>"
+
+
+def least_places(g: np.ndarray, wide: int) -> np.ndarray:
+    """For every run of `wide` of the hashes g the place of the least, the rightmost of equal ones."""
+    out = np.empty(max(len(g) - wide + 1, 0), np.int64)
+    for a in range(0, len(out), STRETCH):
+        part = g[a : a + STRETCH + wide - 1]
+        low = (part & ~_POSITION) | (_POSITION - np.arange(len(part), dtype=np.uint64))
+        reach = 1
+        while reach * 2 <= wide:
+            low = np.minimum(low[: len(low) - reach], low[reach:])
+            reach *= 2
+        if reach < wide:
+            low = np.minimum(low[: len(low) - (wide - reach)], low[wide - reach :])
+        out[a : a + len(low)] = (_POSITION - (low & _POSITION)).astype(np.int64) + a
+    return out
 
 
 def window_spans(words: C.Words, window: int) -> tuple[np.ndarray, ...]:
@@ -44,14 +69,7 @@ def window_spans(words: C.Words, window: int) -> tuple[np.ndarray, ...]:
         return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
     at = np.arange(n - grams + 1)
     g = C.ranges_hash(C.mix(h), at, at + grams, 0)
-    low = (g & ~_POSITION) | (_POSITION - at.astype(np.uint64))
-    reach = 1
-    while reach * 2 <= wide:
-        low = np.minimum(low[: len(low) - reach], low[reach:])
-        reach *= 2
-    if reach < wide:
-        low = np.minimum(low[: len(low) - (wide - reach)], low[wide - reach :])
-    pos = (_POSITION - (low & _POSITION)).astype(np.int64)  # of the representative, for each window start
+    pos = least_places(g, wide)  # of the representative, for each window start
     text = np.searchsorted(words.bounds, np.arange(n - window + 1), "right") - 1
     inside = np.flatnonzero(np.arange(n - window + 1) + window <= words.bounds[text + 1])
     if not len(inside):
@@ -74,42 +92,42 @@ def _spans(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Record
                 yield pa.RecordBatch.from_arrays([C.as_long(anchor), C.as_long(span), pa.array(ids[at + t]), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], names=["anchor", "span", "id", "s", "e"])
 
 
-def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """For every span asked for, the hashes of its windows in order: (anchor, span, id, hashes)."""
+def digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=DIGEST).digest()
+
+
+def _known(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """For every span asked for, the digest of its words and, where its representative has several, of each window's."""
     for batch in batches:
-        asked = batch.column("asked")
-        for at, to, words in C.word_chunks(batch.column("text")):
-            values = C.mix(words.hashes(1))
-            for i in range(at, to):
-                list_ = asked[i].values
-                anchors, spans, ss, es = (list_.field(c).to_numpy(zero_copy_only=False) for c in ("anchor", "span", "s", "e"))
-                n = (es - ss + 1).astype(np.int64)
-                ends = np.cumsum(n)
-                starts = words.bounds[i - at] + np.repeat(ss.astype(np.int64), n) + np.arange(ends[-1]) - np.repeat(ends - n, n)
-                first, last = int(starts.min()), int(starts.max()) + window
-                w = C.ranges_hash(values[first:last], starts - first, starts - first + window, 1)
-                hashes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), C.as_long(w))
-                yield pa.RecordBatch.from_arrays([pa.array(anchors), pa.array(spans), pa.array(np.full(len(n), batch.column("id")[i].as_py())), hashes], names=["anchor", "span", "id", "hashes"])
+        texts = batch.column("text").cast(pa.binary())
+        for i in range(len(batch)):
+            words = (texts[i].as_py() or b"").split()
+            id_ = batch.column("id")[i].as_py()
+            rows = batch.column("asked")[i].as_py()
+            out = [[r[c] for r in rows] for c in ("anchor", "span")] + [[id_] * len(rows)] + [[r[c] for r in rows] for c in ("last", "n")]
+            whole = [digest(words[r["s"] : r["e"] + window]) for r in rows]
+            single = [[digest(words[j : j + window]) for j in range(r["s"], r["e"] + 1)] if r["several"] else None for r in rows]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out), pa.array(whole, pa.binary()), pa.array(single, pa.list_(pa.binary()))], names=["anchor", "span", "id", "last", "n", "words", "windows"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], window: int, with_text: bool) -> Iterator[pa.RecordBatch]:
-    """Take the words of the windows s..e out of every text."""
+    """Take the words of the windows s..e out of every text, if they are those of the digest that came with them."""
     for batch in batches:
         texts, cuts = batch.column("text").to_pylist(), batch.column("cuts")
         n, removed, sha, kept_texts = [], [], [], []
         for i, text in enumerate(texts):
             words = (text or "").encode().split()
             gone = 0
+            kept = words
             if cuts[i].is_valid:
-                list_ = cuts[i].values
                 edge = np.zeros(len(words) + 1, np.int64)
-                np.add.at(edge, list_.field("s").to_numpy(), 1)
-                np.add.at(edge, list_.field("e").to_numpy() + window, -1)
+                for c in cuts[i].as_py():
+                    if c["words"] is None or c["words"] == digest(words[c["s"] : c["e"] + window]):
+                        edge[c["s"]] += 1
+                        edge[c["e"] + window] -= 1
                 keep = np.cumsum(edge[:-1]) == 0
                 gone = len(words) - int(keep.sum())
                 kept = [words[j] for j in np.flatnonzero(keep)]
-            else:
-                kept = words
             whole = b" ".join(kept)
             n.append(len(words))
             removed.append(gone)
@@ -123,39 +141,61 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int, with_text: bool) -> Ite
         yield pa.RecordBatch.from_arrays(out, names=names)
 
 
+def _cut_out(rows: DataFrame, window: int, with_text: bool) -> DataFrame:
+    schema = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+    return rows.select("id", "text", "cuts").mapInArrow(lambda it: _cut(it, window, with_text), schema)
+
+
+#: Texts that keep all their words.
+_UNCUT = "cast(null as array<struct<s:int,e:int,words:binary>>) cuts"
+
+
 class FingerprintIndex:
-    """Immutable sorted runs of the spans of all documents so far, in a folder that all executors share."""
+    """Immutable runs of the spans of all documents so far: external tables in a folder that all executors share, bucketed
+    by representative into as many buckets as the session has shuffle partitions when the index is made."""
 
-    def __init__(self, spark: SparkSession, window: int = 50, fan: int = 3, path: str | None = None):
-        C.arrow_rows(spark)
+    def __init__(self, spark: SparkSession, window: int = 50, fan: int = 2):
         self.spark, self.window, self.fan = spark, window, fan
-        self.path = path or C.shared_folder(spark, f"spans-{uuid.uuid4().hex}")
+        self.name = f"spans_{uuid.uuid4().hex}"
+        self.path = C.shared_folder(spark, self.name)
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[str] = []
+        self.compacted = 0
         self._made = 0
 
-    def _read(self, path: str) -> DataFrame:
-        return self.spark.read.schema(RUN).parquet(path)
-
     def _write(self, rows: DataFrame) -> str:
-        path = f"{self.path}/run-{self._made:05d}"
+        """A run of rows (see RUN) that are not summed up by span yet; one file a bucket."""
+        name = f"{self.name}_{self._made:05d}"
         self._made += 1
         first = F.min(F.struct("id", "s", "e"))
-        rows = rows.groupBy("anchor", "span").agg(first.alias("f"), F.max("last").alias("last")).select("anchor", "span", "f.id", "last", "f.s", "f.e")
-        rows.sortWithinPartitions("anchor", "span").write.parquet(path)
-        return path
+        rows = rows.repartition(self.buckets, "anchor").groupBy("anchor", "span").agg(first.alias("f"), F.max("last").alias("last"), F.sum("n").alias("n"))
+        rows = rows.select("anchor", "span", "f.id", "last", "n", "f.s", "f.e")
+        rows.write.bucketBy(self.buckets, "anchor").sortBy("anchor").option("path", f"{self.path}/{name}").saveAsTable(name)
+        return name
+
+    def _plain(self, name: str) -> DataFrame:
+        """A run without its buckets, for unions: Spark 4.1 takes a union of bucketed tables for bucketed, but reads it as not."""
+        return self.spark.read.schema(RUN).parquet(f"{self.path}/{name}")
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        C.delete(self.spark, f"{self.path}/{name}")
 
     def compact(self) -> None:
         """Merge all runs into one; a span keeps its first holder."""
         if len(self.runs) > 1:
-            rows = self._read(self.runs[0])
-            for path in self.runs[1:]:
-                rows = rows.unionByName(self._read(path))
+            rows = self._plain(self.runs[0])
+            for name in self.runs[1:]:
+                rows = rows.unionByName(self._plain(name))
             old, self.runs = self.runs, [self._write(rows)]
-            for path in old:
-                C.delete(self.spark, path)
+            self.compacted += 1
+            for name in old:
+                self._drop(name)
 
     def delete(self) -> None:
         """Remove the runs; what add() returned does not need them."""
+        for name in self.runs:
+            self._drop(name)
         C.delete(self.spark, self.path)
         self.runs = []
 
@@ -167,59 +207,67 @@ class FingerprintIndex:
         """
         window = self.window
         spans = C.stored(batch.mapInArrow(lambda it: _spans(it, window), SPAN))
-        new = self._write(spans.withColumn("last", F.col("id")))
-        rows = self._read(new)
-        for path in self.runs:
-            rows = rows.unionByName(self._read(path))
-        self.runs.append(new)
-        rows = rows.repartition("anchor")
+        # one shuffle of partial sums: a span with many holders is a row a task
         first = F.min(F.struct("id", "s", "e"))
-        known = rows.groupBy("anchor", "span").agg(first.alias("f"), F.max("last").alias("last")).select("anchor", "span", "f.id", "last", "f.s", "f.e")
-        known = C.checkpointed(known.join(rows.groupBy("anchor").agg(F.min("span").alias("low"), F.max("span").alias("high")), "anchor").withColumn("several", F.col("low") != F.col("high")).where("several or id < last").drop("low", "high"))
-
-        asked = C.checkpointed(known.where("several").groupBy("id").agg(F.collect_list(F.struct("anchor", "span", "s", "e")).alias("asked")))
-        texts = C.join_ids(seen, asked.select("id"), "id", "left_semi").join(asked, "id")
-        windows = texts.mapInArrow(lambda it: _windows(it, window), "anchor long, span long, id long, hashes array<long>")
-        # all that follows needs the rows of an anchor together: one shuffle
-        single = windows.repartition("anchor").select("anchor", "span", "id", F.posexplode("hashes").alias("rel", "w"))
-        earliest = F.min("id").over(Window.partitionBy("anchor", "w"))
-        holes = C.checkpointed(single.withColumn("earliest", earliest).where("earliest < id").groupBy("anchor", "span").agg(F.collect_set("rel").alias("holes")))
-        known = known.join(holes, ["anchor", "span"], "left").where("holes is not null or id < last").select("anchor", "span", F.col("id").alias("first"), "holes")
-
-        hit = spans.join(known, ["anchor", "span"])
-        whole = hit.where("id > first").select("id", "s", "e")
-        part = hit.where("id = first and holes is not null").select("id", F.explode("holes").alias("rel"), "s").select("id", (F.col("s") + F.col("rel")).alias("s"), (F.col("s") + F.col("rel")).alias("e"))
-        cuts = C.checkpointed(whole.union(part).groupBy("id").agg(F.collect_list(F.struct("s", "e")).alias("cuts")))
+        summed = spans.groupBy("anchor", "span").agg(first.alias("f"), F.max("id").alias("last"), F.count("*").alias("n"))
+        new = self._write(summed.select("anchor", "span", "f.id", "last", "n", "f.s", "f.e"))
+        rows, mine = self._plain(new).withColumn("now", F.lit(True)), self.spark.table(new).select("anchor")
+        for name in self.runs:
+            rows = rows.unionByName(self.spark.table(name).join(mine, "anchor", "left_semi").withColumn("now", F.lit(False)))
+        self.runs.append(new)
+        rows = rows.repartition("anchor")  # the batch and what the merge joins found
+        here = F.sum(F.when(F.col("now"), F.col("n")).otherwise(0))
+        known = rows.groupBy("anchor", "span").agg(first.alias("f"), F.max("last").alias("last"), here.alias("n"))
+        many = known.groupBy("anchor").agg(F.min("span").alias("low"), F.max("span").alias("high"))
+        known = known.select("anchor", "span", "f.id", "last", "n", "f.s", "f.e").join(many, "anchor").withColumn("several", F.col("low") != F.col("high"))
+        asked = known.where("several or id < last").groupBy("id").agg(F.collect_list(F.struct("anchor", "span", "last", "n", "s", "e", "several")).alias("asked"))
+        asked = C.checkpointed(asked)
+        texts = C.join_ids(seen.select("id", "text"), asked.select("id"), "id", "left_semi").join(asked, "id").dropDuplicates(["id"])
+        found = C.stored(texts.mapInArrow(lambda it: _known(it, window), KNOWN))
+
+        single = found.where("windows is not null").select("anchor", "span", "id", F.posexplode("windows").alias("rel", "w"))
+        shared = single.groupBy("w").agg(F.min("id").alias("earliest"), F.max("id").alias("latest")).where("earliest < latest").drop("latest")
+        holes = C.checkpointed(single.join(shared, "w").where("earliest < id").groupBy("anchor", "span").agg(F.collect_set("rel").alias("holes")))
+        known = found.drop("windows").withColumnRenamed("id", "first").join(holes, ["anchor", "span"], "left").where("holes is not null or first < last").drop("last")
+        known = C.checkpointed(known)
+
+        hot = F.col("n") >= max(HOLDERS, spans.count() // MOST_HOT)
+        often, keys = known.where(hot), ["anchor", "span"]
+        hit = spans.join(F.broadcast(often), keys).unionByName(spans.join(F.broadcast(often.select(*keys)), keys, "left_anti").join(known.where(~hot), keys))
+        whole = hit.where("id > first").select("id", "s", "e", "words")
+        part = hit.where("id = first and holes is not null").select("id", F.explode("holes").alias("rel"), "s").select("id", (F.col("s") + F.col("rel")).alias("s"), (F.col("s") + F.col("rel")).alias("e"), F.lit(None).cast("binary").alias("words"))
+        cuts = C.checkpointed(whole.union(part).groupBy("id").agg(F.collect_list(F.struct("s", "e", "words")).alias("cuts")))
         if len(self.runs) > self.fan:
             self.compact()
-        del rows, known, texts, windows, single, holes, hit, whole, part
-        C.dropped(spans)
-        schema = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+        del rows, mine, texts, single, shared, holes, hit, whole, part, often, summed
+        C.dropped(spans, found)
         touched = C.join_ids(batch, cuts.select("id"), "id", "left_semi").join(cuts, "id").select("id", "text", "cuts")
-        rest = C.join_ids(batch, cuts.select("id"), "id", "left_anti").withColumn("cuts", F.lit(None).cast("array<struct<s:int,e:int>>"))
-        return touched.unionByName(rest).mapInArrow(lambda it: _cut(it, window, with_text), schema)
+        rest = C.join_ids(batch, cuts.select("id"), "id", "left_anti").selectExpr("id", "text", _UNCUT)
+        return _cut_out(touched.unionByName(rest), window, with_text)
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, batches: int = 2, with_text: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, batches: int = 4, with_text: bool = False) -> DataFrame:
     """Remove from every document the words covered by a window that also starts in a document with a smaller id.
 
     The documents go through a FingerprintIndex in batches of ascending id, as they would arrive over time; the number
     of batches changes nothing in the result. Returns (id, n_words, n_removed, kept_sha256), with with_text also
     kept_text: the text itself where nothing goes, else the kept words joined by one space.
 
-    Windows are judged on the input. Null, empty and short texts lose nothing (null counts as no words). Rows with equal
-    ids must have equal texts and don't affect each other. An empty table gives an empty result; other columns are not
-    read. Ids must not be null.
+    Windows are judged on the input. Null, empty and short texts lose nothing (null counts as no words). Rows with a null
+    id lose nothing and are no one's earlier document. Rows with equal ids must have equal texts and don't affect each
+    other. An empty table gives an empty result; other columns are not read, whatever their names.
     """
+    C.arrow_rows(docs.sparkSession)
     index = FingerprintIndex(docs.sparkSession, window)
     docs = C.inputs(docs, id=id_col, text=text_col)
+    nameless = docs.where("id is null").selectExpr("id", "text", _UNCUT)
+    docs = docs.where("id is not null")
     edges = docs.approxQuantile("id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
     edges = sorted({int(x) for x in edges})
-    out = None
+    out = _cut_out(nameless, window, with_text)
     for low, high in zip([None, *edges], [*edges, None], strict=True):
         upto = docs if high is None else docs.where(F.col("id") <= high)
-        part = index.add(upto if low is None else upto.where(F.col("id") > low), upto, with_text)
-        out = part if out is None else out.unionByName(part)
+        out = out.unionByName(index.add(upto if low is None else upto.where(F.col("id") > low), upto, with_text))
     index.delete()
     return out
 
