@@ -1,7 +1,7 @@
 """Document fingerprints by winnowing, and how far they survive an edit.
 
-Method. Every run of GRAM words has a hash; of every WINDOW consecutive hashes the least is chosen, the rightmost of
-equal ones, and kept with its place. A run of GRAM + WINDOW - 1 equal words in two texts gives both a common
+Method. Every word has a 64-bit hash, and every run of GRAM words one of its words' hashes; of every WINDOW consecutive runs
+the one with the least start of its hash is chosen, the rightmost of equal ones, and its whole hash kept with its place. A run of GRAM + WINDOW - 1 equal words in two texts gives both a common
 fingerprint. The least of all windows comes from the least of pairs, fours and so on, each by one pass over the array
 before: about log2(WINDOW) comparisons a word. Texts of fewer than FEW words keep the hashes of all their runs of words;
 those that have fewer than one window's words, as texts without white space, have those of their runs of characters as
@@ -21,9 +21,12 @@ GRAM, WINDOW = 5, 24
 #: Words from which a text is winnowed, and below which it has runs of characters; characters of a run, and from which those are winnowed.
 FEW, SPARSE, CHARS, LONG = 112, GRAM + WINDOW - 1, 3, 4096
 WORDS, ALL_WORDS, ALL, CHARACTERS = 0, 1, 2, 3
-#: Bits of a chosen value that hold the place, counted down so that the least value is the rightmost.
-PLACE_BITS = 23
+#: Low bits of what runs are ordered by, which hold the place, counted down so that the least is the rightmost; above them
+#: are the first bits of the hash. More places than that don't fit into one value of a table.
+PLACE_BITS = 30
 PLACES = (1 << PLACE_BITS) - 1
+#: Stands for a null id where documents follow one another.
+NO_ID = -(1 << 63)
 
 
 def _least_with(step: int):
@@ -37,7 +40,7 @@ def manner(words: Column, text: Column) -> Column:
 
 
 def with_fingerprint(df: DataFrame, text: Column, out: str, gram: int = GRAM, window: int = WINDOW, like: Column | None = None) -> DataFrame:
-    """df with out: the chosen values of the text in order of place, hash * 2**PLACE_BITS + PLACES - place.
+    """df with out: the chosen (place, hash) of the text in order of place.
 
     A text is fingerprinted in the manner of like, its own by default. A text of fewer words or characters than a run has
     one hash of all of them, without words none; with fewer hashes than a window holds, all are kept. Places of runs of
@@ -46,32 +49,37 @@ def with_fingerprint(df: DataFrame, text: Column, out: str, gram: int = GRAM, wi
     like = F.coalesce(text if like is None else like, F.lit(""))
     df = df.withColumn("_w", C.words_of(text)).withColumn("_how", manner(C.words_of(like), like))
     df = df.withColumn("_c", F.when(F.col("_how") >= ALL, F.filter(F.split(F.array_join("_w", " "), ""), lambda c: c != "")))
-    value = lambda h, i: F.shiftleft(F.shiftrightunsigned(h, 24), PLACE_BITS) + F.lit(PLACES) - i % PLACES
+    df = df.withColumn("_w", F.transform("_w", lambda w: F.xxhash64(w)))
 
     def runs(units: str, k: int) -> Column:
-        grams = F.transform(F.sequence(F.lit(0), F.size(units) - k), lambda i: value(F.xxhash64(*(F.get(units, i + j) for j in range(k))), i))
-        few = F.when(F.size(units) > 0, F.array(value(F.xxhash64(units), F.lit(0)))).otherwise(F.array().cast("array<long>"))
+        grams = F.transform(F.sequence(F.lit(0), F.size(units) - k), lambda i: F.xxhash64(*(F.get(units, i + j) for j in range(k))))
+        few = F.when(F.size(units) > 0, F.array(F.xxhash64(units))).otherwise(F.array().cast("array<long>"))
         return F.when(F.size(units) >= k, grams).otherwise(few)
 
-    both = F.array_sort(F.concat(runs("_w", gram), runs("_c", CHARS)), lambda a, b: (b.bitwiseAND(F.lit(PLACES)) - a.bitwiseAND(F.lit(PLACES))).cast("int"))
-    df = df.withColumn("_m", F.when(F.col("_how") == CHARACTERS, runs("_c", CHARS)).when(F.col("_how") == ALL, both).otherwise(runs("_w", gram)))
-    df = df.withColumn("_short", F.when(F.col("_how").isin(ALL_WORDS, ALL) | (F.size("_m") < window), F.col("_m")))
+    placed = lambda hashes: F.transform(hashes, lambda h, i: F.struct(i.alias("place"), h.alias("hash")))
+    both = F.concat(placed(runs("_w", gram)), placed(runs("_c", CHARS)))
+    both = F.array_sort(both, lambda a, b: a["place"] - b["place"])
+    df = df.withColumn("_h", F.when(F.col("_how") == CHARACTERS, runs("_c", CHARS)).otherwise(runs("_w", gram)))
+    whole = F.when(F.col("_how") == ALL, both).when((F.col("_how") == ALL_WORDS) | (F.size("_h") < window), placed(F.col("_h")))
+    df = df.withColumn("_short", whole)
+    df = df.withColumn("_m", F.when(F.col("_short").isNull(), F.transform("_h", lambda h, i: F.shiftleft(F.shiftrightunsigned(h, PLACE_BITS + 1), PLACE_BITS) + F.lit(PLACES) - i)))
     reach = 1
     while reach < window:
         step = min(reach, window - reach)
-        least = F.transform(F.slice("_m", 1, F.greatest(F.size("_m") - step, F.lit(0))), _least_with(step))
-        df = df.withColumn("_m", F.when(F.col("_short").isNull(), least).otherwise(F.col("_m")))
+        df = df.withColumn("_m", F.transform(F.slice("_m", 1, F.size("_m") - step), _least_with(step)))
         reach += step
-    return df.withColumn(out, F.coalesce("_short", F.array_distinct("_m"))).drop("_w", "_c", "_how", "_m", "_short")
+    place = lambda v: (F.lit(PLACES) - v.bitwiseAND(F.lit(PLACES))).cast("int")
+    chosen = F.transform(F.array_distinct("_m"), lambda v: F.struct(place(v).alias("place"), F.get("_h", place(v)).alias("hash")))
+    return df.withColumn(out, F.coalesce("_short", chosen)).drop("_w", "_c", "_how", "_h", "_m", "_short")
 
 
 def hashes(values: Column) -> Column:
-    return F.array_distinct(F.transform(values, lambda v: F.shiftright(v, PLACE_BITS)))
+    return F.array_distinct(F.transform(values, lambda v: v["hash"]))
 
 
 def shown(values: Column) -> Column:
     """A fingerprint as text: place:hash, in order of place."""
-    return F.array_join(F.transform(values, lambda v: F.concat((F.lit(PLACES) - v.bitwiseAND(F.lit(PLACES))).cast("string"), F.lit(":"), F.lower(F.hex(F.shiftright(v, PLACE_BITS))))), " ")
+    return F.array_join(F.transform(values, lambda v: F.concat(v["place"].cast("string"), F.lit(":"), F.lower(F.hex(v["hash"])))), " ")
 
 
 def likeness(a: str, b: str) -> Column:
@@ -95,7 +103,10 @@ def followers(ids: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, values, hashes): the chosen values of every text, and their distinct hashes. Null and empty texts have none."""
+    """(id, values, hashes): the chosen (place, hash) of every text, and the distinct hashes, a row for each row.
+
+    Null and empty texts have none. Null ids are kept; other columns aren't read. An empty table gives an empty result.
+    """
     docs = C.inputs(docs, id=id_col, text=text_col)
     return with_fingerprint(docs, F.col("text"), "values").select("id", "values", hashes(F.col("values")).alias("hashes"))
 
@@ -104,22 +115,23 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Fingerprint every text and its edited text, whose last quarter is the start of the next document.
 
     Returns (id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next). Null counts as empty;
-    a single document follows itself. Rows with equal ids must have equal texts; each has its row. An empty table gives
-    an empty result. Other columns aren't read. Ids must not be null.
+    a single document follows itself. Of rows with equal ids each has its row, and the next document's text is the least of
+    them (near_next: the least of their fingerprints). A null id comes before all others and stays null; the least long is
+    not told from it. An empty table gives an empty result. Other columns aren't read, whatever their names.
     """
-    docs = C.inputs(docs, id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
+    docs = C.inputs(docs, id=id_col, text=text_col).select(F.coalesce("id", F.lit(NO_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     ids = docs.select("id", F.length("text").cast("long").alias("n")).groupBy("id").agg(F.max("n").alias("n"))
     links = C.checkpointed(followers(ids))
     heads = docs.join(links.select(F.col("next_id").alias("id"), F.col("id").alias("of"), F.floor(F.col("n") / 4).cast("int").alias("cut")), "id")
-    heads = heads.select("of", F.expr("substring(text, 1, cut)").alias("head")).groupBy(F.col("of").alias("id")).agg(F.first("head").alias("head"))
+    heads = heads.select("of", F.expr("substring(text, 1, cut)").alias("head")).groupBy(F.col("of").alias("id")).agg(F.min("head").alias("head"))
     n, cut = F.length("text"), F.floor(F.length("text") / 4)
-    edited = docs.join(heads, "id").select("id", "text", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), (n - cut).cast("int")), "head").alias("edited"))
+    edited = docs.join(heads, "id").select("id", "text", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), (n - cut).cast("int")), F.substring("head", F.lit(1), cut.cast("int"))).alias("edited"))
     marked = with_fingerprint(with_fingerprint(edited, F.col("text"), "own"), F.col("edited"), "changed", like=F.col("text"))
     kept = C.stored(marked.select("id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "own", "changed"))
-    after = kept.groupBy(F.col("id").alias("next_id")).agg(F.first("own").alias("following"))
+    after = kept.groupBy(F.col("id").alias("next_id")).agg(F.min("own").alias("following"))
     after = links.select("id", "next_id").join(after, "next_id").select("id", "following")
     out = kept.join(after, "id").select("*", hashes(F.col("own")).alias("a"), hashes(F.col("changed")).alias("b"), hashes(F.col("following")).alias("c"))
-    return out.select("id", "n_chars", "edited_sha256", shown(F.col("own")).alias("fingerprint"), shown(F.col("changed")).alias("edited_fingerprint"), likeness("a", "b").alias("near_edited"), likeness("a", "c").alias("near_next"))
+    return out.select(F.nullif("id", F.lit(NO_ID)).alias("id"), "n_chars", "edited_sha256", shown(F.col("own")).alias("fingerprint"), shown(F.col("changed")).alias("edited_fingerprint"), likeness("a", "b").alias("near_edited"), likeness("a", "c").alias("near_next"))
 
 
 def op4_winnowing(spark, sf_dir: str) -> DataFrame:

@@ -26,16 +26,17 @@ def test_chosen_values_are_the_rightmost_least_of_every_window(spark):
     text = " ".join(str(i * i % 23) for i in range(200))
     df = spark.createDataFrame([(1, text)], "id long, text string")
     words = text.split()
-    grams = [r[0] for r in spark.createDataFrame([(i, *words[i : i + 5]) for i in range(196)], "i int, a string, b string, c string, d string, e string").orderBy("i").select(F.shiftrightunsigned(F.xxhash64("a", "b", "c", "d", "e"), 24)).collect()]
+    grams = [r[0] for r in spark.createDataFrame([(i, *words[i : i + 5]) for i in range(196)], "i int, a string, b string, c string, d string, e string").orderBy("i").select(F.xxhash64(*(F.xxhash64(c) for c in "abcde"))).collect()]
+    starts = [(g % 2**64) >> W.PLACE_BITS + 1 for g in grams]
     want = []
     for s in range(len(grams) - W.WINDOW + 1):
-        part = grams[s : s + W.WINDOW]
+        part = starts[s : s + W.WINDOW]
         at = max(s + j for j, g in enumerate(part) if g == min(part))
         if not want or want[-1] != at:
             want.append(at)
     values = W.fingerprints(df, id_col="id").first()["values"]
-    assert [W.PLACES - (v & W.PLACES) for v in values] == want
-    assert [v >> W.PLACE_BITS for v in values] == [grams[i] for i in want]
+    assert [v["place"] for v in values] == want
+    assert [v["hash"] for v in values] == [grams[i] for i in want]
 
 
 def test_shared_runs_share_a_fingerprint(spark):
@@ -51,6 +52,9 @@ def test_empty_single_and_repeated(spark):
     one = W.edit_likeness(spark.createDataFrame([(5, "a b c d")], schema)).collect()
     assert one[0]["edited_sha256"] == hashlib.sha256(b"a b c a").hexdigest() and one[0]["near_next"] == 1.0
     assert len(W.edit_likeness(spark.createDataFrame([(5, "a b c d"), (5, "a b c d"), (6, "x y")], schema)).collect()) == 3
+    rows = W.edit_likeness(spark.createDataFrame([(None, "abcdefgh"), (1, "12345678"), (1, "123"), (2, "wxyz")], schema)).collect()
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert {(r["id"], r["n_chars"], r["edited_sha256"]) for r in rows} == {(None, 8, sha("abcdef12")), (1, 8, sha("123456wx")), (1, 3, sha("123")), (2, 4, sha("wxya"))}
 
 
 def test_short_texts_and_texts_without_white_space_keep_their_likeness(spark):
@@ -63,5 +67,5 @@ def test_short_texts_and_texts_without_white_space_keep_their_likeness(spark):
         assert rows[i]["near_edited"] > (0.3 if len(t) > 10 else 0), (i, t[:50], rows[i]["near_edited"])
         assert rows[i]["near_next"] < 0.1, (i, rows[i]["near_next"])
     one = W.fingerprints(spark.createDataFrame([(1, "ab  cd"), (2, "b cd ef")], "doc_id long, text string")).collect()
-    assert [[W.PLACES - (v & W.PLACES) for v in x["values"]] for x in one] == [[0, 0, 1, 2], [0, 0, 1, 2, 3, 4]]
+    assert [[v["place"] for v in x["values"]] for x in one] == [[0, 0, 1, 2], [0, 0, 1, 2, 3, 4]]
     assert len(set(one[0]["hashes"]) & set(one[1]["hashes"])) == 2
