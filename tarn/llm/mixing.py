@@ -1,13 +1,16 @@
 """Mixing sources to target weights, by fixed-length blocks of words that are drawn into output shards.
 
 Method. The words of a source, its documents in a hashed order, are one stream, cut into blocks of BLOCK words. Every
-output shard of SHARD_SLOTS slots draws the source of each slot, so its counts by source are multinomial; over all
-shards a source may fill as many slots as its target asks for, draws beyond that are taken back and slots that then
-lack go to one balance shard. The k-th slot of a source reads block perm(k), where perm is a pseudorandom permutation
-of the source's blocks (swap-or-not, a bijection for any number of blocks), another one for each pass over the source. Blocks are joined with documents by their index. All of it is DataFrame functions.
-
-Skew. A source may hold a third of all rows: streams are numbered in hashed chunks, by two-level running sums, and all
-joins are on (source, block).
+output shard of SHARD_SLOTS slots draws the source of each slot, so its counts by source are multinomial. A source has as
+many slots in all as its target asks for: the draws of all its shards are scaled by what it should have over what it drew,
+some thousandths more or less in every shard alike, and rounded so that the sum is right. The k-th slot of a source reads
+block perm(k), where perm is a pseudorandom permutation of the source's blocks (swap-or-not, a bijection for any number of
+blocks), another one for each pass over the source. Blocks are joined with documents by their index. All of it is
+DataFrame functions.
+
+Skew. A source may hold a third of all rows: it has as many hashed chunks as its documents need, its stream is numbered
+by running sums over chunks and chunks of chunks, and all joins are on (source, block). Only tables with a row for each
+source are handled in one task.
 """
 
 from __future__ import annotations
@@ -20,28 +23,35 @@ from tarn.llm import common as C
 BLOCK = 64
 SHARD_SLOTS = 4096
 WEIGHTS = (5.0, 2.0, 1.0)
-#: Documents in a chunk of a source's stream, and shards in a chunk of the draws.
-CHUNK_DOCS, CHUNK_SHARDS = 2_000, 10_000
+#: Documents in a chunk of a source's stream, shards in a chunk of the draws, chunks that are summed up in one task.
+CHUNK_DOCS, CHUNK_SHARDS, CHUNKS = 250, 10_000, 10_000
+#: Slots that a task makes from the counts of sources and shards.
+TASK_SLOTS = 50_000
 ROUNDS = 10
 
 
-def running(df: DataFrame, key: str, chunk: str, order: list[str], value: str, out: str) -> DataFrame:
-    """out: the sum of value over the rows of a key before this one, by chunk and then order; no task sees a whole key."""
+def running(df: DataFrame, key: str, chunk: str, order: list[str], value: str, out: str, chunks: int) -> DataFrame:
+    """out: the sum of value over the rows of a key before this one, by chunk (0 to before `chunks`) and then order. No
+    task sees more than a chunk of a key, or CHUNKS sums of chunks."""
     sums = df.groupBy(key, chunk).agg(F.sum(value).alias("_sum"))
-    upto = Window.partitionBy(key).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select(key, chunk, F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_base"))
+    if chunks > CHUNKS:
+        upper = sums.withColumn(f"{chunk}_", F.floor(F.col(chunk) / CHUNKS))
+        base = running(upper, key, f"{chunk}_", [chunk], "_sum", "_before", chunks // CHUNKS + 1).select(key, chunk, F.col("_before").alias("_base"))
+    else:
+        upto = Window.partitionBy(key).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+        base = sums.select(key, chunk, F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_base"))
     inner = Window.partitionBy(key, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn("_inner", F.coalesce(F.sum(value).over(inner), F.lit(0))).join(base, [key, chunk]).withColumn(out, F.col("_base") + F.col("_inner")).drop("_base", "_inner")
 
 
 def targets(sized: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
-    """(rank, source, source_size, target): weights repeat over the sources by code point, null last; targets share
+    """(rank, source, docs, source_size, target): weights repeat over the sources by code point, null last; targets share
     `share` of all sizes by weight, but stop at `most` times the source's size, and what is over is reshared.
 
     With sources in the order of most * size / weight, the level at which the rest is shared is that of the first
     source which stays below its own limit.
     """
-    by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    by_source = sized.groupBy("source").agg(F.count("*").alias("docs"), F.sum("size").alias("source_size"))
     name = Window.orderBy(F.col("source").isNull(), "source")  # one row for each source
     cycle = F.array(*(F.lit(w) for w in weights))
     ranked = by_source.withColumn("rank", F.row_number().over(name)).withColumn("weight", F.get(cycle, (F.col("rank") - 1) % len(weights)))
@@ -55,7 +65,7 @@ def targets(sized: DataFrame, weights: tuple[float, ...], share: float, most: fl
     ratio, even = F.col("limit") / F.col("weight"), (F.col("budget") - F.col("full")) / F.col("open")
     first = F.min(F.when(ratio >= even, F.struct(ratio.alias("ratio"), F.col("rank"), even.alias("level")))).over(Window.partitionBy())
     level = F.coalesce(first["level"], F.max(ratio).over(Window.partitionBy()))
-    return rest.select("rank", "source", "source_size", F.least(F.col("limit"), level * F.col("weight")).alias("target"))
+    return rest.select("rank", "source", "docs", "source_size", F.least(F.col("limit"), level * F.col("weight")).alias("target"))
 
 
 def permuted(x: str, n: str, key: Column) -> Column:
@@ -88,11 +98,14 @@ def draw(sources: DataFrame, seed: int, block: int) -> DataFrame:
     drawn = spark.range(total).select((F.floor(F.col("id") / SHARD_SLOTS)).alias("shard"), F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(total)).alias("u")).withColumn("cell", F.floor(F.col("u") / per))
     counts = drawn.join(owners, "cell").where("u >= low and u < high").groupBy("rank", "shard").agg(F.count("*").alias("n"))
     counts = C.checkpointed(counts.withColumn("chunk", F.floor(F.col("shard") / CHUNK_SHARDS)))
-    placed = running(counts, "rank", "chunk", ["shard"], "n", "k0").join(wanted.select("rank", "blocks", "slots"), "rank")
-    kept = placed.where("k0 < slots").select("rank", "shard", "blocks", "k0", F.least(F.col("k0") + F.col("n"), F.col("slots")).alias("k1"))
-    drawn_in_all = counts.groupBy("rank").agg(F.sum("n").alias("got"))
-    lack = wanted.join(drawn_in_all, "rank", "left").select("rank", F.lit(-(-total // SHARD_SLOTS)).cast("long").alias("shard"), "blocks", F.coalesce("got", F.lit(0)).alias("k0"), F.col("slots").alias("k1")).where("k0 < k1")
-    return kept.unionByName(lack).select("rank", "shard", F.explode(F.sequence(F.col("k0"), F.col("k1") - 1)).alias("k"), "blocks")
+    shards = -(-total // SHARD_SLOTS)
+    placed = running(counts, "rank", "chunk", ["shard"], "n", "d0", shards // CHUNK_SHARDS + 1).join(counts.groupBy("rank").agg(F.sum("n").alias("got")), "rank").join(wanted.select("rank", "blocks", "slots"), "rank")
+    exact = lambda d: F.expr(f"cast(({d}) * cast(slots as decimal(19,0)) div got as bigint)")
+    scaled = placed.select("rank", "shard", "blocks", exact("cast(d0 as decimal(19,0))").alias("k0"), exact("cast(d0 + n as decimal(19,0))").alias("k1"))
+    # a source that drew nothing has few slots: they share a shard
+    none = wanted.join(counts.select("rank").distinct(), "rank", "left_anti").select("rank", F.pmod(F.xxhash64(F.lit(seed), "rank"), F.lit(shards)).alias("shard"), "blocks", F.lit(0).cast("long").alias("k0"), F.col("slots").alias("k1"))
+    dealt = scaled.unionByName(none).where("k0 < k1").repartition(max(1, -(-total // TASK_SLOTS)))
+    return dealt.select("rank", "shard", F.explode(F.sequence(F.col("k0"), F.col("k1") - 1)).alias("k"), "blocks")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: int = 2, seed: int = 17, block: int = BLOCK) -> dict[str, DataFrame]:
@@ -100,16 +113,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     row for every input row, and "parts" (row, id, shard, pass, first, n): which words of which document a shard takes.
 
     A size is the number of words, 0 for null and empty texts, which are never taken. A null source is a source of its
-    own, last in order. No word is taken more than `most` times. Repeated rows are separate documents. Equal inputs
+    own, last in order. Null ids are kept. No word is taken more than `most` times. Repeated rows are separate documents. Equal inputs
     give equal results, whatever their partitioning. An empty table gives empty results. Other columns aren't read.
     """
     rows = C.inputs(docs, id=id_col, text=text_col, source=source_col).select("id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit("[^ \\t-\\r]+")).cast("long").alias("size"))
     sized = C.checkpointed(rows.withColumn("row", F.monotonically_increasing_id()))
-    chunks = max(1, sized.count() // CHUNK_DOCS)
     sources = C.checkpointed(targets(sized, weights, share, float(most)))
-    named = sized.join(sources.select("rank", "source"), sized["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-    named = named.withColumn("chunk", F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(chunks)))
-    stream = running(named.where("size > 0"), "rank", "chunk", ["id", "size"], "size", "start")
+    named = sized.join(sources.select("rank", "source", "docs"), sized["source"].eqNullSafe(sources["source"])).drop(sources["source"])
+    named = named.withColumn("chunk", F.pmod(F.xxhash64(F.lit(seed), "id"), F.expr(f"docs div {CHUNK_DOCS} + 1"))).drop("docs")
+    chunks = (sources.agg(F.max("docs")).first()[0] or 0) // CHUNK_DOCS + 1
+    stream = running(named.where("size > 0"), "rank", "chunk", ["id", "size"], "size", "start", chunks)
     cover = stream.select("rank", "row", "id", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("index"))
     cover = cover.select("rank", "index", "row", "id", F.greatest(F.lit(0), F.col("index") * block - F.col("start")).alias("first"), F.least(F.col("size"), (F.col("index") + 1) * block - F.col("start")).alias("end"))
     slots = draw(sources, seed, block).withColumn("pass", F.floor(F.col("k") / F.col("blocks"))).withColumn("x", F.col("k") % F.col("blocks"))
@@ -124,10 +137,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents (doc_id, text, lang, source, n_chars) as the mix takes them: one row for each pass that takes words of
-    a document, its text the words taken, in order, joined by one space; a document taken whole keeps its text."""
+    a document, its text the words taken, in order, joined by one space; a document taken whole keeps its text.
+
+    Rows with equal ids must have equal texts: they are one document here. Rows without words, or with a null id, are not
+    taken. Nulls in lang and source stay. An empty table gives an empty result.
+    """
     keyed = docs.select("doc_id", "text", "lang", "source")
     parts = mix(keyed, **options)["parts"].groupBy("id", "row", "pass").agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias("parts"), F.sum("n").alias("n"))
-    best = parts.groupBy("id", "pass").agg(F.first("parts").alias("parts"), F.first("n").alias("n"))
+    best = parts.groupBy("id", "pass").agg(F.min_by("parts", "row").alias("parts"), F.min_by("n", "row").alias("n"))
     words = C.words_of(F.col("text"))
     cut = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice("words", p["first"].cast("int") + 1, p["n"].cast("int")))), " ")
     joined = keyed.dropDuplicates(["doc_id"]).join(best, F.col("doc_id") == F.col("id")).withColumn("words", words)

@@ -25,6 +25,7 @@ def test_targets_and_limits(spark, monkeypatch, seed):
     monkeypatch.setattr(M, "CHUNK_DOCS", 20)
     monkeypatch.setattr(M, "SHARD_SLOTS", 32)
     monkeypatch.setattr(M, "CHUNK_SHARDS", 3)
+    monkeypatch.setattr(M, "CHUNKS", 2)
     r = random.Random(seed)
     names = ["a", "B", "é", None, "zz", ""]
     docs = [(i, "w " * r.randint(0, 400), r.choices(names, [60, 1, 5, 9, 30, 2])[0]) for i in range(300)] + [(900, None, "a"), (901, "", "only empty")]
@@ -62,6 +63,72 @@ def test_parts_are_the_words_taken(spark):
     assert got == taken
 
 
+def draws(rows, total, seed, shard_slots):
+    """{rank: {shard: slots}} drawn slot by slot: rows (rank, blocks, slots)."""
+    got = {r: {} for r, _, _ in rows}
+    low = 0
+    ranges = []
+    for r, _, n in rows:
+        ranges.append((low, low + n, r))
+        low += n
+    for i, u in enumerate(total):
+        r = next(r for a, b, r in ranges if a <= u < b)
+        got[r][i // shard_slots] = got[r].get(i // shard_slots, 0) + 1
+    out = {}
+    for r, _, n in rows:
+        drawn, at = sum(got[r].values()), 0
+        for shard in sorted(got[r]):
+            k0, at = at * n // drawn, at + got[r][shard]
+            if at * n // drawn > k0:
+                out[r, shard] = (k0, at * n // drawn)
+    return out
+
+
+def test_draws_against_brute_force(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(M, "SHARD_SLOTS", 50)
+    monkeypatch.setattr(M, "CHUNK_SHARDS", 4)
+    sources = [(1, 64 * 500, 64 * 400.0), (2, 64 * 300, 64 * 600.0), (3, 64 * 90 + 5, 64 * 180.0)]
+    df = spark.createDataFrame(sources, "rank int, source_size long, target double")
+    wanted = [(r, -(-s // 64), int(t * -(-s // 64) / s + 0.5)) for r, s, t in sources]
+    total = sum(n for _, _, n in wanted)
+    us = [r[0] for r in spark.range(total).select(F.pmod(F.xxhash64(F.lit(17), F.col("id")), F.lit(total))).orderBy("id").collect()]
+    want = draws(wanted, us, 17, 50)
+    got = {}
+    for r in M.draw(df, 17, 64).collect():
+        got.setdefault((r["rank"], r["shard"]), []).append(r["k"])
+    assert {k: (min(v), max(v) + 1) for k, v in got.items()} == want
+    assert all(sorted(v) == list(range(*want[k])) for k, v in got.items())
+    # every shard's counts follow the weights: no shard makes up for the others
+    for shard in range(total // 50):
+        n = [len(got.get((r, shard), [])) for r, _, _ in wanted]
+        assert abs(sum(n) - 50) <= 6
+
+
+def test_taken_against_brute_force(spark):
+    """The words taken of every document, from the slots and the permutations alone."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(8)
+    docs = [(i, "w " * r.randint(0, 300), "ab"[i % 3 == 0]) for i in range(120)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    mixed = M.mix(df)
+    sized = {x["id"]: x for x in mixed["documents"].collect()}
+    order = {x[0]: (x[1], x[0]) for x in spark.createDataFrame(docs, "doc_id long, text string, source string").join(spark.createDataFrame([(s, sum(d[2] == s for d in docs)) for s in "ab"], "source string, docs long"), "source").select("doc_id", F.pmod(F.xxhash64(F.lit(17), F.col("doc_id")), F.expr(f"docs div {M.CHUNK_DOCS} + 1"))).collect()}
+    taken = dict.fromkeys(sized, 0)
+    for rank, s in enumerate("ab", 1):
+        mine = sorted((i for i, _, x in docs if x == s and sized[i]["size"]), key=lambda i: order[i])
+        stream = [i for i in mine for _ in range(sized[i]["size"])]
+        blocks = -(-len(stream) // M.BLOCK)
+        slots = int(sized[mine[0]]["target"] * blocks / len(stream) + 0.5)
+        ks = spark.createDataFrame([(k % blocks, blocks, k // blocks) for k in range(slots)], "x long, n long, pass long")
+        for row in ks.select(M.permuted("x", "n", F.xxhash64(F.lit(17), F.lit(rank), "pass")).alias("at")).collect():
+            for i in stream[row["at"] * M.BLOCK : (row["at"] + 1) * M.BLOCK]:
+                taken[i] += 1
+    assert taken == {i: x["taken"] for i, x in sized.items()}
+
+
 def test_empty_tables(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     assert M.mix(spark.createDataFrame([], schema))["documents"].collect() == []
