@@ -33,10 +33,24 @@ def arrow_rows(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def shared_base(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or what the session set in its stead.
+
+    In local mode, where one machine is all there is, a folder is made if none is set. On a cluster that is an error, as
+    each executor would write to its own disk.
+    """
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if base:
+        return base
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="tarn-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A folder below spark.checkpoint.dir; only where that is unset (tests), below one of our own."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    return f"{base or tempfile.mkdtemp(prefix='tarn-')}/{name}"
+    return f"{shared_base(spark)}/{name}"
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -63,10 +77,11 @@ def dropped(*tables: DataFrame) -> None:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write df to the folder in spark.checkpoint.dir; only where that is unset (tests), to a folder of our own."""
+    """df, written to the folder in spark.checkpoint.dir; see shared_base()."""
     sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tarn-checkpoint-"))
+    base = shared_base(df.sparkSession)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(base)
     return df.checkpoint(eager=True)
 
 
