@@ -1,22 +1,26 @@
 """N-gram Jaccard join: which documents share at least a given part of their word shingles.
 
-Method. Every document becomes a set of 64-bit shingle hashes with a parity bitmap of about as many bits. Sets are put into tiles of
-(size band, shingle): a set is in the tiles of the first |x| - ceil(t|x|) + 1 shingles of a global order, as two sets
-with Jaccard t share one of those. Within a tile the bits that differ between two bitmaps bound the overlap from above
-(each differing bit stands for a shingle that one set lacks), and what passes is decided by intersecting sorted arrays.
+Method. Every document becomes a set of 64-bit shingle hashes with a parity bitmap of about as many bits. Two sets with
+Jaccard t share one of the first |x| - ceil(t|x|) + 1 shingles of a global order, and their sizes differ by a factor of 1/t
+at most. With bands of sizes a factor of 1/t wide, tiles are keyed by (size band, shingle): a set is a member of the tiles
+of its own band and a guest in those of the band below, and guests aren't compared with each other. Within a tile the bits
+that differ between two bitmaps bound the overlap from above (each differing bit stands for a shingle that one set lacks),
+and what passes is decided by intersecting sorted arrays.
 
 Skew. Any global order gives the same links, so shingles that many documents hold (found by lossy counting over all
-documents in bounded memory) go last in it. Equal sets are one node. Members of a tile are first linked to the tile's
-first member only; after that, only pairs from different components are made, so groups of near copies stay linear.
+documents in bounded memory) go last in it. Equal sets are one node. Holders of a shingle are first linked to its first
+holder only; after that, tiles hold only sets of different components, so groups of near copies stay linear. A tile that is
+still large is cut into blocks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm import common as C
@@ -82,6 +86,12 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
+def band(n: Column, percent: int) -> Column:
+    """The size band of a set of n: two sets that link are in the same or in neighbouring bands."""
+    # a little wider than the factor, so that rounding can't part two sets by more than one band
+    return F.floor(F.log(n) / (math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1e-9)).cast("int")
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]).astype(np.int32)), pa.array(np.concatenate(arrays)))
 
@@ -207,14 +217,15 @@ def _bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
 def _tile_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs of different components within a tile that can link by their sizes and the bits that differ.
 
-    Rows come sorted by (token, low, high, n): in a tile, a set's partners in size follow it. Rows of a tile that spans
-    batches are carried over; a tile has 2 * TILE rows or so.
+    Rows come sorted by (token, band, low, high, n): in a tile, a set's partners in size follow it. Rows of a tile that
+    spans batches are carried over; a tile has 2 * TILE rows or so.
     """
     seen: set[tuple[int, int]] = set()
     carry: pa.Table | None = None
 
     def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        token, low, high, n, rep, component, own = (table.column(c).to_numpy() for c in ("token", "low", "high", "n", "rep", "component", "own"))
+        token, band, low, high, n, rep, component, own = (table.column(c).to_numpy() for c in ("token", "band", "low", "high", "n", "rep", "component", "own"))
+        guest = table.column("guest").to_numpy(zero_copy_only=False)
         bits = table.column("bits").combine_chunks()
         width = np.diff(bits.offsets.to_numpy())
         words, first = bits.values.to_numpy().view(np.uint64), bits.offsets.to_numpy()[:-1]
@@ -223,10 +234,10 @@ def _tile_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
             step += 1
             rows = rows[rows + step < len(n)]
             other = rows + step
-            same = (token[rows] == token[other]) & (low[rows] == low[other]) & (high[rows] == high[other]) & (percent * n[other] <= 100 * n[rows])
+            same = (token[rows] == token[other]) & (band[rows] == band[other]) & (low[rows] == low[other]) & (high[rows] == high[other]) & (percent * n[other] <= 100 * n[rows])
             rows = rows[same]
             other = rows + step
-            use = (component[rows] != component[other]) & ((low[rows] == high[rows]) | (own[rows] != own[other]))
+            use = (component[rows] != component[other]) & ~(guest[rows] & guest[other]) & ((low[rows] == high[rows]) | (own[rows] != own[other]))
             x, y = rows[use], other[use]
             keep = np.zeros(len(x), bool)
             equal = width[x] == width[y]
@@ -250,7 +261,7 @@ def _tile_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
     for batch in batches:
         table = pa.Table.from_batches([batch])
         table = pa.concat_tables([carry, table]) if carry is not None else table
-        key = [table.column(c).to_numpy() for c in ("token", "low", "high")]
+        key = [table.column(c).to_numpy() for c in ("token", "band", "low", "high")]
         last = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in key]))
         cut = int(last[-1]) + 1 if len(last) else 0
         if cut:
@@ -260,19 +271,20 @@ def _tile_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
         yield from pairs(carry.combine_chunks())
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> dict[str, DataFrame]:
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, every_link: bool = False) -> dict[str, DataFrame]:
     """Join documents with 100 * |x & y| >= percent * |x | y| over sets of k-word shingles.
 
     Returns "documents" (id, n_shingles, component_id) with every input row, "classes" (representative, sig1, sig2) of
-    equal sets, and "links" (a, b) between representatives: every tile's links to its first member and all links between
-    what those left apart, so that the components are those of all links.
+    equal sets, and "links" (a, b) between representatives: as many as make the components, or with every_link all.
 
-    Null and empty texts have no shingle and stand alone. Repeated rows and equal texts fall into one class. An empty
-    table gives empty results. Other columns of docs are not read. Ids must not be null.
+    Null and empty texts have no shingle and stand alone. Repeated rows and equal texts fall into one class. Rows with a
+    null id are rows of the result with the size of their set, linked with nothing. Rows with equal ids must have equal
+    texts. An empty table gives empty results. Other columns of docs are not read, whatever their names.
     """
     C.arrow_rows(docs.sparkSession)
     spark = docs.sparkSession
-    docs = C.inputs(docs, id=id_col, text=text_col)
+    every = C.inputs(docs, id=id_col, text=text_col)
+    docs = every.where("id is not null")
     read = C.checkpointed(docs.mapInArrow(lambda it: _summaries(it, k), SUMMARY))
     counts = read.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
     top = np.sort(np.array([r[0] for r in counts.orderBy(F.desc("n"), "id").limit(MOST_FREQUENT).select("id").toLocalIterator()], np.int64).view(np.uint64))
@@ -302,20 +314,27 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         both = near.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
         return C.checkpointed(both.mapInArrow(lambda it: _exact(it, percent), "a long, b long"))
 
-    first = linked(shared.where("rep <> lead_rep").groupBy(F.col("rep").alias("b")).agg(F.min("lead_rep").alias("a")))
+    near_first = shared.where("rep <> lead_rep").groupBy(F.col("rep").alias("b")).agg(F.min("lead_rep").alias("a"))
+    first = linked(near_first.where(F.lit(not every_link)))
     labels = C.components(first)
     placed = shared.select("token", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    apart = placed.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size")).where("least <> most")
+    apart = placed.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("token")
+    sized = placed.join(apart, "token").join(signed.select("rep", "n"), "rep").withColumn("at", band(F.col("n"), percent))
+    sized = C.checkpointed(sized.withColumn("band", F.explode(F.array(F.col("at"), F.col("at") - 1))).withColumn("guest", F.col("band") < F.col("at")).drop("at"))
+    # a tile needs a member besides what else it has, from another component
+    tile = sized.groupBy("token", "band").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size"), F.bool_and("guest").alias("guests")).where("least <> most and not guests")
     blocks = F.ceil(F.col("size") / TILE).cast("int")  # a tile of many members becomes tiles of pairs of blocks
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    tiles = placed.join(apart.select("token", blocks.alias("blocks")), "token").withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = tiles.select("token", "rep", "component", "own", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high")).join(signed.select("rep", "n", F.col("short").alias("bits")), "rep")
-    tiles = tiles.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high", "n", "rep")
+    tiles = sized.join(tile.select("token", "band", blocks.alias("blocks")), ["token", "band"]).withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = tiles.select("token", "band", "rep", "n", "component", "guest", "own", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high")).join(signed.select("rep", F.col("short").alias("bits")), "rep")
+    tiles = tiles.repartition("token", "band", "low", "high").sortWithinPartitions("token", "band", "low", "high", "n", "rep")
     second = linked(tiles.mapInArrow(lambda it: _tile_pairs(it, percent), "a long, b long").distinct())
     links = first.union(second).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     whole = C.components(links) if second.limit(1).count() else labels
     named = classes.select("sig1", "sig2", "rep").join(whole.withColumnRenamed("node", "rep"), "rep", "left").select("sig1", "sig2", F.coalesce("component", "rep").alias("component_id"))
     out = meta.select("id", F.col("n").alias("n_shingles"), "sig1", "sig2").join(named, ["sig1", "sig2"], "left").select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    nameless = every.where("id is null").mapInArrow(lambda it: _summaries(it, k), SUMMARY).where("kind = 0")
+    out = out.unionByName(nameless.select("id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
     return {"documents": out, "classes": classes.select("rep", "sig1", "sig2"), "links": links}
 
 

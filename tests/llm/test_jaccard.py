@@ -39,6 +39,34 @@ def test_same_components_as_all_pairs(spark, monkeypatch, frequent, tile):
     assert got == brute.jaccard(docs)
 
 
+@pytest.mark.parametrize("tile", [4, 256])
+def test_every_link_between_different_sets(spark, monkeypatch, tile):
+    monkeypatch.setattr(J, "TILE", tile)
+    docs = list(enumerate(texts(7)))
+    got = J.jaccard_join(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), every_link=True)
+    sets = {i: frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []) for i, t in docs for w in [brute.WORD.findall(brute.lower(t))]}
+    least = {}
+    for i, s in sets.items():
+        if s:
+            least.setdefault(s, i)
+    reps = sorted(least.values())
+    want = {(a, b) for a in reps for b in reps if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert len(want) > 30 and {tuple(r) for r in got["links"].collect()} == want
+    assert {r["id"]: (r["n_shingles"], r["component_id"]) for r in got["documents"].collect()} == brute.jaccard(docs)
+
+
+def test_sets_that_link_are_in_neighbouring_bands(spark):
+    pairs = [(a, b) for a in range(1, 400) for b in range(a, min(a * 4 // 3, 399) + 1) if 100 * a >= 75 * b]
+    df = spark.createDataFrame(pairs, "a long, b long").select((J.band(J.F.col("b"), 75) - J.band(J.F.col("a"), 75)).alias("d"))
+    assert {r["d"] for r in df.distinct().collect()} == {0, 1}
+
+
+def test_null_ids_are_linked_with_nothing(spark):
+    docs = [(None, "a b c d e f"), (None, None), (4, "a b c d e f"), (7, "A b c d e f")]
+    rows = J.jaccard_join(spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, band int"))["documents"].collect()
+    assert sorted(map(tuple, rows), key=repr) == [(4, 2, 4), (7, 2, 4), (None, 0, None), (None, 2, None)]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert J.jaccard_join(df)["documents"].collect() == []
