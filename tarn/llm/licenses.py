@@ -252,7 +252,7 @@ OP8_SQL = f"""
 WITH t AS (SELECT DISTINCT name, {_BIGRAMS} AS b FROM (SELECT name, regexp_extract_all(lower(x), '[a-z0-9]+') AS ws FROM (VALUES {_values()}) AS v(name, x))),
 d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
 s AS (SELECT doc_id, x AS s FROM d UNION ALL SELECT doc_id, unnest(string_split(x, chr(10))) FROM d UNION ALL SELECT doc_id, unnest(regexp_split_to_array(x, '[.!?][ \\t\\r\\f\\n]+|\\n')) FROM d),
-g AS (SELECT doc_id, array_to_string(ws, ' ') AS norm, {_BIGRAMS} AS b FROM (SELECT DISTINCT doc_id, regexp_extract_all(s, '[a-z0-9]+') AS ws FROM s) WHERE len(ws) BETWEEN 2 AND 500),
+g AS (SELECT doc_id, array_to_string(ws, ' ') AS norm, {_BIGRAMS} AS b FROM (SELECT DISTINCT doc_id, regexp_extract_all(s, '[a-z0-9]+') AS ws FROM s) WHERE len(ws) >= 2),
 m AS (SELECT doc_id, norm, name, 2 * len(list_intersect(g.b, t.b)) / (len(g.b) + len(t.b)) AS dice FROM g JOIN t ON 80 * (len(g.b) + len(t.b)) <= 200 * least(len(g.b), len(t.b)) WHERE 200 * len(list_intersect(g.b, t.b)) >= 80 * (len(g.b) + len(t.b))),
 f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, norm ORDER BY dice DESC, name) AS r FROM m),
 o AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, count(*) AS n, max(dice) AS best FROM f WHERE r = 1 GROUP BY doc_id)

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,32 +100,43 @@ def digest(words: list[bytes]) -> bytes:
 def _known(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """For every span asked for, the digest of its words and, where its representative has several, of each window's."""
     for batch in batches:
-        texts = batch.column("text").cast(pa.binary())
-        for i in range(len(batch)):
-            words = (texts[i].as_py() or b"").split()
-            id_ = batch.column("id")[i].as_py()
-            rows = batch.column("asked")[i].as_py()
-            out = [[r[c] for r in rows] for c in ("anchor", "span")] + [[id_] * len(rows)] + [[r[c] for r in rows] for c in ("last", "n")]
-            whole = [digest(words[r["s"] : r["e"] + window]) for r in rows]
-            single = [[digest(words[j : j + window]) for j in range(r["s"], r["e"] + 1)] if r["several"] else None for r in rows]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out), pa.array(whole, pa.binary()), pa.array(single, pa.list_(pa.binary()))], names=["anchor", "span", "id", "last", "n", "words", "windows"])
+        asked = batch.column("asked")
+        rows = asked.flatten()
+        n = asked.value_lengths().to_numpy()
+        s, e, several = (rows.field(c).to_pylist() for c in ("s", "e", "several"))
+        whole: list[bytes] = []
+        single: list[list[bytes] | None] = []
+        at = 0
+        for text, m in zip(batch.column("text").cast(pa.binary()).to_pylist(), n.tolist(), strict=True):
+            words = (text or b"").split()
+            for k in range(at, at + m):
+                whole.append(digest(words[s[k] : e[k] + window]))
+                single.append([digest(words[j : j + window]) for j in range(s[k], e[k] + 1)] if several[k] else None)
+            at += m
+        ids = pa.array(np.repeat(batch.column("id").to_numpy(zero_copy_only=False), n))
+        kept = {c: rows.field(c) for c in ("anchor", "span", "last", "n")}
+        yield pa.RecordBatch.from_arrays([kept["anchor"], kept["span"], ids, kept["last"], kept["n"], pa.array(whole, pa.binary()), pa.array(single, pa.list_(pa.binary()))], names=["anchor", "span", "id", "last", "n", "words", "windows"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], window: int, with_text: bool) -> Iterator[pa.RecordBatch]:
     """Take the words of the windows s..e out of every text, if they are those of the digest that came with them."""
     for batch in batches:
         texts, cuts = batch.column("text").to_pylist(), batch.column("cuts")
+        rows = cuts.flatten()
+        starts, ends, digests = (rows.field(c).to_pylist() for c in ("s", "e", "words"))
         n, removed, sha, kept_texts = [], [], [], []
-        for i, text in enumerate(texts):
+        at = 0
+        for text, m in zip(texts, pc.fill_null(cuts.value_lengths(), 0).to_pylist(), strict=True):
             words = (text or "").encode().split()
             gone = 0
             kept = words
-            if cuts[i].is_valid:
+            if m:
                 edge = np.zeros(len(words) + 1, np.int64)
-                for c in cuts[i].as_py():
-                    if c["words"] is None or c["words"] == digest(words[c["s"] : c["e"] + window]):
-                        edge[c["s"]] += 1
-                        edge[c["e"] + window] -= 1
+                for k in range(at, at + m):
+                    if digests[k] is None or digests[k] == digest(words[starts[k] : ends[k] + window]):
+                        edge[starts[k]] += 1
+                        edge[ends[k] + window] -= 1
+                at += m
                 keep = np.cumsum(edge[:-1]) == 0
                 gone = len(words) - int(keep.sum())
                 kept = [words[j] for j in np.flatnonzero(keep)]
@@ -215,7 +227,6 @@ class FingerprintIndex:
         for name in self.runs:
             rows = rows.unionByName(self.spark.table(name).join(mine, "anchor", "left_semi").withColumn("now", F.lit(False)))
         self.runs.append(new)
-        rows = rows.repartition("anchor")  # the batch and what the merge joins found
         here = F.sum(F.when(F.col("now"), F.col("n")).otherwise(0))
         known = rows.groupBy("anchor", "span").agg(first.alias("f"), F.max("last").alias("last"), here.alias("n"))
         many = known.groupBy("anchor").agg(F.min("span").alias("low"), F.max("span").alias("high"))
