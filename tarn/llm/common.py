@@ -71,9 +71,14 @@ def dropped(*tables: DataFrame) -> None:
     for t in tables:
         for path in {f.rpartition("/")[0] for f in t.inputFiles()}:
             delete(t.sparkSession, path)
-    gc.collect()
     if tables:
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
+        released(tables[0].sparkSession)
+
+
+def released(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files and checkpoints of steps that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -298,6 +298,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.mapInArrow(lambda it: _prefixes(it, k, percent, frequent), "token long, id long")
     shared = rows.repartition("token").sortWithinPartitions("token", "id").mapInArrow(_shared, "token long, id long, lead long")
     shared = C.checkpointed(shared)
+    del rows
+    C.released(spark)  # the prefixes of all sets, the largest shuffle
     rep_of = C.checkpointed(rep_of)
     shared = C.checkpointed(shared.join(rep_of, "id").join(rep_of.select(F.col("id").alias("lead"), F.col("rep").alias("lead_rep")), "lead").select("token", "rep", "lead_rep").distinct())
 
@@ -320,6 +322,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     placed = shared.select("token", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     apart = placed.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("token")
     sized = placed.join(apart, "token").join(signed.select("rep", "n"), "rep").withColumn("at", band(F.col("n"), percent))
+    C.released(spark)
     sized = C.checkpointed(sized.withColumn("band", F.explode(F.array(F.col("at"), F.col("at") - 1))).withColumn("guest", F.col("band") < F.col("at")).drop("at"))
     # a tile needs a member besides what else it has, from another component
     tile = sized.groupBy("token", "band").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size"), F.bool_and("guest").alias("guests")).where("least <> most and not guests")
