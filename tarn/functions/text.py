@@ -8,6 +8,26 @@ from pyspark.sql import functions as F
 #: Glyph and patterns of the cleaning rules.
 BULLET = "•"
 EMAIL = r"[\w.+-]+@[\w-]+\.[\w.-]+"
+#: Words without content, affixes of the stemmer in the order they are tried, words that mark English text.
+STOP = (
+    "yang dan di ke dari untuk pada dengan dalam adalah atau apa siapa bagaimana kapan mana saja apakah itu ini ada tidak bisa dapat oleh sebagai akan "
+    "juga agar jika maka tersebut para serta secara harus telah sudah bagi antara tentang terhadap sebuah suatu setiap kepada karena namun tetapi lain "
+    "lainnya kah nya yg utk dgn dr pd berapa mengapa kenapa apabila bila hal seperti sesuai berdasarkan menurut kalau gimana gmn buat aja sih dong nih "
+    "kalo emang kok terus lalu"
+).split()
+SUFFIXES = "kannya annya nya kan lah kah pun an i".split()
+PREFIXES = "memper meng meny mem men me peng peny pem pen per ber ter di ke se".split()
+ENGLISH = "the of and for in shall article chapter with paragraph is are that provisions rights carried out based".split()
+PRONOUNS = "anda kami saya mereka beliau".split()
+#: Citations, bibliography, references to a given context, questions that name their own source, metadata.
+BOILERPLATE = r"(?i)Lembaran Negara|Berita Negara|Tambahan Lembaran|Mengingat\s*:|Menimbang\s*:|Undang-Undang Nomor|Peraturan Menteri|Peraturan Pemerintah Nomor"
+BIBLIOGRAPHY = r"\((?:[A-Z][^()]{2,40}:\s*)?[^()]{3,70},\s*(?:19|20)[0-9]{2}\)"
+CONTEXT_REFERENCE = (
+    r"(?i)berdasarkan (rujukan|informasi|konteks|teks|dokumen|data|penjelasan)[^,.?]{0,25}(diberikan|disediakan|tersebut|ini)|dalam konteks yang diberikan"
+    r"|menurut (teks|konteks|dokumen) (di atas|tersebut|ini)|yang (diberikan|disebutkan) (dalam|di) (konteks|teks)"
+)
+SELF_CITING = r"(?i)pasal\s*[0-9]+[^?]{0,60}?(nomor|no\.)\s*[0-9]+|(permendagri|undang-undang|perda|perbup|peraturan pemerintah)\s*(nomor|no\.)?\s*[0-9]+\s*tahun\s*[0-9]{4}"
+METADATA_ONLY = r"(?i)berstatus\s*['\"‘’]?\s*(tidak|masih)\s+berlaku|berdasarkan metadata|metadata dokumen|status\s+(keberlakuan|dokumen|peraturan)\b"
 
 
 def _text(x: Column) -> Column:
@@ -26,7 +46,8 @@ def clean_page(x: Column) -> Column:
 
 
 def clean_cell(x: Column) -> Column:
-    return trimmed(F.regexp_replace(F.replace(_text(x), F.lit(BULLET), F.lit("")), r"\s+", " "))
+    """Without the glyph of lists, blanks and tabs collapsed, trimmed; line breaks stay."""
+    return trimmed(F.regexp_replace(F.replace(_text(x), F.lit(BULLET), F.lit("")), r"[ \t]+", " "))
 
 
 def cell_lines(x: Column) -> Column:
@@ -113,12 +134,56 @@ def words(x: Column) -> Column:
 
 
 def content_tokens(x: Column) -> Column:
-    """Runs of ASCII letters and digits of three characters or more, in lower case."""
-    return F.filter(F.regexp_extract_all(F.lower(_text(x)), F.lit("([a-z0-9]+)"), F.lit(1)), lambda t: F.length(t) >= 3)
+    """Runs of ASCII letters and digits of three characters or more that aren't stop-words, in lower case."""
+    return F.filter(F.regexp_extract_all(F.lower(_text(x)), F.lit("([a-z0-9]+)"), F.lit(1)), lambda t: (F.length(t) >= 3) & ~t.isin(*STOP))
 
 
-def token_key(t: Column) -> Column:
-    return F.when(t.rlike("^[0-9]+$"), t).otherwise(F.substring(t, 1, 6))
+def _first(w: Column, choices: list[tuple[Column, Column]]) -> Column:
+    out = w
+    for test, to in reversed(choices):
+        out = F.when(test, to).otherwise(out)
+    return out
+
+
+def unsuffixed(w: Column) -> Column:
+    """Without the longest of the suffixes that leaves more than three letters."""
+    return _first(w, [((F.length(w) > len(s) + 3) & w.endswith(s), F.left(w, F.length(w) - len(s))) for s in SUFFIXES])
+
+
+def unprefixed(w: Column) -> Column:
+    """Without the first of the prefixes that leaves more than three letters."""
+    return _first(w, [((F.length(w) > len(p) + 3) & w.startswith(p), F.substring(w, F.lit(len(p) + 1), F.length(w))) for p in PREFIXES])
+
+
+def stems(tokens: Column) -> Column:
+    return F.transform(F.transform(tokens, unsuffixed), unprefixed)
+
+
+def keys(tokens: Column) -> Column:
+    """What tokens are matched by: numbers as they are, words by the first six letters of their stem."""
+    return F.transform(stems(tokens), lambda t: F.when(t.rlike("^[0-9]+$"), t).otherwise(F.substring(t, 1, 6)))
+
+
+def is_english(x: Column) -> Column:
+    """Whether more than one word in twenty marks English."""
+    tokens = F.regexp_extract_all(F.lower(_text(x)), F.lit("([a-z]+)"), F.lit(1))
+    return (F.size(tokens) > 0) & (20 * F.size(F.filter(tokens, lambda t: t.isin(*ENGLISH))) > F.size(tokens))
+
+
+def boilerplate(x: Column) -> Column:
+    """How much of a text is citations and bibliography: 12 and 25 words for each, over its words."""
+    hits = 12.0 * F.regexp_count(_text(x), F.lit(BOILERPLATE)) + 25.0 * F.regexp_count(_text(x), F.lit(BIBLIOGRAPHY))
+    return F.least(F.lit(1.0), hits / F.greatest(F.lit(1), F.regexp_count(_text(x), F.lit(r"(?U)\w+"))))
+
+
+def hard_anchors(x: Column) -> Column:
+    """The first twelve distinct e-mail addresses and numbers, then capitalised words inside sentences in lower case."""
+    x = _text(x)
+    hard = F.regexp_extract_all(x, F.lit(r"([\w.\-]+@[\w.\-]+|\b[0-9][0-9.,/-]*[0-9]\b|\b[0-9]+\b)"), F.lit(1))
+    sentences = F.split(F.regexp_replace(x, r"([.;:])\s+", "$1\n"), "\n")
+    inner = F.flatten(F.transform(sentences, lambda s: F.slice(F.regexp_extract_all(s, F.lit("([A-Za-zÀ-ÿ]+)"), F.lit(1)), 2, 1 << 30)))
+    proper = F.transform(F.filter(inner, lambda w: w.rlike("^[A-ZÀ-ÖØ-Þ]") & ~F.lower(w).isin(*STOP, *PRONOUNS)), F.lower)
+    return F.slice(F.array_distinct(F.concat(hard, proper)), 1, 12)
 
 
 def char_ratio(x: Column) -> Column:

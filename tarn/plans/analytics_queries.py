@@ -97,40 +97,6 @@ def cost_estimate(spark, sf_dir):
     return table(spark, sf_dir, "labels").agg((good * 3 + _n(F.col("toxic") == 0) * 2).alias("calls"), good.alias("eligible"))
 
 
-_KEYS = "k AS (SELECT doc_id, source, CASE WHEN regexp_matches(t, '^[0-9]+$') THEN t ELSE substr(t, 1, 6) END AS key FROM (SELECT doc_id, source, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) >= 3)) AS t FROM documents))"
-_IDF = f"WITH {_KEYS}, n AS (SELECT count(*) AS n FROM documents), idf AS (SELECT key, count(DISTINCT doc_id) AS df, round(greatest(ln(any_value(n) / (1 + count(DISTINCT doc_id))) + 1, 0.05), 6) AS idf FROM k, n GROUP BY key) "
-
-
-def _keys(docs):
-    return docs.select("doc_id", F.explode(F.transform(T.content_tokens(F.col("text")), T.token_key)).alias("key"))
-
-
-def _idf(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    df = _keys(docs).distinct().groupBy("key").agg(F.count("*").alias("df"))
-    total = docs.agg(F.count("*").alias("n"))
-    return df.join(F.broadcast(total)).select("key", "df", F.round(F.greatest(F.log(F.col("n") / (1 + F.col("df"))) + 1, F.lit(0.05)), 6).alias("idf"))
-
-
-@query(_IDF + "SELECT key, df, idf FROM idf")
-def corpus_idf(spark, sf_dir):
-    return _idf(spark, sf_dir)
-
-
-_COVER = """, b AS (SELECT item_id, CASE WHEN regexp_matches(t, '^[0-9]+$') THEN t ELSE substr(t, 1, 6) END AS key FROM (SELECT item_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) >= 3)) AS t FROM benchmark)),
-h AS (SELECT DISTINCT key FROM k WHERE doc_id % 20 = 0) """
-
-
-@query(_IDF + _COVER + "SELECT item_id, round(sum(CASE WHEN h.key IS NOT NULL THEN coalesce(idf, 1) ELSE 0 END) / sum(coalesce(idf, 1)), 5) AS coverage FROM b LEFT JOIN idf USING (key) LEFT JOIN h USING (key) GROUP BY item_id")
-def idf_coverage(spark, sf_dir):
-    """How much of each passage's rare tokens a part of the corpus (ids divisible by 20) supports."""
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    held = _keys(table(spark, sf_dir, "documents").where("doc_id % 20 = 0")).select("key").distinct().withColumn("held", F.lit(1))
-    w = F.coalesce("idf", F.lit(1.0))
-    rows = _keys(asked).join(_idf(spark, sf_dir), "key", "left").join(held, "key", "left")
-    return rows.groupBy(F.col("doc_id").alias("item_id")).agg(F.round(F.sum(F.when(F.col("held") == 1, w).otherwise(0.0)) / F.sum(w), 5).alias("coverage"))
-
-
 @query("SELECT source, max_by(text, doc_id) AS text, max(doc_id) AS doc_id FROM documents GROUP BY source")
 def gold_index_last_wins(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.max_by("text", "doc_id").alias("text"), F.max("doc_id").alias("doc_id"))
@@ -160,34 +126,6 @@ def leakage_verdict(spark, sf_dir):
     return _jaccard(spark, sf_dir).select("item_id", "doc_id", F.when(F.col("jaccard") >= 0.2, "regenerate").otherwise("ok").alias("verdict"))
 
 
-@query(r"SELECT doc_id, round(least(1, (12 * len(regexp_extract_all(text, '(?i)licen[sc]ed?')) + 25 * len(regexp_extract_all(text, '(?i)copyright'))) / greatest(1, len(regexp_extract_all(text, '[a-zA-Z0-9]+')))), 6) AS fraction FROM documents")
-def boilerplate_fraction(spark, sf_dir):
-    x = F.col("text")
-    hits = 12 * F.regexp_count(x, F.lit("(?i)licen[sc]ed?")) + 25 * F.regexp_count(x, F.lit("(?i)copyright"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(F.least(F.lit(1.0), hits / F.greatest(F.lit(1), F.regexp_count(x, F.lit("[a-zA-Z0-9]+")))), 6).alias("fraction"))
-
-
-@query(r"""WITH p AS (SELECT doc_id, regexp_extract_all(text, '[0-9]+') AS n, regexp_extract_all(substr(text, 1, 2000), '[\p{L}\p{N}_]+') AS there FROM documents),
-k AS (SELECT doc_id, CASE WHEN len(n) > 2 THEN list_filter(n, lambda x: x NOT IN ('1', '2', '3')) ELSE n END AS n, there FROM p)
-SELECT doc_id, CASE WHEN len(n) = 0 THEN 1.0 ELSE round(len(list_filter(n, lambda x: list_contains(there, x))) / len(n), 6) END AS support FROM k""")
-def number_support(spark, sf_dir):
-    """How many of a text's numbers its first 2000 characters hold as words."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(T.number_support(F.col("text"), F.substring("text", 1, 2000)), 6).alias("support"))
-
-
-@query("SELECT doc_id, CASE WHEN toxic = 1 THEN 'reject' WHEN quality = 1 AND n_chars >= 1000 THEN 'A' WHEN quality = 1 THEN 'B' WHEN quality IS NULL THEN '?' ELSE 'C' END AS tier FROM documents LEFT JOIN labels USING (doc_id)")
-def quality_tier(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    return rows.select("doc_id", F.when(F.col("toxic") == 1, "reject").when((F.col("quality") == 1) & (F.col("n_chars") >= 1000), "A").when(F.col("quality") == 1, "B").when(F.col("quality").isNull(), "?").otherwise("C").alias("tier"))
-
-
-@query("SELECT source, doc_id, n FROM (SELECT source, doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY md5('17:' || doc_id), doc_id) AS INTEGER) AS n FROM documents) WHERE n <= 5")
-def stratified_sample(spark, sf_dir):
-    """Five of each source, in an order that a seed and the id decide."""
-    order = Window.partitionBy("source").orderBy(F.md5(F.concat(F.lit("17:"), F.col("doc_id").cast("string"))), "doc_id")
-    return table(spark, sf_dir, "documents").select("source", "doc_id", F.row_number().over(order).alias("n")).where("n <= 5")
-
-
 @query("SELECT count(*) AS n, count(*) FILTER (text IS NULL OR text = '') AS empty, count(*) FILTER (length(text) <> n_chars) AS wrong_length, count(*) - count(DISTINCT doc_id) AS repeated, max(doc_id) - min(doc_id) + 1 - count(DISTINCT doc_id) AS missing FROM documents")
 def quality_assertions(spark, sf_dir):
     x = F.coalesce("text", F.lit(""))

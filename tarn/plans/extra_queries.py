@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tarn.functions import text as T
-from tarn.plans.analytics_queries import _idf, _KEYS, _keys, _n
+from tarn.plans.analytics_queries import _n
 from tarn.plans.registry import query, table
 
 
@@ -35,40 +35,6 @@ def faithfulness_proxy(spark, sf_dir):
     return rows.groupBy("source").agg(good.alias("supported"), F.count("*").alias("claims"), F.round(good / F.count("*"), 6).alias("faithfulness"))
 
 
-@query("SELECT source, lang, CAST(round_even(n * 0.3, 0) AS BIGINT) AS planned FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2)")
-def query_type_plan(spark, sf_dir):
-    """How many of each stratum a plan takes, halves to even."""
-    return table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n")).select("source", "lang", F.bround(F.col("n") * 0.3, 0).cast("long").alias("planned"))
-
-
-@query("SELECT doc_id, n > 1 AS redundant FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY n_chars % 7 DESC, doc_id) AS n FROM documents)")
-def redundancy_marking(spark, sf_dir):
-    """Of equal texts the one with the best score stays, the first of equal scores."""
-    order = Window.partitionBy("text").orderBy(F.desc(F.col("n_chars") % 7), "doc_id")
-    return table(spark, sf_dir, "documents").select("doc_id", (F.row_number().over(order) > 1).alias("redundant"))
-
-
-@query(f"""WITH {_KEYS}, n AS (SELECT count(*) AS n FROM documents), idf AS (SELECT key, round(greatest(ln(any_value(n) / (1 + count(DISTINCT doc_id))) + 1, 0.05), 6) AS idf FROM k, n GROUP BY key),
-b AS (SELECT DISTINCT item_id, CASE WHEN regexp_matches(t, '^[0-9]+$') THEN t ELSE substr(t, 1, 6) END AS key FROM (SELECT item_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) >= 3)) AS t FROM benchmark)),
-r AS (SELECT item_id, key, row_number() OVER (PARTITION BY item_id ORDER BY coalesce(idf, 99) DESC, key) AS r, count(*) OVER (PARTITION BY item_id) AS n FROM b LEFT JOIN idf USING (key)),
-h AS (SELECT DISTINCT key FROM k WHERE doc_id % 20 = 0)
-SELECT item_id, count(*) AS terms, count(h.key) AS held FROM r LEFT JOIN h USING (key) WHERE r <= greatest(4, least(8, n // 2 + 2)) GROUP BY item_id""")
-def lexical_overlap(spark, sf_dir):
-    """Of each passage's rarest terms, 4 to 8 by its length, those that a part of the corpus holds."""
-    asked = _keys(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")).distinct()
-    by = Window.partitionBy("doc_id")
-    ranked = asked.join(_idf(spark, sf_dir), "key", "left").withColumn("r", F.row_number().over(by.orderBy(F.desc(F.coalesce("idf", F.lit(99.0))), "key"))).withColumn("n", F.count("*").over(by))
-    held = _keys(table(spark, sf_dir, "documents").where("doc_id % 20 = 0")).select("key").distinct().withColumn("held", F.lit(1))
-    top = ranked.where("r <= greatest(4, least(8, n div 2 + 2))").join(held, "key", "left")
-    return top.groupBy(F.col("doc_id").alias("item_id")).agg(F.count("*").alias("terms"), F.count("held").alias("held"))
-
-
-@query("SELECT c_custkey, CASE WHEN c_acctbal >= 7000 THEN 'lexical' WHEN c_acctbal >= 0 THEN 'semantic' ELSE 'complex' END AS kind FROM customer")
-def reclassify(spark, sf_dir):
-    x = F.col("c_acctbal")
-    return table(spark, sf_dir, "customer").select("c_custkey", F.when(x >= 7000, "lexical").when(x >= 0, "semantic").otherwise("complex").alias("kind"))
-
-
 @query("SELECT user_id, round(sum(CASE WHEN event_type = 'click' THEN value END), 4) AS click, round(sum(CASE WHEN event_type = 'view' THEN value END), 4) AS view, round(sum(value), 4) AS total FROM events GROUP BY user_id")
 def latency_table(spark, sf_dir):
     """Stages as columns for each query."""

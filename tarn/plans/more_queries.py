@@ -29,18 +29,6 @@ def agent_rounds(spark, sf_dir):
     return selection.search_rounds(asked, corpus)
 
 
-@query(r"""WITH t AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS x FROM conversations WHERE role = 'user')
-SELECT a.conv_id, a.turn AS a, b.turn AS b, round(len(list_intersect(a.x, b.x)) / (len(a.x) + len(b.x) - len(list_intersect(a.x, b.x))), 6) AS jaccard FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn < b.turn
-WHERE round(len(list_intersect(a.x, b.x)) / (len(a.x) + len(b.x) - len(list_intersect(a.x, b.x))), 6) >= 0.02""")
-def near_duplicate_pairs(spark, sf_dir):
-    """Pairs of user turns of a conversation with token Jaccard from a threshold on."""
-    rows = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.array_distinct(T.words(F.col("text"))).alias("x"))
-    b = rows.select("conv_id", F.col("turn").alias("b"), F.col("x").alias("y"))
-    pairs = rows.withColumnRenamed("turn", "a").join(b, "conv_id").where("a < b")
-    both = F.size(F.array_intersect("x", "y"))
-    return pairs.select("conv_id", "a", "b", F.round(both / (F.size("x") + F.size("y") - both), 6).alias("jaccard")).where("jaccard >= 0.02")
-
-
 @query(r"""WITH p AS (SELECT item_id, doc_id, regexp_extract_all(lower(b.text), '[\p{L}\p{N}_]+') AS x, regexp_extract_all(lower(d.text), '[\p{L}\p{N}_]+') AS y FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
 x AS (SELECT item_id, doc_id, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS t FROM p), y AS (SELECT item_id, doc_id, unnest(range(1, len(y) + 1)) AS j, unnest(y) AS t FROM p),
 m AS (SELECT item_id, doc_id, i, i - j AS d FROM x JOIN y USING (item_id, doc_id, t)),
@@ -113,14 +101,6 @@ def answer_selection(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.when(n("system") > 0, "INVALID").when(n("assistant") == 0, "NONE").otherwise("COMBINED").alias("prompt"), F.max_by(F.when(said, F.col("text")), F.when(said, F.col("turn"))).alias("answer"))
 
 
-@query("WITH k AS (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY length(t) DESC, t) AS r FROM (SELECT DISTINCT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) >= 3)) AS t FROM documents)) SELECT doc_id, string_agg(t, ' ' ORDER BY r) AS anchors FROM k WHERE r <= 4 GROUP BY doc_id")
-def anchors_of(spark, sf_dir):
-    """The four longest distinct tokens of each text."""
-    tokens = F.array_distinct(T.content_tokens(F.col("text")))
-    sorted_ = F.sort_array(F.transform(tokens, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t"))))
-    return table(spark, sf_dir, "documents").where(F.size(tokens) > 0).select("doc_id", F.array_join(F.transform(F.slice(sorted_, 1, 4), lambda s: s["t"]), " ").alias("anchors"))
-
-
 @query("SELECT c_mktsegment AS bucket, c_custkey AS id, CAST(r AS INTEGER) AS n FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer) WHERE r <= 3")
 def tie_broken_top(spark, sf_dir):
     return R.top(table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("bucket"), F.col("c_custkey").alias("id"), "c_acctbal"), 3, ["bucket"], F.desc("c_acctbal"), "id").select("bucket", "id", F.col("rank").alias("n"))
