@@ -323,7 +323,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     apart = placed.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("token")
     sized = placed.join(apart, "token").join(signed.select("rep", "n"), "rep").withColumn("at", band(F.col("n"), percent))
     C.released(spark)
-    sized = C.checkpointed(sized.withColumn("band", F.explode(F.array(F.col("at"), F.col("at") - 1))).withColumn("guest", F.col("band") < F.col("at")).drop("at"))
+    sized = C.checkpointed(sized).withColumn("band", F.explode(F.array(F.col("at"), F.col("at") - 1))).withColumn("guest", F.col("band") < F.col("at")).drop("at")
     # a tile needs a member besides what else it has, from another component
     tile = sized.groupBy("token", "band").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size"), F.bool_and("guest").alias("guests")).where("least <> most and not guests")
     blocks = F.ceil(F.col("size") / TILE).cast("int")  # a tile of many members becomes tiles of pairs of blocks
