@@ -40,7 +40,8 @@ def manner(words: Column, text: Column) -> Column:
 
 
 def with_fingerprint(df: DataFrame, text: Column, out: str, gram: int = GRAM, window: int = WINDOW, like: Column | None = None) -> DataFrame:
-    """df with out: the chosen (place, hash) of the text in order of place.
+    """df with out and <out>_at: the chosen hashes of the text in order of place, and their places, in arrays of their own
+    (pairs would take three times the room).
 
     A text is fingerprinted in the manner of like, its own by default. A text of fewer words or characters than a run has
     one hash of all of them, without words none; with fewer hashes than a window holds, all are kept. Places of runs of
@@ -68,18 +69,15 @@ def with_fingerprint(df: DataFrame, text: Column, out: str, gram: int = GRAM, wi
         step = min(reach, window - reach)
         df = df.withColumn("_m", F.transform(F.slice("_m", 1, F.size("_m") - step), _least_with(step)))
         reach += step
-    place = lambda v: (F.lit(PLACES) - v.bitwiseAND(F.lit(PLACES))).cast("int")
-    chosen = F.transform(F.array_distinct("_m"), lambda v: F.struct(place(v).alias("place"), F.get("_h", place(v)).alias("hash")))
-    return df.withColumn(out, F.coalesce("_short", chosen)).drop("_w", "_c", "_how", "_h", "_m", "_short")
+    df = df.withColumn("_at", F.transform(F.array_distinct("_m"), lambda v: (F.lit(PLACES) - v.bitwiseAND(F.lit(PLACES))).cast("int")))
+    hashes_ = F.coalesce(F.transform("_short", lambda v: v["hash"]), F.transform("_at", lambda i: F.get("_h", i)))
+    places = F.coalesce(F.transform("_short", lambda v: v["place"]), F.col("_at"))
+    return df.withColumn(out, hashes_).withColumn(f"{out}_at", places).drop("_w", "_c", "_how", "_h", "_m", "_short", "_at")
 
 
-def hashes(values: Column) -> Column:
-    return F.array_distinct(F.transform(values, lambda v: v["hash"]))
-
-
-def shown(values: Column) -> Column:
+def shown(name: str) -> Column:
     """A fingerprint as text: place:hash, in order of place."""
-    return F.array_join(F.transform(values, lambda v: F.concat(v["place"].cast("string"), F.lit(":"), F.lower(F.hex(v["hash"])))), " ")
+    return F.array_join(F.zip_with(f"{name}_at", name, lambda i, h: F.concat(i.cast("string"), F.lit(":"), F.lower(F.hex(h)))), " ")
 
 
 def likeness(a: str, b: str) -> Column:
@@ -108,7 +106,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null and empty texts have none. Null ids are kept; other columns aren't read. An empty table gives an empty result.
     """
     docs = C.inputs(docs, id=id_col, text=text_col)
-    return with_fingerprint(docs, F.col("text"), "values").select("id", "values", hashes(F.col("values")).alias("hashes"))
+    pair = F.zip_with("h_at", "h", lambda i, h: F.struct(i.alias("place"), h.alias("hash")))
+    return with_fingerprint(docs, F.col("text"), "h").select("id", pair.alias("values"), F.array_distinct("h").alias("hashes"))
 
 
 def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,11 +126,11 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n, cut = F.length("text"), F.floor(F.length("text") / 4)
     edited = docs.join(heads, "id").select("id", "text", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), (n - cut).cast("int")), F.substring("head", F.lit(1), cut.cast("int"))).alias("edited"))
     marked = with_fingerprint(with_fingerprint(edited, F.col("text"), "own"), F.col("edited"), "changed", like=F.col("text"))
-    kept = C.stored(marked.select("id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "own", "changed"))
-    after = kept.groupBy(F.col("id").alias("next_id")).agg(F.min("own").alias("following"))
+    kept = C.stored(marked.select("id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "own", "own_at", "changed", "changed_at"))
+    after = kept.groupBy(F.col("id").alias("next_id")).agg(F.min(F.array_distinct("own")).alias("following"))
     after = links.select("id", "next_id").join(after, "next_id").select("id", "following")
-    out = kept.join(after, "id").select("*", hashes(F.col("own")).alias("a"), hashes(F.col("changed")).alias("b"), hashes(F.col("following")).alias("c"))
-    return out.select(F.nullif("id", F.lit(NO_ID)).alias("id"), "n_chars", "edited_sha256", shown(F.col("own")).alias("fingerprint"), shown(F.col("changed")).alias("edited_fingerprint"), likeness("a", "b").alias("near_edited"), likeness("a", "c").alias("near_next"))
+    out = kept.join(after, "id").select("*", F.array_distinct("own").alias("a"), F.array_distinct("changed").alias("b"), F.col("following").alias("c"))
+    return out.select(F.nullif("id", F.lit(NO_ID)).alias("id"), "n_chars", "edited_sha256", shown("own").alias("fingerprint"), shown("changed").alias("edited_fingerprint"), likeness("a", "b").alias("near_edited"), likeness("a", "c").alias("near_next"))
 
 
 def op4_winnowing(spark, sf_dir: str) -> DataFrame:
