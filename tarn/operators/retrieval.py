@@ -5,42 +5,76 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarn.sources.shared import checkpointed
+
 #: Fixed values of the ranking formulas.
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
-#: Rows up to which one side of an all-pairs scoring may be broadcast.
-BROADCAST_ROWS = 200_000
+#: Bytes up to which one side of an all-pairs scoring, or of a join, may be broadcast.
+BROADCAST_BYTES = 64 << 20
+
 
+def width(df: DataFrame) -> Column:
+    """About how many bytes a row of df takes."""
+    out = F.lit(16)
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            out = out + F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind.startswith("array"):
+            out = out + 8 + F.coalesce(F.size(c), F.lit(0)) * (32 if "string" in kind or "struct" in kind else 8)
+        else:
+            out = out + 8
+    return out
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, hinted for broadcast if it has few rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df, hinted for broadcast if its rows, strings and arrays by their lengths, take few bytes."""
+    bytes_ = df.agg(F.sum(width(df))).first()[0] or 0
+    return F.broadcast(df) if bytes_ <= most else df
 
 
 def bm25(docs: DataFrame, questions: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(q, doc, score[, by...]) of all documents that share a token with a question, by Okapi BM25 on white-space tokens.
 
     docs (doc, text[, by...]), questions (q, text). Statistics are of each group of `by`. Terms in more than half of the
-    documents get EPSILON times the mean idf. Only tokens that questions use are counted further, so the corpus is
-    exploded once and shuffled by (token, doc) counts.
+    documents get EPSILON times the mean idf. Each document's distinct tokens are exploded once for their numbers of
+    documents; occurrences are counted in the row, and only of tokens that questions use.
     """
     by = by or []
     tokens = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda t: t != "")
-    lists = docs.select("doc", *by, tokens(F.col("text")).alias("tokens"))
-    lengths = lists.select("doc", *by, F.size("tokens").alias("dl"), "tokens")
-    stats = lengths.groupBy(*by).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = lengths.select("doc", *by, "dl", F.explode("tokens").alias("token")).groupBy("doc", "dl", *by, "token").agg(F.count("*").alias("tf"))
-    df = tf.groupBy(*by, "token").agg(F.count("*").alias("df"))
-    attach = lambda x: x.join(F.broadcast(stats), by) if by else x.crossJoin(F.broadcast(stats))  # noqa: E731  one row, or one a group
-    raw = attach(df).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    lists = docs.select("doc", *by, tokens(F.col("text")).alias("tokens")).select("doc", *by, F.size("tokens").alias("dl"), "tokens")
+    stats = checkpointed(lists.groupBy(*by).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
+    df = checkpointed(lists.select(*by, F.explode(F.array_distinct("tokens")).alias("token")).groupBy(*by, "token").agg(F.count("*").alias("df")))
+    groups = small(stats)
+    raw = (df.join(groups, by) if by else df.join(groups)).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy(*by).agg(F.avg("idf").alias("mean_idf"))
-    idf = raw.join(F.broadcast(mean), by) if by else raw.crossJoin(F.broadcast(mean))
-    idf = idf.select(*by, "token", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"), "avgdl")
-    asked = questions.select("q", F.explode(tokens(F.col("text"))).alias("token")).groupBy("q", "token").agg(F.count("*").alias("times"))
-    hit = tf.join(small(asked), "token").join(idf, [*by, "token"])
+    asked = checkpointed(questions.select("q", F.explode(tokens(F.col("text"))).alias("token")).groupBy("q", "token").agg(F.count("*").alias("times")))
+    terms = raw.join(small(asked.select("token").distinct()), "token", "left_semi")
+    idf = terms.join(small(checkpointed(mean)), by) if by else terms.join(small(checkpointed(mean)))
+    idf = checkpointed(idf.select(*by, "token", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"), "avgdl"))
+    words = small(asked.select("token").distinct())
+    occurring = lists.select("doc", *by, "dl", F.explode("tokens").alias("token")).join(words, "token", "left_semi")
+    tf = occurring.groupBy("doc", "dl", *by, "token").agg(F.count("*").alias("tf"))
+    hit = tf.join(small(idf), [*by, "token"]).join(small(asked), "token")
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hit.groupBy("q", "doc", *by).agg(F.round(F.sum(part), 6).alias("score"))
 
 
+def bm25_top(docs: DataFrame, questions: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
+    """(q, doc, score, rank[, by...]): the k best of each question (and group), always k where there are as many: documents
+    without a common token score 0 and follow in order of id. Of those only the first k of a group can be needed."""
+    by = by or []
+    scored = bm25(docs, questions, by)
+    best = checkpointed(top(scored, k, ["q", *by], F.desc("score"), "doc").drop("rank"))
+    if by:
+        first = top(docs.select("doc", *by), 2 * k, by, "doc").drop("rank")
+    else:
+        first = docs.select("doc").orderBy("doc").limit(2 * k)
+    # a score may be below 0: those documents come after the ones without a common token
+    none = questions.select("q").join(F.broadcast(first)).join(scored.select("q", "doc"), ["q", "doc"], "left_anti").withColumn("score", F.lit(0.0))
+    return top(best.unionByName(none), k, ["q", *by], F.desc("score"), "doc")
+
+
 def top(scored: DataFrame, k: int, by: list[str], *order: Column | str) -> DataFrame:
     """The first k rows of each group with their rank from 1."""
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
@@ -58,13 +92,21 @@ def squared_distance(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2.0))), F.lit(0.0), lambda s, x: s + x)
 
 
-def dense(queries: DataFrame, corpus: DataFrame, score: Column, k: int, by: list[str] | None = None, descending: bool = True) -> DataFrame:
+def dense(queries: DataFrame, corpus: DataFrame, score: Column, k: int, by: list[str] | None = None, descending: bool = True, unit: bool = False) -> DataFrame:
     """The k best (doc, score, rank) of the corpus for each query, exactly. queries (q, qv) are a batch whose size is
-    checked before it is broadcast; the corpus (doc, dv) is read once, whatever its size."""
-    pairs = corpus.join(small(queries), F.col("q") != F.col("doc")).withColumn("score", score)
+    checked before it is broadcast; the corpus (doc, dv) is read once, whatever its size. With unit, vectors are made of
+    length 1 before they are paired, so that the score can be their product."""
+    if unit:
+        queries, corpus = (df.withColumn(c, normed(c)) for df, c in ((queries, "qv"), (corpus, "dv")))
+    pairs = corpus.join(small(queries), F.col("q") != F.col("doc")).withColumn("score", score).drop("qv", "dv")
     return top(pairs, k, ["q", *(by or [])], F.desc("score") if descending else F.asc("score"), "doc")
 
 
+def normed(v: str) -> Column:
+    """A vector as doubles of length 1."""
+    return F.transform(v, lambda x: x.cast("double") / F.sqrt(dot(v, v)))
+
+
 def rrf(lists: DataFrame, weights: dict[int, float]) -> DataFrame:
     """(q, doc, score, rank) from ranked lists (q, doc, list_no, rank): sums of weight / (RRF_K + rank), ties by the first
     appearance in list order."""

@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tarn.functions import text as T
-from tarn.operators.retrieval import small
+from tarn.operators.containment import holders
 from tarn.plans.registry import query, table
 
 
@@ -106,9 +106,8 @@ _TOKENS = r"WITH p AS (SELECT item_id, doc_id, list_distinct(regexp_extract_all(
 
 
 def _holders(spark, sf_dir):
-    items = small(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item")))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.join(items, F.contains(docs["text"], items["item"]))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
+    return holders(table(spark, sf_dir, "documents").select("doc_id", "text"), items)
 
 
 def _jaccard(spark, sf_dir):

@@ -3,7 +3,10 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tarn.operators import audit, search
 from tarn.operators import retrieval as R
+from tarn.operators.containment import holders
+from tarn.plans import sql as S
 from tarn.plans.registry import query, table
 
 _BM25 = """
@@ -19,8 +22,10 @@ asked AS (SELECT q, token, count(*) AS times FROM (SELECT item_id AS q, unnest(l
 scored AS (SELECT q, doc, tf.source, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
   FROM tf JOIN asked USING (token) JOIN idf ON idf.token = tf.token {on_idf} GROUP BY q, doc, tf.source)
 """
-BM25_GLOBAL = "WITH " + _BM25.format(g="", gb="", on_stats="TRUE", on_mean="TRUE", on_idf="")
-BM25_LOCAL = "WITH " + _BM25.format(g="source,", gb="GROUP BY source", on_stats="d.source = stats.source", on_mean="raw.source = mean.source", on_idf="AND idf.source = tf.source")
+#: Every question with every document of the least ids, at 0 where they share no token: as many as any list can need.
+_PAD = """, padded AS (SELECT q, doc, source, score FROM scored UNION ALL SELECT item_id, doc_id, source, 0.0 FROM benchmark, (SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER ({p} ORDER BY doc_id) AS r FROM documents) WHERE r <= 40) z WHERE NOT EXISTS (SELECT 1 FROM scored s WHERE s.q = item_id AND s.doc = z.doc_id))"""
+BM25_GLOBAL = "WITH " + _BM25.format(g="", gb="", on_stats="TRUE", on_mean="TRUE", on_idf="").rstrip() + _PAD.format(p="")
+BM25_LOCAL = "WITH " + _BM25.format(g="source,", gb="GROUP BY source", on_stats="d.source = stats.source", on_mean="raw.source = mean.source", on_idf="AND idf.source = tf.source").rstrip() + _PAD.format(p="PARTITION BY source")
 _GOLD = "gold AS (SELECT item_id AS q, doc_id AS doc FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 _V = "v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 20 = 0)"
 _COS = "round(list_cosine_similarity(q.e, v.e), 4)"
@@ -34,15 +39,10 @@ def _documents(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text", "source")
 
 
-def _bm25(spark, sf_dir):
-    return R.bm25(_documents(spark, sf_dir).drop("source"), _asked(spark, sf_dir))
-
-
 def _gold(spark, sf_dir):
-    """Documents that hold a question's passage word for word; the passages are broadcast if they are few."""
-    items = R.small(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), F.col("text").alias("item")))
-    docs = _documents(spark, sf_dir)
-    return docs.join(items, F.contains(docs["text"], items["item"])).select("q", "doc")
+    """Documents that hold a question's passage word for word."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), F.col("text").alias("item"))
+    return holders(_documents(spark, sf_dir), items).select("q", "doc")
 
 
 def _vectors(spark, sf_dir):
@@ -52,31 +52,31 @@ def _vectors(spark, sf_dir):
     return asked, v.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("dv"), "label")
 
 
-@query(BM25_GLOBAL + "SELECT q, doc, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc) AS INTEGER) AS rank FROM scored) WHERE rank <= 5")
+@query(BM25_GLOBAL + " SELECT q, doc, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc) AS INTEGER) AS rank FROM padded) WHERE rank <= 5")
 def bm25_topk(spark, sf_dir):
-    return R.top(_bm25(spark, sf_dir), 5, ["q"], F.desc("score"), "doc").select("q", "doc", "score", "rank")
+    return R.bm25_top(_documents(spark, sf_dir).drop("source"), _asked(spark, sf_dir), 5).select("q", "doc", "score", "rank")
 
 
-@query(BM25_LOCAL + "SELECT q, source, doc, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY q, source ORDER BY score DESC, doc) AS INTEGER) AS rank FROM scored) WHERE rank <= 3")
+@query(BM25_LOCAL + " SELECT q, source, doc, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY q, source ORDER BY score DESC, doc) AS INTEGER) AS rank FROM padded) WHERE rank <= 3")
 def bm25_domain_local(spark, sf_dir):
     """Statistics of each source by itself, and the best three of each."""
-    return R.top(R.bm25(_documents(spark, sf_dir), _asked(spark, sf_dir), ["source"]), 3, ["q", "source"], F.desc("score"), "doc").select("q", "source", "doc", "score", "rank")
+    return R.bm25_top(_documents(spark, sf_dir), _asked(spark, sf_dir), 3, ["source"]).select("q", "source", "doc", "score", "rank")
 
 
-_METRICS = f""", {_GOLD}, r AS (SELECT q, doc, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc) AS rank FROM scored) WHERE rank <= 5),
+_METRICS = f""", {_GOLD}, r AS (SELECT q, doc, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc) AS rank FROM padded) WHERE rank <= 5),
 m AS (SELECT r.q, count(*) AS n, count(gold.doc) AS good, count(DISTINCT gold.doc) AS found, min(CASE WHEN gold.doc IS NOT NULL THEN rank END) AS first FROM r LEFT JOIN gold ON gold.q = r.q AND gold.doc = r.doc GROUP BY r.q),
 s AS (SELECT q, count(DISTINCT doc) AS n_gold FROM gold GROUP BY q), per AS (SELECT item_id AS q, CASE WHEN n_gold > 0 THEN CAST(coalesce(found, 0) > 0 AS INTEGER)::DOUBLE END AS hit, CASE WHEN n_gold > 0 THEN coalesce(round(found / n_gold, 6), 0) END AS recall,
 CASE WHEN n_gold > 0 THEN coalesce(round(coalesce(good, 0) / n, 6), 0) END AS "precision", CASE WHEN n_gold > 0 THEN coalesce(round(1 / first, 6), 0) END AS mrr FROM benchmark LEFT JOIN s ON s.q = item_id LEFT JOIN m ON m.q = item_id)"""
 
 
-@query(BM25_GLOBAL.rstrip() + _METRICS + ' SELECT q, hit, recall, "precision", mrr FROM per')
+@query(BM25_GLOBAL + _METRICS + ' SELECT q, hit, recall, "precision", mrr FROM per')
 def retrieval_metrics(spark, sf_dir):
     """hit, recall, precision and mrr at 5 of BM25, against the documents that hold the passage; null without any."""
-    ranked = R.top(_bm25(spark, sf_dir), 5, ["q"], F.desc("score"), "doc")
+    ranked = bm25_topk(spark, sf_dir)
     return R.ranking_metrics(ranked, _gold(spark, sf_dir), _asked(spark, sf_dir), 5)
 
 
-@query(BM25_GLOBAL.rstrip() + _METRICS + " SELECT count(hit) AS n, round(avg(hit), 6) AS hit, round(avg(mrr), 6) AS mrr, round(avg(recall), 6) AS recall FROM per")
+@query(BM25_GLOBAL + _METRICS + " SELECT count(hit) AS n, round(avg(hit), 6) AS hit, round(avg(mrr), 6) AS mrr, round(avg(recall), 6) AS recall FROM per")
 def mrr_at_k(spark, sf_dir):
     return retrieval_metrics(spark, sf_dir).agg(F.count("hit").alias("n"), F.round(F.avg("hit"), 6).alias("hit"), F.round(F.avg("mrr"), 6).alias("mrr"), F.round(F.avg("recall"), 6).alias("recall"))
 
@@ -84,7 +84,7 @@ def mrr_at_k(spark, sf_dir):
 @query(f"WITH {_V} SELECT * FROM (SELECT q.vec_id AS q, v.vec_id AS doc, {_COS} AS score, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, v.vec_id) AS INTEGER) AS rank FROM q JOIN v ON q.vec_id <> v.vec_id) WHERE rank <= 5")
 def dense_topk(spark, sf_dir):
     asked, corpus = _vectors(spark, sf_dir)
-    return R.dense(asked, corpus, F.round(R.cosine("qv", "dv"), 4), 5).select("q", "doc", "score", "rank")
+    return R.dense(asked, corpus, F.round(R.dot("qv", "dv"), 4), 5, unit=True).select("q", "doc", "score", "rank")
 
 
 @query(f"WITH {_V} SELECT * FROM (SELECT q.vec_id AS q, v.vec_id AS doc, round(list_sum(list_transform(list_zip(q.e, v.e), lambda p: pow(p[1] - p[2], 2))), 4) AS score, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_sum(list_transform(list_zip(q.e, v.e), lambda p: pow(p[1] - p[2], 2))), 4), v.vec_id) AS INTEGER) AS rank FROM q JOIN v ON q.vec_id <> v.vec_id) WHERE rank <= 5")
@@ -98,13 +98,13 @@ def dense_topk_scores(spark, sf_dir):
 def dense_filtered(spark, sf_dir):
     """Only one domain, and only scores from a threshold on."""
     asked, corpus = _vectors(spark, sf_dir)
-    return R.dense(asked, corpus.where("label = 3"), F.round(R.cosine("qv", "dv"), 4), 5).where("score >= 0.1").select("q", "doc", "score", "rank")
+    return R.dense(asked, corpus.where("label = 3"), F.round(R.dot("qv", "dv"), 4), 5, unit=True).where("score >= 0.1").select("q", "doc", "score", "rank")
 
 
 @query(f"WITH {_V} SELECT * FROM (SELECT q.vec_id AS q, v.label, v.vec_id AS doc, {_COS} AS score, CAST(row_number() OVER (PARTITION BY q.vec_id, v.label ORDER BY {_COS} DESC, v.vec_id) AS INTEGER) AS rank FROM q JOIN v ON q.vec_id <> v.vec_id) WHERE rank <= 4")
 def fanout_per_domain(spark, sf_dir):
     asked, corpus = _vectors(spark, sf_dir)
-    return R.dense(asked, corpus, F.round(R.cosine("qv", "dv"), 4), 4, ["label"]).select("q", "label", "doc", "score", "rank")
+    return R.dense(asked, corpus, F.round(R.dot("qv", "dv"), 4), 4, ["label"], unit=True).select("q", "label", "doc", "score", "rank")
 
 
 @query(f"WITH {_V} SELECT * FROM (SELECT q.vec_id AS q, v.label, v.vec_id AS doc, {_COS} AS score, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, v.vec_id) AS INTEGER) AS rank FROM q JOIN v ON q.vec_id <> v.vec_id) WHERE rank <= 4")
@@ -113,45 +113,83 @@ def fanout_global_merge(spark, sf_dir):
     return R.top(fanout_per_domain(spark, sf_dir).drop("rank"), 4, ["q"], F.desc("score"), "doc").select("q", "label", "doc", "score", "rank")
 
 
-_RRF = f"""WITH {_V}, c AS (SELECT q.vec_id AS q, v.vec_id AS doc, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, v.vec_id) AS rank, v.label FROM q JOIN v ON q.vec_id <> v.vec_id),
-a AS (SELECT q.vec_id AS q, v.vec_id AS doc, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(v.e[1], 4) DESC, v.vec_id) AS rank FROM q JOIN v ON q.vec_id <> v.vec_id),
-u AS (SELECT q, doc, rank, 1 AS list_no FROM a WHERE rank <= 10 UNION ALL SELECT q, doc, rank, 2 FROM c WHERE rank <= 10),
-f AS (SELECT q, doc, round(sum(0.5 / (60 + rank)), 8) AS score, min((list_no * 100 + rank)) AS first FROM u GROUP BY q, doc),
-r AS (SELECT q, doc, score, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, first, doc) AS INTEGER) AS rank FROM f) """
+def _corpus(spark, sf_dir):
+    """Documents that have a vector, and the benchmark passages with the vectors of their numbers."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("dv"))
+    corpus = _documents(spark, sf_dir).drop("source").join(v, "doc")
+    return corpus, _asked(spark, sf_dir).join(v.select(F.col("doc").alias("q"), F.col("dv").alias("qv")), "q")
 
 
-def _lists(spark, sf_dir):
-    """Two ranked lists of ten: a sparse stand-in (the first dimension) and the dense one."""
-    asked, corpus = _vectors(spark, sf_dir)
-    one = R.dense(asked, corpus, F.round(F.col("dv")[0].cast("double"), 4), 10).select("q", "doc", "rank", F.lit(1).alias("list_no"))
-    two = R.dense(asked, corpus, F.round(R.cosine("qv", "dv"), 4), 10).select("q", "doc", "rank", F.lit(2).alias("list_no"))
-    return one.unionByName(two)
+def _own(sql: str) -> str:
+    """The BM25 twin over documents that have a vector, for passages that have one."""
+    return sql.replace("FROM documents", "FROM own_docs").replace("FROM benchmark", "FROM own_items")
+
+
+_OWN = "own_docs AS (SELECT d.* FROM documents d JOIN embeddings v ON v.vec_id = d.doc_id), own_items AS (SELECT b.* FROM benchmark b JOIN embeddings v ON v.vec_id = b.item_id)"
+_HYBRID = f"""WITH {_OWN}, {_own(BM25_GLOBAL.removeprefix('WITH '))},
+b AS (SELECT q, doc, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc) AS rank FROM padded),
+dv AS (SELECT doc_id AS doc, CAST(embedding AS DOUBLE[]) AS e FROM own_docs JOIN embeddings ON vec_id = doc_id), qv AS (SELECT item_id AS q, CAST(embedding AS DOUBLE[]) AS e FROM own_items JOIN embeddings ON vec_id = item_id),
+c AS (SELECT q, doc, row_number() OVER (PARTITION BY q ORDER BY round(list_cosine_similarity(qv.e, dv.e), 4) DESC, doc) AS rank FROM qv JOIN dv ON q <> doc),
+u AS (SELECT q, doc, rank, 1 AS list_no FROM b WHERE rank <= 10 UNION ALL SELECT q, doc, rank, 2 FROM c WHERE rank <= 10),
+ut AS (SELECT q, u.doc, rank, list_no, coalesce(text, '') AS content FROM u JOIN own_docs ON doc_id = u.doc),
+f AS (SELECT q, content, round(sum(0.5 / (60 + rank)), 8) AS score, min(list_no * 100 + rank) AS first, arg_min(doc, list_no * 100 + rank) AS doc FROM ut GROUP BY q, content),
+r AS (SELECT q, doc, score, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, first, doc) AS INTEGER) AS rank FROM f) """
 
 
-@query(_RRF + "SELECT q, doc, score, rank FROM r")
+@query(_HYBRID + "SELECT q, doc, score, rank FROM r")
 def rrf_fusion(spark, sf_dir):
-    return R.rrf(_lists(spark, sf_dir), {1: 0.5, 2: 0.5}).select("q", "doc", "score", "rank")
+    """BM25 and dense lists of ten, fused by content."""
+    return search.hybrid(*_corpus(spark, sf_dir))
 
 
-@query(_RRF + "SELECT q, doc, score, rank FROM r WHERE rank <= 5")
+@query(_HYBRID + "SELECT q, doc, score, rank FROM r WHERE rank <= 5")
 def hybrid_search(spark, sf_dir):
     """Both lists are ten long whatever k is; the fused list is cut to k."""
     return rrf_fusion(spark, sf_dir).where("rank <= 5")
 
 
-@query(_RRF + ", s AS (SELECT r.q, doc, rank AS prior_rank, round(v.e[2], 4) AS score FROM r JOIN v ON v.vec_id = doc) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, prior_rank) AS INTEGER) AS rank FROM s) WHERE rank <= 3")
+_RERANK = f"""{_HYBRID.rstrip()}, {S.IDF.replace('n AS (SELECT count(*) AS n FROM documents)', 'nn AS (SELECT count(*) AS n FROM documents)').replace('idf AS (', 'kidf AS (', 1).replace(', n GROUP BY key', ', nn GROUP BY key')},
+tk AS (SELECT q, key, count(*) AS times FROM (SELECT item_id AS q, unnest({S.keys(S.tokens('text'))}) AS key FROM own_items) GROUP BY ALL),
+tw AS (SELECT q, key, times * coalesce(idf, (SELECT greatest(ln(nn.n) + 1, 0.05) FROM nn)) AS w FROM tk LEFT JOIN kidf USING (key)),
+dk AS (SELECT doc_id AS doc, list_distinct({S.keys(S.tokens('text'))}) AS ks FROM own_docs),
+rs AS (SELECT r.q, r.doc, any_value(rank) AS prior_rank, coalesce(round(sum(CASE WHEN list_contains(ks, key) THEN w ELSE 0 END) / sum(w), 6), 0) AS score FROM r JOIN dk USING (doc) LEFT JOIN tw ON tw.q = r.q GROUP BY r.q, r.doc),
+rr AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, prior_rank) AS INTEGER) AS rank FROM rs) """
+
+
+@query(_RERANK + "SELECT q, doc, prior_rank, score, rank FROM rr WHERE rank <= 5")
 def rerank_topn(spark, sf_dir):
-    """Rescored candidates, best first; equal scores keep their order."""
-    corpus = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc"), F.round(F.col("embedding")[1].cast("double"), 4).alias("score"))
-    pool = rrf_fusion(spark, sf_dir).select("q", "doc", F.col("rank").alias("prior_rank"))
-    return R.top(corpus.join(R.small(pool), "doc"), 3, ["q"], F.desc("score"), "prior_rank").select("q", "doc", "prior_rank", "score", "rank")
+    """The fused pool by the passage as it was asked, though the search is for a rewritten one: best first."""
+    corpus, asked = _corpus(spark, sf_dir)
+    idf, total = audit.key_idf(_documents(spark, sf_dir))
+    rewritten = asked.select("q", F.concat("text", F.lit(" (rewritten)")).alias("text"), F.col("text").alias("original"))
+    return search.rerank(rrf_fusion(spark, sf_dir), corpus, rewritten, idf, total, search.PRESETS["default"].top_n)
 
 
-@query(_RRF + "SELECT q, doc, rank FROM r WHERE rank <= 3")
+@query(_HYBRID + "SELECT q, doc, rank FROM r WHERE rank <= 3")
 def noop_trim(spark, sf_dir):
     return rrf_fusion(spark, sf_dir).where("rank <= 3").select("q", "doc", "rank")
 
 
+@query(_RERANK + """, v AS (SELECT 'hybrid_no_rerank' AS preset, q, doc, rank FROM r WHERE rank <= 5 UNION ALL SELECT 'dense_only', q, doc, CAST(rank AS INTEGER) FROM c WHERE rank <= 5 UNION ALL SELECT 'lexical', q, doc, CAST(rank AS INTEGER) FROM b WHERE rank <= 5 UNION ALL SELECT 'default', q, doc, rank FROM rr WHERE rank <= 5) SELECT * FROM v""")
+def search_presets(spark, sf_dir):
+    """What the presets return for the same questions."""
+    corpus, asked = _corpus(spark, sf_dir)
+    out = rerank_topn(spark, sf_dir).select(F.lit("default").alias("preset"), "q", "doc", "rank")
+    out = out.unionByName(hybrid_search(spark, sf_dir).select(F.lit("hybrid_no_rerank").alias("preset"), "q", "doc", "rank"))
+    for name in ("dense_only", "lexical"):
+        p = search.PRESETS[name]
+        out = out.unionByName(search.legs(corpus, asked, p.k, p.strategy).select(F.lit(name).alias("preset"), "q", "doc", "rank"))
+    return out
+
+
+@query(f"WITH {_V}, n AS (SELECT q.vec_id AS q, v.label < 5 AS valid, {_COS} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, v.vec_id) AS rank FROM q JOIN v ON q.vec_id <> v.vec_id), k AS (SELECT q, floor(sum(CASE WHEN valid THEN CAST(round(score * 10000) AS BIGINT) END) / count(CASE WHEN valid THEN 1 END)) / 10000 AS v, floor(sum(CASE WHEN NOT valid THEN CAST(round(score * 10000) AS BIGINT) END) / count(CASE WHEN NOT valid THEN 1 END)) / 10000 AS i FROM n WHERE rank <= 5 GROUP BY q) SELECT q, CASE WHEN coalesce(i >= 0.3, FALSE) AND (v IS NULL OR i >= v) THEN 'invalid' ELSE 'valid' END AS intent FROM k")
+def intent_gate(spark, sf_dir):
+    """The gate that fails open: invalid only if the nearest utterances say so strongly enough (0.3 with these vectors)."""
+    asked, corpus = _vectors(spark, sf_dir)
+    near = R.dense(asked, corpus, F.round(R.dot("qv", "dv"), 4), search.NEAREST, unit=True)
+    return search.gate(near.select("q", (F.col("label") < 5).alias("valid"), "score"), asked, 0.3)
+
+
 @query("SELECT source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source, substr(text, 1, 120) ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
 def prefix_dedup(spark, sf_dir):
     """The first document of each source and first 120 characters."""
@@ -171,7 +209,7 @@ k AS (SELECT q, any_value(truth) AS truth, floor(sum(CASE WHEN valid THEN CAST(r
 def intent_knn_vote(spark, sf_dir):
     """Labels below 5 count as VALID; the five nearest vote by mean score, ties to INVALID."""
     asked, corpus = _vectors(spark, sf_dir)
-    near = R.dense(asked, corpus, F.round(R.cosine("qv", "dv"), 4), 5)
+    near = R.dense(asked, corpus, F.round(R.dot("qv", "dv"), 4), 5, unit=True)
     return R.knn_vote(near.select("q", (F.col("label") < 5).alias("valid"), "score"))
 
 
@@ -199,21 +237,21 @@ def intent_best_threshold(spark, sf_dir):
     return intent_threshold_grid(spark, sf_dir).orderBy(F.desc("macro_f1"), F.desc("invalid_recall"), "threshold").limit(1).select("threshold", "macro_f1", "invalid_recall")
 
 
-_PAIRS = f"""WITH {_V}, p AS (SELECT q.vec_id AS a, v.vec_id AS b, CASE WHEN q.label < 5 AND v.label < 5 THEN 'V-V' WHEN q.label >= 5 AND v.label >= 5 THEN 'I-I' ELSE 'V-I' END AS kind, {_COS} AS s FROM q JOIN v ON q.vec_id < v.vec_id) """
+_PAIRS = f"""WITH {_V}, p AS (SELECT q.vec_id AS a, v.vec_id AS b, CASE WHEN q.label < 5 AND v.label < 5 THEN 'V-V' WHEN q.label >= 5 AND v.label >= 5 THEN 'I-I' ELSE 'V-I' END AS kind, {_COS} AS s FROM q JOIN v ON q.vec_id <> v.vec_id AND NOT (v.vec_id % 20 = 0 AND v.vec_id < q.vec_id)) """
 
 
 def _pairs(spark, sf_dir):
-    """Similarities of the queries with all vectors of greater id, by kind of pair."""
+    """Similarities of the queries with all vectors, a pair of two queries once, by kind of pair."""
     asked, corpus = _vectors(spark, sf_dir)
-    both = corpus.join(R.small(asked), F.col("q") < F.col("doc"))
+    both = corpus.join(R.small(asked), (F.col("q") != F.col("doc")) & ~((F.col("doc") % 20 == 0) & (F.col("doc") < F.col("q"))))
     kind = F.when((F.col("q_label") < 5) & (F.col("label") < 5), "V-V").when((F.col("q_label") >= 5) & (F.col("label") >= 5), "I-I").otherwise("V-I")
     return both.select(F.col("q").alias("a"), F.col("doc").alias("b"), kind.alias("kind"), F.round(R.cosine("qv", "dv"), 4).alias("s"))
 
 
-@query(_PAIRS + "SELECT kind, count(*) AS n, round(avg(s), 6) AS mean, round(median(s), 6) AS median, round(coalesce(stddev_samp(s), 0), 6) AS std, min(s) AS least, max(s) AS most, round(quantile_cont(s, 0.25), 6) AS p25, round(quantile_cont(s, 0.95), 6) AS p95 FROM p GROUP BY kind")
+@query(_PAIRS + "SELECT kind, count(*) AS n, round(avg(s), 6) AS mean, round(median(s), 6) AS median, round(coalesce(stddev_samp(s), 0), 6) AS std, min(s) AS least, max(s) AS most, round(quantile_cont(s, 0.25), 6) AS p25, round(quantile_cont(s, 0.75), 6) AS p75, round(quantile_cont(s, 0.95), 6) AS p95 FROM p GROUP BY kind")
 def pair_similarity_summary(spark, sf_dir):
     r = lambda c: F.round(c, 6)
-    return _pairs(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n"), r(F.avg("s")).alias("mean"), r(F.median("s")).alias("median"), r(F.coalesce(F.stddev_samp("s"), F.lit(0.0))).alias("std"), F.min("s").alias("least"), F.max("s").alias("most"), r(F.percentile("s", 0.25)).alias("p25"), r(F.percentile("s", 0.95)).alias("p95"))
+    return _pairs(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n"), r(F.avg("s")).alias("mean"), r(F.median("s")).alias("median"), r(F.coalesce(F.stddev_samp("s"), F.lit(0.0))).alias("std"), F.min("s").alias("least"), F.max("s").alias("most"), r(F.percentile("s", 0.25)).alias("p25"), r(F.percentile("s", 0.75)).alias("p75"), r(F.percentile("s", 0.95)).alias("p95"))
 
 
 @query(_PAIRS + "SELECT round(avg(CASE WHEN kind = 'V-V' THEN s END) - avg(CASE WHEN kind = 'V-I' THEN s END), 6) AS delta FROM p")
