@@ -42,3 +42,24 @@ def test_stages_one_by_one(spark, tmp_path):
     assert len({r["sequence_id"] for r in packed}) == -(-sum(r["length"] for r in packed) // 4096)
     assert P.run(spark, str(tmp_path)).count() == len(packed)
     assert np.all([r["offset"] + r["length"] <= 4096 for r in packed])
+
+
+def test_stages_of_odd_tables(spark, tmp_path):
+    """Empty tables, nulls in every column, repeated rows and columns with clashing names: every stage has its result."""
+    columns = "doc_id long, text string, lang string, source string, n_chars long, id long, row long, size long, rep long"
+    long = " ".join(f"w{i}" for i in range(120))
+    rows = [(1, long, "en", "a", 5), (1, long, "en", "a", 5), (2, long, None, None, None), (None, "no id " * 30, "en", "a", 1), (None, None, None, None, None), (3, None, "en", "b", 0), (4, "", "en", "b", 0), (5, long + " tail", "en", "b", 7)]
+    empty = spark.createDataFrame([], columns)
+    labels = spark.createDataFrame([(1, 1, 0), (None, None, None), (3, 0, None)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    odd = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], columns)
+    for k, (name, stage) in enumerate(P.STAGES):
+        assert stage(spark, empty, str(tmp_path)).count() == 0, name
+        if k == 2:
+            continue  # its ids don't repeat
+        got = stage(spark, odd, str(tmp_path)).collect()
+        if k < 4:
+            assert list(got[0].asDict()) == P.COLUMNS
+        assert len(got) == {0: 8, 1: 5, 4: 8}.get(k, len(got)), name
+    single = P.one_of_each_group(spark, odd, str(tmp_path))
+    assert sorted((r["doc_id"] or 0) for r in P.cut_repeats(spark, single, str(tmp_path)).collect()) == [0, 0, 1, 3, 4]
