@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Separators in order of preference, sizes of chunks and overlaps.
 SEPARATORS = ["\n\n", "\n", ". ", " ", ""]
@@ -45,8 +47,8 @@ def split_recursive(text: str, size: int = SIZE, overlap: int = OVERLAP, separat
     return out
 
 
-def recursive_chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """(doc_id, part, chunk, start): chunks of under LEAST characters go after they are numbered; start is where a chunk
+def recursive_chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, id_type: str = "long", least: int = LEAST) -> DataFrame:
+    """(doc_id, part, chunk, start): chunks of under `least` characters go after they are numbered; start is where a chunk
     is found from the end of the one before, less the overlap. Null texts have none."""
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -57,31 +59,32 @@ def recursive_chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP)
                 for part, chunk in enumerate(split_recursive(text or "", size, overlap)):
                     at = (text or "").find(chunk, cursor)
                     at = cursor if at < 0 else at
-                    if len(chunk) >= LEAST:
+                    if len(chunk) >= least:
                         rows.append((doc_id, part, chunk, at))
                     cursor = max(at + len(chunk) - overlap, 0)
             yield pd.DataFrame(rows, columns=["doc_id", "part", "chunk", "start"])
 
-    return docs.select("doc_id", "text").mapInPandas(pieces, "doc_id long, part int, chunk string, start int")
+    return docs.select("doc_id", "text").mapInPandas(pieces, f"doc_id {id_type}, part int, chunk string, start int")
 
 
 def first_json(text: str | None) -> str | None:
-    """The first balanced {...} of a text outside code fences, strings and escapes respected; null if there is none."""
+    """The first object of JSON in a text outside code fences; null if there is none."""
     text = re.sub(r"```(?:json)?", "", text or "")
-    start = text.find("{")
-    depth, quoted, escaped = 0, False, False
-    for i in range(max(start, 0), len(text) if start >= 0 else 0):
-        c = text[i]
-        if escaped:
-            escaped = False
-        elif quoted and c == "\\":
-            escaped = True
-        elif quoted:
-            quoted = c != '"'
-        elif c == '"':
-            quoted = True
-        elif c in "{}":
-            depth += 1 if c == "{" else -1
-            if not depth:
-                return text[start : i + 1]
+    decoder = json.JSONDecoder()
+    for start in (m.start() for m in re.finditer("{", text)):
+        try:
+            end = decoder.raw_decode(text, start)[1]
+        except ValueError:
+            continue
+        return text[start:end]
     return None
+
+
+def first_json_of(text: Column) -> Column:
+    """first_json of a column, in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def found(x: pd.Series) -> pd.Series:
+        return x.map(first_json)
+
+    return found(text)

@@ -67,24 +67,12 @@ def metric_stats(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("metric")).agg(F.count(x).alias("n"), F.round(F.avg(x), 6).alias("mean"), F.round(F.median(x), 6).alias("median"), F.round(F.coalesce(F.stddev_samp(x), F.lit(0.0)), 6).alias("std"), F.min(x).alias("least"), F.max(x).alias("most"))
 
 
-@query("SELECT coalesce(lang, '?') AS lang, coalesce(source, '?') AS source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY GROUPING SETS ((lang), (source), ())")
-def breakdown_grouping_sets(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("lang", "source", "n_chars")
-    sets = docs.groupingSets([["lang"], ["source"], []], "lang", "source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
-    return sets.select(F.coalesce("lang", F.lit("?")).alias("lang"), F.coalesce("source", F.lit("?")).alias("source"), "n", "chars")
-
-
 @query("SELECT round(avg(CAST(n_user > 1 AS INTEGER)), 6) AS re_retrieve_rate, round(avg(n), 6) AS avg_iterations, count(*) AS n FROM (SELECT conv_id, count(*) AS n, count(*) FILTER (role = 'user') AS n_user FROM conversations GROUP BY conv_id)")
 def decision_rates(spark, sf_dir):
     per = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), _n(F.col("role") == "user").alias("n_user"))
     return per.agg(F.round(F.avg((F.col("n_user") > 1).cast("int")), 6).alias("re_retrieve_rate"), F.round(F.avg("n"), 6).alias("avg_iterations"), F.count("*").alias("n"))
 
 
-@query("SELECT split_part(props, ':', 1) AS reason, event_type, count(*) AS n FROM events WHERE value > 50 GROUP BY 1, 2")
-def error_reasons(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("value > 50").groupBy(F.split_part("props", F.lit(":"), F.lit(1)).alias("reason"), "event_type").agg(F.count("*").alias("n"))
-
-
 @query("SELECT lang, source, toxic, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY GROUPING SETS ((lang), (source), (toxic))")
 def distribution_counts(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id", "left")
@@ -160,15 +148,6 @@ def resume_anti(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id").join(done, "doc_id", "left_anti")
 
 
-@query("SELECT d.doc_id, coalesce(c.score, -1) AS score FROM documents d LEFT JOIN (SELECT sha1(text || '|' || lang) AS k, min(doc_id) AS score FROM documents WHERE doc_id % 3 = 0 GROUP BY 1) c ON c.k = sha1(d.text || '|' || d.lang)")
-def score_cache_lookup(spark, sf_dir):
-    """A cached value by hash of the inputs, -1 where there is none."""
-    key = F.sha1(F.concat_ws("|", "text", "lang")).alias("k")
-    docs = table(spark, sf_dir, "documents").select("doc_id", key)
-    cache = docs.where("doc_id % 3 = 0").groupBy("k").agg(F.min("doc_id").alias("score"))
-    return docs.join(cache, "k", "left").select("doc_id", F.coalesce("score", F.lit(-1)).alias("score"))
-
-
 @query("SELECT doc_id AS id, 'documents' AS domain, NULL AS role FROM documents UNION ALL SELECT conv_id, 'conversations', role FROM conversations")
 def union_sources(spark, sf_dir):
     a = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("documents").alias("domain"))

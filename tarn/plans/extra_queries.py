@@ -27,14 +27,6 @@ def count_summary(spark, sf_dir):
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("k"), 6).alias("mean"), F.round(F.percentile("k", 0.95), 6).alias("p95"), _n(F.col("k") == 0).alias("zeros"))
 
 
-@query("SELECT source, CAST(sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS BIGINT) AS supported, count(*) AS claims, round(sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) / count(*), 6) AS faithfulness FROM documents JOIN labels USING (doc_id) GROUP BY source")
-def faithfulness_proxy(spark, sf_dir):
-    """Supported claims over all claims: labelled documents stand for claims."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
-    good = _n(F.col("quality") == 1)
-    return rows.groupBy("source").agg(good.alias("supported"), F.count("*").alias("claims"), F.round(good / F.count("*"), 6).alias("faithfulness"))
-
-
 @query("SELECT user_id, round(sum(CASE WHEN event_type = 'click' THEN value END), 4) AS click, round(sum(CASE WHEN event_type = 'view' THEN value END), 4) AS view, round(sum(value), 4) AS total FROM events GROUP BY user_id")
 def latency_table(spark, sf_dir):
     """Stages as columns for each query."""
@@ -42,14 +34,6 @@ def latency_table(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(of("click"), of("view"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("SELECT v.vec_id, v.vec_id % 3 = 0 AS cached, len(v.embedding) AS dims FROM embeddings v")
-def embedding_cache(spark, sf_dir):
-    """Which vectors a cache has, and how long each is: one length is asked for."""
-    v = table(spark, sf_dir, "embeddings").select("vec_id", F.size("embedding").cast("long").alias("dims"))
-    cache = v.where("vec_id % 3 = 0").select("vec_id", F.lit(True).alias("cached"))
-    return v.join(cache, "vec_id", "left").select("vec_id", F.coalesce("cached", F.lit(False)).alias("cached"), "dims")
-
-
 @query("SELECT conv_id, turn, CASE WHEN n <= 1 OR role <> 'user' THEN text ELSE 'Follow-up after ' || (n - 1) || ': ' || regexp_replace(text, '^[\"'']+|[\"'']+$', '', 'g') END AS rewritten FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)")
 def followup_rewrite(spark, sf_dir):
     """A follow-up is rewritten by a fixed frame and stripped of quotes; a first turn stays."""

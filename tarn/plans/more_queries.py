@@ -45,23 +45,6 @@ def verbatim_run(spark, sf_dir):
     return runs.groupBy("item_id", "doc_id").agg(F.max("n").alias("run"))
 
 
-@query("SELECT (SELECT CAST(count(*) AS INTEGER) FROM (SELECT doc_id, text, source FROM documents EXCEPT ALL SELECT doc_id, text, source FROM documents)) AS lost, (SELECT CAST(count(*) AS INTEGER) FROM (SELECT doc_id, text FROM documents EXCEPT ALL SELECT doc_id, text FROM documents)) AS added, count(*) AS n FROM documents")
-def roundtrip_except(spark, sf_dir):
-    """Rows before and after a change of layout, compared both ways."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    back = docs.select(F.to_json(F.struct("doc_id", "text", "source")).alias("j")).select(F.from_json("j", "doc_id long, text string, source string").alias("r")).select("r.*")
-    n = lambda x, name: x.agg(F.count("*").cast("int").alias(name))
-    return n(docs.exceptAll(back), "lost").join(n(back.exceptAll(docs), "added")).join(docs.agg(F.count("*").alias("n")))
-
-
-@query("SELECT a.label, b.label AS other, count(*) AS n FROM (SELECT label, vec_id FROM embeddings WHERE vec_id % 20 = 0) a JOIN (SELECT label, vec_id FROM embeddings WHERE vec_id % 20 = 1) b ON a.vec_id + 1 = b.vec_id GROUP BY 1, 2")
-def cross_domain_pairs(spark, sf_dir):
-    """Question and partner domains, paired by place."""
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    a, b = v.where("vec_id % 20 = 0"), v.where("vec_id % 20 = 1").select((F.col("vec_id") - 1).alias("vec_id"), F.col("label").alias("other"))
-    return a.join(b, "vec_id").groupBy("label", "other").agg(F.count("*").alias("n"))
-
-
 @query("SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 5000")
 def shared_ids(spark, sf_dir):
     return table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_custkey").intersect(table(spark, sf_dir, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("o_custkey")))

@@ -143,12 +143,6 @@ def build_id(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.concat(F.lower(F.split_part(F.replace("url", F.lit("https://"), F.lit("")), F.lit("."), F.lit(1))), F.lit("-"), tail).alias("built"))
 
 
-@query("SELECT doc_id, source || ':id:' || doc_id || CASE WHEN n_chars > 3000 THEN '#pasal:' || (n_chars // 3000) WHEN lang <> 'en' THEN '#' || lang ELSE '' END AS gold_id FROM documents")
-def gold_id(spark, sf_dir):
-    suffix = F.when(F.col("n_chars") > 3000, F.concat(F.lit("#pasal:"), F.expr("n_chars div 3000").cast("string"))).when(F.col("lang") != "en", F.concat(F.lit("#"), F.col("lang"))).otherwise("")
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit(":id:"), F.col("doc_id").cast("string"), suffix).alias("gold_id"))
-
-
 @query("SELECT doc_id, concat_ws(chr(10), 'No: ' || doc_id, 'Source: ' || source, CASE WHEN lang <> 'en' THEN 'Lang: ' || lang END, 'Chars: ' || coalesce(CAST(n_chars AS VARCHAR), '-')) AS rendered FROM documents")
 def render_record(spark, sf_dir):
     s = lambda c: F.col(c).cast("string")
