@@ -43,13 +43,6 @@ def followup_rewrite(spark, sf_dir):
     return rows.select("conv_id", "turn", F.when((F.col("n") <= 1) | (F.col("role") != "user"), F.col("text")).otherwise(framed).alias("rewritten"))
 
 
-@query("SELECT doc_id, concat_ws(', ', 'source=' || source, CASE WHEN lang <> 'en' THEN 'lang=' || lang END) AS metadata, CASE WHEN n_chars < 500 THEN 'PROMPT_SINGLE' ELSE 'PROMPT_MULTI' END || ': ' || substr(text, 1, 100) AS prompt FROM documents")
-def render_prompt(spark, sf_dir):
-    line = F.concat_ws(", ", F.concat(F.lit("source="), "source"), F.when(F.col("lang") != "en", F.concat(F.lit("lang="), "lang")))
-    kind = F.when(F.col("n_chars") < 500, "PROMPT_SINGLE").otherwise("PROMPT_MULTI")
-    return table(spark, sf_dir, "documents").select("doc_id", line.alias("metadata"), F.concat(kind, F.lit(": "), F.substring("text", 1, 100)).alias("prompt"))
-
-
 @query("SELECT doc_id, CASE WHEN n_chars // 1000 = 0 THEN source ELSE source || '/' || (n_chars // 5000) END AS topic FROM documents")
 def topic_of(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.when(F.expr("n_chars div 1000") == 0, F.col("source")).otherwise(F.concat("source", F.lit("/"), F.expr("n_chars div 5000").cast("string"))).alias("topic"))

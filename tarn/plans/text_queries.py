@@ -17,16 +17,6 @@ def clean_text_steps(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.clean_page(F.col("text")).alias("cleaned"))
 
 
-@query(
-    """SELECT source, CAST(sum(n_chars) AS BIGINT) AS chars, count(*) AS n_pages, CAST(floor(sum(n_chars) / count(*)) AS BIGINT) AS chars_per_page,
-    CASE WHEN floor(sum(n_chars) / count(*)) < 2400 THEN 'scan_or_partial' END AS skipped FROM documents GROUP BY source"""
-)
-def usability_filter(spark, sf_dir):
-    per = table(spark, sf_dir, "documents").groupBy("source").agg(F.sum("n_chars").alias("chars"), F.count("*").alias("n_pages"))
-    rate = F.floor(F.col("chars") / F.col("n_pages"))
-    return per.select("*", rate.alias("chars_per_page"), F.when(rate < 2400, F.lit("scan_or_partial")).alias("skipped"))
-
-
 @query(
     r"""SELECT doc_id, round(length(regexp_replace(text, '[^A-Za-z0-9 \n.,;:!?()\-]', '', 'g')) / length(text), 6) AS ratio,
     length(regexp_replace(text, '[^A-Za-z0-9 \n.,;:!?()\-]', '', 'g')) / length(text) < 0.85 AS flagged FROM documents WHERE length(text) > 0"""
@@ -128,21 +118,6 @@ def prefix_classify(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.first_prefix(F.col("source"), TIPES, "Lainnya").alias("tipe"))
 
 
-@query(
-    r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(substr(text, 1, 60), '^\s+|\s+$', '', 'g')), '[^a-z0-9_\s\-]', '', 'g'), '[\s_]+', '-', 'g'), '-+', '-', 'g') AS slug FROM documents"""
-)
-def slugify(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.slugify(F.substring("text", 1, 60)).alias("slug"))
-
-
-@query(r"SELECT page_id, lower(split_part(replace(url, 'https://', ''), '.', 1)) || '-' || coalesce(nullif(regexp_extract(url, '/([0-9]+)', 1), ''), substr(md5(url), 1, 8)) AS built FROM pages")
-def build_id(spark, sf_dir):
-    """Slug of the type, then the number in the URL, else the start of its hash."""
-    number = F.regexp_extract("url", "/([0-9]+)", 1)
-    tail = F.coalesce(F.when(number != "", number), F.substring(F.md5("url"), 1, 8))
-    return table(spark, sf_dir, "pages").select("page_id", F.concat(F.lower(F.split_part(F.replace("url", F.lit("https://"), F.lit("")), F.lit("."), F.lit(1))), F.lit("-"), tail).alias("built"))
-
-
 @query("SELECT doc_id, concat_ws(chr(10), 'No: ' || doc_id, 'Source: ' || source, CASE WHEN lang <> 'en' THEN 'Lang: ' || lang END, 'Chars: ' || coalesce(CAST(n_chars AS VARCHAR), '-')) AS rendered FROM documents")
 def render_record(spark, sf_dir):
     s = lambda c: F.col(c).cast("string")
