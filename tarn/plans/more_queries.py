@@ -16,15 +16,34 @@ def recursive_chunks(spark, sf_dir):
     return chunking.recursive_chunks(table(spark, sf_dir, "documents"))
 
 
-@query()
+def _picks(n: int) -> str:
+    """The greedy choice step by step, all buckets at once."""
+    out = "c AS (SELECT lang AS bucket, doc_id AS id, source AS grp, round(least(1.0, n_chars / 5000), 4) AS score FROM documents), s0 AS (SELECT bucket, CAST([] AS BIGINT[]) AS ids, CAST([] AS VARCHAR[]) AS grps FROM c GROUP BY bucket)"
+    for k in range(1, n + 1):
+        value = "round(score - 0.25 * len(list_filter(grps, lambda g: g = grp)), 6)"
+        out += f", b{k} AS (SELECT c.bucket, arg_max(struct_pack(id := id, grp := grp), ROW({value}, -id)) AS x FROM c JOIN s{k - 1} s ON s.bucket = c.bucket WHERE NOT list_contains(ids, id) GROUP BY c.bucket), s{k} AS (SELECT s.bucket, CASE WHEN x IS NULL THEN ids ELSE list_append(ids, x.id) END AS ids, CASE WHEN x IS NULL THEN grps ELSE list_append(grps, x.grp) END AS grps FROM s{k - 1} s LEFT JOIN b{k} b ON b.bucket = s.bucket)"
+    return f"WITH {out} SELECT bucket, unnest(ids) AS id, CAST(unnest(range(1, len(ids) + 1)) AS INTEGER) AS place FROM s{n}"
+
+
+@query(_picks(10))
 def greedy_selection(spark, sf_dir):
     """Ten documents of each language, spread over sources."""
     docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("bucket"), F.col("doc_id").alias("id"), F.col("source").alias("grp"), F.round(F.least(F.lit(1.0), F.col("n_chars") / 5000), 4).alias("score"))
     return selection.greedy_selection(docs, 10)
 
 
-@query()
+def _rounds(n: int) -> str:
+    out = "v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), a1 AS (SELECT vec_id AS q, e FROM v WHERE vec_id % 20 = 0)"
+    for k in range(1, n + 1):
+        cos = "round(list_cosine_similarity(a.e, v.e), 4)"
+        out += f", f{k} AS (SELECT q, {k} AS round, v.vec_id AS doc, {cos} AS score, row_number() OVER (PARTITION BY q ORDER BY {cos} DESC, v.vec_id) AS rank FROM a{k} a JOIN v ON q <> v.vec_id)"
+        out += f", a{k + 1} AS (SELECT a.q, list_transform(list_zip(a.e, v.e), lambda p: p[1] + p[2]) AS e FROM a{k} a JOIN f{k} f ON f.q = a.q AND f.rank = 1 AND f.score < 0.35 JOIN v ON v.vec_id = f.doc)"
+    return f"WITH {out} SELECT q, CAST(round AS INTEGER) AS round, doc, score, CAST(rank AS INTEGER) AS rank FROM (" + " UNION ALL ".join(f"SELECT * FROM f{k}" for k in range(1, n + 1)) + ") WHERE rank <= 5"
+
+
+@query(_rounds(3))
 def agent_rounds(spark, sf_dir):
+    """Searches that go on for the questions whose best document is weak: three rounds at most."""
     asked, corpus = _vectors(spark, sf_dir)
     return selection.search_rounds(asked, corpus)
 

@@ -58,7 +58,11 @@ def running_max_headings(spark, sf_dir):
     return rows.where("top is null or l_partkey > top").drop("top")
 
 
-@query()
+@query(
+    """WITH RECURSIVE o AS MATERIALIZED (SELECT l_orderkey, l_linenumber AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber) AS r FROM lineitem),
+    f AS (SELECT DISTINCT l_orderkey, CAST(0 AS BIGINT) AS r, CAST(0 AS BIGINT) AS last, false AS kept FROM o UNION ALL SELECT f.l_orderkey, o.r, CASE WHEN o.n > last AND o.n <= last + 3 THEN o.n ELSE last END, o.n > last AND o.n <= last + 3 FROM f JOIN o ON o.l_orderkey = f.l_orderkey AND o.r = f.r + 1)
+    SELECT l_orderkey, coalesce(list(CAST(last AS INTEGER) ORDER BY r) FILTER (kept), []) AS kept FROM f GROUP BY l_orderkey"""
+)
 def bounded_step_headings(spark, sf_dir):
     """Line numbers kept while each is 1 to 3 above the last one kept: a fold over the ordered numbers of an order."""
     numbers = F.sort_array(F.collect_list(F.struct("l_shipdate", "l_linenumber")))
