@@ -40,7 +40,7 @@ ROUNDS, STEPS, RIDGE = 30, 1000, 3e-5
 #: What the label model believes of the given labels before it sees any: their accuracy, and as how many rows that counts.
 LABEL_PRIOR, LABEL_ROWS = 0.95, 20.0
 #: Features that a Python worker counts before it hands them on.
-COUNTED = 200_000
+COUNTED = 150_000
 
 #: Words of abuse by language, in lower case.
 LEXICONS = {
@@ -94,7 +94,7 @@ def _training_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 class Voters:
     """The voters by number: families of words first, then lexicons (a word, two words or more, no word at all), then patterns."""
 
-    MOST_WORDS = 300_000
+    MOST_WORDS = 150_000
 
     def __init__(self, families: list[str]):
         self.families = families
@@ -153,10 +153,10 @@ def _found(batches: Iterator[pa.RecordBatch], families: list[str]) -> Iterator[p
 class Votes:
     """Which voters speak in which row, by row and voter of each vote."""
 
-    def __init__(self, found: list[list[int]], n_voters: int):
+    def __init__(self, found: pa.ListArray, n_voters: int):
         self.shape = len(found), n_voters
-        self.row = np.repeat(np.arange(len(found)), [len(f) for f in found])
-        self.voter = np.array([v for f in found for v in f], np.int64)
+        self.row = np.repeat(np.arange(len(found)), found.value_lengths().to_numpy(zero_copy_only=False))
+        self.voter = found.flatten().to_numpy().astype(np.int64)
 
     def by_row(self, weight: np.ndarray) -> np.ndarray:
         """For each row the sum of its voters' weights."""
@@ -276,9 +276,9 @@ def fit(rows: DataFrame) -> Model:
         return Model([], nothing, float(np.log(prior / (1 - prior))), nothing, nothing, (1.0, 1.0))
     families = sorted(r[0] for r in leaning(rows, n_clean, n_toxic).collect())
     chosen = C.checkpointed(rows.select("id").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).distinct())
-    sample = C.join_ids(rows, chosen, "id").dropDuplicates(["id"]).mapInArrow(lambda it: _found(it, families), "toxic int, found array<int>").collect()
-    votes = Votes([r[1] for r in sample], len(Voters(families).names))
-    posterior, accuracy, weight, right = posteriors(votes, np.array([r[0] for r in sample]))
+    sample = C.join_ids(rows, chosen, "id").dropDuplicates(["id"]).mapInArrow(lambda it: _found(it, families), "toxic int, found array<int>").toArrow()
+    votes = Votes(sample.column("found").combine_chunks(), len(Voters(families).names))
+    posterior, accuracy, weight, right = posteriors(votes, sample.column("toxic").to_numpy())
     w = logistic(votes, posterior)
     return Model(families, w[:-1], float(w[-1]), accuracy, weight, right)
 

@@ -52,7 +52,7 @@ def simulated(seed=0, n=4000, wrong=0.15):
     speak = {0: (0.6, 0.03), 1: (0.45, 0.05), 2: (0.3, 0.1), 3: (0.05, 0.5), 4: (0.5, 0.06), 5: (0.2, 0.2)}  # in toxic, in clean rows
     cols = [r.random(n) < np.where(y, a, b) for a, b in speak.values()]
     cols += [cols[0], cols[0]]
-    votes = X.Votes([np.flatnonzero(row).tolist() for row in np.stack(cols, 1)], len(cols))
+    votes = X.Votes(X.pa.array([np.flatnonzero(row).tolist() for row in np.stack(cols, 1)], X.pa.list_(X.pa.int32())), len(cols))
     return y, np.where(r.random(n) < wrong, ~y, y), votes
 
 
