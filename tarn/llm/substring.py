@@ -229,8 +229,8 @@ class FingerprintIndex:
         self.runs.append(new)
         here = F.sum(F.when(F.col("now"), F.col("n")).otherwise(0))
         known = rows.groupBy("anchor", "span").agg(first.alias("f"), F.max("last").alias("last"), here.alias("n"))
-        many = known.groupBy("anchor").agg(F.min("span").alias("low"), F.max("span").alias("high"))
-        known = known.select("anchor", "span", "f.id", "last", "n", "f.s", "f.e").join(many, "anchor").withColumn("several", F.col("low") != F.col("high"))
+        several = known.groupBy("anchor").agg(F.min("span").alias("low"), F.max("span").alias("high")).where("low <> high").select("anchor", F.lit(True).alias("several"))
+        known = C.join_ids(known.select("anchor", "span", "f.id", "last", "n", "f.s", "f.e"), C.checkpointed(several), "anchor", "left").withColumn("several", F.coalesce("several", F.lit(False)))
         asked = known.where("several or id < last").groupBy("id").agg(F.collect_list(F.struct("anchor", "span", "last", "n", "s", "e", "several")).alias("asked"))
         asked = C.checkpointed(asked)
         texts = C.join_ids(seen.select("id", "text"), asked.select("id"), "id", "left_semi").join(asked, "id").dropDuplicates(["id"])
