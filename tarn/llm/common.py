@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: Rows that mapInArrow gets at once, so that long texts don't fill a Python worker.
 ARROW_ROWS = 1000
 #: Bytes of text that are turned into arrays at once.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 #: Rows of ids (8 bytes each) up to which a side of a join may be broadcast: 8 MB.
 BROADCAST_IDS = 1_000_000
 
@@ -120,6 +120,7 @@ def serving(owner: str) -> None:
     for name, clear in CACHES.items():
         if name != owner:
             clear()
+    pa.default_memory_pool().release_unused()
 
 
 # --- words as arrays -------------------------------------------------------------------------
@@ -143,7 +144,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of a base modulo 2**64, and of its inverse; at least as many as a chunk takes."""
-    size = 1 << max(n, CHUNK_BYTES, 1).bit_length()
+    size = -(-max(n, CHUNK_BYTES + 2) // 65536) * 65536
     if (which, size) not in _powers:
         inverse = np.uint64(pow(int(_BASE[which]), -1, 2**64))
         both = []
