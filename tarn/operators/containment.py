@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.operators.retrieval import small
+from tarn.sources.shared import checkpointed
 
-#: Words of a run.
-RUN = 4
+#: Words of a run, and how many runs that are asked for each text's are intersected with in the row (80 KB).
+RUN, FEW = 4, 10_000
 
 
 def _runs(text: Column) -> Column:
@@ -24,16 +25,23 @@ def holders(docs: DataFrame, items: DataFrame) -> DataFrame:
     sides are joined on. The few passages too short for a run are compared with every text, and their number is checked
     before they are broadcast.
     """
-    words = _runs(F.col("item"))
-    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    grams = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - RUN), lambda i: F.array_join(F.slice(w, i + 1, RUN), " "))
-    best = F.array_min(F.transform(grams(inner), lambda g: F.struct((-F.length(g)).alias("letters"), F.xxhash64(g).alias("key"))))["key"]
-    keyed = items.withColumn("_n", F.size(inner)).withColumn("_key", F.when(F.size(inner) >= RUN, best))
-    long_, short = keyed.where("_key is not null").drop("_n"), keyed.where("_key is null").drop("_n", "_key")
-    runs = _runs(F.col("text"))
-    hashed = F.when(F.size(runs) >= RUN, F.array_distinct(F.transform(grams(runs), lambda g: F.xxhash64(g))))
-    known = small(long_.select("_key").distinct())
-    # only runs that some passage asks for leave the scan; a text's columns go along once for each
-    hits = docs.withColumn("_key", F.explode(hashed)).join(known, "_key", "left_semi").join(small(long_), "_key").drop("_key").where(F.contains("text", "item"))
+    # the words are a column of their own: inside the lambda they would be split anew for every run
+    at = lambda w: F.sequence(F.lit(0), F.size(w) - RUN)
+    key = lambda w, i: F.xxhash64(*(F.get(w, i + j) for j in range(RUN)))
+    letters = lambda w, i: sum((F.length(F.get(w, i + j)) for j in range(1, RUN)), F.length(F.get(w, i)))
+    inner = items.withColumn("_w", _runs(F.col("item"))).withColumn("_w", F.slice("_w", 2, F.greatest(F.size("_w") - 2, F.lit(0))))
+    best = F.array_min(F.transform(at("_w"), lambda i: F.struct((-letters("_w", i)).alias("letters"), key("_w", i).alias("key"))))["key"]
+    keyed = inner.withColumn("_key", F.when(F.size("_w") >= RUN, best)).drop("_w")
+    long_, short = keyed.where("_key is not null"), keyed.where("_key is null").drop("_key")
+    words = docs.withColumn("_w", _runs(F.col("text")))
+    hashed = F.when(F.size("_w") >= RUN, F.array_distinct(F.transform(at("_w"), lambda i: key("_w", i))))
+    known = checkpointed(long_.select("_key").distinct())
+    if known.limit(FEW + 1).count() <= FEW:
+        # one array of all keys: a text's own runs are intersected with it before anything is copied
+        all_ = known.agg(F.array_agg("_key").alias("_all"))
+        found = words.withColumn("_runs", hashed).drop("_w").join(F.broadcast(all_)).withColumn("_key", F.explode(F.array_intersect("_runs", "_all"))).drop("_runs", "_all")
+    else:
+        found = words.withColumn("_key", F.explode(hashed)).drop("_w").join(small(known), "_key", "left_semi")
+    hits = found.join(small(long_), "_key").drop("_key").where(F.contains("text", "item"))
     rest = docs.join(small(short), F.contains(docs["text"], short["item"]))
     return hits.unionByName(rest)

@@ -3,10 +3,11 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tarn.functions import text as T
-from tarn.operators import audit, chunking, legal, near, search
+from tarn.operators import audit, chunking, containment, legal, near, search
 from tarn.operators import retrieval as R
 from tarn.operators.containment import holders
 from tarn.sources import tables
@@ -95,7 +96,9 @@ def test_questions(spark):
     assert [(x["number"], x["question"], x["subsection"]) for x in rows] == [(1, "Apakah ini?", "A. UMUM DAN LAIN"), (2, "Bagaimana itu?", "A. UMUM DAN LAIN")]
 
 
-def test_holders(spark):
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_holders(spark, monkeypatch, few):
+    monkeypatch.setattr(containment, "FEW", few)
     r = random.Random(3)
     words = [f"w{i}" for i in range(40)]
     texts = [" ".join(r.choices(words, k=r.randint(0, 60))) for _ in range(80)] + [None]
