@@ -108,11 +108,6 @@ def token_jaccard(spark, sf_dir):
     return _jaccard(spark, sf_dir)
 
 
-@query(_TOKENS + "SELECT item_id, doc_id, CASE WHEN jaccard >= 0.2 THEN 'regenerate' ELSE 'ok' END AS verdict FROM j")
-def leakage_verdict(spark, sf_dir):
-    return _jaccard(spark, sf_dir).select("item_id", "doc_id", F.when(F.col("jaccard") >= 0.2, "regenerate").otherwise("ok").alias("verdict"))
-
-
 @query("SELECT count(*) AS n, count(*) FILTER (text IS NULL OR text = '') AS empty, count(*) FILTER (length(text) <> n_chars) AS wrong_length, count(*) - count(DISTINCT doc_id) AS repeated, max(doc_id) - min(doc_id) + 1 - count(DISTINCT doc_id) AS missing FROM documents")
 def quality_assertions(spark, sf_dir):
     x = F.coalesce("text", F.lit(""))

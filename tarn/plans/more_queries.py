@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tarn.functions import text as T
 from tarn.operators import chunking, selection
 from tarn.operators import retrieval as R
-from tarn.plans.analytics_queries import _holders
+from tarn.plans.analytics_queries import _holders, token_jaccard
 from tarn.plans.registry import query, table
 from tarn.plans.retrieval_queries import _vectors
 
@@ -48,11 +48,14 @@ def agent_rounds(spark, sf_dir):
     return selection.search_rounds(asked, corpus)
 
 
-@query(r"""WITH p AS (SELECT item_id, doc_id, regexp_extract_all(lower(b.text), '[\p{L}\p{N}_]+') AS x, regexp_extract_all(lower(d.text), '[\p{L}\p{N}_]+') AS y FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+_RUNS = r"""WITH p AS (SELECT item_id, doc_id, regexp_extract_all(lower(b.text), '[\p{L}\p{N}_]+') AS x, regexp_extract_all(lower(d.text), '[\p{L}\p{N}_]+') AS y FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
 x AS (SELECT item_id, doc_id, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS t FROM p), y AS (SELECT item_id, doc_id, unnest(range(1, len(y) + 1)) AS j, unnest(y) AS t FROM p),
 m AS (SELECT item_id, doc_id, i, i - j AS d FROM x JOIN y USING (item_id, doc_id, t)),
-g AS (SELECT item_id, doc_id, d, i - row_number() OVER (PARTITION BY item_id, doc_id, d ORDER BY i) AS island FROM m)
-SELECT item_id, doc_id, max(n) AS run FROM (SELECT item_id, doc_id, count(*) AS n FROM g GROUP BY item_id, doc_id, d, island) GROUP BY item_id, doc_id""")
+g AS (SELECT item_id, doc_id, d, i - row_number() OVER (PARTITION BY item_id, doc_id, d ORDER BY i) AS island FROM m),
+runs AS (SELECT item_id, doc_id, max(n) AS run FROM (SELECT item_id, doc_id, count(*) AS n FROM g GROUP BY item_id, doc_id, d, island) GROUP BY item_id, doc_id)"""
+
+
+@query(_RUNS + " SELECT * FROM runs")
 def verbatim_run(spark, sf_dir):
     """The longest run of equal tokens of a passage and a text: matches on a diagonal, in islands of consecutive places."""
     pairs = _holders(spark, sf_dir).select("item_id", "doc_id", T.words(F.col("item")).alias("x"), T.words(F.col("text")).alias("y"))
@@ -64,6 +67,14 @@ def verbatim_run(spark, sf_dir):
     return runs.groupBy("item_id", "doc_id").agg(F.max("n").alias("run"))
 
 
+@query(_RUNS + ", j AS (SELECT item_id, doc_id, len(list_intersect(list_distinct(x), list_distinct(y))) AS both_, len(list_distinct(x)) + len(list_distinct(y)) AS all_ FROM p) SELECT item_id, doc_id, CASE WHEN coalesce(run, 0) >= 6 OR round(both_ / (all_ - both_), 6) >= 0.6 THEN 'regenerate' ELSE 'ok' END AS verdict FROM j LEFT JOIN runs USING (item_id, doc_id)")
+def leakage_verdict(spark, sf_dir):
+    """A question that shares six words in a row with its source, or most of its words, is to be asked anew."""
+    rows = token_jaccard(spark, sf_dir).join(verbatim_run(spark, sf_dir), ["item_id", "doc_id"], "left")
+    leaks = (F.coalesce("run", F.lit(0)) >= 6) | (F.col("jaccard") >= 0.6)
+    return rows.select("item_id", "doc_id", F.when(leaks, "regenerate").otherwise("ok").alias("verdict"))
+
+
 @query("SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 5000")
 def shared_ids(spark, sf_dir):
     return table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_custkey").intersect(table(spark, sf_dir, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("o_custkey")))
