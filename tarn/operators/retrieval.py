@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +16,8 @@ from tarn.sources.shared import checkpointed
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
 #: Bytes up to which one side of an all-pairs scoring, or of a join, may be broadcast.
 BROADCAST_BYTES = 64 << 20
+#: Bytes of queries that the driver may send to all workers, and rows of either side in one product of matrices.
+QUERY_BYTES, BLOCK = 64 << 20, 2000
 
 
 def width(df: DataFrame) -> Column:
@@ -94,14 +101,66 @@ def squared_distance(a: str, b: str) -> Column:
 
 def dense(queries: DataFrame, corpus: DataFrame, score: Column, k: int, by: list[str] | None = None, descending: bool = True, unit: bool = False) -> DataFrame:
     """The k best (doc, score, rank) of the corpus for each query, exactly. queries (q, qv) are a batch whose size is
-    checked before it is broadcast; the corpus (doc, dv) is read once, whatever its size. With unit, vectors are made of
-    length 1 before they are paired, so that the score can be their product."""
+    checked before it is broadcast; the corpus (doc, dv) is read once, whatever its size.
+
+    With unit the score is the cosine to four digits, and while the queries are few each block of the corpus is one product
+    of matrices, of which the best of a block leave it; without, or for more queries, pairs are scored one by one."""
     if unit:
+        columns = [c for c in corpus.columns if c not in ("doc", "dv")]
+        bytes_ = queries.agg(F.sum(width(queries))).first()[0] or 0
+        if bytes_ <= QUERY_BYTES:
+            return top(_blocks(queries, corpus.select("doc", "dv", *columns), k, by or []), k, ["q", *(by or [])], F.desc("score"), "doc")
         queries, corpus = (df.withColumn(c, normed(c)) for df, c in ((queries, "qv"), (corpus, "dv")))
     pairs = corpus.join(small(queries), F.col("q") != F.col("doc")).withColumn("score", score).drop("qv", "dv")
     return top(pairs, k, ["q", *(by or [])], F.desc("score") if descending else F.asc("score"), "doc")
 
 
+def _blocks(queries: DataFrame, corpus: DataFrame, k: int, by: list[str]) -> DataFrame:
+    """(doc, ..., q, score) of the rows of each block of the corpus that are among a query's k best there, ties included; all
+    columns of queries but the vector come along."""
+    spark = queries.sparkSession
+    asked = queries.toArrow()
+    qs = asked.column("q").to_numpy()
+    matrix = np.array(asked.column("qv").to_pylist(), float).reshape(len(qs), -1) if len(qs) else np.zeros((0, 1))
+    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+    sent = spark.sparkContext.broadcast((qs, matrix))
+    rest = [f for f in queries.schema.fields if f.name not in ("q", "qv")]
+    columns = [f for f in corpus.schema.fields if f.name != "dv"]
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qs, matrix = sent.value
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table.filter(pc.is_valid(table.column("dv")))
+            for at in range(0, len(table), BLOCK if len(qs) else 1):
+                part = table.slice(at, BLOCK).combine_chunks()
+                if not len(qs) or not len(part):
+                    continue
+                docs = part.column("doc").to_numpy()
+                vectors = part.column("dv").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(part), -1)
+                vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
+                group = np.unique([repr(r) for r in zip(*(part.column(c).to_pylist() for c in by), strict=True)], return_inverse=True)[1] if by else np.zeros(len(part), int)
+                for low in range(0, len(qs), BLOCK):
+                    some = qs[low : low + BLOCK]
+                    scores = np.round(vectors @ matrix[low : low + BLOCK].T, 4) + 0.0  # no negative zeros
+                    scores[docs[:, None] == some[None, :]] = -np.inf
+                    rows, cols = [], []
+                    for g in range(group.max() + 1):
+                        mine = np.flatnonzero(group == g)
+                        s = scores[mine]
+                        least = np.partition(s, len(mine) - k, axis=0)[len(mine) - k] if len(mine) > k else np.full(s.shape[1], -np.inf)
+                        r, c = np.nonzero((s >= least) & (s > -np.inf))
+                        rows.append(mine[r])
+                        cols.append(c)
+                    row, col = np.concatenate(rows), np.concatenate(cols)
+                    out = part.select([f.name for f in columns]).take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([*(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in out.columns), pa.array(some[col]), pa.array(scores[row, col])], names=[*(f.name for f in columns), "q", "score"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns)
+    found = corpus.mapInArrow(best, f"{kinds}, q {dict(queries.dtypes)['q']}, score double")
+    return found.join(F.broadcast(queries.select("q", *(f.name for f in rest))), "q") if rest else found
+
+
 def normed(v: str) -> Column:
     """A vector as doubles of length 1."""
     return F.transform(v, lambda x: x.cast("double") / F.sqrt(dot(v, v)))

@@ -168,3 +168,24 @@ def test_traces_by_day(spark, tmp_path):
     stream = spark.readStream.schema("ts timestamp_ntz, id string").parquet(str(tmp_path / "in"))
     sessions.trace_sink(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert sorted(p.name for p in (tmp_path / "out").glob("day=*")) == ["day=2024-01-01", "day=2024-01-02"]
+
+
+@pytest.mark.parametrize("most", [0, 64 << 20])
+def test_dense_search_in_blocks_and_in_pairs(spark, monkeypatch, most):
+    monkeypatch.setattr(R, "QUERY_BYTES", most)
+    monkeypatch.setattr(R, "BLOCK", 7)
+    r = random.Random(2)
+    rows = [(i, [float(r.randint(-2, 2)) for _ in range(3)], i % 3) for i in range(60)]
+    rows = [(i, v if any(v) else [1.0, 0.0, 0.0], g) for i, v, g in rows]
+    df = spark.createDataFrame(rows, "doc long, dv array<float>, g int").repartition(3)
+    asked = df.where("doc % 10 = 0").select(F.col("doc").alias("q"), F.col("dv").alias("qv"), F.col("g").alias("own"))
+    cos = lambda a, b: round(sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5, 4) + 0.0
+    for by in ([], ["g"]):
+        got = {(x["q"], x["g"] if by else 0, x["rank"]): (x["doc"], round(x["score"], 4) + 0.0, x["own"]) for x in R.dense(asked, df, F.round(R.dot("qv", "dv"), 4), 4, by, unit=True).collect()}
+        want = {}
+        for q, v, own in rows[::10]:
+            for g in range(3) if by else [0]:
+                near_ = sorted((-cos(v, w), d) for d, w, h in rows if d != q and (not by or h == g))[:4]
+                want.update({(q, g, n + 1): (d, -s + 0.0, own) for n, (s, d) in enumerate(near_)})
+        assert got == want
+    assert R.dense(asked.limit(0), df, F.lit(0.0), 4, unit=True).count() == 0 and R.dense(asked, df.limit(0), F.round(R.dot("qv", "dv"), 4), 4, unit=True).count() == 0
