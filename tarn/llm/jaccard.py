@@ -136,9 +136,8 @@ def _summaries(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordB
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], k: int, percent: int, frequent) -> Iterator[pa.RecordBatch]:
-    """(token, id): the first shingles of every set in the order of (frequent, hash); sets seen before in the task aside."""
+    """(token, id): the first shingles of every set in the order of (frequent, hash)."""
     late = frequent.value
-    seen: set[bytes] = set()
     for batch in batches:
         for at, to, words in C.word_chunks(batch.column("text"), lower=True):
             ids = batch.column("id").slice(at, to - at).to_numpy(zero_copy_only=False)
@@ -146,10 +145,6 @@ def _prefixes(batches: Iterator[pa.RecordBatch], k: int, percent: int, frequent)
             for id_, s in zip(ids.tolist(), shingle_sets(words, k), strict=True):
                 if not len(s):
                     continue
-                mark = s[:2].tobytes() + s[-1:].tobytes() + len(s).to_bytes(4, "little") + np.bitwise_xor.reduce(C.mix(s)).tobytes()
-                if mark in seen:
-                    continue
-                seen.add(mark)
                 p = prefix_size(len(s), percent)
                 if len(late):
                     where = np.searchsorted(late, s)
@@ -163,10 +158,19 @@ def _prefixes(batches: Iterator[pa.RecordBatch], k: int, percent: int, frequent)
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token, those whose token has more than one row, with the first id of the token. Holds one batch."""
+    """Of rows sorted by token and id, each counted once, those whose token has more than one, with the first id of the
+    token. Holds one batch."""
     last: tuple[int, int, bool] | None = None  # token, first id, whether its first row is out
+    before: tuple[int, int] | None = None  # the last row
     for batch in batches:
         t, ids = batch.column("token").to_numpy(), batch.column("id").to_numpy()
+        if not len(t):
+            continue
+        other = np.ones(len(t), bool)
+        other[1:] = (t[1:] != t[:-1]) | (ids[1:] != ids[:-1])
+        other[0] = before != (t[0], ids[0])
+        before = (t[-1], ids[-1])
+        t, ids = t[other], ids[other]
         if not len(t):
             continue
         new = np.ones(len(t), bool)
@@ -293,15 +297,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     meta = read.where("kind = 0").drop("kind")
     classes = meta.where("n > 0").groupBy("sig1", "sig2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("short").alias("short"))
     classes = C.checkpointed(classes)
-    rep_of = meta.where("n > 0").select("id", "sig1", "sig2").join(classes.select("rep", "sig1", "sig2"), ["sig1", "sig2"]).select("id", "rep").distinct()
-
-    rows = docs.mapInArrow(lambda it: _prefixes(it, k, percent, frequent), "token long, id long")
+    # of equal sets one is looked at, so tokens and tiles are of classes from here on
+    reps = classes.select(F.col("rep").alias("id"))
+    rows = C.join_ids(docs, reps, "id", "left_semi").mapInArrow(lambda it: _prefixes(it, k, percent, frequent), "token long, id long")
     shared = rows.repartition("token").sortWithinPartitions("token", "id").mapInArrow(_shared, "token long, id long, lead long")
-    shared = C.checkpointed(shared)
+    shared = C.checkpointed(shared.select("token", F.col("id").alias("rep"), F.col("lead").alias("lead_rep")))
     del rows
     C.released(spark)  # the prefixes of all sets, the largest shuffle
-    rep_of = C.checkpointed(rep_of)
-    shared = C.checkpointed(shared.join(rep_of, "id").join(rep_of.select(F.col("id").alias("lead"), F.col("rep").alias("lead_rep")), "lead").select("token", "rep", "lead_rep").distinct())
 
     signed = classes.select("rep", "n", "bits", "short")
 

@@ -85,11 +85,12 @@ def test_repeated_rows_and_many_copies(spark):
 def test_shared_rows_of_sorted_batches():
     r = random.Random(4)
     for _ in range(300):
-        rows = sorted((r.randint(0, 6), r.randint(0, 50)) for _ in range(r.randint(0, 12)))
+        given = sorted((r.randint(0, 6), r.randint(0, 9)) for _ in range(r.randint(0, 12)))
         batches, i = [], 0
-        while i < len(rows):
+        rows = sorted(set(given))
+        while i < len(given):
             j = i + r.randint(1, 3)
-            batches.append(pa.RecordBatch.from_arrays([pa.array(np.array([x[c] for x in rows[i:j]], np.int64)) for c in (0, 1)], names=["token", "id"]))
+            batches.append(pa.RecordBatch.from_arrays([pa.array(np.array([x[c] for x in given[i:j]], np.int64)) for c in (0, 1)], names=["token", "id"]))
             i = j
         got = [tuple(x.values()) for b in J._shared(iter(batches)) for x in b.to_pylist()]
         want = [(t, i, min(y for x, y in rows if x == t)) for t, i in rows if sum(x == t for x, _ in rows) > 1]
