@@ -8,16 +8,25 @@ from pyspark.sql import functions as F
 from tarn.sources.shared import checkpointed
 
 
-def near_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """(bucket, a, b, jaccard), a < b, of rows (bucket, id, x: distinct strings) with 100 |x & y| >= percent |x | y|.
+def near_classes(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """((bucket, a, b, jaccard), a < b; (bucket, rep, id)) of rows (bucket, id, x: distinct strings[, score]): the pairs with
+    100 |x & y| >= percent |x | y| between representatives of equal sets, and the other members of each class. A class is
+    represented by its greatest score, the least id of equal ones; without scores by its least id. Rows without strings are
+    in no class.
 
     Blocked by prefixes: with tokens ordered by how rare they are in the bucket, two such sets share one of their first
     n - ceil(percent n / 100) + 1 tokens, and their sizes are alike. Only ids, sizes and places of tokens are joined; the sets
-    come back for the pairs that are left. Equal sets are one row and are paired by their first one only before that.
+    come back for the pairs that are left. Members are joined to their class by a hash of 128 bits, and never gathered.
     """
-    sets = checkpointed(rows.where(F.size("x") > 0).select("bucket", "id", F.sort_array("x").alias("x")).withColumn("key", F.xxhash64("x")))
-    one = sets.groupBy("bucket", "x").agg(F.min("id").alias("rep"), F.collect_list("id").alias("ids"))
-    one = checkpointed(one)
+    score = F.col("score") if "score" in rows.columns else F.lit(0)
+    sorted_ = rows.where(F.size("x") > 0).select("bucket", "id", F.sort_array("x").alias("x"), score.alias("score"))
+    sets = checkpointed(sorted_.withColumn("h1", F.xxhash64("x")).withColumn("h2", F.xxhash64(F.lit(7), "x")))
+    key = ["bucket", "h1", "h2"]
+    best = sets.groupBy(*key).agg(F.min_by("id", F.struct((-F.col("score")).alias("s"), F.col("id"))).alias("rep"))
+    classes = sets.select(*key, "id").join(best, key)
+    members = checkpointed(classes.where("id <> rep").select("bucket", "rep", "id"))
+    reps = best.select("bucket", F.col("rep").alias("id"))
+    one = checkpointed(sets.select("bucket", "id", "x").join(reps, ["bucket", "id"]).dropDuplicates(["bucket", "id"]).withColumnRenamed("id", "rep"))
     tokens = one.select("bucket", "rep", F.size("x").alias("n"), F.explode("x").alias("t"))
     df = tokens.groupBy("bucket", "t").agg(F.count("*").alias("df")).where("df > 1")
     by = Window.partitionBy("bucket", "rep")
@@ -26,12 +35,17 @@ def near_pairs(rows: DataFrame, percent: int) -> DataFrame:
     heads = rare.where((F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & F.col("df").isNotNull()).select("bucket", "t", "rep", "n")
     other = heads.withColumnsRenamed({"rep": "b", "n": "m"})
     near = heads.withColumnsRenamed({"rep": "a"}).join(other, ["bucket", "t"]).where((F.col("a") < F.col("b")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))).select("bucket", "a", "b").distinct()
-    x, y = (one.select("bucket", F.col("rep").alias(c), F.col("x").alias(f"x{c}"), F.col("ids").alias(f"ids{c}")) for c in ("a", "b"))
+    x, y = (one.select("bucket", F.col("rep").alias(c), F.col("x").alias(f"x{c}")) for c in ("a", "b"))
     both = F.size(F.array_intersect("xa", "xb"))
     pairs = near.join(x, ["bucket", "a"]).join(y, ["bucket", "b"]).withColumn("both", both).withColumn("either", F.size("xa") + F.size("xb") - F.col("both")).where(100 * F.col("both") >= percent * F.col("either"))
-    pairs = pairs.select("bucket", F.explode("idsa").alias("p"), "idsb", (F.col("both") / F.col("either")).alias("jaccard")).select("bucket", "p", F.explode("idsb").alias("q"), "jaccard")
-    same = one.where(F.size("ids") > 1).select("bucket", F.explode("ids").alias("p"), "ids").select("bucket", "p", F.explode("ids").alias("q"), F.lit(1.0).alias("jaccard")).where("p < q")
-    return pairs.unionByName(same).select("bucket", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "jaccard")
+    return pairs.select("bucket", "a", "b", (F.col("both") / F.col("either")).alias("jaccard")), members
+
+
+def near_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(bucket, a, b, jaccard) of rows (bucket, id, x): the pairs of representatives, the least ids of equal sets, and each
+    other member with its own: as many as there are copies, not as their pairs."""
+    pairs, members = near_classes(rows.select("bucket", "id", "x"), percent)
+    return pairs.unionByName(members.select("bucket", F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard")))
 
 
 def accepted_in_order(pairs: DataFrame, rounds: int = 1000) -> DataFrame:
@@ -50,3 +64,10 @@ def accepted_in_order(pairs: DataFrame, rounds: int = 1000) -> DataFrame:
         verdict = F.when(F.col("some"), False).when(F.col("open") == 0, True)
         state = checkpointed(state.join(before, "id", "left").select("id", F.coalesce("accepted", verdict).alias("accepted")))
     raise RuntimeError(f"the order did not settle in {rounds} rounds")
+
+
+def accepted(rows: DataFrame, percent: int) -> DataFrame:
+    """(id, accepted) of the rows (bucket, id, x) that are alike some other one, taken in order of ids: refused if one that
+    was accepted before is alike. Whatever became of the first of equal sets, the others are refused with it or by it."""
+    pairs, members = near_classes(rows.select("bucket", "id", "x"), percent)
+    return accepted_in_order(pairs.select("a", "b")).unionByName(members.select("id", F.lit(False).alias("accepted")))

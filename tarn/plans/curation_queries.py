@@ -168,32 +168,35 @@ def reclassify(spark, sf_dir):
     return audit.reclassified(_evidence(spark, sf_dir).join(labels, "id"))
 
 
-@query(f"""WITH k AS (SELECT lang, doc_id, n_chars, list_distinct({S.keys(S.tokens('text'))}) AS x FROM documents),
-p AS (SELECT a.doc_id AS i, b.doc_id AS j, a.n_chars AS si, b.n_chars AS sj FROM k a JOIN k b ON a.lang = b.lang AND a.doc_id < b.doc_id AND 100 * least(len(a.x), len(b.x)) >= 72 * greatest(len(a.x), len(b.x)) AND len(a.x) > 0
+@query(f"""WITH k AS (SELECT lang, doc_id, n_chars, list_sort(list_distinct({S.keys(S.tokens('text'))})) AS x FROM documents), c AS (SELECT *, first_value(doc_id) OVER (PARTITION BY lang, x ORDER BY n_chars DESC, doc_id) AS rep FROM k WHERE len(x) > 0), k1 AS (SELECT * FROM c WHERE doc_id = rep),
+p AS (SELECT a.doc_id AS i, b.doc_id AS j, a.n_chars AS si, b.n_chars AS sj FROM k1 a JOIN k1 b ON a.lang = b.lang AND a.doc_id < b.doc_id AND 100 * least(len(a.x), len(b.x)) >= 72 * greatest(len(a.x), len(b.x))
   WHERE 100 * len(list_intersect(a.x, b.x)) >= 72 * (len(a.x) + len(b.x) - len(list_intersect(a.x, b.x)))),
 d AS (SELECT CASE WHEN si >= sj THEN j ELSE i END AS doc_id, CASE WHEN si >= sj THEN i ELSE j END AS keep, i, j FROM p),
-f AS (SELECT doc_id, arg_min(keep, (i, j)) AS redundant_with FROM d GROUP BY doc_id) SELECT doc_id, redundant_with FROM documents LEFT JOIN f USING (doc_id)""")
+f AS (SELECT doc_id, arg_min(keep, (i, j)) AS redundant_with FROM d GROUP BY doc_id UNION ALL SELECT doc_id, rep FROM c WHERE doc_id <> rep) SELECT doc_id, redundant_with FROM documents LEFT JOIN f USING (doc_id)""")
 def redundancy_marking(spark, sf_dir):
-    """Of two documents of a language whose keys are alike from 0.72 on, the lower score (length) is redundant, the later one
-    of equal scores; the first pair, in order of ids, names what it is redundant with."""
-    from tarn.operators.near import near_pairs
+    """Of documents of a language with equal keys the one with the best score (length) stays, the first of equal ones. Of two
+    that stay whose keys are alike from 0.72 on, the lower score is redundant, the later one of equal scores; the first
+    pair, in order of ids, names what it is redundant with."""
+    from tarn.operators.near import near_classes
 
     docs = table(spark, sf_dir, "documents")
-    keyed = docs.select(F.col("lang").alias("bucket"), F.col("doc_id").alias("id"), F.array_distinct(T.keys(T.content_tokens(F.col("text")))).alias("x"))
+    pairs, members = near_classes(docs.select(F.col("lang").alias("bucket"), F.col("doc_id").alias("id"), F.array_distinct(T.keys(T.content_tokens(F.col("text")))).alias("x"), F.col("n_chars").alias("score")), 72)
     score = docs.select(F.col("doc_id").alias("id"), F.col("n_chars").alias("s"))
-    pairs = near_pairs(keyed, 72).join(score.withColumnsRenamed({"id": "a", "s": "sa"}), "a").join(score.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
+    scored = pairs.join(score.withColumnsRenamed({"id": "a", "s": "sa"}), "a").join(score.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
     first = F.col("sa") >= F.col("sb")
-    marks = pairs.select(F.when(first, F.col("b")).otherwise(F.col("a")).alias("doc_id"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("keep"), "a", "b")
-    return docs.select("doc_id").join(marks.groupBy("doc_id").agg(F.min_by("keep", F.struct("a", "b")).alias("redundant_with")), "doc_id", "left")
+    marks = scored.select(F.when(first, F.col("b")).otherwise(F.col("a")).alias("doc_id"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("keep"), "a", "b")
+    named = marks.groupBy("doc_id").agg(F.min_by("keep", F.struct("a", "b")).alias("redundant_with")).unionByName(members.select(F.col("id").alias("doc_id"), F.col("rep").alias("redundant_with")))
+    return docs.select("doc_id").join(named, "doc_id", "left")
 
 
 _LIKE = "100 * len(list_intersect(a.x, b.x)) >= 85 * (len(a.x) + len(b.x) - len(list_intersect(a.x, b.x)))"
 _SETS = r"k AS (SELECT lang, doc_id, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')) AS x FROM documents)"
 
 
-@query(f"WITH {_SETS} SELECT a.lang, a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.x, b.x)) / (len(a.x) + len(b.x) - len(list_intersect(a.x, b.x))), 6) AS jaccard FROM k a JOIN k b ON a.lang = b.lang AND a.doc_id < b.doc_id AND 100 * least(len(a.x), len(b.x)) >= 85 * greatest(len(a.x), len(b.x)) AND len(a.x) > 0 WHERE {_LIKE}")
+@query(f"WITH {_SETS}, c AS (SELECT lang, doc_id, x, min(doc_id) OVER (PARTITION BY lang, list_sort(x)) AS rep FROM k WHERE len(x) > 0), r AS (SELECT * FROM c WHERE doc_id = rep) SELECT a.lang, a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.x, b.x)) / (len(a.x) + len(b.x) - len(list_intersect(a.x, b.x))), 6) AS jaccard FROM r a JOIN r b ON a.lang = b.lang AND a.doc_id < b.doc_id AND 100 * least(len(a.x), len(b.x)) >= 85 * greatest(len(a.x), len(b.x)) WHERE {_LIKE} UNION ALL SELECT lang, rep, doc_id, 1.0 FROM c WHERE doc_id <> rep")
 def near_duplicate_pairs(spark, sf_dir):
-    """Pairs of documents of a language whose words are alike from 0.85 on."""
+    """Pairs of documents of a language whose words are alike from 0.85 on; of equal sets of words the first one stands for
+    all, and each other one is paired with it."""
     from tarn.operators.near import near_pairs
 
     keyed = table(spark, sf_dir, "documents").select(F.col("lang").alias("bucket"), F.col("doc_id").alias("id"), F.array_distinct(T.words(F.col("text"))).alias("x"))
@@ -206,12 +209,11 @@ f AS (SELECT CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS gone UNION ALL SELE
 g AS (SELECT gone FROM f ORDER BY r DESC LIMIT 1) SELECT doc_id, NOT list_contains(gone, doc_id) AS accepted FROM documents, g""")
 def online_dedup(spark, sf_dir):
     """In order of ids, a document is refused if one that was accepted before is alike from 0.85 on."""
-    from tarn.operators.near import accepted_in_order, near_pairs
+    from tarn.operators.near import accepted
 
     docs = table(spark, sf_dir, "documents")
     keyed = docs.select(F.col("lang").alias("bucket"), F.col("doc_id").alias("id"), F.array_distinct(T.words(F.col("text"))).alias("x"))
-    refused = accepted_in_order(near_pairs(keyed, 85).select("a", "b"))
-    return docs.select("doc_id").join(refused.select(F.col("id").alias("doc_id"), "accepted"), "doc_id", "left").select("doc_id", F.coalesce("accepted", F.lit(True)).alias("accepted"))
+    return docs.select("doc_id").join(accepted(keyed, 85).select(F.col("id").alias("doc_id"), "accepted"), "doc_id", "left").select("doc_id", F.coalesce("accepted", F.lit(True)).alias("accepted"))
 
 
 @query("""WITH o AS (SELECT source, doc_id, n_chars >= 3000 AS long_, row_number() OVER (PARTITION BY source, n_chars >= 3000 ORDER BY md5('17:' || doc_id), doc_id) AS r FROM documents),
