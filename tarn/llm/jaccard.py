@@ -321,9 +321,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     near_first = shared.where("rep <> lead_rep").groupBy(F.col("rep").alias("b")).agg(F.min("lead_rep").alias("a"))
     first = linked(near_first.where(F.lit(not every_link)))
     labels = C.components(first)
-    placed = shared.select("token", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = C.join_ids(shared.select("token", "rep"), labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     apart = placed.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("token")
-    sized = placed.join(apart, "token").join(signed.select("rep", "n"), "rep").withColumn("at", band(F.col("n"), percent))
+    sized = C.join_ids(placed.join(apart, "token"), signed.select("rep", "n"), "rep").withColumn("at", band(F.col("n"), percent))
     C.released(spark)
     sized = C.checkpointed(sized).withColumn("band", F.explode(F.array(F.col("at"), F.col("at") - 1))).withColumn("guest", F.col("band") < F.col("at")).drop("at")
     # a tile needs a member besides what else it has, from another component
