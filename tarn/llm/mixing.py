@@ -128,7 +128,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     slots = draw(sources, seed, block).withColumn("pass", F.floor(F.col("k") / F.col("blocks"))).withColumn("x", F.col("k") % F.col("blocks"))
     slots = slots.withColumn("key", F.xxhash64(F.lit(seed), "rank", "pass"))
     slots = slots.select("rank", permuted("x", "blocks", F.col("key")).alias("index"), "pass", "shard")
-    parts = C.checkpointed(cover.join(slots, ["rank", "index"]).select("row", "id", "shard", "pass", "first", (F.col("end") - F.col("first")).alias("n")))
+    # Spark takes the slots for as small as the counts they are made of, and would broadcast them
+    parts = C.checkpointed(cover.join(slots.hint("merge"), ["rank", "index"]).select("row", "id", "shard", "pass", "first", (F.col("end") - F.col("first")).alias("n")))
     taken = parts.groupBy("row").agg(F.sum("n").alias("taken"))
     out = sized.join(taken, "row", "left").join(sources, sized["source"].eqNullSafe(sources["source"]))
     out = out.select("id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
