@@ -57,6 +57,9 @@ PATTERNS = {
     "masked": re.compile(r"\b(?:f[*@#$]{1,3}k|s[*@#$]{1,2}t|b[*@#$]{1,3}h|a[*@#$]{2}(?:hole)?)"),
     "shut up": re.compile(r"\b(?:shut up|go to hell|drop dead|kill yourself|halt die fresse|ta gueule|cállate)\b"),
 }
+#: What a text must have before a pattern is looked for.
+_MAYBE_MASKED = re.compile(r"[fsba][*@#$]")
+_PHRASES = ("shut up", "go to hell", "drop dead", "kill yourself", "halt die fresse", "ta gueule", "cállate")
 _WORD = re.compile(r"\w+")
 
 
@@ -131,12 +134,17 @@ class Voters:
         base = len(self.families)
         out.update(base + 2 * k + j for k, n in enumerate(hits) for j in (0, 1) if n > j)
         base += 2 * len(hits)
-        if any(hits):
-            # the patterns need a word of abuse, but for the last two, which are few letters
-            out.update(base + 1 + i for i, p in enumerate(PATTERNS.values()) if p.search(low))
-        else:
+        if not any(hits):
             out.add(base)
-            out.update(base + 1 + i for i, (k, p) in enumerate(PATTERNS.items()) if k in ("masked", "shut up") and p.search(low))
+        for i, (name, pattern) in enumerate(PATTERNS.items()):
+            if name == "masked":
+                able = _MAYBE_MASKED.search(low)
+            elif name == "shut up":
+                able = any(p in low for p in _PHRASES)
+            else:
+                able = any(hits)  # the others need a word of abuse
+            if able and pattern.search(low):
+                out.add(base + 1 + i)
         return sorted(out)
 
 
