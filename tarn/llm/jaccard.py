@@ -28,7 +28,7 @@ from tarn.llm import common as C
 #: Bits of the smallest bitmap; larger sets have the next power of two.
 LEAST_BITS = 512
 #: Bits to which bitmaps are folded in tiles.
-SHORT_BITS = 8192
+SHORT_BITS = 4096
 #: Members up to which a tile stays whole.
 TILE = 256
 #: Shingles counted in a worker before those seen too rarely are forgotten.
