@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -33,6 +34,18 @@ def arrow_rows(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Small Arrow batches for what runs within; the session's setting comes back afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name, "10000")
+    spark.conf.set(name, str(min(int(was), ARROW_ROWS) if int(was) > 0 else ARROW_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def shared_base(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or what the session set in its stead.
 
