@@ -76,14 +76,21 @@ def stored(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: smaller than a checkpoint where rows are many. See dropped()."""
     path = shared_folder(df.sparkSession, f"table-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def made_of(df: DataFrame, table: DataFrame) -> DataFrame:
+    """df, with which the table of stored() that it reads can be dropped."""
+    df._stored_at = table._stored_at
+    return df
 
 
 def dropped(*tables: DataFrame) -> None:
     """Delete the tables of stored() that nothing will read again, and let Spark drop shuffle files of finished steps."""
     for t in tables:
-        for path in {f.rpartition("/")[0] for f in t.inputFiles()}:
-            delete(t.sparkSession, path)
+        delete(t.sparkSession, t._stored_at)
     if tables:
         released(tables[0].sparkSession)
 

@@ -9,6 +9,7 @@ from tarn.llm.quality import OP6_SQL, op6_host_quality
 from tarn.llm.substring import OP1_SQL, op1_substring_dedup
 from tarn.llm.tokens import op5_token_ids
 from tarn.llm.toxicity import op9_toxicity
+from tarn.llm.tries import OP12_SQL, op12_prefix_trie
 from tarn.llm.vector_codes import OP11_SQL, op11_vector_codes
 from tarn.llm.winnowing import op4_winnowing
 
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_source_mixing": op10_source_mixing,
     "op11_vector_codes": op11_vector_codes,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op3_ngram_jaccard_join": OP3_SQL, "op6_host_quality": OP6_SQL, "op8_license_scan": OP8_SQL, "op11_vector_codes": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op3_ngram_jaccard_join": OP3_SQL, "op6_host_quality": OP6_SQL, "op8_license_scan": OP8_SQL, "op11_vector_codes": OP11_SQL, "op12_prefix_trie": OP12_SQL}
