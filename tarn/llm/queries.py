@@ -5,6 +5,7 @@ from tarn.llm.licenses import OP8_SQL, op8_license_scan
 from tarn.llm.mixing import op10_source_mixing
 from tarn.llm.packing import op7_best_fit_packing
 from tarn.llm.pages import op2_main_text
+from tarn.llm.personal import op13_personal_data
 from tarn.llm.quality import OP6_SQL, op6_host_quality
 from tarn.llm.substring import OP1_SQL, op1_substring_dedup
 from tarn.llm.tokens import op5_token_ids
@@ -26,6 +27,7 @@ QUERIES = {
     "op10_source_mixing": op10_source_mixing,
     "op11_vector_codes": op11_vector_codes,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_personal_data": op13_personal_data,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op3_ngram_jaccard_join": OP3_SQL, "op6_host_quality": OP6_SQL, "op8_license_scan": OP8_SQL, "op11_vector_codes": OP11_SQL, "op12_prefix_trie": OP12_SQL}
