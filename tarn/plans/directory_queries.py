@@ -262,7 +262,8 @@ def admitted_sessions(spark, sf_dir):
 def session_history(spark, sf_dir):
     """What a session remembers when a question comes: the turns that succeeded, of which the last four are shown."""
     ok = F.col("role") != "system"
-    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    rows = table(spark, sf_dir, "conversations").withColumn("past", F.collect_list(F.when(ok, F.col("role"))).over(before))
-    shown = F.array_join(F.slice("past", F.greatest(F.size("past") - 3, F.lit(1)), 4), ",")
-    return rows.where("role = 'user'").select("conv_id", "turn", F.size("past").cast("long").alias("kept"), F.when(F.size("past") > 0, shown).alias("last_roles"))
+    by = Window.partitionBy("conv_id")
+    rows = table(spark, sf_dir, "conversations").withColumn("nth", F.sum(F.when(ok, 1).otherwise(0)).over(by.orderBy("turn")))
+    # a user's turn is one that succeeds itself: the four before it are those numbered just below
+    rows = rows.withColumn("shown", F.collect_list(F.when(ok, F.col("role"))).over(by.orderBy("nth").rangeBetween(-4, -1)))
+    return rows.where("role = 'user'").select("conv_id", "turn", (F.col("nth") - 1).cast("long").alias("kept"), F.when(F.size("shown") > 0, F.array_join("shown", ",")).alias("last_roles"))
