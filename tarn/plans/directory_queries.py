@@ -87,12 +87,12 @@ _PAGE = r"regexp_extract_all(html, '<p>([^<]*)</p>', 1)"
 
 
 @query(rf"""WITH r AS (SELECT page_id, url, regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a></li>', 1) AS items, {_PAGE} AS paras, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS title FROM pages)
-SELECT page_id, title, len(items) AS requirements, array_to_string(list_transform(paras[:3], lambda p, i: i || '. ' || substr(p, 1, 40)), chr(10)) AS mechanism, regexp_extract(url, '/([0-9]+)', 1) AS number, CASE WHEN len(paras) > 0 THEN paras[-1] END AS remark FROM r""")
+SELECT page_id, title, len(items) AS requirements, array_to_string(list_transform(paras, lambda p, i: i || '. ' || p), chr(10)) AS mechanism, regexp_extract(url, '/([0-9]+)', 1) AS number, CASE WHEN len(paras) > 0 THEN paras[-1] END AS remark FROM r""")
 def permit_pages(spark, sf_dir):
-    """What a permit's page says: title, requirements, the first numbered steps, its number, and the last remark."""
+    """What a permit's page says: title, requirements, the numbered steps, its number, and the last remark."""
     every = lambda p: F.regexp_extract_all("html", F.lit(p), F.lit(1))
     rows = table(spark, sf_dir, "pages").select("page_id", "url", every('<li><a href="[^"]*">([^<]*)</a></li>').alias("items"), every("<p>([^<]*)</p>").alias("paras"), F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("title"))
-    steps = F.transform(F.slice("paras", 1, 3), lambda p, i: F.concat((i + 1).cast("string"), F.lit(". "), F.substring(p, 1, 40)))
+    steps = F.transform("paras", lambda p, i: F.concat((i + 1).cast("string"), F.lit(". "), p))
     return rows.select("page_id", "title", F.size("items").cast("long").alias("requirements"), F.array_join(steps, "\n").alias("mechanism"), F.regexp_extract("url", "/([0-9]+)", 1).alias("number"), F.try_element_at("paras", F.lit(-1)).alias("remark"))
 
 
