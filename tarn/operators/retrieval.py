@@ -44,24 +44,28 @@ def bm25(docs: DataFrame, questions: DataFrame, by: list[str] | None = None) ->
     """(q, doc, score[, by...]) of all documents that share a token with a question, by Okapi BM25 on white-space tokens.
 
     docs (doc, text[, by...]), questions (q, text). Statistics are of each group of `by`. Terms in more than half of the
-    documents get EPSILON times the mean idf. Each document's distinct tokens are exploded once for their numbers of
-    documents; occurrences are counted in the row, and only of tokens that questions use.
+    documents get EPSILON times the mean idf. Texts are split twice: once for the numbers of documents of all tokens, which
+    are summed up before they are shuffled, and once for the occurrences of tokens that questions use, which are all that
+    is shuffled of the texts.
     """
     by = by or []
     tokens = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda t: t != "")
     lists = docs.select("doc", *by, tokens(F.col("text")).alias("tokens")).select("doc", *by, F.size("tokens").alias("dl"), "tokens")
-    stats = checkpointed(lists.groupBy(*by).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
-    df = checkpointed(lists.select(*by, F.explode(F.array_distinct("tokens")).alias("token")).groupBy(*by, "token").agg(F.count("*").alias("df")))
-    groups = small(stats)
-    raw = (df.join(groups, by) if by else df.join(groups)).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    # no token is empty: the row of the empty one counts the documents, and their lengths
+    each = F.explode(F.concat(F.array(F.lit("")), F.array_distinct("tokens"))).alias("token")
+    df = checkpointed(lists.select(*by, "dl", each).groupBy(*by, "token").agg(F.count("*").alias("df"), F.sum("dl").alias("length")))
+    stats = df.where("token = ''").select(*by, F.col("df").alias("n"), (F.col("length") / F.col("df")).alias("avgdl"))
+    groups, rest = small(stats), df.where("token <> ''").drop("length")
+    raw = (rest.join(groups, by) if by else rest.join(groups)).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy(*by).agg(F.avg("idf").alias("mean_idf"))
     asked = checkpointed(questions.select("q", F.explode(tokens(F.col("text"))).alias("token")).groupBy("q", "token").agg(F.count("*").alias("times")))
-    terms = raw.join(small(asked.select("token").distinct()), "token", "left_semi")
-    idf = terms.join(small(checkpointed(mean)), by) if by else terms.join(small(checkpointed(mean)))
-    idf = checkpointed(idf.select(*by, "token", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"), "avgdl"))
     words = small(asked.select("token").distinct())
+    terms = raw.join(words, "token", "left_semi")
+    idf = terms.join(mean, by) if by else terms.join(F.broadcast(mean))
+    idf = checkpointed(idf.select(*by, "token", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"), "avgdl"))
     occurring = lists.select("doc", *by, "dl", F.explode("tokens").alias("token")).join(words, "token", "left_semi")
-    tf = occurring.groupBy("doc", "dl", *by, "token").agg(F.count("*").alias("tf"))
+    # dealt by document: the sums over tokens and over documents need no further shuffle
+    tf = occurring.groupBy("doc", "dl", *by, "token").agg(F.count("*").alias("tf")).repartition("doc")
     hit = tf.join(small(idf), [*by, "token"]).join(small(asked), "token")
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hit.groupBy("q", "doc", *by).agg(F.round(F.sum(part), 6).alias("score"))
@@ -69,17 +73,27 @@ def bm25(docs: DataFrame, questions: DataFrame, by: list[str] | None = None) ->
 
 def bm25_top(docs: DataFrame, questions: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
     """(q, doc, score, rank[, by...]): the k best of each question (and group), always k where there are as many: documents
-    without a common token score 0 and follow in order of id. Of those only the first k of a group can be needed."""
+    without a common token score 0 and follow in order of id. Of those only the first k of a group can be needed.
+
+    Lists that are full of scores above 0 are done. Only for questions with another list documents are looked up that share
+    nothing with them, and scored again to tell which those are.
+    """
     by = by or []
     scored = bm25(docs, questions, by)
-    best = checkpointed(top(scored, k, ["q", *by], F.desc("score"), "doc").drop("rank"))
-    if by:
-        first = top(docs.select("doc", *by), 2 * k, by, "doc").drop("rank")
-    else:
-        first = docs.select("doc").orderBy("doc").limit(2 * k)
+    best = checkpointed(top(scored, k, ["q", *by], F.desc("score"), "doc"))
+    groups = docs.select(*by).distinct() if by else None
+    full = best.where("score > 0").groupBy("q", *by).agg(F.count("*").alias("n")).where(F.col("n") >= k).drop("n")
+    wanted = questions.select("q").distinct()
+    wanted = wanted.join(small(groups)) if by else wanted
+    open_ = checkpointed(wanted.join(full, ["q", *by], "left_anti"))
+    if open_.limit(1).count() == 0:
+        return best
+    first = top(docs.select("doc", *by), 2 * k, by, "doc").drop("rank") if by else docs.select("doc").orderBy("doc").limit(2 * k)
+    none = (open_.join(small(first), by) if by else open_.join(F.broadcast(first))).select("q", "doc", *by)
+    again = questions.join(small(open_.select("q").distinct()), "q", "left_semi")
+    none = none.join(bm25(docs, again, by).select("q", "doc"), ["q", "doc"], "left_anti").withColumn("score", F.lit(0.0))
     # a score may be below 0: those documents come after the ones without a common token
-    none = questions.select("q").join(F.broadcast(first)).join(scored.select("q", "doc"), ["q", "doc"], "left_anti").withColumn("score", F.lit(0.0))
-    return top(best.unionByName(none), k, ["q", *by], F.desc("score"), "doc")
+    return top(best.drop("rank").unionByName(none), k, ["q", *by], F.desc("score"), "doc")
 
 
 def top(scored: DataFrame, k: int, by: list[str], *order: Column | str) -> DataFrame:

@@ -8,6 +8,7 @@ from tarn.operators import retrieval as R
 from tarn.operators.containment import holders
 from tarn.plans import sql as S
 from tarn.plans.registry import query, table
+from tarn.sources.shared import checkpointed
 
 _BM25 = """
 t AS (SELECT doc_id AS doc, source, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS ts FROM documents),
@@ -114,24 +115,18 @@ def fanout_global_merge(spark, sf_dir):
 
 
 def _corpus(spark, sf_dir):
-    """Documents that have a vector, and the benchmark passages with the vectors of their numbers."""
+    """All documents and benchmark passages; those whose number has a vector have it."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("dv"))
-    corpus = _documents(spark, sf_dir).drop("source").join(v, "doc")
-    return corpus, _asked(spark, sf_dir).join(v.select(F.col("doc").alias("q"), F.col("dv").alias("qv")), "q")
+    corpus = _documents(spark, sf_dir).drop("source").join(v, "doc", "left")
+    return corpus, _asked(spark, sf_dir).join(v.select(F.col("doc").alias("q"), F.col("dv").alias("qv")), "q", "left")
 
 
-def _own(sql: str) -> str:
-    """The BM25 twin over documents that have a vector, for passages that have one."""
-    return sql.replace("FROM documents", "FROM own_docs").replace("FROM benchmark", "FROM own_items")
-
-
-_OWN = "own_docs AS (SELECT d.* FROM documents d JOIN embeddings v ON v.vec_id = d.doc_id), own_items AS (SELECT b.* FROM benchmark b JOIN embeddings v ON v.vec_id = b.item_id)"
-_HYBRID = f"""WITH {_OWN}, {_own(BM25_GLOBAL.removeprefix('WITH '))},
+_HYBRID = f"""{BM25_GLOBAL},
 b AS (SELECT q, doc, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc) AS rank FROM padded),
-dv AS (SELECT doc_id AS doc, CAST(embedding AS DOUBLE[]) AS e FROM own_docs JOIN embeddings ON vec_id = doc_id), qv AS (SELECT item_id AS q, CAST(embedding AS DOUBLE[]) AS e FROM own_items JOIN embeddings ON vec_id = item_id),
+dv AS (SELECT doc_id AS doc, CAST(embedding AS DOUBLE[]) AS e FROM documents JOIN embeddings ON vec_id = doc_id), qv AS (SELECT item_id AS q, CAST(embedding AS DOUBLE[]) AS e FROM benchmark JOIN embeddings ON vec_id = item_id),
 c AS (SELECT q, doc, row_number() OVER (PARTITION BY q ORDER BY round(list_cosine_similarity(qv.e, dv.e), 4) DESC, doc) AS rank FROM qv JOIN dv ON q <> doc),
 u AS (SELECT q, doc, rank, 1 AS list_no FROM b WHERE rank <= 10 UNION ALL SELECT q, doc, rank, 2 FROM c WHERE rank <= 10),
-ut AS (SELECT q, u.doc, rank, list_no, coalesce(text, '') AS content FROM u JOIN own_docs ON doc_id = u.doc),
+ut AS (SELECT q, u.doc, rank, list_no, coalesce(text, '') AS content FROM u JOIN documents ON doc_id = u.doc),
 f AS (SELECT q, content, round(sum(0.5 / (60 + rank)), 8) AS score, min(list_no * 100 + rank) AS first, arg_min(doc, list_no * 100 + rank) AS doc FROM ut GROUP BY q, content),
 r AS (SELECT q, doc, score, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, first, doc) AS INTEGER) AS rank FROM f) """
 
@@ -149,20 +144,23 @@ def hybrid_search(spark, sf_dir):
 
 
 _RERANK = f"""{_HYBRID.rstrip()}, {S.IDF.replace('n AS (SELECT count(*) AS n FROM documents)', 'nn AS (SELECT count(*) AS n FROM documents)').replace('idf AS (', 'kidf AS (', 1).replace(', n GROUP BY key', ', nn GROUP BY key')},
-tk AS (SELECT q, key, count(*) AS times FROM (SELECT item_id AS q, unnest({S.keys(S.tokens('text'))}) AS key FROM own_items) GROUP BY ALL),
+tk AS (SELECT q, key, count(*) AS times FROM (SELECT item_id AS q, unnest({S.keys(S.tokens('text'))}) AS key FROM benchmark) GROUP BY ALL),
 tw AS (SELECT q, key, times * coalesce(idf, (SELECT greatest(ln(nn.n) + 1, 0.05) FROM nn)) AS w FROM tk LEFT JOIN kidf USING (key)),
-dk AS (SELECT doc_id AS doc, list_distinct({S.keys(S.tokens('text'))}) AS ks FROM own_docs),
-rs AS (SELECT r.q, r.doc, any_value(rank) AS prior_rank, coalesce(round(sum(CASE WHEN list_contains(ks, key) THEN w ELSE 0 END) / sum(w), 6), 0) AS score FROM r JOIN dk USING (doc) LEFT JOIN tw ON tw.q = r.q GROUP BY r.q, r.doc),
-rr AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, prior_rank) AS INTEGER) AS rank FROM rs) """
+dk AS (SELECT doc_id AS doc, list_distinct({S.keys(S.tokens('text'))}) AS ks FROM documents),
+pools AS (SELECT 'default' AS preset, q, doc, rank FROM r WHERE rank <= 10 UNION ALL SELECT 'v4', q, doc, rank FROM r WHERE rank <= 20 UNION ALL SELECT 'v2', q, doc, rank FROM c WHERE rank <= 20 UNION ALL SELECT 'rerank_no_hybrid', q, doc, rank FROM c WHERE rank <= 10),
+rs AS (SELECT preset, r.q, r.doc, CAST(any_value(rank) AS INTEGER) AS prior_rank, coalesce(round(sum(CASE WHEN list_contains(ks, key) THEN w ELSE 0 END) / sum(w), 6), 0) AS score FROM pools r JOIN dk USING (doc) LEFT JOIN tw ON tw.q = r.q GROUP BY preset, r.q, r.doc),
+rr AS (SELECT *, CAST(row_number() OVER (PARTITION BY preset, q ORDER BY score DESC, prior_rank) AS INTEGER) AS rank FROM rs) """
 
 
-@query(_RERANK + "SELECT q, doc, prior_rank, score, rank FROM rr WHERE rank <= 5")
+@query(_RERANK + "SELECT q, doc, prior_rank, score, rank FROM rr WHERE preset = 'default' AND rank <= 5")
 def rerank_topn(spark, sf_dir):
     """The fused pool by the passage as it was asked, though the search is for a rewritten one: best first."""
     corpus, asked = _corpus(spark, sf_dir)
     idf, total = audit.key_idf(_documents(spark, sf_dir))
     rewritten = asked.select("q", F.concat("text", F.lit(" (rewritten)")).alias("text"), F.col("text").alias("original"))
-    return search.rerank(rrf_fusion(spark, sf_dir), corpus, rewritten, idf, total, search.PRESETS["default"].top_n)
+    p = search.PRESETS["default"]
+    pool = checkpointed(rrf_fusion(spark, sf_dir).where(F.col("rank") <= p.k))
+    return search.rerank(pool, corpus, rewritten, idf, total, p.top_n)
 
 
 @query(_HYBRID + "SELECT q, doc, rank FROM r WHERE rank <= 3")
@@ -170,16 +168,13 @@ def noop_trim(spark, sf_dir):
     return rrf_fusion(spark, sf_dir).where("rank <= 3").select("q", "doc", "rank")
 
 
-@query(_RERANK + """, v AS (SELECT 'hybrid_no_rerank' AS preset, q, doc, rank FROM r WHERE rank <= 5 UNION ALL SELECT 'dense_only', q, doc, CAST(rank AS INTEGER) FROM c WHERE rank <= 5 UNION ALL SELECT 'lexical', q, doc, CAST(rank AS INTEGER) FROM b WHERE rank <= 5 UNION ALL SELECT 'default', q, doc, rank FROM rr WHERE rank <= 5) SELECT * FROM v""")
+@query(_RERANK + """, v AS (SELECT preset, q, doc, rank FROM r, (SELECT unnest(['hybrid_no_rerank', 'v3']) AS preset) WHERE rank <= 5 UNION ALL SELECT preset, q, doc, CAST(rank AS INTEGER) FROM c, (SELECT unnest(['dense_only', 'v1']) AS preset) WHERE rank <= 5
+UNION ALL SELECT 'lexical', q, doc, CAST(rank AS INTEGER) FROM b WHERE rank <= 5 UNION ALL SELECT preset, q, doc, rank FROM rr WHERE rank <= 5) SELECT * FROM v""")
 def search_presets(spark, sf_dir):
-    """What the presets return for the same questions."""
+    """What all presets return for the same questions, from one pair of lists."""
     corpus, asked = _corpus(spark, sf_dir)
-    out = rerank_topn(spark, sf_dir).select(F.lit("default").alias("preset"), "q", "doc", "rank")
-    out = out.unionByName(hybrid_search(spark, sf_dir).select(F.lit("hybrid_no_rerank").alias("preset"), "q", "doc", "rank"))
-    for name in ("dense_only", "lexical"):
-        p = search.PRESETS[name]
-        out = out.unionByName(search.legs(corpus, asked, p.k, p.strategy).select(F.lit(name).alias("preset"), "q", "doc", "rank"))
-    return out
+    idf, total = audit.key_idf(_documents(spark, sf_dir))
+    return search.presets(corpus, asked, idf, total, list(search.PRESETS))
 
 
 @query(f"WITH {_V}, n AS (SELECT q.vec_id AS q, v.label < 5 AS valid, {_COS} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, v.vec_id) AS rank FROM q JOIN v ON q.vec_id <> v.vec_id), k AS (SELECT q, floor(sum(CASE WHEN valid THEN CAST(round(score * 10000) AS BIGINT) END) / count(CASE WHEN valid THEN 1 END)) / 10000 AS v, floor(sum(CASE WHEN NOT valid THEN CAST(round(score * 10000) AS BIGINT) END) / count(CASE WHEN NOT valid THEN 1 END)) / 10000 AS i FROM n WHERE rank <= 5 GROUP BY q) SELECT q, CASE WHEN coalesce(i >= 0.3, FALSE) AND (v IS NULL OR i >= v) THEN 'invalid' ELSE 'valid' END AS intent FROM k")
