@@ -16,7 +16,7 @@ LEXICAL = 0.70
 
 def key_idf(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """((key, df, idf) of all keys of a corpus, (n) its rows). Keys are made distinct in the row: one shuffle of (key, count)."""
-    df = docs.select(F.explode(F.array_distinct(T.keys(T.content_tokens(F.col(text))))).alias("key")).groupBy("key").agg(F.count("*").alias("df"))
+    df = docs.select(F.explode(F.array_distinct(T.keys(F.array_distinct(T.content_tokens(F.col(text)))))).alias("key")).groupBy("key").agg(F.count("*").alias("df"))
     total = docs.agg(F.count("*").alias("n"))
     idf = df.join(F.broadcast(total)).select("key", "df", F.greatest(F.log(F.col("n") / (1 + F.col("df"))) + 1, F.lit(LEAST_IDF)).alias("idf"))
     return idf, total

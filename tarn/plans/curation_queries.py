@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tarn.functions import text as T
 from tarn.operators import audit
 from tarn.plans import sql as S
-from tarn.plans.registry import query, table
+from tarn.plans.registry import documents, query, table
 
 LABELS = ["lexical_exact", "paraphrase", "semantic", "analytical", "negation_edge", "multi_chunk"]
 
@@ -22,7 +22,7 @@ def _cites(spark, sf_dir):
 
 
 def _cases(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("gold_id"), F.col("text").alias("gold_text"))
+    docs = documents(spark, sf_dir).select(F.col("doc_id").alias("gold_id"), F.col("text").alias("gold_text"))
     gold = _cites(spark, sf_dir).join(docs, "gold_id", "left").groupBy("id").agg(F.count("*").alias("n_gold"), F.sum(F.col("gold_text").isNull().cast("long")).alias("missing"), F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("gold_text").isNotNull(), F.struct("gold_id", "gold_text")))), lambda x: x["gold_text"]), "\n").alias("gold"))
     label = F.element_at(F.array(*map(F.lit, LABELS)), (F.col("item_id") % len(LABELS) + 1).cast("int"))
     facts = F.filter(F.split("text", r"\. "), lambda f: f != "")
@@ -31,7 +31,7 @@ def _cases(spark, sf_dir):
 
 
 def _idf(spark, sf_dir):
-    return audit.key_idf(table(spark, sf_dir, "documents"))
+    return audit.key_idf(documents(spark, sf_dir))
 
 
 _CASES = f"""cites AS (SELECT item_id AS id, unnest(list_filter([item_id, CASE WHEN item_id % 5 = 0 THEN item_id + 1 END, CASE WHEN item_id % 11 = 7 THEN -1 END], lambda x: x IS NOT NULL)) AS gold_id FROM benchmark),
@@ -81,7 +81,7 @@ def corpus_idf(spark, sf_dir):
 @query(f"SELECT doc_id, array_to_string({S.stems(S.tokens('text'))}, ' ') AS stems FROM documents")
 def stems(spark, sf_dir):
     """Every document as the stems of its content words."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.stems(T.content_tokens(F.col("text"))), " ").alias("stems"))
+    return documents(spark, sf_dir).select("doc_id", F.array_join(T.stems(T.content_tokens(F.col("text"))), " ").alias("stems"))
 
 
 @query(f"WITH {_TERMS} SELECT id AS item_id, coalesce(coverage, 0) AS coverage FROM cases LEFT JOIN (SELECT * FROM cov WHERE kind = 'a') c USING (id)")
@@ -102,7 +102,7 @@ def lexical_overlap(spark, sf_dir):
 @query(f"WITH al AS (SELECT doc_id, {_CODE} AS raw FROM documents) SELECT doc_id, array_to_string({S.distinct_in_order('raw')}[:12], ' | ') AS anchors FROM al")
 def anchors_of(spark, sf_dir):
     """Addresses, numbers and names of each text."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.hard_anchors(F.col("text")), " | ").alias("anchors"))
+    return documents(spark, sf_dir).select("doc_id", F.array_join(T.hard_anchors(F.col("text")), " | ").alias("anchors"))
 
 
 @query(f"WITH {_TERMS}{_ANCHORS} SELECT id, kind, CAST(n AS INTEGER) AS n, support FROM sup")
@@ -113,7 +113,7 @@ def anchor_support(spark, sf_dir):
 
 @query(f"SELECT doc_id, {S.english('text')} AS english FROM documents")
 def english_flag(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.is_english(F.col("text")).alias("english"))
+    return documents(spark, sf_dir).select("doc_id", T.is_english(F.col("text")).alias("english"))
 
 
 _FLAGGED = "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Lembaran Negara. ' WHEN 1 THEN 'Berdasarkan informasi yang diberikan, ' WHEN 2 THEN 'Pasal 5 Nomor 3. (Jakarta: Penerbit, 2015). ' WHEN 3 THEN 'berstatus tidak berlaku. ' ELSE '' END || text AS t FROM documents"
@@ -123,7 +123,7 @@ _FLAGGED = "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Lembaran Negara. ' WHEN
 def boilerplate_fraction(spark, sf_dir):
     """Citations, references to a context, self-citing and metadata: four in five documents are given one of them."""
     given = F.element_at(F.array(*map(F.lit, ["Lembaran Negara. ", "Berdasarkan informasi yang diberikan, ", "Pasal 5 Nomor 3. (Jakarta: Penerbit, 2015). ", "berstatus tidak berlaku. ", ""])), (F.col("doc_id") % 5 + 1).cast("int"))
-    t = table(spark, sf_dir, "documents").select("doc_id", F.concat(given, "text").alias("t"))
+    t = documents(spark, sf_dir).select("doc_id", F.concat(given, "text").alias("t"))
     x = F.col("t")
     return t.select("doc_id", F.round(T.boilerplate(x), 6).alias("fraction"), x.rlike(T.CONTEXT_REFERENCE).alias("context_ref"), x.rlike(T.SELF_CITING).alias("self_cite"), x.rlike(T.METADATA_ONLY).alias("metadata_only"))
 
@@ -133,7 +133,7 @@ k AS (SELECT doc_id, CASE WHEN len(n) > 2 THEN list_filter(n, lambda x: x NOT IN
 SELECT doc_id, CASE WHEN len(n) = 0 THEN 1.0 ELSE round(len(list_filter(n, lambda x: list_contains(there, x))) / len(n), 6) END AS support FROM k""")
 def number_support(spark, sf_dir):
     """How many of a text's numbers the next document holds as words; both texts are read whole."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     gold = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("gold"))
     return docs.select("doc_id", "text").join(gold, "doc_id", "left").select("doc_id", F.round(T.number_support(F.col("text"), F.col("gold")), 6).alias("support"))
 
@@ -179,7 +179,7 @@ def redundancy_marking(spark, sf_dir):
     pair, in order of ids, names what it is redundant with."""
     from tarn.operators.near import near_classes
 
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     pairs, members = near_classes(docs.select(F.col("lang").alias("bucket"), F.col("doc_id").alias("id"), F.array_distinct(T.keys(T.content_tokens(F.col("text")))).alias("x"), F.col("n_chars").alias("score")), 72)
     score = docs.select(F.col("doc_id").alias("id"), F.col("n_chars").alias("s"))
     scored = pairs.join(score.withColumnsRenamed({"id": "a", "s": "sa"}), "a").join(score.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
@@ -199,7 +199,7 @@ def near_duplicate_pairs(spark, sf_dir):
     all, and each other one is paired with it."""
     from tarn.operators.near import near_pairs
 
-    keyed = table(spark, sf_dir, "documents").select(F.col("lang").alias("bucket"), F.col("doc_id").alias("id"), F.array_distinct(T.words(F.col("text"))).alias("x"))
+    keyed = documents(spark, sf_dir).select(F.col("lang").alias("bucket"), F.col("doc_id").alias("id"), F.array_distinct(T.words(F.col("text"))).alias("x"))
     return near_pairs(keyed, 85).select(F.col("bucket").alias("lang"), "a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
@@ -211,7 +211,7 @@ def online_dedup(spark, sf_dir):
     """In order of ids, a document is refused if one that was accepted before is alike from 0.85 on."""
     from tarn.operators.near import accepted
 
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     keyed = docs.select(F.col("lang").alias("bucket"), F.col("doc_id").alias("id"), F.array_distinct(T.words(F.col("text"))).alias("x"))
     return docs.select("doc_id").join(accepted(keyed, 85).select(F.col("id").alias("doc_id"), "accepted"), "doc_id", "left").select("doc_id", F.coalesce("accepted", F.lit(True)).alias("accepted"))
 
@@ -220,7 +220,7 @@ def online_dedup(spark, sf_dir):
 m AS (SELECT *, long_ AND r <= 2 AS forced FROM o), s AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY forced DESC, r - CASE WHEN long_ THEN 2 ELSE 0 END, long_, r) AS n FROM m) SELECT source, doc_id, CAST(n AS INTEGER) AS n FROM s WHERE n <= 5""")
 def stratified_sample(spark, sf_dir):
     """Five of each source: two long ones at least, then long and short ones in turn, in an order that seed and id decide."""
-    docs = table(spark, sf_dir, "documents").select("source", "doc_id", (F.col("n_chars") >= 3000).alias("long"))
+    docs = documents(spark, sf_dir).select("source", "doc_id", (F.col("n_chars") >= 3000).alias("long"))
     seeded = F.md5(F.concat(F.lit("17:"), F.col("doc_id").cast("string")))
     r = F.row_number().over(Window.partitionBy("source", "long").orderBy(seeded, "doc_id"))
     rows = docs.withColumn("r", r).where("r <= 5").withColumn("forced", F.col("long") & (F.col("r") <= 2))
@@ -236,7 +236,7 @@ def query_type_plan(spark, sf_dir):
     """Types of questions by share of each language, halves to even, what is short filled up with the first; slots for
     limits go first to documents that state one."""
     by = Window.partitionBy("lang")
-    docs = table(spark, sf_dir, "documents").select("lang", "doc_id", F.contains(F.lower("text"), F.lit("licen")).alias("neg"))
+    docs = documents(spark, sf_dir).select("lang", "doc_id", F.contains(F.lower("text"), F.lit("licen")).alias("neg"))
     part = lambda f: F.bround(F.col("n") * f, 0).cast("long")
     rows = docs.withColumn("r", F.row_number().over(by.orderBy(F.md5(F.concat(F.lit("q:"), F.col("doc_id").cast("string"))), "doc_id"))).withColumn("n", F.count("*").over(by))
     rows = rows.withColumn("nr", F.sum(F.col("neg").cast("int")).over(by.orderBy("r"))).withColumn("want", part(0.15)).withColumn("taken", F.col("neg") & (F.col("nr") <= F.col("want")))

@@ -5,19 +5,19 @@ from pyspark.sql import functions as F
 
 from tarn.functions import text as T
 from tarn.plans.analytics_queries import _n
-from tarn.plans.registry import query, table
+from tarn.plans.registry import documents, query, table
 
 
 @query("SELECT doc_id, len(ts) >= 20 AND len(list_filter(ts, lambda t: length(t) = 1)) / greatest(len(ts), 1) > 0.5 AS spaced FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda t: t <> '') AS ts FROM documents)")
 def charspaced_flag(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.is_charspaced(F.col("text")).alias("spaced"))
+    return documents(spark, sf_dir).select("doc_id", T.is_charspaced(F.col("text")).alias("spaced"))
 
 
 @query("""SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda s: CASE WHEN len(list_filter(string_split(s, ' '), lambda t: t <> '')) >= 4
 AND len(list_filter(string_split(s, ' '), lambda t: length(t) = 1)) / len(list_filter(string_split(s, ' '), lambda t: t <> '')) > 0.6
 THEN array_to_string(list_filter(list_transform(regexp_split_to_array(s, '  +'), lambda w: replace(w, ' ', '')), lambda w: w <> ''), ' ') ELSE s END), chr(10)) AS despaced FROM documents""")
 def despace_lines(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.despaced_lines(F.col("text")).alias("despaced"))
+    return documents(spark, sf_dir).select("doc_id", T.despaced_lines(F.col("text")).alias("despaced"))
 
 
 @query("SELECT event_type, count(*) AS n, round(avg(k), 6) AS mean, round(quantile_cont(k, 0.95), 6) AS p95, count(*) FILTER (k = 0) AS zeros FROM (SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY event_type")
@@ -45,4 +45,4 @@ def followup_rewrite(spark, sf_dir):
 
 @query("SELECT doc_id, CASE WHEN n_chars // 1000 = 0 THEN source ELSE source || '/' || (n_chars // 5000) END AS topic FROM documents")
 def topic_of(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.expr("n_chars div 1000") == 0, F.col("source")).otherwise(F.concat("source", F.lit("/"), F.expr("n_chars div 5000").cast("string"))).alias("topic"))
+    return documents(spark, sf_dir).select("doc_id", F.when(F.expr("n_chars div 1000") == 0, F.col("source")).otherwise(F.concat("source", F.lit("/"), F.expr("n_chars div 5000").cast("string"))).alias("topic"))

@@ -7,7 +7,7 @@ from tarn.operators import audit, search
 from tarn.operators import retrieval as R
 from tarn.operators.containment import holders
 from tarn.plans import sql as S
-from tarn.plans.registry import query, table
+from tarn.plans.registry import documents, query, table
 from tarn.sources.shared import checkpointed
 
 _BM25 = """
@@ -37,7 +37,7 @@ def _asked(spark, sf_dir):
 
 
 def _documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text", "source")
+    return documents(spark, sf_dir).select(F.col("doc_id").alias("doc"), "text", "source")
 
 
 def _gold(spark, sf_dir):

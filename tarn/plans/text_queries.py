@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tarn.functions import text as T
-from tarn.plans.registry import query, table
+from tarn.plans.registry import documents, query, table
 
 TIPES = ["src1", "src2"]
 
@@ -14,7 +14,7 @@ TIPES = ["src1", "src2"]
     '\.{3,}', '', 'g'), '(?m)^\s*[0-9]{1,3}\s*$', '', 'g'), '(^|[^.!?:\-])\n([a-zA-Z])', '\1 \2', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', E'\n\n', 'g'), '^\s+|\s+$', '', 'g') AS cleaned FROM documents"""
 )
 def clean_text_steps(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.clean_page(F.col("text")).alias("cleaned"))
+    return documents(spark, sf_dir).select("doc_id", T.clean_page(F.col("text")).alias("cleaned"))
 
 
 @query(
@@ -23,7 +23,7 @@ def clean_text_steps(spark, sf_dir):
 )
 def char_ratio_flag(spark, sf_dir):
     ratio = T.char_ratio(F.col("text"))
-    return table(spark, sf_dir, "documents").where(F.length("text") > 0).select("doc_id", F.round(ratio, 6).alias("ratio"), (ratio < 0.85).alias("flagged"))
+    return documents(spark, sf_dir).where(F.length("text") > 0).select("doc_id", F.round(ratio, 6).alias("ratio"), (ratio < 0.85).alias("flagged"))
 
 
 @query(
@@ -33,7 +33,7 @@ def char_ratio_flag(spark, sf_dir):
 def fixed_stride_chunks(spark, sf_dir):
     """Chunks of 1200 characters that overlap by 200."""
     n = F.greatest(F.lit(1), F.ceil((F.length("text") - 200) / 1000.0).cast("int"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("part"))
+    docs = documents(spark, sf_dir).select("doc_id", "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("part"))
     return docs.select("doc_id", "part", F.expr("substring(text, part * 1000 + 1, 1200)").alias("chunk"))
 
 
@@ -43,7 +43,7 @@ def fixed_stride_chunks(spark, sf_dir):
 )
 def boundary_split(spark, sf_dir):
     """Chunks at line boundaries; those of under 50 characters go, and keep their place in the numbering."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "raw"))
+    rows = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "raw"))
     return rows.select("doc_id", (F.col("at") + 1).alias("piece"), F.trim("raw").alias("sentence")).where(F.length("sentence") >= 50)
 
 
@@ -114,18 +114,18 @@ def forward_fill_parent(spark, sf_dir):
     regexp_replace(list_filter(list_transform(string_split(text, chr(10)), lambda s: regexp_extract(s, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]+')), lambda s: s <> '')[-1], '\.+$', '') AS email FROM documents"""
 )
 def email_phone_parse(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.address_of(F.col("text")).alias("address"), T.email_of(F.col("text")).alias("email"))
+    return documents(spark, sf_dir).select("doc_id", T.address_of(F.col("text")).alias("address"), T.email_of(F.col("text")).alias("email"))
 
 
 @query("SELECT doc_id, CASE WHEN starts_with(source, 'src1') THEN 'src1' WHEN starts_with(source, 'src2') THEN 'src2' ELSE 'Lainnya' END AS tipe FROM documents")
 def prefix_classify(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.first_prefix(F.col("source"), TIPES, "Lainnya").alias("tipe"))
+    return documents(spark, sf_dir).select("doc_id", T.first_prefix(F.col("source"), TIPES, "Lainnya").alias("tipe"))
 
 
 @query("SELECT doc_id, concat_ws(chr(10), 'No: ' || doc_id, 'Source: ' || source, CASE WHEN lang <> 'en' THEN 'Lang: ' || lang END, 'Chars: ' || coalesce(CAST(n_chars AS VARCHAR), '-')) AS rendered FROM documents")
 def render_record(spark, sf_dir):
     s = lambda c: F.col(c).cast("string")
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\n", F.concat(F.lit("No: "), s("doc_id")), F.concat(F.lit("Source: "), "source"), F.when(F.col("lang") != "en", F.concat(F.lit("Lang: "), "lang")), F.concat(F.lit("Chars: "), F.coalesce(s("n_chars"), F.lit("-")))).alias("rendered"))
+    return documents(spark, sf_dir).select("doc_id", F.concat_ws("\n", F.concat(F.lit("No: "), s("doc_id")), F.concat(F.lit("Source: "), "source"), F.when(F.col("lang") != "en", F.concat(F.lit("Lang: "), "lang")), F.concat(F.lit("Chars: "), F.coalesce(s("n_chars"), F.lit("-")))).alias("rendered"))
 
 
 @query(r"SELECT page_id, CAST(i AS INTEGER) AS n, items[i] AS item FROM (SELECT page_id, items, unnest(range(1, len(items) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '<li><a[^>]*>([^<]*)</a></li>', 1) AS items FROM pages))")
@@ -148,4 +148,4 @@ def html_key_values(spark, sf_dir):
 
 @query("SELECT source, lang, count(*) AS n, min(n_chars) AS least, max(n_chars) AS most, round(avg(n_chars), 4) AS mean, median(n_chars) AS middle FROM documents GROUP BY source, lang")
 def length_stats(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"), F.round(F.avg("n_chars"), 4).alias("mean"), F.median("n_chars").alias("middle"))
+    return documents(spark, sf_dir).groupBy("source", "lang").agg(F.count("*").alias("n"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"), F.round(F.avg("n_chars"), 4).alias("mean"), F.median("n_chars").alias("middle"))

@@ -28,3 +28,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if df.sparkSession.sparkContext.getCheckpointDir() is None:
         df.sparkSession.sparkContext.setCheckpointDir(path)
     return df.checkpoint(eager=True)
+
+
+#: Bytes of files for each core, below which a table is dealt out before texts are worked on.
+FEW_BYTES = 16 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out to all cores if its files are too small to be: one row group is one task, however long its texts are to
+    work on. Tables with as many bytes as a core should have are left as they are, so nothing large is moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * FEW_BYTES else df
