@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions import text as T
 from tarn.operators.containment import holders
+from tarn.operators import quantiles
 from tarn.plans.registry import query, table
 
 
@@ -50,21 +51,25 @@ def macro_f1(spark, sf_dir):
 @query("SELECT event_type AS stage, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events WHERE value <> 0 GROUP BY event_type")
 def latency_summary(spark, sf_dir):
     """Interpolated percentiles of each stage, over times that are not zero."""
-    return table(spark, sf_dir, "events").where("value <> 0").groupBy(F.col("event_type").alias("stage")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.percentile("value", 0.5), 6).alias("p50"), F.round(F.percentile("value", 0.95), 6).alias("p95"))
+    rows = table(spark, sf_dir, "events").where("value <> 0").select(F.col("event_type").alias("stage"), "value")
+    means = rows.groupBy("stage").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    found = quantiles.percentiles(rows, ["stage"], "value", {"p50": 0.5, "p95": 0.95})
+    return means.join(found.drop("n"), "stage").select("stage", "n", "mean", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 
 @query("SELECT stage, value AS p95 FROM (SELECT event_type AS stage, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE r = CAST(floor(0.95 * (n - 1)) AS BIGINT) + 1")
 def latency_p95_floor(spark, sf_dir):
     """The value at place int(0.95 * (n - 1)): another percentile than that of latency_summary."""
-    by = Window.partitionBy("event_type")
-    rows = table(spark, sf_dir, "events").select("event_type", "value", F.row_number().over(by.orderBy("value")).alias("r"), F.count("*").over(by).alias("n"))
-    return rows.where(F.col("r") == F.floor(0.95 * (F.col("n") - 1)) + 1).select(F.col("event_type").alias("stage"), F.col("value").alias("p95"))
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("stage"), "value")
+    return quantiles.percentiles(rows, ["stage"], "value", {"p95": 0.95}, floor=True).select("stage", "p95")
 
 
 @query("SELECT l_returnflag AS metric, count(l_discount) AS n, round(avg(l_discount), 6) AS mean, round(median(l_discount), 6) AS median, round(coalesce(stddev_samp(l_discount), 0), 6) AS std, min(l_discount) AS least, max(l_discount) AS most FROM lineitem GROUP BY 1")
 def metric_stats(spark, sf_dir):
-    x = F.col("l_discount")
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("metric")).agg(F.count(x).alias("n"), F.round(F.avg(x), 6).alias("mean"), F.round(F.median(x), 6).alias("median"), F.round(F.coalesce(F.stddev_samp(x), F.lit(0.0)), 6).alias("std"), F.min(x).alias("least"), F.max(x).alias("most"))
+    x, rows = F.col("l_discount"), table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("metric"), "l_discount")
+    stats = rows.groupBy("metric").agg(F.count(x).alias("n"), F.round(F.avg(x), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp(x), F.lit(0.0)), 6).alias("std"), F.min(x).alias("least"), F.max(x).alias("most"))
+    middle = quantiles.percentiles(rows, ["metric"], "l_discount", {"median": 0.5}).select("metric", F.round("median", 6).alias("median"))
+    return stats.join(middle, "metric", "left").select("metric", "n", "mean", "median", "std", "least", "most")
 
 
 @query("SELECT round(avg(CAST(n_user > 1 AS INTEGER)), 6) AS re_retrieve_rate, round(avg(n), 6) AS avg_iterations, count(*) AS n FROM (SELECT conv_id, count(*) AS n, count(*) FILTER (role = 'user') AS n_user FROM conversations GROUP BY conv_id)")

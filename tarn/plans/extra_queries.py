@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions import text as T
 from tarn.plans.analytics_queries import _n
+from tarn.operators import quantiles
 from tarn.plans.registry import documents, query, table
 
 
@@ -24,7 +25,9 @@ def despace_lines(spark, sf_dir):
 def count_summary(spark, sf_dir):
     """Like a latency summary, but zeros count."""
     rows = table(spark, sf_dir, "events").select("event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
-    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("k"), 6).alias("mean"), F.round(F.percentile("k", 0.95), 6).alias("p95"), _n(F.col("k") == 0).alias("zeros"))
+    stats = rows.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("k"), 6).alias("mean"), _n(F.col("k") == 0).alias("zeros"))
+    p95 = quantiles.percentiles(rows, ["event_type"], "k", {"p95": 0.95}).select("event_type", F.round("p95", 6).alias("p95"))
+    return stats.join(p95, "event_type", "left").select("event_type", "n", "mean", "p95", "zeros")
 
 
 @query("SELECT user_id, round(sum(CASE WHEN event_type = 'click' THEN value END), 4) AS click, round(sum(CASE WHEN event_type = 'view' THEN value END), 4) AS view, round(sum(value), 4) AS total FROM events GROUP BY user_id")

@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tarn.functions import text as T
+from tarn.operators import quantiles
 from tarn.plans.registry import documents, query, table
 
 TIPES = ["src1", "src2"]
@@ -148,4 +149,8 @@ def html_key_values(spark, sf_dir):
 
 @query("SELECT source, lang, count(*) AS n, min(n_chars) AS least, max(n_chars) AS most, round(avg(n_chars), 4) AS mean, median(n_chars) AS middle FROM documents GROUP BY source, lang")
 def length_stats(spark, sf_dir):
-    return documents(spark, sf_dir).groupBy("source", "lang").agg(F.count("*").alias("n"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"), F.round(F.avg("n_chars"), 4).alias("mean"), F.median("n_chars").alias("middle"))
+    rows = table(spark, sf_dir, "documents").select("source", "lang", "n_chars")
+    stats = rows.groupBy("source", "lang").agg(F.count("*").alias("n"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"), F.round(F.avg("n_chars"), 4).alias("mean"))
+    middle = quantiles.percentiles(rows, ["source", "lang"], "n_chars", {"middle": 0.5}).select(F.col("source").alias("s"), F.col("lang").alias("l"), "middle")
+    same = stats["source"].eqNullSafe(middle["s"]) & stats["lang"].eqNullSafe(middle["l"])
+    return stats.join(middle, same, "left").select("source", "lang", "n", "least", "most", "mean", "middle")
