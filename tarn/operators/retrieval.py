@@ -40,25 +40,37 @@ def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if bytes_ <= most else df
 
 
-def bm25(docs: DataFrame, questions: DataFrame, by: list[str] | None = None) -> DataFrame:
+def _token_lists(docs: DataFrame, by: list[str]) -> DataFrame:
+    return docs.select("doc", *by, white_tokens(F.col("text")).alias("tokens")).select("doc", *by, F.size("tokens").alias("dl"), "tokens")
+
+
+def white_tokens(text: Column) -> Column:
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda t: t != "")
+
+
+def statistics(docs: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """([by...,] token, df, length): how many documents hold each token. No token is empty: the row of the empty one counts all
+    documents, and their tokens."""
+    by = by or []
+    each = F.explode(F.concat(F.array(F.lit("")), F.array_distinct("tokens"))).alias("token")
+    return checkpointed(_token_lists(docs, by).select(*by, "dl", each).groupBy(*by, "token").agg(F.count("*").alias("df"), F.sum("dl").alias("length")))
+
+
+def bm25(docs: DataFrame, questions: DataFrame, by: list[str] | None = None, df: DataFrame | None = None) -> DataFrame:
     """(q, doc, score[, by...]) of all documents that share a token with a question, by Okapi BM25 on white-space tokens.
 
     docs (doc, text[, by...]), questions (q, text). Statistics are of each group of `by`. Terms in more than half of the
     documents get EPSILON times the mean idf. Texts are split twice: once for the numbers of documents of all tokens, which
     are summed up before they are shuffled, and once for the occurrences of tokens that questions use, which are all that
-    is shuffled of the texts.
+    is shuffled of the texts. df: statistics() of docs, where they are known.
     """
     by = by or []
-    tokens = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda t: t != "")
-    lists = docs.select("doc", *by, tokens(F.col("text")).alias("tokens")).select("doc", *by, F.size("tokens").alias("dl"), "tokens")
-    # no token is empty: the row of the empty one counts the documents, and their lengths
-    each = F.explode(F.concat(F.array(F.lit("")), F.array_distinct("tokens"))).alias("token")
-    df = checkpointed(lists.select(*by, "dl", each).groupBy(*by, "token").agg(F.count("*").alias("df"), F.sum("dl").alias("length")))
+    lists, df = _token_lists(docs, by), df or statistics(docs, by)
     stats = df.where("token = ''").select(*by, F.col("df").alias("n"), (F.col("length") / F.col("df")).alias("avgdl"))
     groups, rest = small(stats), df.where("token <> ''").drop("length")
     raw = (rest.join(groups, by) if by else rest.join(groups)).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy(*by).agg(F.avg("idf").alias("mean_idf"))
-    asked = checkpointed(questions.select("q", F.explode(tokens(F.col("text"))).alias("token")).groupBy("q", "token").agg(F.count("*").alias("times")))
+    asked = checkpointed(questions.select("q", F.explode(white_tokens(F.col("text"))).alias("token")).groupBy("q", "token").agg(F.count("*").alias("times")))
     words = small(asked.select("token").distinct())
     terms = raw.join(words, "token", "left_semi")
     idf = terms.join(mean, by) if by else terms.join(F.broadcast(mean))
@@ -71,7 +83,7 @@ def bm25(docs: DataFrame, questions: DataFrame, by: list[str] | None = None) ->
     return hit.groupBy("q", "doc", *by).agg(F.round(F.sum(part), 6).alias("score"))
 
 
-def bm25_top(docs: DataFrame, questions: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
+def bm25_top(docs: DataFrame, questions: DataFrame, k: int, by: list[str] | None = None, df: DataFrame | None = None) -> DataFrame:
     """(q, doc, score, rank[, by...]): the k best of each question (and group), always k where there are as many: documents
     without a common token score 0 and follow in order of id. Of those only the first k of a group can be needed.
 
@@ -79,7 +91,8 @@ def bm25_top(docs: DataFrame, questions: DataFrame, k: int, by: list[str] | None
     nothing with them, and scored again to tell which those are.
     """
     by = by or []
-    scored = bm25(docs, questions, by)
+    df = df or statistics(docs, by)
+    scored = bm25(docs, questions, by, df)
     best = checkpointed(top(scored, k, ["q", *by], F.desc("score"), "doc"))
     groups = docs.select(*by).distinct() if by else None
     full = best.where("score > 0").groupBy("q", *by).agg(F.count("*").alias("n")).where(F.col("n") >= k).drop("n")
@@ -91,7 +104,7 @@ def bm25_top(docs: DataFrame, questions: DataFrame, k: int, by: list[str] | None
     first = top(docs.select("doc", *by), 2 * k, by, "doc").drop("rank") if by else docs.select("doc").orderBy("doc").limit(2 * k)
     none = (open_.join(small(first), by) if by else open_.join(F.broadcast(first))).select("q", "doc", *by)
     again = questions.join(small(open_.select("q").distinct()), "q", "left_semi")
-    none = none.join(bm25(docs, again, by).select("q", "doc"), ["q", "doc"], "left_anti").withColumn("score", F.lit(0.0))
+    none = none.join(bm25(docs, again, by, df).select("q", "doc"), ["q", "doc"], "left_anti").withColumn("score", F.lit(0.0))
     # a score may be below 0: those documents come after the ones without a common token
     return top(best.drop("rank").unionByName(none), k, ["q", *by], F.desc("score"), "doc")
 

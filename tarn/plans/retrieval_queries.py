@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tarn.operators import audit, search
+from tarn.operators import audit, embedding, feedback, search
 from tarn.operators import retrieval as R
 from tarn.operators.containment import holders
 from tarn.plans import sql as S
@@ -177,6 +177,51 @@ def search_presets(spark, sf_dir):
     return search.presets(corpus, asked, idf, total, list(search.PRESETS))
 
 
+_FEEDBACK = BM25_GLOBAL + """,
+p1 AS (SELECT q, doc, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc) AS rank FROM padded),
+sh AS (SELECT q, token, round(sum(tf / dl), 9) AS share FROM p1 JOIN tf USING (doc) WHERE rank <= 3 GROUP BY q, token),
+ex AS (SELECT q, token, row_number() OVER (PARTITION BY q ORDER BY round(share * ln(n / df), 9) DESC, token) AS rank FROM sh JOIN d USING (token), stats WHERE NOT EXISTS (SELECT 1 FROM asked a WHERE a.q = sh.q AND a.token = sh.token)),
+asked2 AS (SELECT q, token, 2 * times AS times FROM asked UNION ALL SELECT q, token, 1 FROM ex WHERE rank <= 10),
+scored2 AS (SELECT q, doc, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM tf JOIN asked2 USING (token) JOIN idf ON idf.token = tf.token GROUP BY q, doc),
+padded2 AS (SELECT * FROM scored2 UNION ALL SELECT item_id, doc_id, 0.0 FROM benchmark, (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 40) WHERE NOT EXISTS (SELECT 1 FROM scored2 s WHERE s.q = item_id AND s.doc = doc_id)),
+p2 AS (SELECT q, doc, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc) AS rank FROM padded2),
+u AS (SELECT q, doc, rank, 1 AS list_no FROM p1 WHERE rank <= 10 UNION ALL SELECT q, doc, rank, 2 FROM p2 WHERE rank <= 10),
+p3 AS (SELECT q, doc, row_number() OVER (PARTITION BY q ORDER BY round(sum(0.5 / (60 + rank)), 8) DESC, min(list_no * 100 + rank), doc) AS rank FROM u GROUP BY q, doc),
+""" + _GOLD + """, lists AS (SELECT 'plain' AS how, * FROM p1 WHERE rank <= 5 UNION ALL SELECT 'rewritten', * FROM p2 WHERE rank <= 5 UNION ALL SELECT 'fused', * FROM p3 WHERE rank <= 5)"""
+
+
+@query(_FEEDBACK + """ SELECT q, string_agg(token, ' ' ORDER BY rank) AS added FROM ex WHERE rank <= 10 GROUP BY q""")
+def feedback_terms(spark, sf_dir):
+    """The words that a first search adds to each passage."""
+    corpus, asked = _documents(spark, sf_dir).drop("source"), _asked(spark, sf_dir)
+    df = R.statistics(corpus)
+    added = feedback.expansions(R.bm25_top(corpus, asked, feedback.FEEDBACK, df=df), corpus, asked, df)
+    return added.groupBy("q").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "token"))), lambda x: x["token"]), " ").alias("added"))
+
+
+@query(_FEEDBACK + """, g AS (SELECT q, count(DISTINCT doc) AS n FROM gold GROUP BY q), f AS (SELECT how, q, count(DISTINCT doc) AS found FROM lists JOIN gold USING (q, doc) GROUP BY how, q)
+SELECT h.how, count(n) AS n, round(avg(CASE WHEN n > 0 THEN round(coalesce(found, 0) / n, 6) END), 6) AS recall FROM (SELECT unnest(['plain', 'rewritten', 'fused']) AS how) h, benchmark LEFT JOIN g ON g.q = item_id LEFT JOIN f ON f.q = item_id AND f.how = h.how GROUP BY h.how""")
+def feedback_recall(spark, sf_dir):
+    """Recall at 5 of passages as asked, rewritten by the words of what they find, and of both lists fused."""
+    found = feedback.search(_documents(spark, sf_dir).drop("source"), _asked(spark, sf_dir))
+    gold, asked = checkpointed(_gold(spark, sf_dir)), _asked(spark, sf_dir)
+    out = [R.ranking_metrics(found[how], gold, asked, 5).agg(F.count("recall").alias("n"), F.round(F.avg("recall"), 6).alias("recall")).select(F.lit(how).alias("how"), "n", "recall") for how in ("plain", "rewritten", "fused")]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query()
+def embedded_topk(spark, sf_dir):
+    """The five nearest documents of each passage by vectors that are fitted on all documents; every document has one."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    model = embedding.fit(documents(spark, sf_dir))
+    vectors = embedding.embed(docs, model).select(F.col("id").alias("doc"), F.col("vector").alias("dv"))
+    asked = embedding.embed(_asked(spark, sf_dir).withColumnRenamed("q", "id"), model, question=True).select(F.col("id").alias("q"), F.col("vector").alias("qv"))
+    # passages and documents are numbered for themselves
+    asked = asked.withColumn("q", -F.col("q") - 1)
+    found = R.dense(asked, vectors, F.round(R.dot("qv", "dv"), 4), 5, unit=True)
+    return found.select((-F.col("q") - 1).alias("q"), "doc", "score", "rank")
+
+
 @query(f"WITH {_V}, n AS (SELECT q.vec_id AS q, v.label < 5 AS valid, {_COS} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, v.vec_id) AS rank FROM q JOIN v ON q.vec_id <> v.vec_id), k AS (SELECT q, floor(sum(CASE WHEN valid THEN CAST(round(score * 10000) AS BIGINT) END) / count(CASE WHEN valid THEN 1 END)) / 10000 AS v, floor(sum(CASE WHEN NOT valid THEN CAST(round(score * 10000) AS BIGINT) END) / count(CASE WHEN NOT valid THEN 1 END)) / 10000 AS i FROM n WHERE rank <= 5 GROUP BY q) SELECT q, CASE WHEN coalesce(i >= 0.3, FALSE) AND (v IS NULL OR i >= v) THEN 'invalid' ELSE 'valid' END AS intent FROM k")
 def intent_gate(spark, sf_dir):
     """The gate that fails open: invalid only if the nearest utterances say so strongly enough (0.3 with these vectors)."""
