@@ -1,9 +1,11 @@
-"""The bounded session store over the events."""
+"""The bounded session store over the events, tables that are checked as they are read, and results that are saved in batches."""
 
 from pyspark.sql import functions as F
 
-from tarn.operators import session_store
+from tarn.operators import guards, session_store
 from tarn.plans.registry import query, table
+from tarn.sources.shared import checkpointed, folder
+from tarn.streaming import results
 
 
 def _store_sql(key: str, ttl: str, most: int) -> str:
@@ -30,3 +32,56 @@ def session_evictions(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     id_ = F.concat(F.col("user_id").cast("string"), F.lit("/"), "event_type")
     return session_store.replayed(events.select(F.col("event_id").alias("event"), id_.alias("id"), "ts"), ttl=30 * 86400.0)
+
+
+@query("SELECT item_id, CAST(row_number() OVER () - 1 AS BIGINT) AS ordinal FROM benchmark")
+def file_order(spark, sf_dir):
+    """The passages with their places in the file."""
+    return guards.in_file_order(table(spark, sf_dir, "benchmark")).select("item_id", "ordinal")
+
+
+@query("SELECT l.doc_id, l.quality, l.toxic, d.n_chars FROM labels l JOIN documents d USING (doc_id)")
+def guarded_labels(spark, sf_dir):
+    """Labels with the documents that they are of; an unknown or repeated id would abort."""
+    labels, docs = table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return guards.scored_with_tests(labels, docs, "doc_id")[0].select("doc_id", "quality", "toxic", "n_chars")
+
+
+@query("SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def tests_without_result(spark, sf_dir):
+    """Documents without a label, reported beside the guarded join."""
+    return guards.scored_with_tests(table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents").select("doc_id"), "doc_id")[1].select("doc_id")
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) || '/' || turn AS id, text AS question, role AS label FROM conversations WHERE trim(coalesce(text, '')) <> ''")
+def validated_questions(spark, sf_dir):
+    """All turns as a set of questions, validated as it is read: ids there and unique, no question blank."""
+    rows = table(spark, sf_dir, "conversations").where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    id_ = F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"))
+    return guards.question_set(rows.select(id_.alias("id"), F.col("text").alias("question"), F.col("role").alias("label")))
+
+
+@query("SELECT doc_id, doc_id < vec_n AS cached, CASE WHEN doc_id < vec_n THEN CAST(e[1] AS DOUBLE) END AS first FROM documents LEFT JOIN (SELECT vec_id, embedding AS e FROM embeddings) ON vec_id = doc_id, (SELECT max(vec_id) + 1 AS vec_n FROM embeddings)")
+def vector_cache(spark, sf_dir):
+    """Documents looked up in a cache of vectors by model, dimensions, id and whole text; vectors of other dimensions abort."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    held = docs.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), "id")
+    cache = held.select(guards.cache_key("given", 64, F.col("id"), F.col("text")).alias("key"), "vector")
+    hits, rest = guards.cached_vectors(docs, cache, "given", 64)
+    out = hits.select(F.col("id").alias("doc_id"), F.lit(True).alias("cached"), F.col("vector")[0].cast("double").alias("first"))
+    return out.unionByName(rest.select(F.col("id").alias("doc_id"), F.lit(False).alias("cached"), F.lit(None).cast("double").alias("first")))
+
+
+@query("SELECT doc_id AS id, source, CAST(row_number() OVER (ORDER BY CASE WHEN l.doc_id IS NULL THEN 1 ELSE 0 END, CASE WHEN l.doc_id IS NULL THEN 0 ELSE -l.doc_id END, doc_id) AS BIGINT) AS place FROM documents LEFT JOIN (SELECT doc_id FROM labels) l USING (doc_id)")
+def saved_results(spark, sf_dir):
+    """Documents as results: saved in batches, the second of which is tried twice and overlaps the first, read back in the order of
+    a test set (labels, last first), those without a test last."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
+    out = folder(spark, "results")
+    results.save_batch(docs.where("id % 3 < 2"), 0, out)
+    for _ in range(2):
+        results.save_batch(docs.where("id % 3 > 0"), 1, out)
+    tests = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), (F.lit(10**9) - F.col("doc_id")).alias("ordinal"))
+    rows = checkpointed(results.saved(spark, out, "id long, source string"))
+    results.delete(spark, out)
+    return results.in_order(rows, tests).select("id", "source", "place")
