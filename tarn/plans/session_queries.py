@@ -1,9 +1,12 @@
-"""The bounded session store over the events, tables that are checked as they are read, and results that are saved in batches."""
+"""The bounded session store over the events, tables that are checked as they are read, results that are saved in batches, and
+rounds of tool calls."""
 
 from pyspark.sql import functions as F
 
-from tarn.operators import guards, session_store
-from tarn.plans.registry import query, table
+from tarn.operators import audit, guards, session_store, tools
+from tarn.plans import sql as S
+from tarn.plans.registry import documents, query, table
+from tarn.plans.retrieval_queries import BM25_LOCAL
 from tarn.sources.shared import checkpointed, folder
 from tarn.streaming import results
 
@@ -85,3 +88,27 @@ def saved_results(spark, sf_dir):
     rows = checkpointed(results.saved(spark, out, "id long, source string"))
     results.delete(spark, out)
     return results.in_order(rows, tests).select("id", "source", "place")
+
+
+_TOOLS = f"""{BM25_LOCAL},
+pool AS (SELECT q, source, doc, rank FROM (SELECT q, source, doc, row_number() OVER (PARTITION BY q, source ORDER BY score DESC, doc) AS rank FROM padded) WHERE rank <= 10),
+{S.IDF.replace('n AS (SELECT count(*) AS n FROM documents)', 'nn AS (SELECT count(*) AS n FROM documents)').replace('idf AS (', 'kidf AS (', 1).replace(', n GROUP BY key', ', nn GROUP BY key')},
+tk AS (SELECT q, key, count(*) AS times FROM (SELECT item_id AS q, unnest({S.keys(S.tokens('text'))}) AS key FROM benchmark) GROUP BY ALL),
+tw AS (SELECT q, key, times * coalesce(idf, (SELECT greatest(ln(nn.n) + 1, 0.05) FROM nn)) AS w FROM tk LEFT JOIN kidf USING (key)),
+calls AS (SELECT item_id AS q, 1 AS round, 'src' || length(text) % 25 AS domain FROM benchmark UNION ALL SELECT item_id, 2, 'src' || length(text) % 7 FROM benchmark),
+cp AS (SELECT pool.*, round FROM pool JOIN calls c ON c.q = pool.q AND c.domain = source),
+dk AS (SELECT doc_id AS doc, list_distinct({S.keys(S.tokens('text'))}) AS ks FROM documents WHERE doc_id IN (SELECT doc FROM cp)),
+sc AS (SELECT cp.round, cp.q, cp.source, cp.doc, any_value(rank) AS prior, coalesce(round(sum(CASE WHEN list_contains(ks, key) THEN w ELSE 0 END) / sum(w), 6), 0) AS score FROM cp JOIN dk USING (doc) LEFT JOIN tw ON tw.q = cp.q GROUP BY cp.round, cp.q, cp.source, cp.doc),
+kept AS (SELECT *, row_number() OVER (PARTITION BY round, q, source ORDER BY score DESC, prior) AS r FROM sc QUALIFY r <= 5),
+f AS (SELECT round, q, source, count(*) AS n_docs, round(max(score), 3) AS top_score, max(score) < 0.3 AS weak, string_agg(CAST(doc AS VARCHAR), ',' ORDER BY r) AS docs FROM kept GROUP BY round, q, source),
+a AS (SELECT c.round, c.q, 'search_' || domain AS tool, coalesce(n_docs, 0) AS n_docs, top_score, weak, CASE WHEN f.q IS NULL THEN 'unknown_tool' END AS error, coalesce(docs, '') AS docs FROM calls c LEFT JOIN f ON f.q = c.q AND f.round = c.round AND f.source = domain)
+SELECT CAST(round AS INTEGER) AS round, q, tool, n_docs, top_score, weak, error, docs FROM a WHERE round = 1 OR q IN (SELECT q FROM a WHERE round = 1 AND coalesce(weak, true))"""
+
+
+@query(_TOOLS)
+def tool_rounds(spark, sf_dir):
+    """Each passage calls the search of one domain, which may not be there; where that is weak or fails, that of another."""
+    corpus = documents(spark, sf_dir).select(F.col("doc_id").alias("doc"), "text", F.col("source").alias("domain"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), "text")
+    call = lambda n: items.select("q", F.concat(F.lit("search_src"), (F.length("text") % n).cast("string")).alias("tool"), "text")
+    return tools.rounds(call(25), call(7), corpus, *audit.key_idf(documents(spark, sf_dir)))
