@@ -22,6 +22,7 @@ import hashlib
 import heapq
 import html
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -88,7 +89,7 @@ class Page:
         # open elements: tag, container, what becomes of its text
         stack: list[tuple[str, int, int]] = [("page", 0, _STAYS)]
         source, at = source or "", 0
-        articles = 0
+        articles, open_ = 0, Counter()
         for m in _TAG.finditer(source):
             if m.start() > at and stack[-1][2] != _LOST:
                 self._add(source[at : m.start()])
@@ -105,16 +106,18 @@ class Page:
                 continue
             self._flush(*stack[-1])
             if closing:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        articles -= sum(e[0] in ("article", "main") for e in stack[i:])
-                        del stack[i:]
+                # an end that matches nothing open is known by count, not by a walk over all that is open
+                while open_[tag]:
+                    ended = stack.pop()[0]
+                    open_[ended] -= 1
+                    articles -= ended in ("article", "main")
+                    if ended == tag:
                         break
                 continue
             if tag in _VOID:
                 continue
             while stack[-1][0] == "p" or (tag in ("li", "dt", "dd", "tr", "td", "th") and stack[-1][0] == tag):
-                stack.pop()
+                open_[stack.pop()[0]] -= 1
             _, inside, fate = stack[-1]
             marks = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)} if attributes else {}
             if fate != _LOST:
@@ -132,6 +135,7 @@ class Page:
                 inside = len(self.names) - 1
             if not attributes.rstrip().endswith("/"):
                 stack.append((tag, inside, fate))
+                open_[tag] += 1
                 articles += tag in ("article", "main")
         if at < len(source) and stack[-1][2] != _LOST:
             self._add(source[at:])

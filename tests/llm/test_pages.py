@@ -144,3 +144,15 @@ def test_random_pages_against_brute_force(spark):
         rows.append((i, f"http://h{i % 7}.com/{i}", f"<html><body><header>site</header><article><p>{first}</p>{html}</article><footer>f</footer></body></html>"))
     got = {x["page_id"]: x["text"] for x in P.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
     assert got == want
+
+
+def test_time_grows_with_stray_end_tags():
+    import time
+
+    def took(n):
+        at = time.process_time()
+        P.Page("<div>" * n + "</x>" * n + "<p>text</p>")
+        return time.process_time() - at
+
+    assert took(100_000) < 40 * max(took(10_000), 0.02)  # 0.9 MB
+    assert text("<div>" * 9 + "<b></x></p></div>" * 20 + "after") == "after"
