@@ -1,7 +1,6 @@
 """Text rules, headings, containment, near pairs, search and sinks against small cases worked out by hand."""
 
 import random
-import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -46,31 +45,31 @@ def test_evidence_and_score(spark):
     assert got[2]["score"] < 0.1
 
 
-def python_headings(text):
-    body = re.search("MEMUTUSKAN", text, re.I)
-    pj = re.search(r"PASAL\s+DEMI\s+PASAL|PENJELASAN\s+ATAS", text, re.I)
-    last, out = {"batang": 0, "penjelasan": 0}, []
-    for m in re.finditer(r"(?:^|\n)\s*Pasal\s+(\d+)", text, re.I):
-        section = "penjelasan" if pj and m.start() >= pj.start() else "batang"
-        if body and section == "batang" and m.start() < body.end():
-            continue
-        if int(m[1]) > last[section]:
-            last[section] = int(m[1])
-            out.append((m.start(), int(m[1]), section))
-    return out
+#: Texts by line, with what becomes of each: the section and number of a heading that counts, or None.
+REGULATIONS = [
+    [("MEMUTUSKAN", None), ("Pasal 1", "batang"), ("isi ayat", None), ("Pasal 2", "batang"), ("Pasal 2", None), ("Pasal 1", None), ("Pasal 3", "batang"), ("Pasal 9", "batang"), ("Pasal 4", None)],
+    [("Pasal 1", None), ("menimbang", None), ("memutuskan", None), ("pasal 2", "batang")],
+    [("Pasal 3", "batang"), ("sebagaimana dalam Pasal 4", None), ("  Pasal   5 berlaku", "batang")],
+    [("Memutuskan", None), ("Pasal 1", "batang"), ("Pasal 7", "batang"), ("PENJELASAN ATAS", None), ("Pasal 1", "penjelasan"), ("Pasal 1", None), ("Pasal 8", "penjelasan")],
+    [("Pasal  demi  pasal", None), ("Pasal 4", "penjelasan"), ("MEMUTUSKAN", None), ("Pasal 3", None), ("Pasal 6", "penjelasan")],
+    [("tanpa judul", None), ("Pasal satu", None)],
+]
 
 
 def test_headings(spark):
-    r = random.Random(1)
-    texts = []
-    for _ in range(60):
-        parts = [r.choice([f"Pasal {r.randint(1, 9)}", f"\n Pasal  {r.randint(1, 30)}", "MEMUTUSKAN", "\nPENJELASAN ATAS", "isi ayat", "\n", "dalam Pasal 3"]) for _ in range(r.randint(0, 25))]
-        texts.append(r.choice([" ", "\n"]).join(parts))
-    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    texts, want = [], {}
+    for i, lines in enumerate(REGULATIONS):
+        at = 0
+        for line, section in lines:
+            if section:
+                # a heading begins with the line break before it
+                want.setdefault(i, []).append((max(at - 1, 0), int(line.split()[1]), section))
+            at += len(line) + 1
+        texts.append((i, "\n".join(line for line, _ in lines)))
     got = {}
-    for x in legal.line_headings(df).orderBy("id", "at").collect():
+    for x in legal.line_headings(spark.createDataFrame(texts, "id int, text string")).orderBy("id", "at").collect():
         got.setdefault(x["id"], []).append((x["at"], x["n"], x["section"]))
-    assert got == {i: h for i, t in enumerate(texts) if (h := python_headings(t))}
+    assert got == want
 
 
 def test_inline_headings_step_and_mentions(spark):
