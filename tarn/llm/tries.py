@@ -3,8 +3,8 @@
 Method. A turn is a digest of role and text. Rebuilt conversations are laid out in order over all tasks, and each turn gets
 the hash of all turns up to it, two times 64 bits, which with its depth is its node. Each batch of a task becomes a partial
 trie, a table of its nodes with their parents, members and least member, and of the runs of conversations that end there.
-Partial tries are merged by hashes of their nodes, FAN of them at a time, until one is left: members are summed, the least
-member stays. End lists are merged as runs of bounded size, in order, so that a digest of any number of ends takes the memory
+Partial tries are merged by hashes of their nodes, first those of a group, then those of all groups: members are summed, the
+least member stays. End lists are merged as runs of bounded size, in order, so that a digest of any number of ends takes the memory
 of one run. The rollup goes from the bottom up along the path of each node's least member: the nodes of which a
 conversation is the least member are the lower end of its path, so every node is summed up on one path only, and what it
 has reaches all nodes above it, in one pass for any depth.
