@@ -243,19 +243,22 @@ def cited_answer(spark, sf_dir):
 s AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session, ts FROM g), e AS (SELECT user_id, CAST(session AS BIGINT) AS session, min(ts) AS first, max(ts) AS last FROM s GROUP BY 1, 2)
 SELECT a.user_id, a.session, count(b.user_id) AS open_then FROM e a LEFT JOIN e b ON (b.user_id <> a.user_id OR b.session <> a.session) AND b.first <= a.first AND b.last >= a.first - INTERVAL 1 HOUR GROUP BY a.user_id, a.session HAVING count(b.user_id) < 200""")
 def admitted_sessions(spark, sf_dir):
-    """Sessions that find fewer than 200 others alive when they start: those that evict nobody. Starts and ends are counted
-    along time, in hours, so no session is compared with all others."""
+    """Sessions that find fewer than 200 others alive when they start: those that evict nobody. Starts and ends are counted along
+    time: by minute for all minutes before, row by row within one, so no session is compared with another."""
     by = Window.partitionBy("user_id").orderBy("ts", "event_id")
     new = F.when(F.col("ts") - F.lag("ts").over(by) <= F.expr("INTERVAL 1 HOUR"), 0).otherwise(1)
     rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", new.alias("new")).withColumn("session", F.sum("new").over(by))
     ends = rows.groupBy("user_id", "session").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
-    gone = F.col("last") + F.expr("INTERVAL 1 HOUR")
-    hours = lambda c: F.date_trunc("hour", c)
-    # every session in each hour that it is alive, so that only sessions of an hour meet
-    alive = ends.select(F.col("user_id").alias("u"), F.col("session").alias("s"), F.col("first").alias("f"), gone.alias("g"), F.explode(F.sequence(hours("first"), hours(gone), F.expr("INTERVAL 1 HOUR"))).alias("hour"))
-    met = ends.withColumn("hour", hours("first")).join(alive, "hour").where("(u <> user_id or s <> session) and f <= first and g >= first")
-    counts = met.groupBy("user_id", "session").agg(F.count("*").alias("open_then"))
-    return ends.select("user_id", "session").join(counts, ["user_id", "session"], "left").select("user_id", "session", F.coalesce("open_then", F.lit(0)).alias("open_then")).where("open_then < 200")
+    mark = lambda at, begins: F.struct(at.alias("at"), F.lit(begins).alias("begins"))
+    marks = ends.select("user_id", "session", F.explode(F.array(mark(F.col("first"), 1), mark(F.col("last") + F.expr("INTERVAL 1 HOUR"), 0))).alias("m"))
+    marks = marks.select("user_id", "session", "m.*", F.date_trunc("minute", "m.at").alias("minute"), (2 * F.col("m.begins") - 1).alias("step"))
+    minutes = marks.groupBy("minute").agg(F.sum("step").alias("sum"))
+    upto = Window.orderBy("minute").rowsBetween(Window.unboundedPreceding, -1)  # one row a minute
+    before = minutes.select("minute", F.coalesce(F.sum("sum").over(upto), F.lit(0)).alias("before"))
+    # a session that ends where another starts is still alive then: starts count first, and equal ones together
+    within = F.sum("step").over(Window.partitionBy("minute").orderBy("at", F.desc("begins")).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = marks.withColumn("within", within).where("begins = 1").join(before, "minute")
+    return counted.select("user_id", "session", (F.col("before") + F.col("within") - 1).alias("open_then")).where("open_then < 200")
 
 
 @query("SELECT conv_id, turn, (SELECT count(*) FROM conversations p WHERE p.conv_id = c.conv_id AND p.turn < c.turn AND p.role <> 'system') AS kept, (SELECT string_agg(role, ',' ORDER BY turn) FROM (SELECT * FROM conversations p WHERE p.conv_id = c.conv_id AND p.turn < c.turn AND p.role <> 'system' ORDER BY turn DESC LIMIT 4)) AS last_roles FROM conversations c WHERE role = 'user'")
