@@ -1,13 +1,14 @@
 """Document fingerprints by winnowing, and how far they survive an edit.
 
 Method. Every word has a 64-bit hash, and every run of GRAM words one of its words' hashes; of every WINDOW consecutive runs
-the one with the least start of its hash is chosen, the rightmost of equal ones, and its whole hash kept with its place. A run of GRAM + WINDOW - 1 equal words in two texts gives both a common
-fingerprint. The least of all windows comes from the least of pairs, fours and so on, each by one pass over the array
-before: about log2(WINDOW) comparisons a word. Texts of fewer than FEW words keep the hashes of all their runs of words;
-those that have fewer than one window's words, as texts without white space, have those of their runs of characters as
-well, of which only the chosen are kept when there are LONG characters or more. An edited text is fingerprinted in the
-way its original is, so that the two compare. All of it is DataFrame functions; hashes are of words, because characters
-would take the same steps six times over and SQL has no constant-time access to the characters of a string.
+the one with the least start of its hash is chosen, the rightmost of equal ones, and its whole hash kept with its place. A run
+of GRAM + WINDOW - 1 equal words in two texts gives both a common fingerprint. The least of all windows comes from the least of
+pairs, fours and so on, each by one pass over the array before: about log2(WINDOW) comparisons a word. Texts of fewer than FEW
+words keep the hashes of all their runs of words; those that have fewer than one window's words, as texts without white space,
+have those of their runs of characters as well, of which only the chosen are kept when there are LONG characters or more. An
+edited text, and the next document, are fingerprinted in the way of the text that they are compared with. All of it is
+DataFrame functions; hashes are of words, because characters would take the same steps six times over and SQL has no
+constant-time access to the characters of a string.
 """
 
 from __future__ import annotations
@@ -39,16 +40,15 @@ def manner(words: Column, text: Column) -> Column:
     return F.when(n >= FEW, WORDS).when(n >= SPARSE, ALL_WORDS).when(F.length(text) < LONG, ALL).otherwise(CHARACTERS)
 
 
-def with_fingerprint(df: DataFrame, text: Column, out: str, gram: int = GRAM, window: int = WINDOW, like: Column | None = None) -> DataFrame:
+def with_fingerprint(df: DataFrame, text: Column, out: str, gram: int = GRAM, window: int = WINDOW, how: Column | None = None, places: bool = True) -> DataFrame:
     """df with out and <out>_at: the chosen hashes of the text in order of place, and their places, in arrays of their own
     (pairs would take three times the room).
 
-    A text is fingerprinted in the manner of like, its own by default. A text of fewer words or characters than a run has
+    A text is fingerprinted in the manner how, its own by default; without places there is no order either. A text of fewer words or characters than a run has
     one hash of all of them, without words none; with fewer hashes than a window holds, all are kept. Places of runs of
     characters are those of their first character, the words of the text joined by one space.
     """
-    like = F.coalesce(text if like is None else like, F.lit(""))
-    df = df.withColumn("_w", C.words_of(text)).withColumn("_how", manner(C.words_of(like), like))
+    df = df.withColumn("_w", C.words_of(text)).withColumn("_how", manner(C.words_of(text), F.coalesce(text, F.lit(""))) if how is None else how)
     df = df.withColumn("_c", F.when(F.col("_how") >= ALL, F.filter(F.split(F.array_join("_w", " "), ""), lambda c: c != "")))
     df = df.withColumn("_w", F.transform("_w", lambda w: F.xxhash64(w)))
 
@@ -59,7 +59,8 @@ def with_fingerprint(df: DataFrame, text: Column, out: str, gram: int = GRAM, wi
 
     placed = lambda hashes: F.transform(hashes, lambda h, i: F.struct(i.alias("place"), h.alias("hash")))
     both = F.concat(placed(runs("_w", gram)), placed(runs("_c", CHARS)))
-    both = F.array_sort(both, lambda a, b: a["place"] - b["place"])
+    if places:
+        both = F.array_sort(both, lambda a, b: a["place"] - b["place"])
     df = df.withColumn("_h", F.when(F.col("_how") == CHARACTERS, runs("_c", CHARS)).otherwise(runs("_w", gram)))
     whole = F.when(F.col("_how") == ALL, both).when((F.col("_how") == ALL_WORDS) | (F.size("_h") < window), placed(F.col("_h")))
     df = df.withColumn("_short", whole)
@@ -71,8 +72,9 @@ def with_fingerprint(df: DataFrame, text: Column, out: str, gram: int = GRAM, wi
         reach += step
     df = df.withColumn("_at", F.transform(F.array_distinct("_m"), lambda v: (F.lit(PLACES) - v.bitwiseAND(F.lit(PLACES))).cast("int")))
     hashes_ = F.coalesce(F.transform("_short", lambda v: v["hash"]), F.transform("_at", lambda i: F.get("_h", i)))
-    places = F.coalesce(F.transform("_short", lambda v: v["place"]), F.col("_at"))
-    return df.withColumn(out, hashes_).withColumn(f"{out}_at", places).drop("_w", "_c", "_how", "_h", "_m", "_short", "_at")
+    if places:
+        df = df.withColumn(f"{out}_at", F.coalesce(F.transform("_short", lambda v: v["place"]), F.col("_at")))
+    return df.withColumn(out, hashes_).drop("_w", "_c", "_how", "_h", "_m", "_short", "_at")
 
 
 def shown(name: str) -> Column:
@@ -88,16 +90,32 @@ def likeness(a: str, b: str) -> Column:
 
 
 def followers(ids: DataFrame) -> DataFrame:
-    """ids (id, n) with next_id, the next greater id; the first follows the last.
+    """ids (id, n, hows) with next_id and next_hows, those of the next greater id; the first follows the last.
 
     Ids are dealt out by range; each range links its own, and one row a range links the ranges.
     """
     ranged = C.checkpointed(ids.repartitionByRange("id").withColumn("chunk", F.spark_partition_id()))
-    ends = ranged.groupBy("chunk").agg(F.min("id").alias("first"))
+    ends = ranged.groupBy("chunk").agg(F.min(F.struct("id", "hows")).alias("first"))
     over = Window.orderBy("chunk")  # one row a range
     ends = ends.select("chunk", F.coalesce(F.lead("first").over(over), F.min("first").over(Window.partitionBy())).alias("beyond"))
-    inner = F.lead("id").over(Window.partitionBy("chunk").orderBy("id"))
-    return ranged.withColumn("inner", inner).join(ends, "chunk").select("id", "n", F.coalesce("inner", "beyond").alias("next_id"))
+    inner = F.lead(F.struct("id", "hows")).over(Window.partitionBy("chunk").orderBy("id"))
+    linked = ranged.withColumn("inner", inner).join(ends, "chunk").withColumn("next", F.coalesce("inner", "beyond"))
+    return linked.select("id", "n", "hows", F.col("next.id").alias("next_id"), F.col("next.hows").alias("next_hows"))
+
+
+def next_hashes(docs: DataFrame, links: DataFrame, kept: DataFrame) -> DataFrame:
+    """(id, how, following): the distinct hashes of the document after id, fingerprinted in each manner how that rows of id have.
+
+    Where the next document has that manner itself its fingerprint is at hand. Only the others are read once more, so no text
+    moves but theirs.
+    """
+    own = kept.select(F.col("id").alias("next_id"), "how", F.array_sort(F.array_distinct("own")).alias("h")).groupBy("next_id", "how").agg(F.min("h").alias("following"))
+    alike = links.where(F.size("next_hows") == 1).select("id", "next_id", F.explode("hows").alias("how"), F.get("next_hows", F.lit(0)).alias("next_how")).where("how = next_how")
+    alike = alike.drop("next_how").join(own, ["next_id", "how"]).select("id", "how", "following")
+    asked = links.select(F.col("id").alias("of"), F.col("next_id").alias("id"), F.explode("hows").alias("how"), "next_hows").where(F.col("next_hows") != F.array("how"))
+    others = with_fingerprint(docs.join(asked.drop("next_hows"), "id"), F.col("text"), "h", how=F.col("how"), places=False)
+    others = others.select(F.col("of").alias("id"), "how", F.array_sort(F.array_distinct("h")).alias("h")).groupBy("id", "how").agg(F.min("h").alias("following"))
+    return alike.unionByName(others)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -115,21 +133,20 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Returns (id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next). Null counts as empty;
     a single document follows itself. Of rows with equal ids each has its row, and the next document's text is the least of
-    them (near_next: the least of their fingerprints). A null id comes before all others and stays null; the least long is
+    them (near_next: the least of their fingerprints). The next document is compared as fingerprinted in the text's manner. A null id comes before all others and stays null; the least long is
     not told from it. An empty table gives an empty result. Other columns aren't read, whatever their names.
     """
     docs = C.inputs(docs, id=id_col, text=text_col).select(F.coalesce("id", F.lit(NO_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    ids = docs.select("id", F.length("text").cast("long").alias("n")).groupBy("id").agg(F.max("n").alias("n"))
+    docs = docs.withColumn("how", manner(C.words_of(F.col("text")), F.col("text")))
+    ids = docs.select("id", "how", F.length("text").cast("long").alias("n")).groupBy("id").agg(F.max("n").alias("n"), F.sort_array(F.collect_set("how")).alias("hows"))
     links = C.checkpointed(followers(ids))
     heads = docs.join(links.select(F.col("next_id").alias("id"), F.col("id").alias("of"), F.floor(F.col("n") / 4).cast("int").alias("cut")), "id")
     heads = heads.select("of", F.expr("substring(text, 1, cut)").alias("head")).groupBy(F.col("of").alias("id")).agg(F.min("head").alias("head"))
     n, cut = F.length("text"), F.floor(F.length("text") / 4)
-    edited = docs.join(heads, "id").select("id", "text", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), (n - cut).cast("int")), F.substring("head", F.lit(1), cut.cast("int"))).alias("edited"))
-    marked = with_fingerprint(with_fingerprint(edited, F.col("text"), "own"), F.col("edited"), "changed", like=F.col("text"))
-    kept = C.stored(marked.select("id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "own", "own_at", "changed", "changed_at"))
-    after = kept.groupBy(F.col("id").alias("next_id")).agg(F.min(F.array_distinct("own")).alias("following"))
-    after = links.select("id", "next_id").join(after, "next_id").select("id", "following")
-    out = kept.join(after, "id").select("*", F.array_distinct("own").alias("a"), F.array_distinct("changed").alias("b"), F.col("following").alias("c"))
+    edited = docs.join(heads, "id").select("id", "text", "how", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), (n - cut).cast("int")), F.substring("head", F.lit(1), cut.cast("int"))).alias("edited"))
+    marked = with_fingerprint(with_fingerprint(edited, F.col("text"), "own", how=F.col("how")), F.col("edited"), "changed", how=F.col("how"))
+    kept = C.stored(marked.select("id", "how", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "own", "own_at", "changed", "changed_at"))
+    out = kept.join(next_hashes(docs.select("id", "text"), links, kept), ["id", "how"]).select("*", F.array_distinct("own").alias("a"), F.array_distinct("changed").alias("b"), F.col("following").alias("c"))
     return out.select(F.nullif("id", F.lit(NO_ID)).alias("id"), "n_chars", "edited_sha256", shown("own").alias("fingerprint"), shown("changed").alias("edited_fingerprint"), likeness("a", "b").alias("near_edited"), likeness("a", "c").alias("near_next"))
 
 

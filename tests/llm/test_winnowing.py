@@ -69,3 +69,21 @@ def test_short_texts_and_texts_without_white_space_keep_their_likeness(spark):
     one = W.fingerprints(spark.createDataFrame([(1, "ab  cd"), (2, "b cd ef")], "doc_id long, text string")).collect()
     assert [[v["place"] for v in x["values"]] for x in one] == [[0, 0, 1, 2], [0, 0, 1, 2, 3, 4]]
     assert len(set(one[0]["hashes"]) & set(one[1]["hashes"])) == 2
+
+
+def test_the_next_text_is_compared_in_the_manner_of_the_text(spark):
+    r = random.Random(6)
+    docs = []
+    for n in (1, 2, 4, 5, 6, 10, 26, 27, 28, 29, 110, 111, 112, 113, 500):
+        text = " ".join("".join(r.choices("abcdefghijklmnop", k=7)) for _ in range(n))
+        docs += [(len(docs), text), (len(docs) + 1, text + " added"), (len(docs) + 2, text)]
+    chars = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(4095))
+    docs += [(len(docs), chars), (len(docs) + 1, chars + "x"), (len(docs) + 2, chars)]
+    rows = {x["id"]: x for x in W.edit_likeness(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    for i, t in docs:
+        if i % 3 < 2:
+            assert rows[i]["near_next"] > (0.8 if len(t.split()) > 9 or len(t) > 4000 else 0.5 if len(t) > 30 else 0.2), (i, len(t.split()), rows[i]["near_next"])
+    # rows with equal ids in different manners: each is compared in its own
+    long, short = docs[-4][1], docs[3][1]
+    twice = W.edit_likeness(spark.createDataFrame([(1, long), (1, short), (2, short), (3, "quite another")], "doc_id long, text string")).collect()
+    assert sorted((x["id"], round(x["near_next"], 1)) for x in twice) == [(1, 0.0), (1, 1.0), (2, 0.0), (3, 0.0)]
