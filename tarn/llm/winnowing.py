@@ -103,19 +103,20 @@ def followers(ids: DataFrame) -> DataFrame:
     return linked.select("id", "n", "hows", F.col("next.id").alias("next_id"), F.col("next.hows").alias("next_hows"))
 
 
-def next_hashes(docs: DataFrame, links: DataFrame, kept: DataFrame) -> DataFrame:
-    """(id, how, following): the distinct hashes of the document after id, fingerprinted in each manner how that rows of id have.
+def compared(hashes: Column | str) -> Column:
+    """The distinct hashes by their last 32 bits, which is what two fingerprints are compared by: half the room where they move."""
+    return F.array_sort(F.array_distinct(F.transform(hashes, lambda h: F.shiftright(F.shiftleft(h, 32), 32).cast("int"))))
 
-    Where the next document has that manner itself its fingerprint is at hand. Only the others are read once more, so no text
-    moves but theirs.
+
+def next_hashes(links: DataFrame, kept: DataFrame) -> DataFrame:
+    """(id, how, following): what the document after id is compared by, in each manner how that rows of id have.
+
+    A document's row in kept (id, how, own, asked, other) has its fingerprint in its own manner, and in the manner asked if the
+    document before is of another.
     """
-    own = kept.select(F.col("id").alias("next_id"), "how", F.array_sort(F.array_distinct("own")).alias("h")).groupBy("next_id", "how").agg(F.min("h").alias("following"))
-    alike = links.where(F.size("next_hows") == 1).select("id", "next_id", F.explode("hows").alias("how"), F.get("next_hows", F.lit(0)).alias("next_how")).where("how = next_how")
-    alike = alike.drop("next_how").join(own, ["next_id", "how"]).select("id", "how", "following")
-    asked = links.select(F.col("id").alias("of"), F.col("next_id").alias("id"), F.explode("hows").alias("how"), "next_hows").where(F.col("next_hows") != F.array("how"))
-    others = with_fingerprint(docs.join(asked.drop("next_hows"), "id"), F.col("text"), "h", how=F.col("how"), places=False)
-    others = others.select(F.col("of").alias("id"), "how", F.array_sort(F.array_distinct("h")).alias("h")).groupBy("id", "how").agg(F.min("h").alias("following"))
-    return alike.unionByName(others)
+    after = kept.withColumn("way", F.explode(F.array_compact(F.array(F.struct(F.col("how").alias("how"), F.col("own").alias("h")), F.when(F.col("asked").isNotNull(), F.struct(F.col("asked").alias("how"), F.col("other").alias("h")))))))
+    after = after.select(F.col("id").alias("next_id"), "way.how", "way.h").join(links.select("next_id", "id", "hows"), "next_id").where("array_contains(hows, how)")
+    return after.groupBy("id", "how").agg(F.min("h").alias("following"))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -144,9 +145,17 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     heads = heads.select("of", F.expr("substring(text, 1, cut)").alias("head")).groupBy(F.col("of").alias("id")).agg(F.min("head").alias("head"))
     n, cut = F.length("text"), F.floor(F.length("text") / 4)
     edited = docs.join(heads, "id").select("id", "text", "how", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), (n - cut).cast("int")), F.substring("head", F.lit(1), cut.cast("int"))).alias("edited"))
-    marked = with_fingerprint(with_fingerprint(edited, F.col("text"), "own", how=F.col("how")), F.col("edited"), "changed", how=F.col("how"))
-    kept = C.stored(marked.select("id", "how", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "own", "own_at", "changed", "changed_at"))
-    out = kept.join(next_hashes(docs.select("id", "text"), links, kept), ["id", "how"]).select("*", F.array_distinct("own").alias("a"), F.array_distinct("changed").alias("b"), F.col("following").alias("c"))
+    # the manners of the document before that this one isn't known in yet: a row for each, of which the first has the rest as well
+    asked = links.select(F.col("next_id").alias("id"), F.filter("hows", lambda h: F.col("next_hows") != F.array(h)).alias("asked"))
+    edited = edited.join(asked, "id").select("*", F.posexplode_outer("asked").alias("pos", "other_how")).withColumn("first", F.coalesce("pos", F.lit(0)) == 0)
+    only = lambda c: F.when(F.col("first"), F.col(c))
+    marked = with_fingerprint(with_fingerprint(edited, only("text"), "own", how=F.col("how")), only("edited"), "changed", how=F.col("how"))
+    marked = with_fingerprint(marked, F.when(F.col("other_how").isNotNull(), F.col("text")), "other", how=F.coalesce("other_how", F.lit(WORDS)), places=False)
+    sha = F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")
+    kept = C.stored(marked.select("id", "how", "first", "n_chars", sha, "own", "own_at", "changed", "changed_at", F.col("other_how").alias("asked"), compared("other").alias("other")))
+    own = F.when(F.col("first"), compared("own"))
+    following = next_hashes(links, kept.select("id", F.when(F.col("first"), F.col("how")).alias("how"), own.alias("own"), "asked", "other"))
+    out = kept.where("first").join(following, ["id", "how"]).select("*", compared("own").alias("a"), compared("changed").alias("b"), F.col("following").alias("c"))
     return out.select(F.nullif("id", F.lit(NO_ID)).alias("id"), "n_chars", "edited_sha256", shown("own").alias("fingerprint"), shown("changed").alias("edited_fingerprint"), likeness("a", "b").alias("near_edited"), likeness("a", "c").alias("near_next"))
 
 
