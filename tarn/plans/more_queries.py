@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tarn.functions import text as T
-from tarn.operators import chunking, selection
+from tarn.operators import chunking, quotas, selection
 from tarn.operators import retrieval as R
 from tarn.plans.analytics_queries import _holders, token_jaccard
 from tarn.plans.registry import query, table
@@ -32,6 +32,22 @@ def greedy_selection(spark, sf_dir):
     return selection.greedy_selection(docs, 10)
 
 
+@query()
+def quota_selection(spark, sf_dir):
+    """Documents as test questions: languages are buckets, sources evidence, and sizes the types whose quotas all share.
+
+    A repeated text is redundant, a poor one problematic, an empty one never picked."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", F.length("text").alias("n"), F.xxhash64("text").alias("same"), T.char_ratio(F.col("text")).alias("good"))
+    first = F.min("doc_id").over(Window.partitionBy("same", "n"))
+    size = F.when(F.col("n") < 500, "lexical").when(F.col("n") < 2000, "semantic").otherwise("complex")
+    tier = F.when(F.col("good") >= 0.95, "high").when(F.col("good") >= 0.8, "acceptable").when(F.col("n") > 0, "problematic")
+    ease = F.when(F.col("n") < 1000, "easy").when(F.col("n") < 4000, "medium").otherwise("hard")
+    score = F.round(F.least(F.lit(1.0), F.col("n") / 5000), 4)
+    value = quotas.own_value(score, tier, ease, F.col("doc_id") > first, F.lit(False), F.col("lang") != "en")
+    rows = docs.select(F.col("lang").alias("bucket"), F.col("doc_id").alias("id"), size.alias("qtype"), F.col("source").alias("evidence"), F.floor(F.least(F.col("n"), F.lit(20000)) / 1000).alias("topic"), value.alias("value"))
+    return quotas.quota_selection(rows, {"en": 25, "de": 25, "fr": 25, "es": 25}, {"lexical": 40, "semantic": 40, "complex": 20})
+
+
 def _rounds(n: int) -> str:
     out = "v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), a1 AS (SELECT vec_id AS q, e FROM v WHERE vec_id % 20 = 0)"
     for k in range(1, n + 1):
