@@ -141,7 +141,7 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = docs.withColumn("how", manner(C.words_of(F.col("text")), F.col("text")))
     ids = docs.select("id", "how", F.length("text").cast("long").alias("n")).groupBy("id").agg(F.max("n").alias("n"), F.sort_array(F.collect_set("how")).alias("hows"))
     links = C.checkpointed(followers(ids))
-    heads = docs.join(links.select(F.col("next_id").alias("id"), F.col("id").alias("of"), F.floor(F.col("n") / 4).cast("int").alias("cut")), "id")
+    heads = C.join_ids(docs, links.select(F.col("next_id").alias("id"), F.col("id").alias("of"), F.floor(F.col("n") / 4).cast("int").alias("cut")), "id")
     heads = heads.select("of", F.expr("substring(text, 1, cut)").alias("head")).groupBy(F.col("of").alias("id")).agg(F.min("head").alias("head"))
     n, cut = F.length("text"), F.floor(F.length("text") / 4)
     edited = docs.join(heads, "id").select("id", "text", "how", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), (n - cut).cast("int")), F.substring("head", F.lit(1), cut.cast("int"))).alias("edited"))
