@@ -64,7 +64,12 @@ def _attributes(text: str) -> list[tuple[str, str]]:
     return list(out.items())
 
 
-def read_page(page: str | None) -> tuple[list[str], list[dict]]:
+def basic_references(text: str) -> str:
+    """text with the three references decoded that markup can't do without; all others stay as they are written."""
+    return text.replace("&lt;", "<").replace("&gt;", ">").replace("&amp;", "&")
+
+
+def read_page(page: str | None, decoded: Callable[[str], str] = html.unescape) -> tuple[list[str], list[dict]]:
     """(texts, elements): stripped texts that aren't empty, and every element in the order of starts.
 
     An end tag ends all that is open within its element; one that matches nothing is skipped, which a count of what is open
@@ -83,7 +88,7 @@ def read_page(page: str | None) -> tuple[list[str], list[dict]]:
 
     for kind, value, rest in _markup(page or ""):
         if kind == "text":
-            if value := html.unescape(value).strip():
+            if value := decoded(value).strip():
                 texts.append(value)
         elif kind == "open":
             rows.append({"start": len(rows), "last": len(rows), "depth": len(stack), "tag": value, "attrs": _attributes(rest), "t0": len(texts), "t1": len(texts)})
@@ -98,15 +103,16 @@ def read_page(page: str | None) -> tuple[list[str], list[dict]]:
     return texts, rows
 
 
-def parsed(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """(page, texts, elements) of every page; a null page has none. Nothing is moved."""
+def parsed(pages: DataFrame, id_col: str, html_col: str, decoded: Callable[[str], str] = html.unescape) -> DataFrame:
+    """(page, texts, elements) of every page; a null page has none. Nothing is moved. decoded: what becomes of references in
+    texts, by default all that HTML knows, also those without an end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("last", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("t0", pa.int32()), ("t1", pa.int32())]))
         for b in batches:
             for i in range(0, b.num_rows, 200):
                 part = b.slice(i, 200)
-                read = [read_page(x.as_py()) for x in part["html"]]
+                read = [read_page(x.as_py(), decoded) for x in part["html"]]
                 yield pa.RecordBatch.from_arrays([part["page"], pa.array([t for t, _ in read], pa.list_(pa.string())), pa.array([e for _, e in read], kind)], ["page", "texts", "elements"])
 
     return pages.select(F.col(id_col).cast("long").alias("page"), F.col(html_col).cast("string").alias("html")).mapInArrow(run, f"page long, texts array<string>, elements array<{ELEMENT}>")

@@ -95,3 +95,15 @@ def test_card_rules(spark):
     page = card.format("<h4>t</h4>" + links) + card.format(links) + card.format("<h4>no link</h4>") + "<div class='overflow-hidden br-0 border-0 box-shadow-0'><h4>in</h4>" + links + "</div>"
     got = [tuple(r)[2:] for r in E.law_cards(rows(spark, [page]), "http://b").collect()]
     assert got == [("t", "", "http://b/a", "")]
+
+
+def test_outline_decodes_what_its_twin_does(spark, tmp_path):
+    from tarn.plans import catalog
+
+    heads = ["a &quot;b", "cut &amp", "&lt;b&gt; &amp;lt; &amp;amp;", " &nbsp;x &copy ", ""]
+    page = "<html><nav><a href='/'>m</a></nav><article><h1>{}</h1><p>t</p></article></html>"
+    spark.createDataFrame([(i, page.format(h)) for i, h in enumerate(heads)], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page"]: r["title"] for r in catalog.QUERIES["page_outline"](spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(len(heads))] == ['a &quot;b', "cut &amp", "<b> &lt; &amp;", "&nbsp;x &copy", ""]
+    # the parser itself still decodes all references
+    assert E.read_page("<h1>a &quot;b &amp</h1>")[0] == ['a "b &']
