@@ -38,7 +38,7 @@ def search_rounds(queries: DataFrame, corpus: DataFrame, rounds: int = 3, k: int
     docs = corpus.select("doc", F.transform("dv", lambda x: x.cast("double")).alias("dv"))
     active, out = checkpointed(queries.select("q", F.transform("qv", lambda x: x.cast("double")).alias("qv"))), None
     for n in range(1, rounds + 1):
-        found = checkpointed(R.dense(active, docs, F.round(R.cosine("qv", "dv"), 4), k).select("q", F.lit(n).alias("round"), "doc", "score", "rank"))
+        found = checkpointed(R.best_of(active, docs, k).select("q", F.lit(n).alias("round"), "doc", "score", "rank"))
         part = found.where(F.col("rank") <= kept)
         out = part if out is None else out.unionByName(part)
         again = found.where((F.col("rank") == 1) & (F.col("score") < weak)).select("q", "doc")
