@@ -2,11 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarn.operators.retrieval import small
 from tarn.sources.shared import checkpointed
 
+#: Most frequent strings that prefixes put last (4 MB for all tasks), numbers of 64 bits of a set's bitmap, and sets in one go.
+FREQUENT, WORDS, GO = 1 << 18, 8, 1000
+
+
+def _heads(sets: DataFrame, percent: int) -> DataFrame:
+    """(t, rep, n, at, b0...): the prefix of each set (rep, n, x), its strings in order of how frequent they are, each with its place
+    and the parities of the whole set's strings by their last bits."""
+    counts = sets.select(F.explode("x").alias("t")).groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
+    known = counts.orderBy(F.desc("df"), "t").limit(FREQUENT).toArrow()
+    order = np.argsort(known.column("t").to_numpy())
+    sent = sets.sparkSession.sparkContext.broadcast((known.column("t").to_numpy()[order], known.column("df").to_numpy()[order]))
+    names = [f"b{i}" for i in range(WORDS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, df = sent.value
+        for batch in batches:
+            for from_ in range(0, batch.num_rows, GO):
+                part = batch.slice(from_, GO)
+                x, rep = part.column("x"), part.column("rep").to_numpy(zero_copy_only=False)
+                n, t = x.value_lengths().to_numpy().astype(np.int64), x.flatten().to_numpy()
+                of = np.repeat(np.arange(len(n)), n)
+                near = np.minimum(np.searchsorted(frequent, t), max(len(frequent) - 1, 0))
+                rank = np.where(frequent[near] == t, df[near], 0) if len(frequent) else np.zeros(len(t), np.int64)
+                bits = np.bincount(of * 64 * WORDS + (t & (64 * WORDS - 1)), minlength=len(n) * 64 * WORDS) & 1
+                map_ = np.packbits(bits.astype(np.uint8).reshape(len(n), -1), axis=1).view(np.int64)
+                order = np.lexsort((t, rank, of))
+                at = np.arange(len(t)) - np.repeat(np.cumsum(n) - n, n) + 1
+                kept = at <= (n + (-n * percent // 100) + 1)[of]
+                of, at, t = of[kept], at[kept], t[order][kept]
+                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(rep[of]), pa.array(n[of].astype(np.int32)), pa.array(at.astype(np.int32)), *(pa.array(map_[of, i]) for i in range(WORDS))], ["t", "rep", "n", "at", *names])
+
+    return sets.select("rep", "x").mapInArrow(run, f"t long, rep {dict(sets.dtypes)['rep']}, n int, at int, " + ", ".join(f"{c} long" for c in names))
+
+
+def _length(n: Column, percent: int) -> Column:
+    """How long the prefix of a set of n is."""
+    return n - F.ceil(n * percent / 100) + 1
+
+
+def _least(percent: int) -> Column:
+    """How many strings sets of n and m have in common at least, if they are alike."""
+    return F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent))
+
 
 def near_classes(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """((bucket, a, b, jaccard), a < b; (bucket, rep, id)) of rows (bucket, id, x: distinct strings[, score]): the pairs with
@@ -14,30 +62,36 @@ def near_classes(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     represented by its greatest score, the least id of equal ones; without scores by its least id. Rows without strings are
     in no class.
 
-    Blocked by prefixes: with tokens ordered by how rare they are in the bucket, two such sets share one of their first
-    n - ceil(percent n / 100) + 1 tokens, and their sizes are alike. Only ids, sizes and places of tokens are joined; the sets
-    come back for the pairs that are left. Members are joined to their class by a hash of 128 bits, and never gathered.
+    Strings are hashed to 64 bits with their bucket, and sets are arrays of hashes from there on. Blocked by prefixes: ordered
+    by how frequent they are, two such sets share one of their first n - ceil(percent n / 100) + 1 strings. Four bounds must
+    allow a pair: the sizes, how many parities of their bitmaps differ, as each needs a string that one set doesn't hold, what
+    can follow the places of the first string they share, and how many of their first strings they share. Only for what is
+    left sets are fetched and compared. Members are joined to their class by a hash of 128 bits, and never gathered.
     """
     score = F.col("score") if "score" in rows.columns else F.lit(0)
-    sorted_ = rows.where(F.size("x") > 0).select("bucket", "id", F.sort_array("x").alias("x"), score.alias("score"))
-    sets = checkpointed(sorted_.withColumn("h1", F.xxhash64("x")).withColumn("h2", F.xxhash64(F.lit(7), "x")))
+    hashed = F.sort_array(F.transform("x", lambda t: F.xxhash64("bucket", t)))
+    sets = checkpointed(rows.where(F.size("x") > 0).select("bucket", "id", score.alias("score"), hashed.alias("x")))
     key = ["bucket", "h1", "h2"]
-    best = sets.groupBy(*key).agg(F.min_by("id", F.struct((-F.col("score")).alias("s"), F.col("id"))).alias("rep"))
-    classes = sets.select(*key, "id").join(best, key)
-    members = checkpointed(classes.where("id <> rep").select("bucket", "rep", "id"))
-    reps = best.select("bucket", F.col("rep").alias("id"))
-    one = checkpointed(sets.select("bucket", "id", "x").join(reps, ["bucket", "id"]).dropDuplicates(["bucket", "id"]).withColumnRenamed("id", "rep"))
-    tokens = one.select("bucket", "rep", F.size("x").alias("n"), F.explode("x").alias("t"))
-    df = tokens.groupBy("bucket", "t").agg(F.count("*").alias("df")).where("df > 1")
-    by = Window.partitionBy("bucket", "rep")
-    # tokens of a single set can't be shared: they come first, and count as places only
-    rare = tokens.join(df, ["bucket", "t"], "left").withColumn("at", F.row_number().over(by.orderBy(F.coalesce("df", F.lit(1)), "t")))
-    heads = rare.where((F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & F.col("df").isNotNull()).select("bucket", "t", "rep", "n")
-    other = heads.withColumnsRenamed({"rep": "b", "n": "m"})
-    near = heads.withColumnsRenamed({"rep": "a"}).join(other, ["bucket", "t"]).where((F.col("a") < F.col("b")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))).select("bucket", "a", "b").distinct()
-    x, y = (one.select("bucket", F.col("rep").alias(c), F.col("x").alias(f"x{c}")) for c in ("a", "b"))
-    both = F.size(F.array_intersect("xa", "xb"))
-    pairs = near.join(x, ["bucket", "a"]).join(y, ["bucket", "b"]).withColumn("both", both).withColumn("either", F.size("xa") + F.size("xb") - F.col("both")).where(100 * F.col("both") >= percent * F.col("either"))
+    keyed = checkpointed(sets.select("bucket", F.xxhash64("x").alias("h1"), F.xxhash64(F.lit(7), "x").alias("h2"), "id", "score"))
+    best = keyed.groupBy(*key).agg(F.min_by("id", F.struct((-F.col("score")).alias("s"), F.col("id"))).alias("rep"))
+    members = checkpointed(keyed.select(*key, "id").join(best, key).where("id <> rep").select("bucket", "rep", "id"))
+    one = sets.select("bucket", F.col("id").alias("rep"), "x").join(small(members.select("bucket", F.col("id").alias("rep"))), ["bucket", "rep"], "left_anti")
+    a, b = _heads(one, percent), [f"b{i}" for i in range(WORDS)]
+    heads = a.withColumnRenamed("rep", "a")
+    other = a.withColumnsRenamed({"rep": "b", "n": "m", "at": "to", **{c: f"o{c}" for c in b}})
+    both = _least(percent)
+    sizes = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+    places = 1 + F.least(F.col("n") - F.col("at"), F.col("m") - F.col("to")) >= both
+    parities = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"o{c}"))) for c in b), F.lit(0)) <= F.col("n") + F.col("m") - 2 * both
+    shared = heads.join(other, "t").where((F.col("a") < F.col("b")) & sizes & parities).groupBy("a", "b", "n", "m").agg(F.count("*").alias("c"), F.bool_or(places).alias("first"))
+    # of what both hold, c are in both prefixes, and the others behind the prefix that ends first
+    behind = F.greatest(*(F.col(c) - _length(F.col(c), percent) for c in ("n", "m")))
+    near = checkpointed(shared.where(F.col("first") & (F.col("c") + behind >= both)).select("a", "b"))
+    asked = small(near.select(F.col("a").alias("rep")).union(near.select("b")).distinct())
+    held = checkpointed(one.join(asked, "rep", "left_semi"))
+    x, y = (held.select("bucket", F.col("rep").alias(c), F.col("x").alias(f"x{c}")) for c in ("a", "b"))
+    size = F.size(F.array_intersect("xa", "xb"))
+    pairs = near.join(x, "a").join(y, ["bucket", "b"]).withColumn("both", size).withColumn("either", F.size("xa") + F.size("xb") - F.col("both")).where(100 * F.col("both") >= percent * F.col("either"))
     return pairs.select("bucket", "a", "b", (F.col("both") / F.col("either")).alias("jaccard")), members
 
 
