@@ -91,3 +91,13 @@ def test_only_small_tables_are_dealt_out(spark, tmp_path, monkeypatch):
     assert shared.spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     monkeypatch.setattr(shared, "FEW_BYTES", 1)
     assert shared.spread(df) is df
+
+
+def test_tasks_score_a_bounded_number_and_questions_one_group(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"w{i % 3} x", "ab"[i % 2]) for i in range(40)], "doc long, text string, g string")
+    asked = spark.createDataFrame([(1, "w0 x", "a"), (2, "w1", "b"), (3, "w2", "none")], "q long, text string, g string")
+    monkeypatch.setattr(R, "SCORES", 6)
+    assert R.bm25(docs.drop("g"), asked.drop("g")).rdd.getNumPartitions() == 20
+    all_ = {tuple(x) for x in R.bm25_top(docs, asked.drop("g"), 3, ["g"]).select("q", "g", "doc", "score", "rank").collect()}
+    own = {tuple(x) for x in R.bm25_top(docs, asked, 3, ["g"]).select("q", "g", "doc", "score", "rank").collect()}
+    assert own == {x for x in all_ if x[:2] in {(1, "a"), (2, "b")}} and len(own) == 6
