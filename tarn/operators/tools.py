@@ -25,8 +25,8 @@ def call_tools(calls: DataFrame, corpus: DataFrame, idf: DataFrame, unseen: Data
     known = checkpointed(calls.join(R.small(domains), "domain", "left_semi"))
     error = calls.join(R.small(domains), "domain", "left_anti")
     docs = corpus.join(R.small(domains), "domain", "left_semi")
-    pool = R.bm25_top(docs, known.select("q", "text").distinct(), FETCHED, ["domain"]).select("q", "domain", "doc", "rank")
-    pool = checkpointed(pool.join(R.small(known.select("q", "domain").distinct()), ["q", "domain"], "left_semi"))
+    # each question is scored with the documents of the domains it calls
+    pool = checkpointed(R.bm25_top(docs, known.select("q", "domain", "text").distinct(), FETCHED, ["domain"]).select("q", "domain", "doc", "rank"))
     if reranked:
         scored = search.scores(pool.select("q", "doc").distinct(), docs, known.select("q", "text").distinct(), idf, unseen)
         kept = R.top(pool.withColumnRenamed("rank", "prior").join(scored, ["q", "doc"]), KEPT, ["q", "domain"], F.desc("score"), "prior")
