@@ -52,11 +52,6 @@ _HEADS = f"WITH RECURSIVE {_REG}, {_SECTIONS}, {_LINE}, {_INLINE}, h AS (SELECT
 _GATE = ", gate AS (SELECT id FROM h WHERE section = 'batang' GROUP BY id HAVING count(*) >= 2 AND arg_min(n, at_) <= 5)"
 
 
-def _headings(spark, sf_dir):
-    docs = _regulations(spark, sf_dir)
-    return docs, L.line_headings(docs.where("not spaced")), L.inline_headings(docs.where("spaced"))
-
-
 @query(f"WITH {_REG}, {_SECTIONS} SELECT id, CAST(pj AS INTEGER) AS pj, CAST(body AS INTEGER) AS body FROM sec")
 def section_bounds(spark, sf_dir):
     """Where the explanation of a regulation starts and its decision ends."""
@@ -65,18 +60,17 @@ def section_bounds(spark, sf_dir):
 
 @query(f"WITH {_REG}, {_SECTIONS}, {_LINE} SELECT id, at_ AS start, n, section FROM lh")
 def line_headings(spark, sf_dir):
-    return _headings(spark, sf_dir)[1].withColumnRenamed("at", "start")
+    return L.line_headings(_regulations(spark, sf_dir).where("not spaced")).withColumnRenamed("at", "start")
 
 
 @query(f"WITH RECURSIVE {_REG}, {_SECTIONS}, {_INLINE} SELECT id, at_ AS start, n, section FROM ih")
 def inline_headings(spark, sf_dir):
-    return _headings(spark, sf_dir)[2].withColumnRenamed("at", "start")
+    return L.inline_headings(_regulations(spark, sf_dir).where("spaced")).withColumnRenamed("at", "start")
 
 
 @query(f"{_HEADS}{_GATE} SELECT id FROM gate")
 def regulation_gate(spark, sf_dir):
-    _, a, b = _headings(spark, sf_dir)
-    return L.regulations(a.unionByName(b))
+    return L.regulations(_regulations(spark, sf_dir))
 
 
 @query(f"""{_HEADS}{_GATE}, hh AS (SELECT h.* FROM h JOIN gate USING (id)), nx AS (SELECT *, lead(at_) OVER (PARTITION BY id ORDER BY at_) AS next FROM hh),
@@ -85,9 +79,7 @@ pre AS (SELECT id, CASE section WHEN 'batang' THEN 'preamble' ELSE 'penjelasan_p
 cut AS (SELECT id, chunk_type, n, regexp_replace(substr(text, CAST(s + 1 AS BIGINT), CAST(e - s AS BIGINT)), '^\\s+|\\s+$', '', 'g') AS chunk FROM (SELECT * FROM own UNION ALL SELECT * FROM pre WHERE s IS NOT NULL)) SELECT * FROM cut WHERE length(chunk) >= 50""")
 def heading_chunks(spark, sf_dir):
     """Articles and preambles of the regulations that pass the gate."""
-    docs, a, b = _headings(spark, sf_dir)
-    headings = a.unionByName(b)
-    return L.heading_chunks(docs, headings.join(L.regulations(headings), "id", "left_semi")).select("id", "chunk_type", "n", "chunk")
+    return L.heading_chunks(_regulations(spark, sf_dir)).select("id", "chunk_type", "n", "chunk")
 
 
 @query()
