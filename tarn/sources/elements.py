@@ -3,25 +3,30 @@
 A page is read once: each start tag becomes an element with the place of its start, that of the last start before its end,
 its depth, its attributes, and which of the page's texts are within. "Within", "the first within" and "not within another"
 are then comparisons of places, done by windows and equi-joins over all pages at once, so that nothing compares every element
-of a page with every other.
+of a page with every other. Where all that is wanted of a page is one row, extracted() makes it in the pass that reads the page,
+and no element leaves its task: what an element holds are those that start from the next on to its last.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Elements without an end, and those whose content is no markup.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = ("script", "style")
 _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 _BROKEN = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
+_CLASSES = re.compile(r"[ \t\n\x0b\f\r]+")
 _ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 ELEMENT = "struct<start:int,last:int,depth:int,tag:string,attrs:map<string,string>,t0:int,t1:int>"
 
@@ -58,6 +63,8 @@ def _markup(page: str) -> Iterator[tuple[str, str, str]]:
 
 
 def _attributes(text: str) -> list[tuple[str, str]]:
+    if not text:
+        return []
     out = {}
     for m in _ATTRIBUTE.finditer(text):
         out.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
@@ -118,6 +125,35 @@ def parsed(pages: DataFrame, id_col: str, html_col: str, decoded: Callable[[str]
     return pages.select(F.col(id_col).cast("long").alias("page"), F.col(html_col).cast("string").alias("html")).mapInArrow(run, f"page long, texts array<string>, elements array<{ELEMENT}>")
 
 
+#: What a parser makes of one page's texts and elements: its columns by name.
+Extract = Callable[[list[str], list[dict]], dict]
+
+
+def extracted(pages: DataFrame, id_col: str, html_col: str, of: Extract, kinds: dict[str, str]) -> DataFrame:
+    """(page, the columns of kinds) of every page by `of`, in the pass that reads it. Nothing is moved."""
+    rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(html_col).cast("string").alias("html"))
+    return _rows_by(rows, lambda b: (of(*read_page(x.as_py())) for x in b["html"]), kinds)
+
+
+def _extracted_from(pages: DataFrame, of: Extract, kinds: dict[str, str]) -> DataFrame:
+    """The same from parsed pages."""
+    return _rows_by(pages.select("page", "texts", "elements"), lambda b: (of(t.as_py(), e.as_py()) for t, e in zip(b["texts"], b["elements"], strict=True)), kinds)
+
+
+def _rows_by(pages: DataFrame, read: Callable[[pa.RecordBatch], Iterator[dict]], kinds: dict[str, str]) -> DataFrame:
+    schema = "page long, " + ", ".join(f"`{c}` {kind}" for c, kind in kinds.items())
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 200):
+                part = b.slice(i, 200)
+                rows = list(read(part))
+                yield pa.RecordBatch.from_arrays([part["page"], *(pa.array([r[c] for r in rows], arrow.field(c).type) for c in kinds)], schema=arrow)
+
+    return pages.mapInArrow(run, schema)
+
+
 def picked(pages: DataFrame, which: Callable[[Column], Column], text: bool = True) -> DataFrame:
     """(page, start, last, tag, attrs, text) of the elements that `which` chooses, as rows."""
     inside = lambda e: F.array_join(F.slice("texts", e["t0"] + 1, e["t1"] - e["t0"]), "") if text else F.lit(None).cast("string")
@@ -165,16 +201,24 @@ def firsts_inside(outer: DataFrame, inner: DataFrame, n: int = 1) -> DataFrame:
     return asks.join(numbered, ["page", "_no"]).where("last <= _end").drop("_no", "_end")
 
 
-def _cells(pages: DataFrame, section: DataFrame, n: int) -> DataFrame:
-    """(page, start, c): of each table row of a section, its first n cells' texts, fewer where it has fewer."""
-    rows = inside(picked(pages, lambda e: e["tag"] == "tr", text=False), section)
-    cells = firsts_inside(rows, picked(pages, lambda e: e["tag"] == "td"), n)
-    found = F.transform(F.sort_array(F.collect_list(F.struct("nth", "text"))), lambda x: x["text"])
-    return cells.groupBy("page", F.col("within").alias("start")).agg(found.alias("c"))
+def _held(elements: list[dict], outer: dict | None) -> list[dict]:
+    return elements[outer["start"] + 1 : outer["last"] + 1] if outer else []
 
 
-def _listed(rows: DataFrame, value: Column, name: str) -> DataFrame:
-    return rows.groupBy("page").agg(F.transform(F.sort_array(F.collect_list(F.struct("start", value.alias("v")))), lambda x: x["v"]).alias(name))
+def _joined(texts: list[str], e: dict) -> str:
+    return "".join(texts[e["t0"] : e["t1"]])
+
+
+def _cells(texts: list[str], elements: list[dict], section: dict | None, n: int) -> Iterator[list[str]]:
+    """Of each table row of a section, its first n cells' texts, fewer where it has fewer; rows without cells are left out."""
+    held = _held(elements, section)
+    cells = [e for e in held if e["tag"] == "td"]
+    starts = [e["start"] for e in cells]
+    for row in held:
+        if row["tag"] == "tr":
+            at = bisect_right(starts, row["start"])
+            if found := [_joined(texts, c) for c in cells[at : at + n] if c["last"] <= row["last"]]:
+                yield found
 
 
 #: The sections of a permit's page by id, and what the keys of its last table hold.
@@ -182,6 +226,35 @@ SECTIONS = {"persyaratan": "pills-syarat", "mekanisme_pelayanan": "pills-mekanis
 KEYS = {"estimasi selesai": "estimasi_selesai", "masa berlaku": "masa_berlaku", "biaya": "biaya"}
 
 
+PERMIT = {
+    "persyaratan": "array<string>", "mekanisme_pelayanan": "array<struct<nomor:int,deskripsi:string>>", "dasar_hukum": "array<struct<nomor:int,referensi:string>>", **dict.fromkeys(KEYS.values(), "string"),
+}
+#: A number as the pattern ^[0-9]+$ of Spark finds it: `$` is also before an end of line.
+_NUMBER = re.compile(r"[0-9]+(?:\r?\n|\r)?")
+
+
+def permit(texts: list[str], elements: list[dict]) -> dict:
+    """The columns of PERMIT of one page, see permit_details()."""
+    by_id = {i: None for i in SECTIONS.values()}
+    for e in elements:
+        if e["tag"] == "div" and e["attrs"]:
+            i = dict(e["attrs"]).get("id")
+            if i in by_id and by_id[i] is None:
+                by_id[i] = e
+    section = {f: by_id[i] for f, i in SECTIONS.items()}
+    items = (_joined(texts, e) for e in _held(elements, section["persyaratan"]) if e["tag"] == "li")
+    out = {"persyaratan": [x for x in items if x]} | dict.fromkeys(KEYS.values())
+    for name, column in (("mekanisme_pelayanan", "deskripsi"), ("dasar_hukum", "referensi")):
+        rows = ((c[0].rstrip("."), c[1]) for c in _cells(texts, elements, section[name], 2) if len(c) > 1)
+        out[name] = [{"nomor": int(n), column: text} for n, text in rows if text and _NUMBER.fullmatch(n)]
+    for c in _cells(texts, elements, section["keterangan"], 3):
+        key = c[0].lower()
+        field = next((f for k, f in KEYS.items() if k in key), None)
+        if len(c) > 2 and field:
+            out[field] = c[2]
+    return out
+
+
 def permit_details(pages: DataFrame) -> DataFrame:
     """(page, persyaratan, mekanisme_pelayanan, dasar_hukum, estimasi_selesai, masa_berlaku, biaya) of every parsed page.
 
@@ -189,20 +262,12 @@ def permit_details(pages: DataFrame) -> DataFrame:
     is a number, dots at its end left out, and whose second has a text. Terms are rows of three cells or more, the first of
     which contains a key, whatever its case; of several rows with a key the last counts. A missing section gives an empty list.
     """
-    with_id = lambda i: lambda e: (e["tag"] == "div") & (e["attrs"]["id"] == i)
-    section = {f: first_of(picked(pages, with_id(i), text=False)) for f, i in SECTIONS.items()}
-    out = pages.select("page")
-    items = inside(picked(pages, lambda e: e["tag"] == "li"), section["persyaratan"]).where("text <> ''")
-    out = out.join(_listed(items, F.col("text"), "persyaratan"), "page", "left")
-    for name, column in (("mekanisme_pelayanan", "deskripsi"), ("dasar_hukum", "referensi")):
-        number = F.regexp_replace(F.col("c")[0], r"\.+$", "")
-        rows = _cells(pages, section[name], 2).where((F.size("c") > 1) & number.rlike("^[0-9]+$") & (F.try_element_at("c", F.lit(2)) != ""))
-        out = out.join(_listed(rows, F.struct(number.cast("int").alias("nomor"), F.col("c")[1].alias(column)), name), "page", "left")
-    field = F.coalesce(*(F.when(F.contains(F.lower(F.col("c")[0]), F.lit(k)), F.lit(f)) for k, f in KEYS.items()))
-    terms = _cells(pages, section["keterangan"], 3).where(F.size("c") > 2).select("page", "start", field.alias("field"), F.col("c")[2].alias("value"))
-    terms = terms.groupBy("page").agg(*(F.max_by("value", F.when(F.col("field") == f, F.col("start"))).alias(f) for f in KEYS.values()))
-    empty = [F.coalesce(c, F.array().cast(kind)).alias(c) for c, kind in out.dtypes if c != "page"]
-    return out.select("page", *empty).join(terms, "page", "left")
+    return _extracted_from(pages, permit, PERMIT)
+
+
+def permits(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
+    """permit_details() of pages that aren't parsed yet, in one pass."""
+    return extracted(pages, id_col, html_col, permit, PERMIT)
 
 
 def law_cards(pages: DataFrame, base_url: str) -> DataFrame:
@@ -230,12 +295,24 @@ def law_cards(pages: DataFrame, base_url: str) -> DataFrame:
     return out.select("page", "start", "judul_list", F.coalesce("tipe_list", F.lit("")).alias("tipe_list"), "detail_url", F.coalesce("pdf_url", F.lit("")).alias("pdf_url"))
 
 
+def detail_of(labels: dict[str, str], css: str = "tb-detail") -> Extract:
+    """(a column for each label) of one page, see detail_table()."""
+
+    def of(texts: list[str], elements: list[dict]) -> dict:
+        table = next((e for e in elements if e["tag"] == "table" and css in _CLASSES.split(dict(e["attrs"]).get("class") or "")), None)
+        rows = {c[0]: c[2] for c in _cells(texts, elements, table, 3) if len(c) > 2}
+        return {f: rows.get(label) for label, f in labels.items()}
+
+    return of
+
+
 def detail_table(pages: DataFrame, labels: dict[str, str], css: str = "tb-detail") -> DataFrame:
     """(page, a column for each label): the third cells of the first table of a class, by the text of the first cell.
 
     Rows of fewer cells and labels that aren't known are left out; of several rows with a label the last counts."""
-    table = first_of(picked(pages, lambda e: (e["tag"] == "table") & has_class(e, css), text=False))
-    rows = _cells(pages, table, 3).where(F.size("c") > 2)
-    of = lambda label: F.max_by(F.col("c")[2], F.when(F.col("c")[0] == label, F.col("start")))
-    found = rows.groupBy("page").agg(*(of(label).alias(f) for label, f in labels.items()))
-    return pages.select("page").join(found, "page", "left")
+    return _extracted_from(pages, detail_of(labels, css), dict.fromkeys(labels.values(), "string"))
+
+
+def detail_tables(pages: DataFrame, id_col: str, html_col: str, labels: dict[str, str], css: str = "tb-detail") -> DataFrame:
+    """detail_table() of pages that aren't parsed yet, in one pass."""
+    return extracted(pages, id_col, html_col, detail_of(labels, css), dict.fromkeys(labels.values(), "string"))

@@ -107,3 +107,35 @@ def test_outline_decodes_what_its_twin_does(spark, tmp_path):
     assert [got[i] for i in range(len(heads))] == ['a &quot;b', "cut &amp", "<b> &lt; &amp;", "&nbsp;x &copy", ""]
     # the parser itself still decodes all references
     assert E.read_page("<h1>a &quot;b &amp</h1>")[0] == ['a "b &']
+
+
+def test_a_page_is_read_and_parsed_where_it_is(spark):
+    pages = spark.createDataFrame([(1, "<div id=pills-syarat><li>a</li></div><div id=pills-keterangan><tr><td>BIAYA<td>:<td>5</tr></div>"), (2, None)], "id long, html string")
+    parsed = E.parsed(pages, "id", "html")
+    for got in (E.permits(pages, "id", "html"), E.permit_details(parsed), E.detail_table(parsed, {"Judul": "judul"})):
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString() and got.count() == 2
+    rows = {r["page"]: r for r in E.permits(pages, "id", "html").collect()}
+    assert (rows[1]["persyaratan"], rows[2]["persyaratan"], rows[2]["biaya"]) == (["a"], [], None)
+    # a cell that isn't ended holds those after it
+    assert rows[1]["biaya"] == "5"
+
+
+def test_parsing_grows_with_rows_that_are_not_ended():
+    def took(n):
+        read = E.read_page("<div id=pills-hukum>" + "<tr><td></td><td></td>" * n)
+        at = time.process_time()
+        E.permit(*read)
+        return time.process_time() - at
+
+    assert took(40_000) < 40 * max(took(5_000), 0.02)
+
+
+def test_permit_pages_of_small_files_are_dealt_to_all_cores(spark, tmp_path):
+    from tarn.plans import catalog
+
+    spark.range(40).selectExpr("id as c_custkey", "'s' as c_mktsegment").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(200).selectExpr("id as o_orderkey", "id % 39 as o_custkey", "'O' as o_orderstatus", "'1-HIGH' as o_orderpriority", "3e5 as o_totalprice").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    got = catalog.QUERIES["permit_details"](spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    rows = {r["page"]: r for r in got.collect()}
+    assert len(rows) == 40 and rows[0]["acts"] == "1:Act 0|2:Act 39|3:Act 78|4:Act 117|5:Act 156|6:Act 195" and rows[39]["needs"] == "" and rows[39]["estimasi_selesai"] is None
