@@ -73,3 +73,23 @@ def test_questions_weigh_words_once_and_odd_texts(spark):
     assert not any(q[3]) and not any(q[4])
     empty = E.fit(docs.where("false"), dims=4, rounds=1)
     assert E.embed(docs, empty).count() == 60
+
+
+def test_texts_are_counted_once_and_sums_are_few(spark):
+    rows = [*corpus(90, 5), (90, None), (91, ""), (92, "t1w1 T1W1, t2w2")]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(60)
+    sc = spark.sparkContext
+    sc.setJobGroup("fit", "fit")
+    model = E.fit(docs, dims=8, rounds=3)
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("fit") for s in tracker.getJobInfo(j).stageIds}
+    tasks = [i.numTasks for s in stages if (i := tracker.getStageInfo(s))]
+    # each task of a round sends a matrix: only the pass over the texts has as many tasks as they have partitions
+    assert tasks and sum(n >= 60 for n in tasks) <= 1
+    known = E.counted(docs).cache()
+    got = {r["id"]: r for r in known.collect()}
+    assert sorted(got[92]["ns"]) == [1, 2] and got[92]["ids"] == sorted(set(got[92]["ids"])) and got[90]["ids"] == got[91]["ns"] == []
+    assert np.allclose(E.fit(known, dims=8, rounds=3).basis, model.basis, atol=1e-6)
+    v, w = ({r["id"]: r["vector"] for r in E.embed(x, model).collect()} for x in (docs, known))
+    assert v.keys() == w.keys() and all(np.allclose(v[i], w[i]) for i in v) and not any(v[90])
