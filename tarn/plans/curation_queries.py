@@ -11,6 +11,7 @@ from tarn.functions import text as T
 from tarn.operators import audit
 from tarn.plans import sql as S
 from tarn.plans.registry import documents, query, table
+from tarn.sources.shared import spread
 
 LABELS = ["lexical_exact", "paraphrase", "semantic", "analytical", "negation_edge", "multi_chunk"]
 
@@ -168,6 +169,13 @@ def reclassify(spark, sf_dir):
     return audit.reclassified(_evidence(spark, sf_dir).join(labels, "id"))
 
 
+def _sets(spark, sf_dir, x):
+    """(bucket, id, x, score) of all documents, and a function that gives those of some ids: these are picked before texts are cut."""
+    rows = lambda docs: spread(docs).select(F.col("lang").alias("bucket"), F.col("doc_id").alias("id"), x.alias("x"), F.col("n_chars").alias("score"))
+    docs = table(spark, sf_dir, "documents")
+    return rows(docs), lambda ids: rows(docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"))
+
+
 @query(f"""WITH k AS (SELECT lang, doc_id, n_chars, list_sort(list_distinct({S.keys(S.tokens('text'))})) AS x FROM documents), c AS (SELECT *, first_value(doc_id) OVER (PARTITION BY lang, x ORDER BY n_chars DESC, doc_id) AS rep FROM k WHERE len(x) > 0), k1 AS (SELECT * FROM c WHERE doc_id = rep),
 p AS (SELECT a.doc_id AS i, b.doc_id AS j, a.n_chars AS si, b.n_chars AS sj FROM k1 a JOIN k1 b ON a.lang = b.lang AND a.doc_id < b.doc_id AND 100 * least(len(a.x), len(b.x)) >= 72 * greatest(len(a.x), len(b.x))
   WHERE 100 * len(list_intersect(a.x, b.x)) >= 72 * (len(a.x) + len(b.x) - len(list_intersect(a.x, b.x)))),
@@ -180,7 +188,8 @@ def redundancy_marking(spark, sf_dir):
     from tarn.operators.near import near_classes
 
     docs = documents(spark, sf_dir)
-    pairs, members = near_classes(docs.select(F.col("lang").alias("bucket"), F.col("doc_id").alias("id"), F.array_distinct(T.keys(T.content_tokens(F.col("text")))).alias("x"), F.col("n_chars").alias("score")), 72)
+    rows, of = _sets(spark, sf_dir, F.array_distinct(T.keys(F.array_distinct(T.content_tokens(F.col("text"))))))
+    pairs, members = near_classes(rows, 72, of)
     score = docs.select(F.col("doc_id").alias("id"), F.col("n_chars").alias("s"))
     scored = pairs.join(score.withColumnsRenamed({"id": "a", "s": "sa"}), "a").join(score.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
     first = F.col("sa") >= F.col("sb")
@@ -199,8 +208,8 @@ def near_duplicate_pairs(spark, sf_dir):
     all, and each other one is paired with it."""
     from tarn.operators.near import near_pairs
 
-    keyed = documents(spark, sf_dir).select(F.col("lang").alias("bucket"), F.col("doc_id").alias("id"), F.array_distinct(T.words(F.col("text"))).alias("x"))
-    return near_pairs(keyed, 85).select(F.col("bucket").alias("lang"), "a", "b", F.round("jaccard", 6).alias("jaccard"))
+    rows, of = _sets(spark, sf_dir, F.array_distinct(T.words(F.col("text"))))
+    return near_pairs(rows, 85, of).select(F.col("bucket").alias("lang"), "a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
 @query(f"""WITH RECURSIVE {_SETS}, p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM k a JOIN k b ON a.lang = b.lang AND a.doc_id < b.doc_id AND 100 * least(len(a.x), len(b.x)) >= 85 * greatest(len(a.x), len(b.x)) AND len(a.x) > 0 WHERE {_LIKE}),
@@ -212,8 +221,8 @@ def online_dedup(spark, sf_dir):
     from tarn.operators.near import accepted
 
     docs = documents(spark, sf_dir)
-    keyed = docs.select(F.col("lang").alias("bucket"), F.col("doc_id").alias("id"), F.array_distinct(T.words(F.col("text"))).alias("x"))
-    return docs.select("doc_id").join(accepted(keyed, 85).select(F.col("id").alias("doc_id"), "accepted"), "doc_id", "left").select("doc_id", F.coalesce("accepted", F.lit(True)).alias("accepted"))
+    rows, of = _sets(spark, sf_dir, F.array_distinct(T.words(F.col("text"))))
+    return docs.select("doc_id").join(accepted(rows, 85, of).select(F.col("id").alias("doc_id"), "accepted"), "doc_id", "left").select("doc_id", F.coalesce("accepted", F.lit(True)).alias("accepted"))
 
 
 @query("""WITH o AS (SELECT source, doc_id, n_chars >= 3000 AS long_, row_number() OVER (PARTITION BY source, n_chars >= 3000 ORDER BY md5('17:' || doc_id), doc_id) AS r FROM documents),
